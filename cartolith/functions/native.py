@@ -8,11 +8,6 @@ from pyspark.sql import Column, functions as F
 
 from ..layer import LINEAR, PARTS, POLYGONAL, PUNTAL, bbox_of, empty, geometry, make_bbox, make_box, make_point, vertex
 
-D0 = F.lit
-
-
-def _fold(items: Column, zero: Column, step, done=None) -> Column:
-    return F.aggregate(items, zero, step, done) if done else F.aggregate(items, zero, step)
 
 
 def rings(geom: Column) -> Column:
@@ -222,20 +217,13 @@ def azimuth(x1, y1, x2, y2) -> Column:
 
 
 def is_rect(geom: Column, box: Column) -> Column:
-    """True for one-ring polygons whose five vertices walk along the bounding box."""
-    ring = F.flatten(geom["parts"])[0]
-
-    def corner(v):
-        return ((v["x"] == box["xmin"]) | (v["x"] == box["xmax"])) & ((v["y"] == box["ymin"]) | (v["y"] == box["ymax"]))
-
-    def side(i):
-        return (ring[i]["x"] == ring[i + 1]["x"]) != (ring[i]["y"] == ring[i + 1]["y"])
-
-    cond = (corner(ring[0]) & corner(ring[1]) & corner(ring[2]) & corner(ring[3]) & corner(ring[4])
-            & (ring[0] == ring[4]) & (ring[0] != ring[2]) & (ring[1] != ring[3])
-            & side(0) & side(1) & side(2) & side(3))
-    one = is_polygonal(geom) & (F.size(geom["parts"]) == 1) & (F.size(F.flatten(geom["parts"])) == 1)
-    return F.when(one & (F.size(vertices(geom)) == 5), cond).otherwise(F.lit(False))
+    """True for one-ring polygons whose four corners are those of the bounding box, walked in turn."""
+    ring = geom["parts"][0][0]
+    corners = F.forall(ring, lambda v: v["x"].isin(box["xmin"], box["xmax"]) & v["y"].isin(box["ymin"], box["ymax"]))
+    cond = (F.size(F.array_distinct(ring)) == 4) & (ring[0] == ring[4]) & (ring[0]["x"] != ring[2]["x"]) & (ring[0]["y"] != ring[2]["y"]) & corners
+    one = (geom["gtype"].isin(*POLYGONAL) & (F.size(geom["parts"]) == 1) & (F.size(F.flatten(geom["parts"])) == 1)
+           & (F.size(F.flatten(F.flatten(geom["parts"]))) == 5))
+    return F.coalesce(F.when(one, cond), F.lit(False))
 
 
 # ---------------------------------------------------------------- points
@@ -259,6 +247,35 @@ def point_location(geom: Column, x: Column, y: Column) -> Column:
     return F.aggregate(rings(geom), zero, ring, lambda s: F.when(s["on"], 0).when(s["inside"], 1).otherwise(-1))
 
 
+def segment_distance(geom: Column, x: Column, y: Column) -> Column:
+    """Distance of a point to the nearest vertex or segment of a geometry."""
+    def ring(best, r):
+        zero = F.struct(best.alias("d"), r[0]["x"].alias("px"), r[0]["y"].alias("py"))
+
+        def step(s, v):
+            dx, dy = v["x"] - s["px"], v["y"] - s["py"]
+            n = dx * dx + dy * dy
+            dot = (x - s["px"]) * dx + (y - s["py"]) * dy
+            u = F.when(n > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot / n))).otherwise(F.lit(0.0))
+            ex, ey = x - s["px"] - u * dx, y - s["py"] - u * dy
+            return F.struct(F.least(s["d"], F.sqrt(ex * ex + ey * ey)).alias("d"), v["x"].alias("px"), v["y"].alias("py"))
+
+        return F.aggregate(r, zero, step, lambda s: s["d"])
+
+    return F.aggregate(rings(geom), F.lit(float("inf")), ring)
+
+
+def point_to_geometry(geom: Column, x: Column, y: Column) -> Column:
+    """Distance of a point to any geometry; 0 inside a polygon, NULL for an empty one."""
+    v = vertices(geom)
+    one = (geom["gtype"] == "POINT") & (F.size(geom["parts"]) == 1)
+    many = F.aggregate(v, F.lit(float("inf")), lambda s, p: F.least(s, point_distance(p["x"], p["y"], x, y)))
+    d = (F.when(one, point_distance(v[0]["x"], v[0]["y"], x, y)).when(is_puntal(geom), many)
+         .when(is_linear(geom), segment_distance(geom, x, y))
+         .when(point_location(geom, x, y) >= 0, F.lit(0.0)).otherwise(segment_distance(geom, x, y)))
+    return F.when(F.size(geom["parts"]) > 0, d)
+
+
 def point_distance(x1, y1, x2, y2) -> Column:
     dx, dy = x1 - x2, y1 - y2
     return F.sqrt(dx * dx + dy * dy)
@@ -397,23 +414,25 @@ def expand_box(box: Column, d) -> Column:
     return make_bbox(box["xmin"] - d, box["ymin"] - d, box["xmax"] + d, box["ymax"] + d)
 
 
+def _closed(ring: Column) -> Column:
+    return F.concat(ring, F.slice(ring, 1, 1))
+
+
 def circle_ring(x: Column, y: Column, d: Column, quad_segs: int = 8) -> Column:
     """Closed counter-clockwise ring with ``4 * quad_segs`` corners."""
     n = 4 * quad_segs
-    at = [(math.cos(2 * math.pi * i / n), math.sin(2 * math.pi * i / n)) for i in range(n)]
-    corners = [vertex(x + d * c, y + d * s) for c, s in at]
-    return F.array(*corners, corners[0])
+    at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i * (2 * math.pi / n))
+    return _closed(F.transform(at, lambda t: vertex(x + d * F.cos(t), y + d * F.sin(t))))
 
 
 def rect_buffer_ring(box: Column, d: Column, quad_segs: int = 8) -> Column:
     """Round-cornered buffer ring of an axis-aligned rectangle."""
-    n = 4 * quad_segs
-    out = []
-    for quad, (cx, cy) in enumerate([("xmax", "ymax"), ("xmin", "ymax"), ("xmin", "ymin"), ("xmax", "ymin")]):
-        for i in range(quad * quad_segs, (quad + 1) * quad_segs + 1):
-            t = 2 * math.pi * i / n
-            out.append(vertex(box[cx] + d * math.cos(t), box[cy] + d * math.sin(t)))
-    return F.array(*out, out[0])
+    step = math.pi / 2 / quad_segs
+    x = lambda q: F.when(q.isin(0, 3), box["xmax"]).otherwise(box["xmin"])
+    y = lambda q: F.when(q < 2, box["ymax"]).otherwise(box["ymin"])
+    arc = lambda q: F.transform(F.sequence(F.lit(0), F.lit(quad_segs)), lambda i: vertex(
+        x(q) + d * F.cos((q * quad_segs + i) * step), y(q) + d * F.sin((q * quad_segs + i) * step)))
+    return _closed(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(3)), arc)))
 
 
 # ---------------------------------------------------------------- text forms
