@@ -547,3 +547,68 @@ def geohash(lon: Column, lat: Column, precision: int = 8) -> Column:
     chars = [F.substring(F.lit(GEOHASH_ALPHABET), F.shiftright(code, 5 * (precision - 1 - i)).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1))
              for i in range(precision)]
     return F.concat(*chars)
+
+
+# ---------------------------------------------------------------- linear referencing
+
+def _measured(line: Column) -> Column:
+    """Vertices of a line with their distance from the start: array of (x, y, m)."""
+    v = vertices(line)
+    zero = F.array(F.struct(v[0]["x"].alias("x"), v[0]["y"].alias("y"), F.lit(0.0).alias("m")))
+
+    def step(s, p):
+        q = F.element_at(s, -1)
+        return F.concat(s, F.array(F.struct(p["x"].alias("x"), p["y"].alias("y"), (q["m"] + F.hypot(p["x"] - q["x"], p["y"] - q["y"])).alias("m"))))
+
+    return F.aggregate(F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), zero, step)
+
+
+def _at_measure(line: Column, m: Column, offset=0.0) -> Column:
+    """Vertex at a distance along the line, moved ``offset`` to the left."""
+    v = vertices(line)
+    zero = F.struct(F.lit(0.0).alias("d"), v[0]["x"].alias("px"), v[0]["y"].alias("py"), F.lit(None).cast("struct<x:double,y:double>").alias("o"))
+
+    def step(s, p):
+        dx, dy = p["x"] - s["px"], p["y"] - s["py"]
+        n = F.hypot(dx, dy)
+        u = (m - s["d"]) / F.when(n > 0, n).otherwise(1.0)
+        here = vertex(s["px"] + u * dx - offset * dy / F.when(n > 0, n).otherwise(1.0), s["py"] + u * dy + offset * dx / F.when(n > 0, n).otherwise(1.0))
+        hit = s["o"].isNull() & (n > 0) & (m <= s["d"] + n)
+        return F.struct((s["d"] + n).alias("d"), p["x"].alias("px"), p["y"].alias("py"), F.when(hit, here).otherwise(s["o"]).alias("o"))
+
+    r = F.aggregate(F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), zero, step)
+    return F.coalesce(r["o"], F.element_at(v, -1))
+
+
+def line_interpolate(line: Column, fraction: Column, offset=0.0) -> Column:
+    """Point at a fraction (0 .. 1) of the length of a line."""
+    f = F.least(F.lit(1.0), F.greatest(F.lit(0.0), fraction))
+    return F.when(line["gtype"] == "LINESTRING", _as_point(_at_measure(line, f * length(line), offset)))
+
+
+def line_locate(line: Column, x: Column, y: Column) -> Column:
+    """Fraction of the length at the place of the line nearest to a point."""
+    v = vertices(line)
+    zero = F.struct(F.lit(0.0).alias("d"), v[0]["x"].alias("px"), v[0]["y"].alias("py"), F.lit(float("inf")).alias("best"), F.lit(0.0).alias("m"))
+
+    def step(s, p):
+        dx, dy = p["x"] - s["px"], p["y"] - s["py"]
+        n = dx * dx + dy * dy
+        u = F.when(n > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((x - s["px"]) * dx + (y - s["py"]) * dy) / F.when(n > 0, n).otherwise(1.0)))).otherwise(F.lit(0.0))
+        away = F.hypot(x - s["px"] - u * dx, y - s["py"] - u * dy)
+        size = F.sqrt(n)
+        near = away < s["best"]
+        return F.struct((s["d"] + size).alias("d"), p["x"].alias("px"), p["y"].alias("py"), F.least(s["best"], away).alias("best"),
+                        F.when(near, s["d"] + u * size).otherwise(s["m"]).alias("m"))
+
+    r = F.aggregate(F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), zero, step)
+    return F.when(line["gtype"] == "LINESTRING", F.when(r["d"] > 0, r["m"] / F.when(r["d"] > 0, r["d"]).otherwise(1.0)).otherwise(F.lit(0.0)))
+
+
+def line_substring(line: Column, start: Column, end: Column) -> Column:
+    """Part of a line between two fractions of its length."""
+    total = length(line)
+    a, b = start * total, end * total
+    mid = F.transform(F.filter(_measured(line), lambda p: (p["m"] > a) & (p["m"] < b)), lambda p: vertex(p["x"], p["y"]))
+    pts = F.concat(F.array(_at_measure(line, a)), mid, F.array(_at_measure(line, b)))
+    return F.when((line["gtype"] == "LINESTRING") & (start <= end), geometry("LINESTRING", F.array(F.array(pts))))

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..functions import exact as X, native as N
 from ..functions.kernel import union_all, union_one
-from ..layer import LINEAR, PARTS, POLYGONAL, PUNTAL, SridError, attribute_columns, ensure_bbox, geometry, set_srid, srid_of, with_bbox
-from ..plans.grid import GridPlan, both_rects, candidate_pairs, tidy
+from ..layer import LINEAR, PARTS, POLYGONAL, PUNTAL, SridError, attribute_columns, empty, ensure_bbox, geometry, set_srid, srid_of, with_bbox
+from ..plans.grid import GridPlan, both_rects, candidate_pairs, spread, tidy
 from ..plans.lookup import salted_lookup
 from ..plans.reduce import merge_by_key
 from .transform import reproject
@@ -323,9 +323,11 @@ def difference(a: DataFrame, b: DataFrame, id: str, single: bool = False, drop_e
         cut = (pairs.withColumn("_cut", geom).where(_parts_only(F.col("_cut")) & (N.dimension(F.col("_cut")) >= N.dimension(F.col("a_geom"))))
                .select(F.col("a_" + id).alias(id), F.col("_cut").alias("geom")))
         cover = merge_by_key(cut, [id], "geom", union_all, union_one).withColumnRenamed("geom", "_cover")
-        out = a.join(cover, id, "left")
-        out = out.withColumn("geom", F.when(F.col("_cover").isNull(), F.col("geom")).otherwise(
-            X.difference(F.when(F.col("_cover").isNotNull(), F.col("geom")), F.col("_cover")))).drop("_cover")
+        out = spread(a, plan.left).join(cover, id, "left")
+        g, c = F.col("geom"), F.col("_cover")
+        gone = F.coalesce(X.is_rect(g, F.col("bbox")) & X.is_rect(c, F.col("bbox")), F.lit(False))   # a rectangle under itself
+        cut = ~gone & c.isNotNull()
+        out = out.withColumn("geom", F.when(gone, empty()).when(cut, X.difference(F.when(cut, g), c)).otherwise(g)).drop("_cover")
     out = set_srid(with_bbox(out.select(*a.columns)), srid_of(a))
     if drop_empty:
         out = out.where(_parts_only(F.col("geom")))

@@ -189,11 +189,11 @@ def _keyed(df: DataFrame, box: Column, prefix: str, side: Side, other: Side, pla
 SPREAD_BYTES = 256 << 20     # below this a layer is re-spread before costly exact tests
 
 
-def _spread(df: DataFrame, side: Side) -> DataFrame:
+def spread(df: DataFrame, side: Side) -> DataFrame:
     """Give a small layer enough partitions to keep all cores busy with exact tests."""
-    if side.bytes > SPREAD_BYTES or side.rows < 2000:
+    if side.bytes > SPREAD_BYTES or side.rows < 500:
         return df
-    return df.repartition(min(df.sparkSession.sparkContext.defaultParallelism, -(-side.rows // 1000)))
+    return df.repartition(min(df.sparkSession.sparkContext.defaultParallelism, -(-side.rows // 200)))
 
 
 def boxes_meet(p: Column, q: Column) -> Column:
@@ -228,9 +228,9 @@ def candidate_pairs(a: DataFrame, b: DataFrame, grow_b=None, ageom: str | None =
     side = plan.broadcast
     native = (plan.left.points or plan.left.rects) and (plan.right.points or plan.right.rects)
     if not native and side == "right":
-        a = _spread(a, plan.left)
+        a = spread(a, plan.left)
     elif not native and side == "left":
-        b = _spread(b, plan.right)
+        b = spread(b, plan.right)
     l = _keyed(a, abox, "a_", plan.left, plan.right, plan, 0, ageom, False)
     r = _keyed(b, bbox, "b_", plan.right, plan.left, plan, 1, bgeom, grow_b is not None)
     lc, rc = F.col("a__cell"), F.col("b__cell")
