@@ -18,54 +18,67 @@ from pyspark.sql.functions import arrow_udf
 from ..layer import GEOM, PARTS, geometry, make_box
 from . import kernel as K
 from .codec import decode, encode, from_wkb as _from_wkb, to_wkb as _to_wkb
-from .native import circle_ring, is_rect, rect_buffer_ring
+from .native import capsule_ring, circle_ring, is_rect, rect_buffer_ring
 
 
-def _geom_udf(fn, n_geoms):
-    """Arrow UDF (geometries..., one optional number) -> geometry."""
-    if n_geoms == 2:
-        def run(a: pa.Array, b: pa.Array) -> pa.Array:
-            return encode([None if x is None or y is None else fn(x, y) for x, y in zip(decode(a), decode(b))])
-    else:
-        def run(a: pa.Array, d: pa.Array) -> pa.Array:
-            return encode([None if x is None or y is None else fn(x, y) for x, y in zip(decode(a), d.to_pylist())])
-    return arrow_udf(run, GEOM).asNondeterministic()
+STEP = 2000   # geometries handed to the kernel together
+
+
+def _steps(run_many, *cols):
+    out = []
+    for i in range(0, len(cols[0]), STEP):
+        out += run_many(*[c[i:i + STEP] for c in cols])
+    return out
+
+
+def _each(fn):
+    """Row function as a batch function that passes NULL through."""
+    return lambda *cols: [None if any(v is None for v in row) else fn(*row) for row in zip(*cols)]
 
 
-def _value_udf(fn, returns, n_geoms=2):
-    t = {"double": pa.float64(), "string": pa.string()}[returns]
-    if n_geoms == 2:
+def _arrow(run_many, returns: str, second: str | None = None):
+    """Arrow UDF over (geometry), (geometry, geometry) or (geometry, number)."""
+    def pack(vals):
+        return encode(vals) if returns == "geom" else pa.array(vals, {"double": pa.float64(), "string": pa.string()}[returns])
+
+    if second is None:
+        def run(a: pa.Array) -> pa.Array:
+            return pack(_steps(run_many, decode(a)))
+    elif second == "geom":
         def run(a: pa.Array, b: pa.Array) -> pa.Array:
-            return pa.array([None if x is None or y is None or (returns == "double" and not (x[1] and y[1])) else fn(x, y)
-                             for x, y in zip(decode(a), decode(b))], t)
+            return pack(_steps(run_many, decode(a), decode(b)))
     else:
-        def run(a: pa.Array) -> pa.Array:
-            return pa.array([None if x is None else fn(x) for x in decode(a)], t)
-    return arrow_udf(run, returns).asNondeterministic()
+        def run(a: pa.Array, b: pa.Array) -> pa.Array:
+            return pack(_steps(run_many, decode(a), b.to_pylist()))
+    return arrow_udf(run, GEOM if returns == "geom" else returns).asNondeterministic()
+
+
+def _filled(fn):
+    """Pair function that is NULL for empty geometries."""
+    return lambda a, b: fn(a, b) if a[1] and b[1] else None
 
 
 @lru_cache(None)
 def _udf(name: str):
     """UDFs are made on first use, when a session exists."""
-    overlays = ("intersection", "difference", "union", "symdifference")
-    if name in overlays:
-        return _geom_udf(lambda a, b: K.overlay(a, b, name), 2)
+    if name in ("intersection", "difference", "union", "symdifference"):
+        return _arrow(lambda a, b: K.overlay_many(a, b, name), "geom", "geom")
     return {
-        "relate": lambda: _value_udf(K.relate, "string"),
-        "distance": lambda: _value_udf(lambda a, b: K.shortest_line(a, b)[0], "double"),
-        "max_distance": lambda: _value_udf(K.max_distance, "double"),
-        "hausdorff": lambda: _value_udf(K.hausdorff, "double"),
-        "shortest_line": lambda: _geom_udf(_shortest, 2),
-        "closest_point": lambda: _geom_udf(_closest, 2),
-        "buffer": lambda: _geom_udf(K.buffer, 1),
-        "grow_and_shrink": lambda: _geom_udf(K.grow_and_shrink, 1),
-        "simplify": lambda: _geom_udf(lambda g, t: K.simplify(g, t), 1),
-        "simplify_preserve": lambda: _geom_udf(lambda g, t: K.simplify(g, t, True), 1),
-        "make_valid": lambda: _geom_udf(lambda g, _: K.make_valid(g), 1),
-        "hull": lambda: _geom_udf(lambda g, _: K.hull(_all_vertices(g)), 1),
-        "surface_point": lambda: _geom_udf(_surface, 1),
-        "self_union": lambda: _geom_udf(lambda g, _: K.union_all([g]), 1),
-        "valid_reason": lambda: _value_udf(K.valid_reason, "string", 1),
+        "relate": lambda: _arrow(K.relate_many, "string", "geom"),
+        "distance": lambda: _arrow(_each(_filled(lambda a, b: K.shortest_line(a, b)[0])), "double", "geom"),
+        "max_distance": lambda: _arrow(_each(_filled(K.max_distance)), "double", "geom"),
+        "hausdorff": lambda: _arrow(_each(_filled(K.hausdorff)), "double", "geom"),
+        "shortest_line": lambda: _arrow(_each(_filled(_shortest)), "geom", "geom"),
+        "closest_point": lambda: _arrow(_each(_filled(_closest)), "geom", "geom"),
+        "buffer": lambda: _arrow(K.buffer_many, "geom", "number"),
+        "grow_and_shrink": lambda: _arrow(K.grow_and_shrink_many, "geom", "number"),
+        "simplify": lambda: _arrow(_each(K.simplify), "geom", "number"),
+        "simplify_preserve": lambda: _arrow(_each(lambda g, t: K.simplify(g, t, True)), "geom", "number"),
+        "make_valid": lambda: _arrow(K.make_valid_many, "geom"),
+        "hull": lambda: _arrow(_each(lambda g: K.hull(_all_vertices(g))), "geom"),
+        "surface_point": lambda: _arrow(_each(_surface), "geom"),
+        "self_union": lambda: _arrow(lambda a: [None if g is None else u for g, u in zip(a, K.union_many([[g] for g in a]))], "geom"),
+        "valid_reason": lambda: _arrow(K.valid_reason_many, "string"),
     }[name]()
 
 
@@ -80,17 +93,15 @@ def _point(p):
 
 def _shortest(a, b):
     import numpy as np
-    if not a[1] or not b[1]:
-        return None
     _, p, q = K.shortest_line(a, b)
     return ("LINESTRING", [[np.vstack([p, q])]])
 
 
 def _closest(a, b):
-    return _point(K.shortest_line(a, b)[1]) if a[1] and b[1] else None
+    return _point(K.shortest_line(a, b)[1])
 
 
-def _surface(g, _):
+def _surface(g):
     p = K.point_on_surface(g)
     return None if p is None else _point(p)
 
@@ -248,17 +259,19 @@ def closest_point(a: Column, b: Column) -> Column:
 # ---------------------------------------------------------------- shapes
 
 def buffer(geom: Column, d, box: Column | None = None) -> Column:
-    """Round buffer; points and rectangles are answered by column arithmetic."""
+    """Round buffer; points, single segments and rectangles are answered by column arithmetic."""
     d = d if isinstance(d, Column) else F.lit(float(d))
     d = d.cast("double")
     from .native import vertices
     point = F.coalesce((geom["gtype"] == "POINT") & (F.size(geom["parts"]) == 1) & (d > 0), F.lit(False))
     rect = F.coalesce(is_rect(geom, box) & (d > 0), F.lit(False)) if box is not None else F.lit(False)
-    v = vertices(geom)[0]
-    out = F.when(point, geometry("POLYGON", F.array(F.array(circle_ring(v["x"], v["y"], d)))))
+    v = vertices(geom)
+    stretch = F.coalesce((geom["gtype"] == "LINESTRING") & (F.size(v) == 2) & (v[0] != v[1]) & (d > 0), F.lit(False))
+    out = F.when(point, geometry("POLYGON", F.array(F.array(circle_ring(v[0]["x"], v[0]["y"], d)))))
+    out = out.when(stretch, geometry("POLYGON", F.array(F.array(capsule_ring(v[0], v[1], d)))))
     if box is not None:
         out = out.when(rect, geometry("POLYGON", F.array(F.array(rect_buffer_ring(box, d)))))
-    return out.otherwise(_udf("buffer")(_unless(point | rect, geom), d))
+    return out.otherwise(_udf("buffer")(_unless(point | rect | stretch, geom), d))
 
 
 def grow_and_shrink(geom: Column, d: float = 0.001) -> Column:
@@ -266,7 +279,7 @@ def grow_and_shrink(geom: Column, d: float = 0.001) -> Column:
 
 
 def make_valid(geom: Column) -> Column:
-    return _udf("make_valid")(geom, F.lit(0.0))
+    return _udf("make_valid")(geom)
 
 
 def valid_reason(geom: Column) -> Column:
@@ -282,16 +295,16 @@ def simplify(geom: Column, tolerance: float, preserve: bool = False) -> Column:
 
 
 def convex_hull(geom: Column) -> Column:
-    return _udf("hull")(geom, F.lit(0.0))
+    return _udf("hull")(geom)
 
 
 def point_on_surface(geom: Column) -> Column:
-    return _udf("surface_point")(geom, F.lit(0.0))
+    return _udf("surface_point")(geom)
 
 
 def self_union(geom: Column) -> Column:
     """Dissolve the parts of one geometry (node lines, merge polygons)."""
-    return _udf("self_union")(geom, F.lit(0.0))
+    return _udf("self_union")(geom)
 
 
 @lru_cache(None)

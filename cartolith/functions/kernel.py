@@ -1,10 +1,12 @@
 """Numpy helpers for the exact part of overlay, relate, buffer and repair.
 
-One idea serves them all: cut the edges of both inputs at every crossing
+One idea serves them all: cut the edges of the inputs at every crossing
 (``Arrangement``), then label each node, edge and side of an edge with its
 location in either input.  Overlay keeps the edges whose two sides differ in
 the result; relate reads the dimension of every location pair.
 
+An arrangement holds all pairs of an Arrow batch at once, each as a group of its
+own, so the array work is shared by thousands of small geometries.
 Geometries are ``(gtype, parts)`` pairs as made by ``codec.decode``.
 """
 
@@ -16,6 +18,7 @@ REL_EPS = 1e-10
 INSIDE, BORDER, OUTSIDE = 0, 1, 2
 POLY, LINE, POINT = 2, 1, 0
 QUAD_SEGS = 8  # fixed value: segments per quarter circle of the default round buffer
+BLOCK = 1_000_000  # candidate pairs looked at together
 
 
 def dim(g) -> int:
@@ -49,28 +52,21 @@ def _chains(g):
     return [r for part in g[1] for r in part]
 
 
-def _overlapping(lo, hi, eps, block=200_000):
-    """Index pairs i < j of boxes that overlap (sorted sweep on x, filter on y)."""
-    order = np.argsort(lo[:, 0], kind="stable")
-    lx, hx, ly, hy = lo[order, 0], hi[order, 0], lo[order, 1], hi[order, 1]
-    end = np.searchsorted(lx, hx + eps, side="right")
-    start = np.arange(1, len(lx) + 1)
-    count = np.maximum(end - start, 0)
-    left = 0
-    while left < len(lx):
-        right = left + max(1, int(np.searchsorted(np.cumsum(count[left:]), block)))
-        i = np.repeat(np.arange(left, min(right, len(lx))), count[left:right])
-        if len(i):
-            first = np.concatenate([[0], np.cumsum(count[left:right])[:-1]])
-            j = np.arange(len(i)) - np.repeat(first, count[left:right]) + np.repeat(start[left:right], count[left:right])
-            ok = (ly[i] <= hy[j] + eps) & (ly[j] <= hy[i] + eps)
-            yield order[i[ok]], order[j[ok]]
-        left = right
+def _expand(first, count, block=BLOCK):
+    """Blocks of (row, position) for ranges [first, first + count) per row."""
+    total = np.concatenate([[0], np.cumsum(count)])
+    lo = 0
+    while lo < len(count):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + block, side="right")) - 1)
+        row = np.repeat(np.arange(lo, hi), count[lo:hi])
+        pos = np.arange(len(row)) - np.repeat(total[lo:hi] - total[lo], count[lo:hi]) + np.repeat(first[lo:hi], count[lo:hi])
+        yield row, pos
+        lo = hi
 
 
 def _same_place(keys):
     """Group equal rows: (group number of every row, first row of every group)."""
-    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    order = np.lexsort(keys.T[::-1])
     k = keys[order]
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]).any(axis=1)
@@ -80,78 +76,118 @@ def _same_place(keys):
 
 
 class Arrangement:
-    """Noded edges of one or two inputs with their windings."""
+    """Noded edges of one or two inputs with their windings, for many groups.
+
+    Every source is a list with one list of geometries per group."""
 
     def __init__(self, *sources):
-        self.dims = [max((dim(g) for g in s), default=POINT) for s in sources]
-        p0, p1, src, loose, ends = [], [], [], [], []
-        for s, geoms in enumerate(sources):
-            for g in geoms:
-                d = dim(g)
-                for chain in _chains(g):
-                    if d == POINT or len(chain) == 1:
-                        loose.append((s, chain))
-                        continue
-                    p0.append(chain[:-1]); p1.append(chain[1:])
-                    src.append(np.full(len(chain) - 1, s))
-                    if d == LINE and (chain[0] != chain[-1]).any():
-                        ends.append((s, chain[[0, -1]]))
-        none = np.empty((0, 2))
-        p0, p1 = (np.concatenate(p0), np.concatenate(p1)) if p0 else (none, none)
-        src = np.concatenate(src) if src else np.empty(0, int)
+        self.groups, k = len(sources[0]), len(sources)
+        self.dims = np.array([[max((dim(g) for g in geoms), default=POINT) for geoms in s] for s in sources]).reshape(k, self.groups).T
+        chains, meta = [], []   # meta: source, group, dimension, is hole
+        for s, source in enumerate(sources):
+            for i, geoms in enumerate(source):
+                for g in geoms:
+                    d = dim(g)
+                    for part in g[1]:
+                        for j, r in enumerate(part):
+                            if len(r):
+                                chains.append(r); meta.append((s, i, d, j > 0))
+        xy = np.concatenate(chains) if chains else np.empty((0, 2))
+        meta = np.array(meta, int).reshape(-1, 4)
+        size = np.array([len(c) for c in chains], int)
+        start = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(int) if chains else np.empty(0, int)
+        of = np.repeat(np.arange(len(chains)), size)
+        self._frame(xy, meta[of, 1] if len(of) else np.empty(0, int))
+
+        last = start + size - 1
+        lone = (meta[:, 2] == POINT) | (size == 1)
+        follow = np.ones(len(xy), bool)
+        follow[last] = False
+        follow &= ~lone[of]
+        p = np.flatnonzero(follow)
+        seg_chain, p0, p1 = of[p], xy[p], xy[p + 1]
+        open_ring = np.flatnonzero((meta[:, 2] == POLY) & ~lone & (xy[start] != xy[last]).any(axis=1)) if len(chains) else []
+        if len(open_ring):
+            seg_chain = np.concatenate([seg_chain, open_ring])
+            p0, p1 = np.concatenate([p0, xy[last[open_ring]]]), np.concatenate([p1, xy[start[open_ring]]])
+        # shells counter-clockwise, holes clockwise
+        rel = xy[start][seg_chain] if len(chains) else p0
+        area = np.bincount(seg_chain, weights=cross(p0 - rel, p1 - rel), minlength=len(chains))
+        turn = ((meta[:, 2] == POLY) & ((area >= 0) == (meta[:, 3] == 1)))[seg_chain]
+        p0, p1 = np.where(turn[:, None], p1, p0), np.where(turn[:, None], p0, p1)
         keep = (p0 != p1).any(axis=1)
-        p0, p1, src = p0[keep], p1[keep], src[keep]
-        loose_xy = np.concatenate([c for _, c in loose]) if loose else none
-        every = np.concatenate([p0, p1, loose_xy])
-        span = np.ptp(every, axis=0).max() if len(every) else 1.0
-        self.eps = eps = max(span, np.abs(every).max() * 1e-4 if len(every) else 0.0, 1e-300) * REL_EPS
-        self.crossings = 0
-        seg, t, xy = self._cut(p0, p1, loose_xy, eps)
-
-        loose_src = np.concatenate([np.full(len(c), s) for s, c in loose]) if loose else np.empty(0, int)
-        end_xy = np.concatenate([c for _, c in ends]) if ends else none
-        end_src = np.concatenate([np.full(2, s) for s, _ in ends]) if ends else np.empty(0, int)
-        all_xy = np.concatenate([xy, loose_xy, end_xy])
-        ids, first = _same_place(np.round(all_xy / eps))
-        self.xy = all_xy[first]
-        n = len(self.xy)
-        chain_ids, loose_ids, end_ids = np.split(ids, [len(xy), len(xy) + len(loose_xy)])
+        seg_chain, p0, p1 = seg_chain[keep], p0[keep], p1[keep]
+        src, grp = meta[seg_chain, 0], meta[seg_chain, 1]
+        loose = np.flatnonzero(lone[of])
+        loose_xy, loose_src, loose_grp = xy[loose], meta[of[loose], 0], meta[of[loose], 1]
+        tips = np.flatnonzero((meta[:, 2] == LINE) & ~lone & (xy[start] != xy[last]).any(axis=1)) if len(chains) else np.empty(0, int)
+        end_xy = np.concatenate([xy[start[tips]], xy[last[tips]]]) if len(tips) else np.empty((0, 2))
+        end_src, end_grp = np.tile(meta[tips, 0], 2), np.tile(meta[tips, 1], 2)
+
+        self.crossings = np.zeros(self.groups, int)
+        seg, t, cut = self._cut(p0, p1, grp, loose_xy, loose_grp)
+        all_xy = np.concatenate([cut, loose_xy, end_xy])
+        all_grp = np.concatenate([grp[seg], loose_grp, end_grp])
+        cell = np.round((all_xy - self.origin[all_grp]) / self.eps[all_grp, None])
+        ids, first = _same_place(np.column_stack([all_grp, cell]))
+        self.xy, self.node_grp = all_xy[first], all_grp[first]
+        n = max(len(self.xy), 1)
+        chain_ids, loose_ids, end_ids = np.split(ids, [len(cut), len(cut) + len(loose_xy)])
 
         order = np.lexsort((t, seg))
         node, seg = chain_ids[order], seg[order]
-        step = (seg[1:] == seg[:-1]) & (node[1:] != node[:-1]) if len(seg) else np.empty(0, bool)
-        self.sub_from, self.sub_to, self.sub_seg = node[:-1][step], node[1:][step], seg[:-1][step]
-        self.sub_src = src[self.sub_seg]
-        lo, hi = np.minimum(self.sub_from, self.sub_to), np.maximum(self.sub_from, self.sub_to)
-        key, self.sub_edge = np.unique(lo * max(n, 1) + hi, return_inverse=True)
-        self.edges = np.column_stack([key // max(n, 1), key % max(n, 1)]).astype(int)
-        k = len(sources)
-        self.w = np.zeros((len(key), k)); self.n = np.zeros((len(key), k))
-        turn = np.where(self.sub_from < self.sub_to, 1.0, -1.0)
-        np.add.at(self.w, (self.sub_edge, self.sub_src), turn)
-        np.add.at(self.n, (self.sub_edge, self.sub_src), 1.0)
-        self.point = np.zeros((n, k), bool); self.point[loose_ids, loose_src] = True
-        odd = np.zeros((n, k), int); np.add.at(odd, (end_ids, end_src), 1)
-        self.line_end = odd % 2 == 1
-        self.left, self.right = self._sides()
-
-    def _cut(self, p0, p1, loose, eps):
+        step = (seg[1:] == seg[:-1]) & (node[1:] != node[:-1])
+        a, b, e_src = node[:-1][step], node[1:][step], src[seg[:-1][step]]
+        key, edge = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_inverse=True)
+        self.edges = np.column_stack([key // n, key % n]).astype(int)
+        self.edge_grp = self.node_grp[self.edges[:, 0]] if len(key) else np.empty(0, int)
+        m = len(key)
+        self.n = np.bincount(edge * k + e_src, minlength=m * k).reshape(m, k).astype(float)
+        self.w = np.bincount(edge * k + e_src, weights=np.where(a < b, 1.0, -1.0), minlength=m * k).reshape(m, k)
+        self.point = np.zeros((len(self.xy), k), bool); self.point[loose_ids, loose_src] = True
+        self.line_end = np.bincount(end_ids * k + end_src, minlength=len(self.xy) * k).reshape(-1, k) % 2 == 1
+        self._sides()
+
+    def _frame(self, xy, grp):
+        """Origin, size and tolerance of every group."""
+        lo, hi = np.full((self.groups, 2), np.inf), np.full((self.groups, 2), -np.inf)
+        np.minimum.at(lo, grp, xy); np.maximum.at(hi, grp, xy)
+        none = ~np.isfinite(lo[:, 0])
+        lo[none], hi[none] = 0.0, 1.0
+        self.origin = lo
+        self.span = np.maximum((hi - lo).max(axis=1), 1e-300)
+        self.eps = np.maximum(np.maximum(self.span, np.maximum(np.abs(lo), np.abs(hi)).max(axis=1) * 1e-4), 1e-290) * REL_EPS
+
+    def _key(self, x, grp):
+        """Sort key: the group first, then the place of x in it."""
+        return grp * 4.0 + (x - self.origin[grp, 0]) / self.span[grp]
+
+    def _cut(self, p0, p1, grp, loose, loose_grp):
         m = len(p0)
         seg, t, xy = [np.arange(m), np.arange(m)], [np.zeros(m), np.ones(m)], [p0, p1]
         d = p1 - p0
         size = np.hypot(d[:, 0], d[:, 1])
         lo, hi = np.minimum(p0, p1), np.maximum(p0, p1)
+        eps = self.eps[grp]
 
         def on_segment(i, pts):
             """Position along segment i when the point lies on its open part."""
             q = pts - p0[i]
             along = (q * d[i]).sum(axis=1) / size[i]
             away = np.abs(cross(d[i], q)) / size[i]
-            return along / size[i], (away <= eps) & (along > eps) & (along < size[i] - eps)
-
-        for i, j in _overlapping(lo, hi, eps):
-            on = np.concatenate([i, i, j, j])
-            ends = np.concatenate([p0[j], p1[j], p0[i], p1[i]])
+            return along / size[i], (away <= eps[i]) & (along > eps[i]) & (along < size[i] - eps[i])
+
+        left, right = self._key(lo[:, 0], grp), self._key(hi[:, 0], grp) + 1e-9
+        order = np.argsort(left, kind="stable")
+        end = np.searchsorted(left[order], right[order], side="right")
+        begin = np.arange(1, m + 1)
+        for row, pos in _expand(begin, np.maximum(end - begin, 0)):
+            i, j = order[row], order[pos]
+            ok = (lo[i, 1] <= hi[j, 1] + eps[i]) & (lo[j, 1] <= hi[i, 1] + eps[i]) & (lo[j, 0] <= hi[i, 0] + eps[i])
+            i, j = i[ok], j[ok]
+            if not len(i):
+                continue
+            on, ends = np.concatenate([i, i, j, j]), np.concatenate([p0[j], p1[j], p0[i], p1[i]])
             at, hit = on_segment(on, ends)
             seg.append(on[hit]); t.append(at[hit]); xy.append(ends[hit])
             touched = hit.reshape(4, -1).any(axis=0)
@@ -159,128 +195,145 @@ class Arrangement:
             ok = ~touched & (np.abs(den) > 1e-14 * size[i] * size[j])
             den = np.where(ok, den, 1.0)
             u, v = cross(q, d[j]) / den, cross(q, d[i]) / den
-            ok &= (u * size[i] > eps) & ((1 - u) * size[i] > eps) & (v * size[j] > eps) & ((1 - v) * size[j] > eps)
+            ok &= (u * size[i] > eps[i]) & ((1 - u) * size[i] > eps[i]) & (v * size[j] > eps[i]) & ((1 - v) * size[j] > eps[i])
             x = p0[i][ok] + u[ok, None] * d[i][ok]
             seg += [i[ok], j[ok]]; t += [u[ok], v[ok]]; xy += [x, x]
-            self.crossings += int(ok.sum()) + int(touched.sum())
-        for p in loose:
-            near = np.flatnonzero((lo <= p + eps).all(axis=1) & (hi >= p - eps).all(axis=1))
-            if len(near):
-                at, hit = on_segment(near, np.broadcast_to(p, (len(near), 2)))
-                seg.append(near[hit]); t.append(at[hit]); xy.append(np.repeat(p[None], hit.sum(), axis=0))
+            self.crossings += np.bincount(grp[i[ok | touched]], minlength=self.groups)
+        if len(loose) and m:
+            by = np.argsort(grp, kind="stable")
+            first = np.searchsorted(grp[by], loose_grp, side="left")
+            for row, pos in _expand(first, np.searchsorted(grp[by], loose_grp, side="right") - first):
+                i = by[pos]
+                at, hit = on_segment(i, loose[row])
+                seg.append(i[hit]); t.append(at[hit]); xy.append(loose[row][hit])
         return np.concatenate(seg), np.concatenate(t), np.concatenate(xy)
 
-    def _above(self, px, py, a, b, c, skip):
-        """Winding just above points: minus the weights of the edges above them."""
-        out = np.zeros((len(px), c.shape[1]))
-        order = np.argsort(b[:, 0])  # edges that end left of a point never count
-        a, b, c, skip_pos = a[order], b[order], c[order], None
-        if skip is not None:
-            skip_pos = np.empty(len(order), int); skip_pos[order] = np.arange(len(order))
+    def _above(self, pts, grp, a, b, c, c_grp, own=None):
+        """Winding just above points: minus the weights of the edges above them (a is left of b)."""
+        out = np.zeros((len(pts), c.shape[1]))
+        if not len(pts) or not len(a):
+            return out
+        far = self._key(b[:, 0], c_grp)
+        order = np.argsort(far, kind="stable")
+        far = far[order]
+        wide = np.zeros(self.groups)
+        np.maximum.at(wide, c_grp, (b[:, 0] - a[:, 0]) / self.span[c_grp])
+        at = self._key(pts[:, 0], grp)
+        # an edge over x ends right of x, and not farther than the widest edge of the group reaches
+        first = np.searchsorted(far, at - 1e-9, side="left")
+        count = np.searchsorted(far, at + wide[grp] + 1e-9, side="right") - first
         slope = (b[:, 1] - a[:, 1]) / np.where(b[:, 0] > a[:, 0], b[:, 0] - a[:, 0], 1.0)
-        turn = np.argsort(px)
-        rows = max(1, int(2_000_000 // max(len(a), 1)))
-        for s in range(0, len(px), rows):
-            k = turn[s:s + rows]
-            f = int(np.searchsorted(b[:, 0], px[k[0]], side="right"))
-            x, y = px[k, None], py[k, None]
-            hit = (a[f:, 0] <= x) & (x < b[f:, 0]) & (a[f:, 1] + (x - a[f:, 0]) * slope[f:] > y)
-            if skip is not None:
-                own = skip_pos[skip[k]] - f
-                good = own >= 0
-                hit[np.flatnonzero(good), own[good]] = False
-            out[k] = -(hit @ c[f:])
+        for row, pos in _expand(first, np.maximum(count, 0)):
+            e = order[pos]
+            x = pts[row, 0]
+            ok = (a[e, 0] <= x) & (x < b[e, 0]) & (c_grp[e] == grp[row])
+            row, e, x = row[ok], e[ok], x[ok]
+            ok = a[e, 1] + (x - a[e, 0]) * slope[e] > pts[row, 1]
+            if own is not None:
+                ok &= own[row] != e
+            for s in range(c.shape[1]):
+                out[:, s] -= np.bincount(row[ok], weights=c[e[ok], s], minlength=len(pts))
         return out
 
     def _sides(self):
         """Winding of every input on the left and right of each edge (low to high node)."""
-        left, right = np.zeros(self.w.shape), np.zeros(self.w.shape)
-        if not len(self.edges) or POLY not in self.dims:
-            return left, right
-        w = self.w * (np.array(self.dims) == POLY)
+        self.left, self.right = np.zeros(self.w.shape), np.zeros(self.w.shape)
+        w = self.w * (self.dims[self.edge_grp] == POLY)
+        used = np.flatnonzero((w != 0).any(axis=1))
+        if not len(used):
+            return
         a, b = self.xy[self.edges[:, 0]], self.xy[self.edges[:, 1]]
         steep = np.abs(b[:, 1] - a[:, 1]) > np.abs(b[:, 0] - a[:, 0])
-        for turned in (False, True):
+        place = np.full(len(a), -1); place[used] = np.arange(len(used))
+        keep_frame = self.origin, self.span
+        for turned in (False, True):   # steep edges are looked at with the plane turned by a quarter
             pick = np.flatnonzero(steep == turned)
             if not len(pick):
                 continue
             p, q = ((np.column_stack([v[:, 1], -v[:, 0]]) for v in (a, b)) if turned else (a, b))
+            self.origin = np.column_stack([keep_frame[0][:, 1], -keep_frame[0][:, 0]]) if turned else keep_frame[0]
             swap = q[:, 0] < p[:, 0]
             s, e = np.where(swap[:, None], q, p), np.where(swap[:, None], p, q)
             c = w * np.where(swap, -1.0, 1.0)[:, None]
-            mid = (p[pick] + q[pick]) / 2
-            used = np.flatnonzero((c != 0).any(axis=1))
-            pos = np.full(len(c), -1); pos[used] = np.arange(len(used))
-            skip = pos[pick]
-            above = np.zeros((len(pick), c.shape[1]))
-            for has in (True, False):
-                rows = np.flatnonzero((skip >= 0) == has)
-                if len(rows) and len(used):
-                    above[rows] = self._above(mid[rows, 0], mid[rows, 1], s[used], e[used], c[used], skip[rows] if has else None)
+            above = self._above((p[pick] + q[pick]) / 2, self.edge_grp[pick], s[used], e[used], c[used], self.edge_grp[used], place[pick])
             below = above - c[pick]
             flip = swap[pick][:, None]
-            left[pick], right[pick] = np.where(flip, below, above), np.where(flip, above, below)
-        return left, right
+            self.left[pick], self.right[pick] = np.where(flip, below, above), np.where(flip, above, below)
+        self.origin, self.span = keep_frame
 
     def edge_location(self, s):
-        if self.dims[s] == POLY:
-            l, r = self.left[:, s] > 0, self.right[:, s] > 0
-            return np.where(l & r, INSIDE, np.where(l | r, BORDER, OUTSIDE))
-        return np.where(self.n[:, s] > 0, INSIDE, OUTSIDE)
+        l, r = self.left[:, s] > 0, self.right[:, s] > 0
+        poly = np.where(l & r, INSIDE, np.where(l | r, BORDER, OUTSIDE))
+        return np.where(self.dims[self.edge_grp, s] == POLY, poly, np.where(self.n[:, s] > 0, INSIDE, OUTSIDE))
 
     def node_location(self, s):
+        d = self.dims[self.node_grp, s]
         loc = np.full(len(self.xy), OUTSIDE)
-        if self.dims[s] == POINT:
-            loc[self.point[:, s]] = INSIDE
-        elif self.dims[s] == LINE:
-            loc[self.edges[self.n[:, s] > 0].reshape(-1)] = INSIDE
-            loc[self.line_end[:, s]] = BORDER
-        else:
-            e = self.edge_location(s)
-            alone = np.ones(len(self.xy), bool); alone[self.edges.reshape(-1)] = False
-            loc[self.edges[e == INSIDE].reshape(-1)] = INSIDE
-            loc[self.edges[e == BORDER].reshape(-1)] = BORDER
-            if alone.any() and len(self.edges):
-                a, b = self.xy[self.edges[:, 0]], self.xy[self.edges[:, 1]]
-                swap = b[:, 0] < a[:, 0]
-                lo, hi = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
-                c = (self.w[:, [s]] * np.where(swap, -1.0, 1.0)[:, None])
-                p = self.xy[alone]
-                loc[alone] = np.where(self._above(p[:, 0], p[:, 1], lo, hi, c, None)[:, 0] > 0, INSIDE, OUTSIDE)
+        e = self.edge_location(s)
+        for where in (INSIDE, BORDER):
+            loc[self.edges[e == where].reshape(-1)] = where
+        loc[(d == LINE) & self.line_end[:, s]] = BORDER
+        loc[d == POINT] = OUTSIDE
+        loc[(d == POINT) & self.point[:, s]] = INSIDE
+        alone = d == POLY
+        alone[self.edges.reshape(-1)] = False
+        if alone.any() and len(self.edges):
+            a, b = self.xy[self.edges[:, 0]], self.xy[self.edges[:, 1]]
+            swap = b[:, 0] < a[:, 0]
+            lo, hi = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
+            c = self.w[:, [s]] * np.where(swap, -1.0, 1.0)[:, None]
+            w = self._above(self.xy[alone], self.node_grp[alone], lo, hi, c, self.edge_grp)
+            loc[alone] = np.where(w[:, 0] > 0, INSIDE, OUTSIDE)
         return loc
 
-    # -- results
+    # -- results: parts per group
+
+    def _per_group(self, rows, grp):
+        order = np.argsort(grp[rows], kind="stable")
+        rows = rows[order]
+        g, first = np.unique(grp[rows], return_index=True)
+        return zip(g.tolist(), np.split(rows, first[1:])) if len(rows) else ()
 
     def polygons(self, in_left, in_right):
         """Polygon parts whose inside is left of the kept edges."""
-        fwd, back = in_left & ~in_right, in_right & ~in_left
-        start = np.concatenate([self.edges[fwd, 0], self.edges[back, 1]])
-        stop = np.concatenate([self.edges[fwd, 1], self.edges[back, 0]])
-        return build_polygons(self.xy, start, stop, self.eps)
+        back = in_right & ~in_left
+        rows = np.flatnonzero(in_left != in_right)
+        out = {}
+        for g, e in self._per_group(rows, self.edge_grp):
+            turn = back[e]
+            pair = self.edges[e]
+            start, stop = np.where(turn, pair[:, 1], pair[:, 0]), np.where(turn, pair[:, 0], pair[:, 1])
+            parts = build_polygons(self.xy, start, stop, self.eps[g])
+            if parts:
+                out[g] = parts
+        return out
 
     def lines(self, keep):
         """Merge kept edges into chains that end where the degree is not two."""
-        e = self.edges[keep]
-        near: dict[int, list[int]] = {}
-        for k, (a, b) in enumerate(e.tolist()):
-            near.setdefault(a, []).append(k); near.setdefault(b, []).append(k)
-        used = np.zeros(len(e), bool)
-
-        def walk(node, k):
-            chain = [node]
-            while k is not None:
-                used[k] = True
-                node = int(e[k][0] + e[k][1]) - node
-                chain.append(node)
-                nxt = [i for i in near[node] if not used[i]]
-                k = nxt[0] if len(near[node]) == 2 and nxt else None
-            return [self.xy[chain]]
-
-        out = [walk(n, k) for n in sorted(near) if len(near[n]) != 2 for k in near[n] if not used[k]]
-        return out + [walk(int(e[k][0]), k) for k in range(len(e)) if not used[k]]
+        return {g: _merge_edges(self.xy, self.edges[e]) for g, e in self._per_group(np.flatnonzero(keep), self.edge_grp)}
 
     def points(self, keep):
-        return [[p[None]] for p in self.xy[keep]]
+        return {g: [[p[None]] for p in self.xy[i]] for g, i in self._per_group(np.flatnonzero(keep), self.node_grp)}
+
+
+def _merge_edges(xy, e):
+    near: dict[int, list[int]] = {}
+    for k, (a, b) in enumerate(e.tolist()):
+        near.setdefault(a, []).append(k); near.setdefault(b, []).append(k)
+    used = np.zeros(len(e), bool)
+
+    def walk(node, k):
+        chain = [node]
+        while k is not None:
+            used[k] = True
+            node = int(e[k][0] + e[k][1]) - node
+            chain.append(node)
+            nxt = [i for i in near[node] if not used[i]]
+            k = nxt[0] if len(near[node]) == 2 and nxt else None
+        return [xy[chain]]
+
+    out = [walk(n, k) for n in sorted(near) if len(near[n]) != 2 for k in near[n] if not used[k]]
+    return out + [walk(int(e[k][0]), k) for k in range(len(e)) if not used[k]]
 
 
 def build_polygons(xy, start, stop, eps):
@@ -351,55 +404,71 @@ def _typed(d, parts):
     return (name if len(parts) <= 1 else "MULTI" + name, parts)
 
 
-def overlay(a, b, op):
-    """intersection, difference, union or symdifference of two geometries.
+def overlay_many(a, b, op):
+    """intersection, difference, union or symdifference of pairs of geometries (None stays None).
 
     An intersection has the highest dimension at which the inputs meet."""
-    da, db = dim(a), dim(b)
-    if op in ("union", "symdifference") and da != db:
-        raise ValueError(f"{op} needs geometries of one dimension")
-    if not a[1] or not b[1]:
-        if op == "intersection":
-            return _typed(min(da, db), [])
-        return a if b[1] == [] or op == "difference" else b
-    m = Arrangement([a], [b])
-    if op == "intersection":
-        top = min(da, db)
-        if top == POLY:
-            parts = m.polygons((m.left > 0).all(axis=1), (m.right > 0).all(axis=1))
-            if parts:
-                return _typed(POLY, parts)
-        if top >= LINE:
-            parts = m.lines((m.edge_location(0) != OUTSIDE) & (m.edge_location(1) != OUTSIDE))
-            if parts:
-                return _typed(LINE, parts)
-        parts = m.points((m.node_location(0) != OUTSIDE) & (m.node_location(1) != OUTSIDE))
-        return _typed(POINT, parts) if parts else _typed(top, [])
-    if op == "difference" and da > db:
-        return a
-    if da == POLY:
-        rule = {"difference": lambda w: (w[:, 0] > 0) & ~(w[:, 1] > 0), "union": lambda w: (w > 0).any(axis=1),
-                "symdifference": lambda w: (w[:, 0] > 0) != (w[:, 1] > 0)}[op]
-        return _typed(POLY, m.polygons(rule(m.left), rule(m.right)))
-    loc = [m.edge_location(s) if da == LINE else m.node_location(s) for s in (0, 1)]
-    ina, inb = loc[0] != OUTSIDE, loc[1] != OUTSIDE
-    keep = {"difference": ina & ~inb, "union": ina | inb, "symdifference": ina != inb}[op]
-    return _typed(da, m.lines(keep) if da == LINE else m.points(keep))
+    out, todo = [None] * len(a), []
+    for i, (x, y) in enumerate(zip(a, b)):
+        if x is None or y is None:
+            continue
+        dx, dy = dim(x), dim(y)
+        if op in ("union", "symdifference") and dx != dy and x[1] and y[1]:
+            raise ValueError(f"{op} needs geometries of one dimension")
+        if not x[1] or not y[1]:
+            out[i] = _typed(min(dx, dy), []) if op == "intersection" else x if op == "difference" or not y[1] else y
+        elif op == "difference" and dx > dy:
+            out[i] = x
+        else:
+            todo.append(i)
+    if not todo:
+        return out
+    m = Arrangement([[a[i]] for i in todo], [[b[i]] for i in todo])
+    low = m.dims.min(axis=1)
+    l, r = m.left > 0, m.right > 0
+    rule = {"intersection": lambda p, q: p & q, "difference": lambda p, q: p & ~q, "union": lambda p, q: p | q, "symdifference": lambda p, q: p != q}[op]
+    # a line can be cut by a polygon, so the output dimension is that of the first input for a difference
+    level = m.dims[:, 0] if op == "difference" else low
+    poly = level[m.edge_grp] == POLY
+    found = {POLY: m.polygons(rule(l[:, 0], l[:, 1]) & poly, rule(r[:, 0], r[:, 1]) & poly)}
+    open_ = np.ones(m.groups, bool)
+    open_[list(found[POLY])] = False
+    if op != "intersection":
+        open_ &= level < POLY
+    if open_.any():
+        edge = [m.edge_location(s) != OUTSIDE for s in (0, 1)]
+        found[LINE] = m.lines(rule(*edge) & open_[m.edge_grp] & (level[m.edge_grp] >= LINE))
+        open_[list(found[LINE])] = False
+        if op != "intersection":
+            open_ &= level < LINE
+        if open_.any():
+            node = [m.node_location(s) != OUTSIDE for s in (0, 1)]
+            found[POINT] = m.points(rule(*node) & open_[m.node_grp])
+    for k, i in enumerate(todo):
+        out[i] = next((_typed(d, found[d][k]) for d in (POLY, LINE, POINT) if k in found.get(d, ())), _typed(int(level[k]), []))
+    return out
+
+
+def overlay(a, b, op):
+    return overlay_many([a], [b], op)[0]
+
+
+def union_many(groups):
+    """Union of each list of geometries; every list must be of one dimension."""
+    groups = [[g for g in geoms if g is not None and g[1]] for geoms in groups]
+    for geoms in groups:
+        if len({dim(g) for g in geoms}) > 1:
+            raise ValueError("union needs geometries of one dimension; split the layer by type first")
+    m = Arrangement(groups)
+    d = m.dims[:, 0]
+    e, n = d[m.edge_grp], d[m.node_grp]
+    found = {POLY: m.polygons((m.left[:, 0] > 0) & (e == POLY), (m.right[:, 0] > 0) & (e == POLY)),
+             LINE: m.lines((m.n[:, 0] > 0) & (e == LINE)), POINT: m.points(m.point[:, 0] & (n == POINT))}
+    return [_typed(int(d[k]), found[int(d[k])].get(k, [])) if geoms else ("POLYGON", []) for k, geoms in enumerate(groups)]
 
 
 def union_all(geoms):
-    """Union of many geometries of one dimension."""
-    geoms = [g for g in geoms if g is not None and g[1]]
-    if not geoms:
-        return ("POLYGON", [])
-    dims = {dim(g) for g in geoms}
-    if len(dims) > 1:
-        raise ValueError("union needs geometries of one dimension; split the layer by type first")
-    d = dims.pop()
-    m = Arrangement(geoms)
-    if d == POLY:
-        return _typed(POLY, m.polygons(m.left[:, 0] > 0, m.right[:, 0] > 0))
-    return _typed(d, m.lines(m.n[:, 0] > 0) if d == LINE else m.points(m.point[:, 0]))
+    return union_many([geoms])[0]
 
 
 def union_one(g):
@@ -407,59 +476,96 @@ def union_one(g):
     return g if len(g[1]) == 1 and dim(g) != LINE else union_all([g])
 
 
-def make_valid(g):
+def make_valid_many(geoms):
     """Even-odd repair: an area covered an odd number of times is inside."""
-    if dim(g) != POLY or not g[1]:
-        return g
-    m = Arrangement([g])
-    return _typed(POLY, m.polygons(m.left[:, 0] % 2 == 1, m.right[:, 0] % 2 == 1))
+    out, todo = list(geoms), [i for i, g in enumerate(geoms) if g is not None and g[1] and dim(g) == POLY]
+    if todo:
+        m = Arrangement([[geoms[i]] for i in todo])
+        parts = m.polygons(m.left[:, 0] % 2 == 1, m.right[:, 0] % 2 == 1)
+        for k, i in enumerate(todo):
+            out[i] = _typed(POLY, parts.get(k, []))
+    return out
+
+
+def make_valid(g):
+    return make_valid_many([g])[0]
+
+
+def valid_reason_many(geoms):
+    out, todo = [None] * len(geoms), []
+    for i, g in enumerate(geoms):
+        if g is None:
+            continue
+        rings = [r for p in g[1] for r in p]
+        d = dim(g)
+        if not all(np.isfinite(r).all() for r in rings):
+            out[i] = "Invalid Coordinate"
+        elif d == LINE and any((r == r[0]).all() for r in rings):
+            out[i] = "Too few points in geometry component"
+        elif d < POLY or not rings:
+            out[i] = "Valid Geometry"
+        elif any(len(r) < 4 for r in rings):
+            out[i] = "Too few points in geometry component"
+        elif any((r[0] != r[-1]).any() for r in rings):
+            out[i] = "Ring not closed"
+        else:
+            todo.append(i)
+    if not todo:
+        return out
+    m = Arrangement([[geoms[i]] for i in todo])
+    many = np.bincount(m.edge_grp, weights=(m.n[:, 0] > 1), minlength=m.groups) > 0
+    w_lo, w_hi = np.zeros(m.groups), np.zeros(m.groups)
+    for w in (m.left[:, 0], m.right[:, 0]):
+        np.minimum.at(w_lo, m.edge_grp, w); np.maximum.at(w_hi, m.edge_grp, w)
+    for k, i in enumerate(todo):
+        if many[k] or m.crossings[k]:
+            out[i] = "Self-intersection"
+        elif any(len(np.unique(r[:-1], axis=0)) < len(r) - 1 - int((r[1:] == r[:-1]).all(axis=1).sum()) for p in geoms[i][1] for r in p):
+            out[i] = "Ring Self-intersection"
+        else:
+            out[i] = "Hole lies outside shell" if w_lo[k] < 0 else "Nested shells" if w_hi[k] > 1 else "Valid Geometry"
+    return out
 
 
 def valid_reason(g) -> str:
-    if not all(np.isfinite(r).all() for p in g[1] for r in p):
-        return "Invalid Coordinate"
-    d = dim(g)
-    if d == POINT or not g[1]:
-        return "Valid Geometry"
-    if d == LINE:
-        return "Valid Geometry" if all((r != r[0]).any() for p in g[1] for r in p) else "Too few points in geometry component"
-    for part in g[1]:
-        for r in part:
-            if len(r) < 4:
-                return "Too few points in geometry component"
-            if (r[0] != r[-1]).any():
-                return "Ring not closed"
-    m = Arrangement([g])
-    if (m.n > 1).any():
-        return "Self-intersection"
-    if m.crossings:
-        # a touch of two different rings in one point is fine; inside one ring it is not
-        return "Self-intersection"
-    for part in g[1]:
-        for r in part:
-            if len(np.unique(r[:-1], axis=0)) < len(r) - 1 - int((r[1:] == r[:-1]).all(axis=1).sum()):
-                return "Ring Self-intersection"
-    w = np.concatenate([m.left, m.right])
-    if (w < 0).any():
-        return "Hole lies outside shell"
-    return "Nested shells" if (w > 1).any() else "Valid Geometry"
+    return valid_reason_many([g])[0]
 
 
-def relate(a, b) -> str:
-    """DE-9IM matrix as nine characters."""
-    grid = np.full((3, 3), -1)
-    grid[OUTSIDE, OUTSIDE] = 2
-    if a[1] and b[1]:
-        m = Arrangement([a], [b])
-        np.maximum.at(grid, (m.node_location(0), m.node_location(1)), 0)
-        np.maximum.at(grid, (m.edge_location(0), m.edge_location(1)), 1)
-        for w in (m.left, m.right):
-            np.maximum.at(grid, tuple(np.where((w[:, s] > 0) & (m.dims[s] == POLY), INSIDE, OUTSIDE) for s in (0, 1)), 2)
-    else:
-        for g, at in ((a, (slice(None), OUTSIDE)), (b, (OUTSIDE, slice(None)))):
+def relate_many(a, b):
+    """DE-9IM matrices as nine characters each."""
+    out, todo = [None] * len(a), []
+    for i, (x, y) in enumerate(zip(a, b)):
+        if x is None or y is None:
+            continue
+        if x[1] and y[1]:
+            todo.append(i)
+            continue
+        grid = np.full((3, 3), -1)
+        grid[OUTSIDE, OUTSIDE] = 2
+        for g, at in ((x, (slice(None), OUTSIDE)), (y, (OUTSIDE, slice(None)))):
             if g[1]:
                 grid[at] = (dim(g), {POLY: 1, LINE: 0, POINT: -1}[dim(g)], 2)
-    return "".join("F" if v < 0 else str(v) for v in grid.reshape(-1))
+        out[i] = _matrix(grid)
+    if todo:
+        m = Arrangement([[a[i]] for i in todo], [[b[i]] for i in todo])
+        grid = np.full((m.groups, 3, 3), -1)
+        grid[:, OUTSIDE, OUTSIDE] = 2
+        np.maximum.at(grid, (m.node_grp, m.node_location(0), m.node_location(1)), 0)
+        np.maximum.at(grid, (m.edge_grp, m.edge_location(0), m.edge_location(1)), 1)
+        poly = m.dims[m.edge_grp] == POLY
+        for w in (m.left, m.right):
+            np.maximum.at(grid, (m.edge_grp, *(np.where((w[:, s] > 0) & poly[:, s], INSIDE, OUTSIDE) for s in (0, 1))), 2)
+        for k, i in enumerate(todo):
+            out[i] = _matrix(grid[k])
+    return out
+
+
+def _matrix(grid) -> str:
+    return "".join("F" if v < 0 else str(v) for v in grid.reshape(-1).tolist())
+
+
+def relate(a, b) -> str:
+    return relate_many([a], [b])[0]
 
 
 # ---------------------------------------------------------------- buffer
@@ -499,25 +605,42 @@ def _convex_buffer(ring, d):
     return np.vstack([pts, pts[:1]])
 
 
+def buffer_many(geoms, dists):
+    """Round buffers; a negative distance shrinks polygons."""
+    out, unions, cuts = [None] * len(geoms), {}, {}
+    for i, (g, d) in enumerate(zip(geoms, dists)):
+        if g is None or d is None:
+            continue
+        if not g[1] or (d <= 0 and dim(g) != POLY):
+            out[i] = ("POLYGON", [])
+        elif d == 0:
+            unions[i] = [g]
+        elif dim(g) == POINT:
+            unions[i] = [("POLYGON", [[circle(p, d)]]) for part in g[1] for r in part for p in r]
+        else:
+            chains = _chains(g)
+            if d > 0 and dim(g) == POLY and len(chains) == 1 and _convex(chains[0]):
+                out[i] = ("POLYGON", [[_convex_buffer(chains[0], d)]])
+                continue
+            rim = [("POLYGON", [[_capsule(p, q, abs(d))]]) for c in chains for p, q in zip(c[:-1], c[1:]) if (p != q).any()]
+            rim += [("POLYGON", [[circle(c[0], abs(d))]]) for c in chains if (c == c[0]).all()]
+            unions[i] = rim + ([g] if d > 0 and dim(g) == POLY else [])
+            if d < 0:
+                cuts[i] = g
+    for i, u in zip(unions, union_many(list(unions.values())) if unions else ()):
+        out[i] = u
+    if cuts:
+        for i, u in zip(cuts, overlay_many(list(cuts.values()), [out[i] for i in cuts], "difference")):
+            out[i] = u
+    return out
+
+
 def buffer(g, d):
-    """Round buffer; a negative distance shrinks polygons."""
-    if not g[1] or (d <= 0 and dim(g) != POLY):
-        return ("POLYGON", [])
-    if d == 0:
-        return union_all([g])
-    if dim(g) == POINT:
-        return union_all([("POLYGON", [[circle(p, d)]]) for part in g[1] for r in part for p in r])
-    chains = _chains(g)
-    if d > 0 and dim(g) == POLY and len(chains) == 1 and _convex(chains[0]):
-        return ("POLYGON", [[_convex_buffer(chains[0], d)]])
-    rim = [("POLYGON", [[_capsule(p, q, abs(d))]]) for c in chains for p, q in zip(c[:-1], c[1:]) if (p != q).any()]
-    if d < 0:
-        return overlay(g, union_all(rim), "difference")
-    return union_all(rim + ([g] if dim(g) == POLY else []))
+    return buffer_many([g], [d])[0]
 
 
-def grow_and_shrink(g, d):
-    return buffer(buffer(g, d), -d)
+def grow_and_shrink_many(geoms, dists):
+    return buffer_many(buffer_many(geoms, dists), [None if d is None else -d for d in dists])
 
 
 # ---------------------------------------------------------------- shapes

@@ -10,6 +10,11 @@ from ..layer import LINEAR, PARTS, POLYGONAL, PUNTAL, bbox_of, empty, geometry,
 
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def rings(geom: Column) -> Column:
     return F.flatten(geom["parts"])
 
@@ -103,7 +108,7 @@ def perimeter(geom: Column) -> Column:
 
 
 def _weighted(total: Column) -> Column:
-    return F.when(total["w"] != 0, vertex(total["x"] / total["w"], total["y"] / total["w"]))
+    return let(total, lambda t: F.when(t["w"] != 0, vertex(t["x"] / t["w"], t["y"] / t["w"])))
 
 
 def _acc(w, x, y) -> Column:
@@ -111,22 +116,16 @@ def _acc(w, x, y) -> Column:
 
 
 def _polygon_centroid(geom: Column) -> Column:
-    def part(p):
-        def ring(s, r):
-            m = _ring_moments(r)
-            sign = F.signum(m["a"]) * F.when(s["i"] == 0, 1.0).otherwise(-1.0)
-            w = m["a"] / 2 * sign
-            return F.struct((s["w"] + w).alias("w"), (s["x"] + m["mx"] * sign / 6 + w * r[0]["x"]).alias("x"),
-                            (s["y"] + m["my"] * sign / 6 + w * r[0]["y"]).alias("y"), (s["i"] + 1).alias("i"))
-
-        zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0).alias("i"))
-        return F.aggregate(p, zero, ring)
+    """Rings flattened to (ring, is hole), so each ring's moments are computed once."""
+    flat = F.flatten(F.transform(geom["parts"], lambda p: F.transform(p, lambda r, i: F.struct(r.alias("r"), (i > 0).alias("hole")))))
 
-    def add(s, p):
-        m = part(p)
-        return _acc(s["w"] + m["w"], s["x"] + m["x"], s["y"] + m["y"])
+    def moments(z):
+        r = z["r"]
+        return let(_ring_moments(r), lambda m: let(F.signum(m["a"]) * F.when(z["hole"], -1.0).otherwise(1.0), lambda sign: _acc(
+            m["a"] / 2 * sign, m["mx"] * sign / 6 + m["a"] / 2 * sign * r[0]["x"], m["my"] * sign / 6 + m["a"] / 2 * sign * r[0]["y"])))
 
-    return _weighted(F.aggregate(geom["parts"], _acc(F.lit(0.0), F.lit(0.0), F.lit(0.0)), add))
+    return _weighted(F.aggregate(F.transform(flat, moments), _acc(F.lit(0.0), F.lit(0.0), F.lit(0.0)),
+                                 lambda s, m: _acc(s["w"] + m["w"], s["x"] + m["x"], s["y"] + m["y"])))
 
 
 def _line_centroid(geom: Column) -> Column:
@@ -153,7 +152,7 @@ def centroid(geom: Column) -> Column:
     """Centre of mass as a point: by area, by length or by vertex count."""
     v = (F.when(is_polygonal(geom), _polygon_centroid(geom)).when(is_linear(geom), _line_centroid(geom))
          .otherwise(_point_centroid(geom)))
-    return F.when(v.isNotNull(), geometry("POINT", F.array(F.array(F.array(v)))))
+    return let(v, lambda c: F.when(c.isNotNull(), geometry("POINT", F.array(F.array(F.array(c))))))
 
 
 def envelope(geom: Column) -> Column:
@@ -415,14 +414,31 @@ def expand_box(box: Column, d) -> Column:
 
 
 def _closed(ring: Column) -> Column:
-    return F.concat(ring, F.slice(ring, 1, 1))
+    return let(ring, lambda r: F.concat(r, F.slice(r, 1, 1)))
 
 
 def circle_ring(x: Column, y: Column, d: Column, quad_segs: int = 8) -> Column:
     """Closed counter-clockwise ring with ``4 * quad_segs`` corners."""
     n = 4 * quad_segs
     at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i * (2 * math.pi / n))
-    return _closed(F.transform(at, lambda t: vertex(x + d * F.cos(t), y + d * F.sin(t))))
+    c = F.struct(x.alias("x"), y.alias("y"))
+    return _closed(let(c, lambda c: F.transform(at, lambda t: vertex(c["x"] + d * F.cos(t), c["y"] + d * F.sin(t)))))
+
+
+def capsule_ring(p: Column, q: Column, d: Column, quad_segs: int = 8) -> Column:
+    """Counter-clockwise outline of all points within ``d`` of one segment."""
+    step = math.pi / 2 / quad_segs
+
+    def half(e, turn):
+        return F.transform(F.sequence(F.lit(0), F.lit(2 * quad_segs)), lambda i: vertex(
+            e["c"]["x"] + d * F.cos(e["base"] + turn + i * step), e["c"]["y"] + d * F.sin(e["base"] + turn + i * step)))
+
+    def ends(z):
+        base = F.atan2(z["q"]["y"] - z["p"]["y"], z["q"]["x"] - z["p"]["x"])
+        return F.concat(let(F.struct(z["q"].alias("c"), base.alias("base")), lambda e: half(e, -math.pi / 2)),
+                        let(F.struct(z["p"].alias("c"), base.alias("base")), lambda e: half(e, math.pi / 2)))
+
+    return _closed(let(F.struct(p.alias("p"), q.alias("q")), ends))
 
 
 def rect_buffer_ring(box: Column, d: Column, quad_segs: int = 8) -> Column:
@@ -553,7 +569,10 @@ def geohash(lon: Column, lat: Column, precision: int = 8) -> Column:
 
 def _measured(line: Column) -> Column:
     """Vertices of a line with their distance from the start: array of (x, y, m)."""
-    v = vertices(line)
+    return let(vertices(line), _measured_vertices)
+
+
+def _measured_vertices(v: Column) -> Column:
     zero = F.array(F.struct(v[0]["x"].alias("x"), v[0]["y"].alias("y"), F.lit(0.0).alias("m")))
 
     def step(s, p):
@@ -601,8 +620,8 @@ def line_locate(line: Column, x: Column, y: Column) -> Column:
         return F.struct((s["d"] + size).alias("d"), p["x"].alias("px"), p["y"].alias("py"), F.least(s["best"], away).alias("best"),
                         F.when(near, s["d"] + u * size).otherwise(s["m"]).alias("m"))
 
-    r = F.aggregate(F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), zero, step)
-    return F.when(line["gtype"] == "LINESTRING", F.when(r["d"] > 0, r["m"] / F.when(r["d"] > 0, r["d"]).otherwise(1.0)).otherwise(F.lit(0.0)))
+    r = F.aggregate(F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), zero, step, lambda s: F.when(s["d"] > 0, s["m"] / s["d"]).otherwise(F.lit(0.0)))
+    return F.when(line["gtype"] == "LINESTRING", r)
 
 
 def line_substring(line: Column, start: Column, end: Column) -> Column:

@@ -6,6 +6,8 @@ function."""
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.functions import arrow_udf, udtf
@@ -13,7 +15,7 @@ from pyspark.sql.functions import arrow_udf, udtf
 from ..layer import GEOM, RING
 from . import kernel as K
 from .codec import decode, encode, from_wkb, to_wkb
-from .exact import PATTERNS, pattern_regex
+from .exact import PATTERNS, _each, _filled, _steps, pattern_regex
 
 _V = "flatten(flatten(g.parts))"
 _RING_AREA = ("aggregate(r, named_struct('s', 0D, 'px', r[0].x, 'py', r[0].y), (a, v) -> named_struct('s', a.s + (a.px - r[0].x) * (v.y - r[0].y) "
@@ -58,38 +60,46 @@ INLINE = {
 ALIASES = {"st_cisjoint": "st_disjoint"}
 
 
-def _pairs(fn, t):
+def _pairs(fn_many, t):
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        vals = [None if x is None or y is None else fn(x, y) for x, y in zip(decode(a), decode(b))]
+        vals = _steps(fn_many, decode(a), decode(b))
         return encode(vals) if t is None else pa.array(vals, t)
 
     return run
 
 
-def _ones(fn, t):
+def _ones(fn_many, t):
     def run(a: pa.Array) -> pa.Array:
-        vals = [None if x is None else fn(x) for x in decode(a)]
+        vals = _steps(fn_many, decode(a))
         return encode(vals) if t is None else pa.array(vals, t)
 
     return run
 
 
+def _numbered(fn_many):
+    def run(a: pa.Array, d: pa.Array) -> pa.Array:
+        return encode(_steps(fn_many, decode(a), d.to_pylist()))
+
+    return run
+
+
 def _predicate(name):
-    import re
     tests = [re.compile(pattern_regex(p)) for p in PATTERNS[name]]
-    return lambda a, b: any(t.match(K.relate(a, b)) for t in tests)
+    return lambda a, b: [None if m is None else any(t.match(m) for t in tests) for m in K.relate_many(a, b)]
+
+
+# Patterns of the predicates that depend on the dimensions (first lower, first higher, two lines, else).
+BY_DIMENSION = {"overlaps": (None, None, "1*T***T**", "T*T***T**"), "crosses": ("T*T******", "T*****T**", "0********", None)}
 
 
 def _relation(name):
-    def run(a, b):
-        m, da, db = K.relate(a, b), K.dim(a), K.dim(b)
-        import re
-        if name == "overlaps":
-            return da == db and bool(re.match(pattern_regex("1*T***T**" if da == 1 else "T*T***T**"), m))
-        pattern = "T*T******" if da < db else "T*****T**" if da > db else "0********" if da == 1 else None
+    lower, higher, lines, same = BY_DIMENSION[name]
+
+    def one(m, da, db):
+        pattern = lower if da < db else higher if da > db else lines if da == 1 else same
         return pattern is not None and bool(re.match(pattern_regex(pattern), m))
 
-    return run
+    return lambda a, b: [None if m is None else one(m, K.dim(x), K.dim(y)) for m, x, y in zip(K.relate_many(a, b), a, b)]
 
 
 def register(spark: SparkSession) -> list[str]:
@@ -104,31 +114,25 @@ def register(spark: SparkSession) -> list[str]:
         names.append(name)
 
     for op in ("intersection", "difference", "union", "symdifference"):
-        add("st_" + op, _pairs(lambda a, b, op=op: K.overlay(a, b, op), None), GEOM)
+        add("st_" + op, _pairs(lambda a, b, op=op: K.overlay_many(a, b, op), None), GEOM)
     for p in PATTERNS:
         add("st_" + p, _pairs(_predicate(p), pa.bool_()), "boolean")
     for p in ("overlaps", "crosses"):
         add("st_" + p, _pairs(_relation(p), pa.bool_()), "boolean")
-    add("st_relate", _pairs(K.relate, pa.string()), "string")
-    add("st_distance", _pairs(lambda a, b: K.shortest_line(a, b)[0] if a[1] and b[1] else None, pa.float64()), "double")
-    add("st_hausdorffdistance", _pairs(lambda a, b: K.hausdorff(a, b) if a[1] and b[1] else None, pa.float64()), "double")
-    add("st_maxdistance", _pairs(lambda a, b: K.max_distance(a, b) if a[1] and b[1] else None, pa.float64()), "double")
-    add("st_makevalid", _ones(K.make_valid, None), GEOM)
-    add("st_isvalidreason", _ones(K.valid_reason, pa.string()), "string")
-    add("st_isvalid", _ones(lambda g: K.valid_reason(g) == "Valid Geometry", pa.bool_()), "boolean")
-    add("st_asbinary_xy", _ones(to_wkb, pa.binary()), "binary")
-
-    def buffer(a: pa.Array, d: pa.Array) -> pa.Array:
-        return encode([None if g is None or v is None else K.buffer(g, v) for g, v in zip(decode(a), d.to_pylist())])
-
-    def simplify(a: pa.Array, d: pa.Array) -> pa.Array:
-        return encode([None if g is None or v is None else K.simplify(g, v) for g, v in zip(decode(a), d.to_pylist())])
+    add("st_relate", _pairs(K.relate_many, pa.string()), "string")
+    add("st_distance", _pairs(_each(_filled(lambda a, b: K.shortest_line(a, b)[0])), pa.float64()), "double")
+    add("st_hausdorffdistance", _pairs(_each(_filled(K.hausdorff)), pa.float64()), "double")
+    add("st_maxdistance", _pairs(_each(_filled(K.max_distance)), pa.float64()), "double")
+    add("st_makevalid", _ones(K.make_valid_many, None), GEOM)
+    add("st_isvalidreason", _ones(K.valid_reason_many, pa.string()), "string")
+    add("st_isvalid", _ones(lambda a: [None if r is None else r == "Valid Geometry" for r in K.valid_reason_many(a)], pa.bool_()), "boolean")
+    add("st_asbinary_xy", _ones(_each(to_wkb), pa.binary()), "binary")
 
     def wkb(a: pa.Array) -> pa.Array:
         return encode([from_wkb(b) for b in a.to_pylist()])
 
-    add("st_buffer", buffer, GEOM)
-    add("st_simplify", simplify, GEOM)
+    add("st_buffer", _numbered(K.buffer_many), GEOM)
+    add("st_simplify", _numbered(_each(K.simplify)), GEOM)
     add("st_geomfromwkb_xy", wkb, GEOM)
 
     class Dump:

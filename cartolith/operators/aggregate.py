@@ -23,7 +23,7 @@ def dissolve(df: DataFrame, by: str, geom: str = "geom") -> DataFrame:
     Columns: attributes, key, geom, bbox.  A NULL key is a group of its own."""
     cols = [c for c in attribute_columns(df) if c != by]
     lists = [F.expr(f"listagg(DISTINCT CAST(`{c}` AS STRING), ', ') WITHIN GROUP (ORDER BY CAST(`{c}` AS STRING))").alias(c) for c in cols]
-    shapes = merge_by_key(df, [by], geom, K.union_all, K.union_one)
+    shapes = merge_by_key(df, [by], geom, K.union_many, K.union_one)
     if not cols:
         out = shapes
     else:
@@ -35,12 +35,11 @@ def dissolve(df: DataFrame, by: str, geom: str = "geom") -> DataFrame:
 def union_layer(df: DataFrame, geom: str = "geom") -> DataFrame:
     """One row: the union of a whole layer."""
     one = df.select(F.lit(0).alias("_k"), F.col(geom).alias("geom"))
-    return set_srid(with_bbox(merge_by_key(one, ["_k"], "geom", K.union_all, K.union_one).drop("_k")), srid_of(df, geom))
+    return set_srid(with_bbox(merge_by_key(one, ["_k"], "geom", K.union_many, K.union_one).drop("_k")), srid_of(df, geom))
 
 
-def _hull_merge(geoms):
-    geoms = [g for g in geoms if g is not None and g[1]]
-    return K.hull(np.concatenate([r for g in geoms for p in g[1] for r in p])) if geoms else ("POLYGON", [])
+def _hull_merge(groups):
+    return [K.hull(np.concatenate([r for g in geoms for p in g[1] for r in p])) for geoms in groups]
 
 
 def convex_hull(df: DataFrame, by: list[str] = (), geom: str = "geom") -> DataFrame:

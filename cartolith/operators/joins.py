@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..functions import exact as X, native as N
-from ..functions.kernel import union_all, union_one
+from ..functions.kernel import union_many, union_one
 from ..layer import LINEAR, PARTS, POLYGONAL, PUNTAL, SridError, attribute_columns, empty, ensure_bbox, geometry, set_srid, srid_of, with_bbox
 from ..plans.grid import GridPlan, both_rects, candidate_pairs, spread, tidy
 from ..plans.lookup import salted_lookup
@@ -38,11 +38,16 @@ def _only_points(types) -> bool:
     return tuple(types) == ("POINT",)
 
 
+def _corner(box: Column) -> dict[str, Column]:
+    return {"x": box["xmin"], "y": box["ymin"]}
+
+
 def pair_predicate(name: str, plan: GridPlan, pattern: str | None = None) -> Column:
     """Exact predicate on candidate pairs, native where the geometry types allow."""
     a, b, abox, bbox = F.col("a_geom"), F.col("b_geom"), F.col("a_bbox"), F.col("b_bbox")
     lk, rk = _kind(plan.left.types), _kind(plan.right.types)
-    va, vb = N.vertices(a)[0], N.vertices(b)[0]
+    # a point is its box, and a box is a plain field (lambdas would unpack the geometry at every step)
+    va, vb = _corner(abox), _corner(bbox)
     if name == "relate":
         return X.matches(X.relate(a, b), pattern)
     if _only_points(plan.left.types) and _only_points(plan.right.types):
@@ -131,7 +136,9 @@ def bbox_filter(df: DataFrame, xmin: float, ymin: float, xmax: float, ymax: floa
 
 def _pair_distance(plan: GridPlan) -> Column:
     a, b = F.col("a_geom"), F.col("b_geom")
-    va, vb = N.vertices(a)[0], N.vertices(b)[0]
+    va, vb = _corner(F.col("a_bbox")), _corner(F.col("b_bbox"))
+    if _only_points(plan.left.types) and _only_points(plan.right.types):
+        return N.point_distance(va["x"], va["y"], vb["x"], vb["y"])
     if _only_points(plan.right.types):
         return N.point_to_geometry(a, vb["x"], vb["y"])
     if _only_points(plan.left.types):
@@ -226,7 +233,7 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, a_id: str, b_id: str, cell0: fl
     ac = ac.select(*a.columns, reach.alias("_r"))
     pairs, _ = candidate_pairs(pts.drop("_x", "_y"), ac, grow_b=F.col("_r"))
     # candidate_pairs puts the grown side second: a_ is the neighbour here, b_ the searching row
-    p, q = N.vertices(F.col("b_geom"))[0], N.vertices(F.col("a_geom"))[0]
+    p, q = _corner(F.col("b_bbox")), _corner(F.col("a_bbox"))
     pairs = pairs.withColumn("dist", N.point_distance(p["x"], p["y"], q["x"], q["y"])).where(F.col("dist") <= F.col("b__r"))
     swap = [F.col("b_" + c).alias("a_" + c) for c in a.columns] + [F.col("a_" + c).alias("b_" + c) for c in b.columns]
     pairs = pairs.select(*swap, "dist")
@@ -322,7 +329,7 @@ def difference(a: DataFrame, b: DataFrame, id: str, single: bool = False, drop_e
         pairs, geom = _pair_intersection(pairs, plan)
         cut = (pairs.withColumn("_cut", geom).where(_parts_only(F.col("_cut")) & (N.dimension(F.col("_cut")) >= N.dimension(F.col("a_geom"))))
                .select(F.col("a_" + id).alias(id), F.col("_cut").alias("geom")))
-        cover = merge_by_key(cut, [id], "geom", union_all, union_one).withColumnRenamed("geom", "_cover")
+        cover = merge_by_key(cut, [id], "geom", union_many, union_one).withColumnRenamed("geom", "_cover")
         out = spread(a, plan.left).join(cover, id, "left")
         g, c = F.col("geom"), F.col("_cover")
         gone = F.coalesce(X.is_rect(g, F.col("bbox")) & X.is_rect(c, F.col("bbox")), F.lit(False))   # a rectangle under itself

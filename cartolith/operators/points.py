@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 from ..functions import native as N
 from ..layer import PARTS, ensure_bbox, geometry, make_point, set_srid, srid_of, with_bbox
 from ..plans.grid import candidate_pairs
+from .aggregate import save_step
 from .transform import force_single
 
 
@@ -40,7 +41,7 @@ def generate_points(df: DataFrame, n: int = 1, seed: int = 0, by: tuple[str, ...
         parts = parts.withColumn("_total", total.select("_total").scalar())
     want = n + 10 * math.sqrt(n) + 20
     for _ in range(40):
-        picked = _scatter(parts, by, want)
+        picked = save_step(_scatter(parts, by, want), "points")   # a little over n rows per group
         got = picked.groupBy(*by).agg(F.count(F.lit(1)).alias("c"))
         if by:   # groups without any accepted point count as zero
             got = total.alias("l").join(got.alias("r"), [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in by], "left").select("r.c")
@@ -77,7 +78,7 @@ def _scatter(parts: DataFrame, by: list[str], want: float) -> DataFrame:
     same = F.lit(True)
     for c in by:
         same = same & F.col("a_" + c).eqNullSafe(F.col("b_" + c))
-    covered = pairs.where(same & (N.point_location(F.col("b_geom"), F.col("a__x"), F.col("a__y")) == 1))
+    covered = pairs.where(same & (N.point_location(F.col("b_geom"), F.col("a_bbox.xmin"), F.col("a_bbox.ymin")) == 1))
     first = covered.groupBy(*[F.col("a_" + c).alias(c) for c in by], F.col("a__key").alias("_key"), F.col("a__i").alias("_i"),
                             F.col("a__x").alias("_x"), F.col("a__y").alias("_y")).agg(F.min("b__key").alias("_first"))
     return first.where(F.col("_first") == F.col("_key")).withColumn("_rank", F.xxhash64("_key", "_i"))

@@ -14,7 +14,7 @@ from dataclasses import asdict, dataclass, replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import native as N
-from ..functions.kernel import union_all, union_one
+from ..functions.kernel import union_many, union_one
 from ..layer import ensure_bbox, make_bbox, make_box, make_point, set_srid, srid_of
 from ..plans.grid import candidate_pairs
 from ..plans.reduce import merge_by_key
@@ -274,12 +274,13 @@ def resample(r: DataFrame, scale: float = 100.0, algorithm: str = "NearestNeighb
     src = mosaic(r, overlaps)
     if algorithm == "NearestNeighbor":
         px = src
-        for axis, ratio, size in (("col", rx, out_grid.width), ("row", ry, out_grid.height)):
+        for axis, ratio, size, width in (("col", rx, out_grid.width, g.width), ("row", ry, out_grid.height, g.height)):
             i = F.col(axis)
-            # targets t with floor((t + 0.5) * ratio) = i; one spare on either side, then the exact test
-            lo = F.greatest(F.lit(0).cast("long"), F.floor(i / ratio - 0.5))
+            # targets t with floor((t + 0.5) * ratio) = i (beyond the edge: the last pixel); a spare on either side, then the exact test
+            lo = F.greatest(F.lit(0).cast("long"), F.least(F.floor(i / ratio - 0.5), F.lit(size - 1).cast("long")))
             hi = F.least(F.lit(size - 1).cast("long"), F.ceil((i + 1) / ratio))
-            px = (px.where(lo <= hi).withColumn("_t", F.explode(F.sequence(lo, hi))).where(F.floor((F.col("_t") + 0.5) * ratio) == i)
+            px = (px.where(lo <= hi).withColumn("_t", F.explode(F.sequence(lo, hi)))
+                  .where(F.least(F.floor((F.col("_t") + 0.5) * ratio), F.lit(width - 1).cast("long")) == i)
                   .withColumn(axis, F.col("_t")).drop("_t"))
         out = px
     else:
@@ -373,7 +374,7 @@ def raster_clip(r: DataFrame, mask: DataFrame, keep_outside: bool = False) -> Da
     tiles = set_srid(t.select("rid", make_box(*c).alias("geom"), make_bbox(*c).alias("bbox")), g.srid)
     m = mask.where(N.is_polygonal(F.col("geom")))
     cut = intersection(tiles, m, ["rid"]).where(N.is_polygonal(F.col("geom")))
-    cover = merge_by_key(cut, ["rid"], "geom", union_all, union_one)
+    cover = merge_by_key(cut, ["rid"], "geom", union_many, union_one)
     x, y = g.to_world(F.col("col") + 0.5, F.col("row") + 0.5)
     px = r.join(cover, "rid").withColumn("_in", N.point_location(F.col("geom"), x, y) >= 0).drop("geom")
     if keep_outside:

@@ -24,31 +24,41 @@ ROWS_OUT = 256    # rows per output batch
 class _Tree:
     """Merges like a counter: FAN_IN results of one rank become one of the next."""
 
-    def __init__(self, merge, single):
-        self.merge, self.single, self.ranks = merge, single, []
+    def __init__(self, merge_many):
+        self.merge_many, self.ranks = merge_many, []
 
     def add(self, g, rank=0):
         while len(self.ranks) <= rank:
             self.ranks.append([])
         self.ranks[rank].append(g)
         if len(self.ranks[rank]) >= FAN_IN:
-            merged, self.ranks[rank] = self.merge(self.ranks[rank]), []
+            merged, self.ranks[rank] = self.merge_many([self.ranks[rank]])[0], []
             self.add(merged, rank + 1)
 
-    def result(self):
-        left = [g for r in self.ranks for g in r]
-        if len(left) == 1:
-            return left[0] if len(self.ranks) > 1 else self.single(left[0])
-        return self.merge(left) if left else None
+    def rest(self):
+        """What is left to merge, and whether anything was merged before."""
+        return [g for r in self.ranks for g in r], len(self.ranks) > 1
 
 
-def _merger(merge: Callable, single: Callable, n_keys: int, names: list[str]):
+def _merger(merge_many: Callable, single: Callable, n_keys: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, tree, keys, geoms, schema = None, None, [], [], None
+        key, tree, keys, lists, ready, schema = None, None, [], [], [], None
+
+        def close():
+            left, merged = tree.rest()
+            keys.append(key)
+            done = None if len(left) > 1 else (left[0] if merged else single(left[0])) if left else None
+            ready.append(done)
+            lists.append(left if len(left) > 1 else None)
 
         def flush():
+            open_ = [i for i, l in enumerate(lists) if l is not None]
+            for i, g in zip(open_, merge_many([lists[i] for i in open_]) if open_ else ()):
+                ready[i] = g
             cols = [pa.array([k[i] for k in keys], schema.field(i).type) for i in range(n_keys)]
-            return pa.RecordBatch.from_arrays([*cols, encode(geoms)], names=names)
+            out = pa.RecordBatch.from_arrays([*cols, encode(ready)], names=names)
+            keys.clear(); lists.clear(); ready.clear()
+            return out
 
         for batch in batches:
             schema = batch.schema
@@ -56,15 +66,14 @@ def _merger(merge: Callable, single: Callable, n_keys: int, names: list[str]):
             for k, g in zip(rows, decode(batch.column(n_keys))):
                 if tree is None or k != key:
                     if tree is not None:
-                        keys.append(key); geoms.append(tree.result())
+                        close()
                         if len(keys) >= ROWS_OUT:
                             yield flush()
-                            keys, geoms = [], []
-                    key, tree = k, _Tree(merge, single)
+                    key, tree = k, _Tree(merge_many)
                 if g is not None and g[1]:
                     tree.add(g)
         if tree is not None:
-            keys.append(key); geoms.append(tree.result())
+            close()
             yield flush()
 
     return run
@@ -78,16 +87,16 @@ def _neighbourhood(geom: Column) -> Column:
     return F.when(b.isNotNull(), F.xxhash64(size, F.floor(b["xmin"] / size), F.floor(b["ymin"] / size)))
 
 
-def merge_by_key(df: DataFrame, keys: list[str], geom: str, merge: Callable, single: Callable | None = None) -> DataFrame:
-    """One row per key with ``merge`` over its geometries (NULL and empty ones are skipped).
+def merge_by_key(df: DataFrame, keys: list[str], geom: str, merge_many: Callable, single: Callable | None = None) -> DataFrame:
+    """One row per key with its geometries merged (NULL and empty ones are skipped).
 
-    ``merge`` takes a list of geometries and must be associative; ``single`` is its
-    cheap form for one geometry."""
+    ``merge_many`` takes lists of geometries and returns one geometry per list; it
+    must be associative.  ``single`` is its cheap form for one geometry."""
     work = df.select(*[F.col(f"`{k}`") for k in keys], F.col(geom).alias("geom"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema.fields[:-1]] + [f"geom {GEOM}"])
     names = [*keys, "geom"]
-    first = _merger(merge, single or (lambda g: merge([g])), len(keys), names)
-    again = _merger(merge, lambda g: g, len(keys), names)   # later rounds see merged pieces only
+    first = _merger(merge_many, single or (lambda g: merge_many([[g]])[0]), len(keys), names)
+    again = _merger(merge_many, lambda g: g, len(keys), names)   # later rounds see merged pieces only
     # a fixed number keeps the costly merges spread even when the rows are few
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(f"`{k}`") for k in keys]

@@ -73,12 +73,12 @@ def _weights_sql(weight, reach):
     j AS (SELECT tc, tr, b1 AS v, abs(((tc + 0.5) * 2 - (col + 0.5)) / 2.0::DOUBLE) AS dx, abs(((tr + 0.5) * 2 - (row + 0.5)) / 2.0::DOUBLE) AS dy
         FROM t CROSS JOIN offs a CROSS JOIN offs b JOIN heat ON col = tc * 2 + a.o AND row = tr * 2 + b.o WHERE b1 IS NOT NULL),
     w AS (SELECT tc, tr, v, ({weight.replace('$', 'dx')}) * ({weight.replace('$', 'dy')}) AS w FROM j)
-    SELECT tc AS col, tr AS row, round(sum(w * v) / sum(w), 4) AS value FROM w WHERE w <> 0 GROUP BY 1, 2"""
+    SELECT tc AS col, tr AS row, round(sum(w * v) / sum(w), 9) AS value FROM w WHERE w <> 0 GROUP BY 1, 2"""
 
 
 def _resample(alg):
     def run(spark, sf):
-        return R.resample(fx.heat(spark, sf).where("band = 1"), 2.0, alg).select("col", "row", F.round("value", 4).alias("value"))
+        return R.resample(fx.heat(spark, sf).where("band = 1"), 2.0, alg).select("col", "row", F.round("value", 9).alias("value"))
 
     return run
 
@@ -111,7 +111,7 @@ def raster_reproject(spark, sf):
 
 
 @query("raster_overviews", """SELECT level, tc AS col, tr AS row, b2 AS value FROM (SELECT level, col // level AS tc, row // level AS tr, b2, col, row, h FROM heat, (SELECT unnest([2, 4, 8]) AS level))
-    WHERE col = least((tc * 2 + 1) * level // 2, 99) AND row = (tr * 2 + 1) * level // 2""", "heat")
+    WHERE col = least((tc * 2 + 1) * level // 2, 99) AND row = least((tr * 2 + 1) * level // 2, h - 1)""", "heat")
 def raster_overviews(spark, sf):
     o = R.overviews(fx.heat(spark, sf).where("band = 2"), (2, 4, 8), "NearestNeighbor")
     return o.select("level", "col", "row", "value")

@@ -390,11 +390,11 @@ def tiled_aggregates(spark, sf):
     return A.tiled_aggregates(fx.zones(spark, sf), fx.sites(spark, sf), "zone_id", {"n": F.count(F.lit(1)), "top": F.max("b_c_acctbal")})
 
 
-@query("dense_clusters", """, bins AS (SELECT floor(x / 5)::BIGINT AS bx, floor(y / 5)::BIGINT AS by, count(*) AS n, (floor(x / 5) * 1000 + floor(y / 5))::BIGINT AS id FROM sites GROUP BY 1, 2, 4
+@query("dense_clusters", """, bins AS (SELECT floor(x / 5)::BIGINT AS bx, floor(y / 5)::BIGINT AS gy, count(*) AS n, (floor(x / 5) * 1000 + floor(y / 5))::BIGINT AS id FROM sites GROUP BY 1, 2, 4
         HAVING count(*) >= (SELECT count(*) / 300.0 FROM sites)),
-    reach AS (WITH RECURSIVE r(id, root) AS (SELECT id, id FROM bins UNION SELECT b.id, r.root FROM r JOIN bins a ON a.id = r.id JOIN bins b ON abs(a.bx - b.bx) <= 1 AND abs(a.by - b.by) <= 1)
+    reach AS (WITH RECURSIVE r(id, root) AS (SELECT id, id FROM bins UNION SELECT b.id, r.root FROM r JOIN bins a ON a.id = r.id JOIN bins b ON abs(a.bx - b.bx) <= 1 AND abs(a.gy - b.gy) <= 1)
         SELECT id, min(root) AS c FROM r GROUP BY id)
-    SELECT count(*) AS cells, sum(n)::BIGINT AS n, min(bx) * 5.0::DOUBLE AS xmin, min(by) * 5.0::DOUBLE AS ymin, (max(bx) + 1) * 5.0::DOUBLE AS xmax, (max(by) + 1) * 5.0::DOUBLE AS ymax
+    SELECT count(*) AS cells, sum(n)::BIGINT AS n, min(bx) * 5.0::DOUBLE AS xmin, min(gy) * 5.0::DOUBLE AS ymin, (max(bx) + 1) * 5.0::DOUBLE AS xmax, (max(gy) + 1) * 5.0::DOUBLE AS ymax
     FROM reach JOIN bins USING (id) GROUP BY c""", "sites")
 def dense_clusters(spark, sf):
     s = fx.sites(spark, sf)
