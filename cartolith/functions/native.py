@@ -567,12 +567,8 @@ def geohash(lon: Column, lat: Column, precision: int = 8) -> Column:
 
 # ---------------------------------------------------------------- linear referencing
 
-def _measured(line: Column) -> Column:
-    """Vertices of a line with their distance from the start: array of (x, y, m)."""
-    return let(vertices(line), _measured_vertices)
-
-
 def _measured_vertices(v: Column) -> Column:
+    """Vertices of a line with their distance from the start: array of (x, y, m)."""
     zero = F.array(F.struct(v[0]["x"].alias("x"), v[0]["y"].alias("y"), F.lit(0.0).alias("m")))
 
     def step(s, p):
@@ -584,7 +580,10 @@ def _measured_vertices(v: Column) -> Column:
 
 def _at_measure(line: Column, m: Column, offset=0.0) -> Column:
     """Vertex at a distance along the line, moved ``offset`` to the left."""
-    v = vertices(line)
+    return let(F.struct(vertices(line).alias("v"), m.alias("m")), lambda z: _walk_to(z["v"], z["m"], offset))
+
+
+def _walk_to(v: Column, m: Column, offset) -> Column:
     zero = F.struct(F.lit(0.0).alias("d"), v[0]["x"].alias("px"), v[0]["y"].alias("py"), F.lit(None).cast("struct<x:double,y:double>").alias("o"))
 
     def step(s, p):
@@ -595,8 +594,7 @@ def _at_measure(line: Column, m: Column, offset=0.0) -> Column:
         hit = s["o"].isNull() & (n > 0) & (m <= s["d"] + n)
         return F.struct((s["d"] + n).alias("d"), p["x"].alias("px"), p["y"].alias("py"), F.when(hit, here).otherwise(s["o"]).alias("o"))
 
-    r = F.aggregate(F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), zero, step)
-    return F.coalesce(r["o"], F.element_at(v, -1))
+    return F.coalesce(F.aggregate(F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), zero, step, lambda s: s["o"]), F.element_at(v, -1))
 
 
 def line_interpolate(line: Column, fraction: Column, offset=0.0) -> Column:
@@ -626,8 +624,12 @@ def line_locate(line: Column, x: Column, y: Column) -> Column:
 
 def line_substring(line: Column, start: Column, end: Column) -> Column:
     """Part of a line between two fractions of its length."""
-    total = length(line)
-    a, b = start * total, end * total
-    mid = F.transform(F.filter(_measured(line), lambda p: (p["m"] > a) & (p["m"] < b)), lambda p: vertex(p["x"], p["y"]))
-    pts = F.concat(F.array(_at_measure(line, a)), mid, F.array(_at_measure(line, b)))
+    def cut(z):
+        mid = F.transform(F.filter(_measured_vertices(z["v"]), lambda p: (p["m"] > z["a"]) & (p["m"] < z["b"])), lambda p: vertex(p["x"], p["y"]))
+        return F.concat(F.array(_walk_to(z["v"], z["a"], 0.0)), mid, F.array(_walk_to(z["v"], z["b"], 0.0)))
+
+    def spot(z):
+        return let(F.struct(z["v"].alias("v"), (start * z["n"]).alias("a"), (end * z["n"]).alias("b")), cut)
+
+    pts = let(F.struct(vertices(line).alias("v"), length(line).alias("n")), spot)
     return F.when((line["gtype"] == "LINESTRING") & (start <= end), geometry("LINESTRING", F.array(F.array(pts))))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.scan import last_before, windowed
 
-# Fixed value: stands in for minus infinity, the start of rows that exist before history begins.
-BEGINNING = "0001-01-01 00:00:00"
+# Fixed value: stands in for minus infinity, the start of rows that exist before history begins
+# (a day into year 1, so that no local time zone moves it out of the range of Python dates).
+BEGINNING = "0001-01-02 00:00:00"
 HISTORY_COLUMNS = ("valid_from", "valid_to", "changed_by")
 
 

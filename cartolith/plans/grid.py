@@ -224,7 +224,8 @@ def candidate_pairs(a: DataFrame, b: DataFrame, grow_b=None, ageom: str | None =
     if not plan.left.levels or not plan.right.levels:
         l = a.select(*[F.col(f"`{c}`").alias("a_" + c) for c in a.columns])
         r = b.select(*[F.col(f"`{c}`").alias("b_" + c) for c in b.columns])
-        return l.join(r.where(F.lit(False)), F.lit(False), "inner").where(F.lit(False)), plan
+        none = l.join(r, F.lit(False), "inner")   # one side is empty: no pairs
+        return none.withColumn("a__rect", F.lit(False)).withColumn("b__rect", F.lit(False)), plan
     side = plan.broadcast
     native = (plan.left.points or plan.left.rects) and (plan.right.points or plan.right.rects)
     if not native and side == "right":

@@ -569,9 +569,9 @@ def pair_measures_boxes(spark, sf):
 
 @query("events_on_routes", """SELECT order_id, line_no, round(x1 + (x2 - x1) * 0.25, 6) AS x, round(y1 + (y2 - y1) * 0.25, 6) AS y FROM routes""", "routes")
 def events_on_routes(spark, sf):
-    r = fx.routes(spark, sf).withColumn("route", F.concat_ws("-", "order_id", "line_no"))
+    r = fx.routes(spark, sf).withColumn("route", F.concat_ws("-", "site_id", "depot_id"))
     e = r.select("route", "order_id", "line_no", F.lit(0.25).alias("at"))
-    out = L.locate_events(r.select("route", "geom"), e, "route", "at")
+    out = L.locate_events(r.select("route", "geom").dropDuplicates(["route"]), e, "route", "at")
     return out.select("order_id", "line_no", r6(N.point_x(g())).alias("x"), r6(N.point_y(g())).alias("y"))
 
 
@@ -654,11 +654,11 @@ def spatially_sorted(spark, sf):
     return T.spatial_sort(fx.sites(spark, sf)).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 4).alias("sx"))
 
 
-@query("track_steps", """SELECT event_id, round(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 6) AS step, round(epoch(ts) - epoch(lag(ts) OVER w), 3) AS seconds
+@query("track_steps", """SELECT event_id, round(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 6) AS step, round((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6::DOUBLE, 6) AS seconds
     FROM track_points WINDOW w AS (PARTITION BY user_id ORDER BY ts)""", "track_points")
 def track_steps(spark, sf):
     t = TR.track_steps(fx.track_points(spark, sf), "user_id", "ts")
-    return t.select("event_id", r6("step").alias("step"), F.round("seconds", 3).alias("seconds"))
+    return t.select("event_id", r6("step").alias("step"), F.round("seconds", 6).alias("seconds"))
 
 
 @query("track_lengths", """SELECT user_id, count(*)::INT AS n, round(sum(step), 5) AS length FROM (SELECT user_id, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS step
