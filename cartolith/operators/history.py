@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.scan import last_before, windowed
+from ..plans.scan import block_column, last_before, windowed
 
 # Fixed value: stands in for minus infinity, the start of rows that exist before history begins
 # (a day into year 1, so that no local time zone moves it out of the range of Python dates).
@@ -65,10 +65,11 @@ def apply_changes(h: DataFrame, changes: DataFrame, key: str, op: str = "op", ts
     order = ["_o", "_t", *[f"_s{i}" for i in range(len(seq))]]
     # a version is open before a change when the last insert / base row has not been deleted since
     # (an update keeps what it finds, so only I, B and D decide)
-    log = last_before(log, [key], order, F.when(F.col("_op") != "U", F.col("_op")), "_state")
+    block = block_column(log, order)
+    log = last_before(log, [key], order, F.when(F.col("_op") != "U", F.col("_op")), "_state", block)
     live = log.where(F.col("_op").isin("I", "B") | F.coalesce(F.col("_state").isin("I", "B"), F.lit(False)))
     # every remaining event ends the version before it
-    live = windowed(live, [key], order, {"valid_to": lambda w: F.lead("_t").over(w)}, after=1)
+    live = windowed(live, [key], order, {"valid_to": lambda w: F.lead("_t").over(w)}, after=1, block=block)
     out = live.where(F.col("_op") != "D").select(key, *payload, F.col("_t").alias("valid_from"), "valid_to", "changed_by")
     return with_surrogate(closed.select(out.columns).unionByName(out), key)
 

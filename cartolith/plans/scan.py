@@ -25,7 +25,10 @@ def sort_columns(order: list[str]) -> list[Column]:
 
 
 def block_column(df: DataFrame, order: list[str]) -> Column:
-    """Block number that never falls as the order goes on (ties share a block)."""
+    """Block number that never falls as the order goes on (ties share a block).
+
+    The sample runs ``df`` once; callers with a costly plan take the column from
+    cheaper rows of the same columns and pass it on as ``block``."""
     spec = _spec(order)
     same = all(up == spec[0][1] for _, up in spec)
     cols = [c for c, _ in spec] if same else [spec[0][0]]
@@ -43,10 +46,10 @@ def block_column(df: DataFrame, order: list[str]) -> Column:
     return n if spec[0][1] else -n
 
 
-def ranked(df: DataFrame, by: list[str], order: list[str], *names: str) -> DataFrame:
+def ranked(df: DataFrame, by: list[str], order: list[str], *names: str, block: Column | None = None) -> DataFrame:
     """Add row_number, rank, dense_rank, percent_rank and / or cume_dist per key."""
     names = names or ("row_number",)
-    d = df.withColumn("_block", block_column(df, order))
+    d = df.withColumn("_block", block_column(df, order) if block is None else block)
     sort = sort_columns(order)
     w = Window.partitionBy(*by, "_block").orderBy(*sort)
     d = d.withColumn("_rn", F.row_number().over(w)).withColumn("_rk", F.rank().over(w)).withColumn("_dr", F.dense_rank().over(w))
@@ -85,14 +88,15 @@ def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, str]
     return d.select(*df.columns, *[(F.coalesce(F.col("_o" + n), F.lit(0)) + F.col(n)).alias(n) for n in sums])
 
 
-def windowed(df: DataFrame, by: list[str], order: list[str], columns: dict, before: int = 0, after: int = 0, chunk: int = CHUNK) -> DataFrame:
+def windowed(df: DataFrame, by: list[str], order: list[str], columns: dict, before: int = 0, after: int = 0, chunk: int = CHUNK,
+             block: Column | None = None) -> DataFrame:
     """Lag, lead and moving frames: ``columns`` maps names to ``fn(window) -> Column``.
 
     Rows are numbered per key and cut into chunks; the rows a neighbour chunk needs
     (``before`` / ``after`` of them) are copied there, so frames are complete."""
     if max(before, after) >= chunk:
         raise ValueError("the frame must be shorter than a chunk")
-    d = ranked(df, by, order, "row_number").withColumnRenamed("row_number", "_rn")
+    d = ranked(df, by, order, "row_number", block=block).withColumnRenamed("row_number", "_rn")
     c = F.floor((F.col("_rn") - 1) / chunk)
     at = (F.col("_rn") - 1) % chunk
     copies = [F.struct(c.alias("c"), F.lit(True).alias("own"))]
@@ -106,9 +110,9 @@ def windowed(df: DataFrame, by: list[str], order: list[str], columns: dict, befo
     return d.select(*df.columns, *columns)
 
 
-def last_before(df: DataFrame, by: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+def last_before(df: DataFrame, by: list[str], order: list[str], value: Column, name: str, block: Column | None = None) -> DataFrame:
     """Add the last non-NULL ``value`` of the rows before each row; the order must be unique per key."""
-    d = df.withColumn("_v", value).withColumn("_block", block_column(df, order))
+    d = df.withColumn("_v", value).withColumn("_block", block_column(df, order) if block is None else block)
     w = Window.partitionBy(*by, "_block").orderBy(*sort_columns(order)).rowsBetween(Window.unboundedPreceding, -1)
     key = F.struct(*[F.col(c) for c, _ in _spec(order)])
     pick = F.max_by if _spec(order)[0][1] else F.min_by
