@@ -139,6 +139,10 @@ def _pair_distance(plan: GridPlan) -> Column:
     va, vb = _corner(F.col("a_bbox")), _corner(F.col("b_bbox"))
     if _only_points(plan.left.types) and _only_points(plan.right.types):
         return N.point_distance(va["x"], va["y"], vb["x"], vb["y"])
+    if (plan.left.rects or plan.left.points) and (plan.right.rects or plan.right.points):
+        p, q = F.col("a_bbox"), F.col("b_bbox")   # points and rectangles are their boxes
+        gap = lambda k: F.greatest(F.lit(0.0), p[k + "min"] - q[k + "max"], q[k + "min"] - p[k + "max"])
+        return F.sqrt(gap("x") * gap("x") + gap("y") * gap("y"))
     if _only_points(plan.right.types):
         return N.point_to_geometry(a, vb["x"], vb["y"])
     if _only_points(plan.left.types):
