@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, functions as F
 
-from ..layer import LINEAR, PARTS, POLYGONAL, PUNTAL, bbox_of, empty, geometry, make_bbox, make_box, make_point, vertex
+from ..layer import LINEAR, PARTS, POLYGONAL, PUNTAL, bbox_of, empty, geometry, make_bbox, make_box, vertex
 
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import native as N
-from ..layer import attribute_columns, set_srid, srid_of, with_bbox
+from ..layer import set_srid, srid_of, with_bbox
 
 
 def locate_events(routes: DataFrame, events: DataFrame, route_id: str, at: str, offset: float = 0.0, unit: str = "fraction") -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..functions import native as N
-from ..layer import PARTS, ensure_bbox, geometry, make_point, set_srid, srid_of, with_bbox
+from ..layer import ensure_bbox, geometry, make_point, set_srid, srid_of, with_bbox
 from ..plans.grid import candidate_pairs
 from .aggregate import save_step
 from .transform import force_single

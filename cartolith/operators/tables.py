@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import native as N
-from ..layer import SridError, attribute_columns, ensure_bbox, geometry_columns, is_bbox, is_geometry, set_srid, srid_of, with_bbox
+from ..layer import attribute_columns, ensure_bbox, geometry_columns, is_bbox, is_geometry, set_srid, srid_of, with_bbox
 from ..plans.scan import ranked
 from .transform import force_single, reproject
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import native as N
-from ..layer import set_srid, srid_of
+from ..layer import srid_of
 from ..operators import history as H
 from ..operators.aggregate import checkpoint_dir
 from ..sources import vector as SV

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import exact as X, native as N
-from ..layer import make_box, make_line, make_point, set_srid, vertex, with_bbox
+from ..layer import make_box, set_srid, vertex
 from ..operators import aggregate as A, joins as J, linear as L, points as P, tables as T, topology as TP, tracks as TR, transform as X8
-from ..plans.scan import ranked
 from .registry import query
 
 
