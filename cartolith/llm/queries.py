@@ -5,22 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.llm import bpe, exact_dedup, sharding
+from cartolith.llm import bpe, decontaminate, exact_dedup, language, sharding, toxicity
 from cartolith.llm.common import table
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), *bpe.default_files())
 
 
+def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard(table(spark, sf_dir, "documents"), shards=40)
     return found.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
-QUERIES = {f.__name__: f for f in (op6_byte_bpe, op8_exact_dedup, op10_ring_shards)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op6_byte_bpe, op7_toxicity_chain, op8_exact_dedup, op9_decontamination, op10_ring_shards)}
 ORACLE = {"op8_exact_dedup": exact_dedup.ORACLE}
