@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.llm import bpe, decontaminate, exact_dedup, language, sharding, toxicity
+from cartolith.llm import bpe, decontaminate, exact_dedup, language, licenses, sharding, toxicity
 from cartolith.llm.common import table
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -34,5 +38,5 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op6_byte_bpe, op7_toxicity_chain, op8_exact_dedup, op9_decontamination, op10_ring_shards)}
-ORACLE = {"op8_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op3_language_id, op6_byte_bpe, op7_toxicity_chain, op8_exact_dedup, op9_decontamination, op10_ring_shards)}
+ORACLE = {"op2_license_scan": licenses.oracle(), "op8_exact_dedup": exact_dedup.ORACLE}
