@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.llm import bpe, decontaminate, exact_dedup, language, licenses, repeats, sharding, toxicity
+from cartolith.llm import bpe, decontaminate, exact_dedup, jaccard, language, licenses, repeats, sharding, token_counts, toxicity
 from cartolith.llm.common import table
 
 
@@ -22,6 +22,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_classes(table(spark, sf_dir, "documents"), size=4, percent=85).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.histogram(bpe.counts(table(spark, sf_dir, "documents"), *bpe.default_files()))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), *bpe.default_files())
 
@@ -43,5 +51,5 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
-QUERIES = {f.__name__: f for f in (op1_repeat_removal, op2_license_scan, op3_language_id, op6_byte_bpe, op7_toxicity_chain, op8_exact_dedup, op9_decontamination, op10_ring_shards)}
+QUERIES = {f.__name__: f for f in (op1_repeat_removal, op2_license_scan, op3_language_id, op4_ngram_jaccard, op5_token_counts, op6_byte_bpe, op7_toxicity_chain, op8_exact_dedup, op9_decontamination, op10_ring_shards)}
 ORACLE = {"op2_license_scan": licenses.oracle(), "op8_exact_dedup": exact_dedup.ORACLE}
