@@ -4,6 +4,8 @@ Functions that Spark has under the same name and meaning are not wrapped."""
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
@@ -47,13 +49,23 @@ def julianday(ts: Column) -> Column:
 
 
 # Strftime letters and the matching Spark patterns.
-STRFTIME = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD", "%%": "%"}
+STRFTIME = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD"}
 
 
 def strftime(fmt: str, ts: Column) -> Column:
-    for k, v in STRFTIME.items():
-        fmt = fmt.replace(k, v)
-    return F.date_format(ts, fmt)
+    """Text of a time; what belongs to no code stands for itself, unknown codes are refused."""
+    out, plain = "", ""
+    for piece in [*re.findall(r"%.?|[^%]+", fmt, re.S), None]:
+        if piece is not None and (piece == "%%" or piece[0] != "%"):
+            plain += piece.replace("%%", "%")
+            continue
+        if plain:
+            out, plain = out + "'" + plain.replace("'", "''") + "'", ""
+        if piece is not None:
+            if piece not in STRFTIME:
+                raise ValueError(f"unknown time code {piece!r}")
+            out += STRFTIME[piece]
+    return F.date_format(ts, out)
 
 
 def clamp(lo, x: Column, hi) -> Column:
@@ -84,7 +96,7 @@ def to_text(c: Column) -> Column:
 
 def regexp_match(c: Column, pattern: str) -> Column:
     """1-based place of the first match, 0 when there is none."""
-    return F.when(c.isNotNull(), F.coalesce(F.position(F.regexp_substr(c, F.lit(pattern)), c), F.lit(0)))
+    return F.regexp_instr(c, F.lit(pattern))
 
 
 def age_days(a: Column, b: Column) -> Column:

@@ -51,27 +51,29 @@ def apply_changes(h: DataFrame, changes: DataFrame, key: str, op: str = "op", ts
     the table.  Changes of one key apply in the order of ``ts`` and ``seq``.  An
     insert or update closes the open version at its time and opens a new one; a
     delete closes the open version.  An update or delete of a key without an open
-    version is ignored.  Closed rows pass through untouched, and a key with very many
-    changes is cut into pieces of its timeline."""
+    version is ignored.  Closed rows and open rows of keys without changes pass through
+    unsorted; a key with very many changes is cut into pieces of its timeline."""
     payload = [c for c in h.columns if c not in (*HISTORY_COLUMNS, "version_id", key)]
     who = F.lit(user).cast("string") if user is None or isinstance(user, str) else user
     new = changes.select(F.col(key), *[F.col(c) for c in payload], F.col(op).alias("_op"), F.lit(1).alias("_o"), F.col(ts).cast("timestamp").alias("_t"),
                          *[F.col(c).alias(f"_s{i}") for i, c in enumerate(seq)], who.alias("changed_by"))
     closed = h.where(F.col("valid_to").isNotNull())
+    changed = new.select(F.col(key).alias("_k")).distinct()
+    still = current(h).join(changed, F.col(key).eqNullSafe(F.col("_k")), "left_anti")
     # open versions come before all changes of their key
-    touched = current(h).select(key, *payload, F.lit("B").alias("_op"), F.lit(0).alias("_o"), F.col("valid_from").alias("_t"),
+    touched = current(h).join(changed, F.col(key).eqNullSafe(F.col("_k")), "left_semi").select(key, *payload, F.lit("B").alias("_op"), F.lit(0).alias("_o"), F.col("valid_from").alias("_t"),
                                 *[F.lit(None).cast(changes.schema[c].dataType).alias(f"_s{i}") for i, c in enumerate(seq)], "changed_by")
     log = touched.unionByName(new)
     order = ["_o", "_t", *[f"_s{i}" for i in range(len(seq))]]
     # a version is open before a change when the last insert / base row has not been deleted since
     # (an update keeps what it finds, so only I, B and D decide)
-    block = block_column(log, order)
+    block = block_column(new, [key], order)   # an open version adds one row to a key
     log = last_before(log, [key], order, F.when(F.col("_op") != "U", F.col("_op")), "_state", block)
     live = log.where(F.col("_op").isin("I", "B") | F.coalesce(F.col("_state").isin("I", "B"), F.lit(False)))
     # every remaining event ends the version before it
     live = windowed(live, [key], order, {"valid_to": lambda w: F.lead("_t").over(w)}, after=1, block=block)
     out = live.where(F.col("_op") != "D").select(key, *payload, F.col("_t").alias("valid_from"), "valid_to", "changed_by")
-    return with_surrogate(closed.select(out.columns).unionByName(out), key)
+    return with_surrogate(closed.select(out.columns).unionByName(still.select(out.columns)).unionByName(out), key)
 
 
 def changes_between(h: DataFrame, t1, t2, key: str) -> DataFrame:

@@ -11,11 +11,6 @@ from ..functions import native as N
 from ..layer import attribute_columns, ensure_bbox, geometry_columns, is_bbox, is_geometry, srid_of
 from .aggregate import bad_estimate
 
-# Tables that hold bookkeeping and are not listed.
-HIDDEN_TABLES = ("_ogr_other_metadata", "_ogr_fields_metadata", "_ogr_layers_metadata", "_ogr_layer_relationships")
-HIDDEN_DATABASES = ("information_schema", "pg_catalog", "pg_toast", "topology")
-
-
 def kind_of(schema) -> str:
     names = schema.fieldNames()
     if any(is_geometry(f) for f in schema.fields):
@@ -23,12 +18,12 @@ def kind_of(schema) -> str:
     return "raster" if {"rid", "bands"} <= set(names) or {"rid", "band", "col", "row", "value"} <= set(names) else "table"
 
 
-def catalog(spark: SparkSession, database: str | None = None, rows: bool = False) -> DataFrame:
-    """Tables and views with kind, geometry column, SRID and view flag, by name."""
+def catalog(spark: SparkSession, database: str | None = None, rows: bool = False, hidden: tuple[str, ...] = ()) -> DataFrame:
+    """Tables and views (without the hidden names) with kind, geometry column, SRID and view flag, by name."""
     out = []
     for t in spark.catalog.listTables(database):
         db = t.namespace[0] if t.namespace else None
-        if t.name in HIDDEN_TABLES or db in HIDDEN_DATABASES:
+        if t.name in hidden:
             continue
         df = spark.table(f"`{db}`.`{t.name}`" if db else f"`{t.name}`")
         geoms = geometry_columns(df)
@@ -71,13 +66,13 @@ def describe_layer(df: DataFrame, key: str | None = None, estimated_rows: int |
                 F.array_join(F.sort_array(F.collect_set(g["gtype"])), ",").alias("types"),
                 F.min(b["xmin"]).alias("xmin"), F.min(b["ymin"]).alias("ymin"), F.max(b["xmax"]).alias("xmax"), F.max(b["ymax"]).alias("ymax")]
     if key:
-        out += [F.count(key).alias("_k"), F.approx_count_distinct(key, 0.01).alias("_kd")]
+        out += [F.count(key).alias("_k"), F.count_distinct(key).alias("_kd")]
     res = df.agg(*out)
     warn = []
     if key is None:
         warn.append(F.lit("no key column"))
     else:
-        warn.append(F.when(F.col("_k") < F.col("n_rows"), "the key has NULLs"))
+        warn += [F.when(F.col("_k") < F.col("n_rows"), "the key has NULLs"), F.when(F.col("_kd") < F.col("_k"), "the key repeats")]
     if not geoms:
         warn.append(F.lit("no geometry column"))
     else:

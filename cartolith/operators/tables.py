@@ -46,9 +46,18 @@ def clean_sql(text: str) -> str:
 
 
 def glob(c: Column | str, pattern: str) -> Column:
-    """GLOB operator: * any text, ? one character, [..] a set."""
-    out = "".join({"*": ".*", "?": "."}.get(ch, ch if ch in "[]^-" else re.escape(ch)) for ch in pattern)
-    return (F.col(c) if isinstance(c, str) else c).rlike(f"(?s)^{out}$")
+    """GLOB operator: * any text, ? one character, [..] a set, [^..] all but a set; anything else is itself."""
+    out, i = [], 0
+    while i < len(pattern):
+        inverted = pattern.startswith("[^", i)
+        end = pattern.find("]", i + 2 + inverted) if pattern[i] == "[" else -1
+        if end > 0:
+            out.append(("[^" if inverted else "[") + re.sub(r"([\\\[\]&^])", r"\\\1", pattern[i + 1 + inverted:end]) + "]")
+            i = end
+        else:
+            out.append({"*": ".*", "?": "."}.get(pattern[i], re.escape(pattern[i])))
+        i += 1
+    return (F.col(c) if isinstance(c, str) else c).rlike(f"(?s)^{''.join(out)}$")
 
 
 def quote_literal(c: Column | str) -> Column:
@@ -169,7 +178,8 @@ def with_zkey(df: DataFrame, cell: float, x0: float = 0.0, y0: float = 0.0, name
     b = F.col("bbox")
     cx = F.floor(((b["xmin"] + b["xmax"]) / 2 - x0) / cell)
     cy = F.floor(((b["ymin"] + b["ymax"]) / 2 - y0) / cell)
-    return ensure_bbox(df).withColumn(name, N.morton(F.greatest(cx, F.lit(0)), F.greatest(cy, F.lit(0)), 31))
+    outside = F.raise_error(F.lit("a box centre lies left of or below the grid's origin")).cast("long")
+    return ensure_bbox(df).withColumn(name, F.when((cx < 0) | (cy < 0), outside).otherwise(N.morton(cx, cy, 31)))
 
 
 def spatial_sort(df: DataFrame, partitions: int | None = None, bits: int = 16) -> DataFrame:

@@ -1,18 +1,22 @@
 """Ordered work per key (numbers, ranks, running and moving values) without one task per key.
 
-A plain window puts all rows of a key into one task.  Here the order columns are
-cut into blocks by bounds from a small random sample: the block number rises with
-the order, so results are exact for any bounds.  Windows run per (key, block);
-one row per (key, block) carries totals across blocks.
+A plain window puts all rows of a key into one task, which is right as long as the
+largest key is small.  One count per key tells; beyond ROWS_PER_BLOCK rows the order
+columns are cut into blocks by bounds from a small random sample, as many as the
+largest key needs: the block number rises with the order, so results are exact for any
+bounds.  Windows then run per (key, block); one row per (key, block) carries totals
+across blocks.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BLOCKS = 64          # pieces a key may be cut into
-SAMPLE = 64 * 40     # rows sampled on the driver for the bounds
-CHUNK = 100_000      # rows per chunk of a moving window
+ROWS_PER_BLOCK = 1_000_000
+PER_BOUND = 40       # rows sampled on the driver for each bound
+CHUNK = 100_000      # rows per chunk of a moving window, or twice the frame if that is more
 
 
 def _spec(order: list[str]) -> list[tuple[str, bool]]:
@@ -24,33 +28,51 @@ def sort_columns(order: list[str]) -> list[Column]:
     return [F.col(c).asc() if up else F.col(c).desc() for c, up in _spec(order)]
 
 
-def block_column(df: DataFrame, order: list[str]) -> Column:
-    """Block number that never falls as the order goes on (ties share a block).
+def blocks_needed(df: DataFrame, by: list[str]) -> int:
+    """How many blocks the rows of the largest key ask for."""
+    rows = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    return max(1, math.ceil(rows / ROWS_PER_BLOCK))
+
+
+def block_column(df: DataFrame, by: list[str], order: list[str]) -> Column | bool:
+    """Block number that never falls as the order goes on (ties share a block); False where every key is small.
 
-    The sample runs ``df`` once; callers with a costly plan take the column from
+    Counting and sampling run ``df``; callers with a costly plan take the column from
     cheaper rows of the same columns and pass it on as ``block``."""
+    blocks = blocks_needed(df, by)
+    if blocks == 1:
+        return False
     spec = _spec(order)
     same = all(up == spec[0][1] for _, up in spec)
     cols = [c for c, _ in spec] if same else [spec[0][0]]
     key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)])
-    rows = df.select(*cols).orderBy(F.rand(11)).limit(SAMPLE).collect()   # at most SAMPLE rows, only to place the bounds
+    rows = df.select(*cols).orderBy(F.rand(11)).limit(blocks * PER_BOUND).collect()   # a few rows per block, only to place the bounds
     rows = sorted(tuple(r) for r in rows if all(v is not None for v in r))
-    step = max(1, len(rows) // BLOCKS)
+    step = max(1, len(rows) // blocks)
     bounds = sorted(set(rows[step::step]))
     if not bounds:
         return F.lit(0)
     types = [df.schema[c].dataType for c in cols]
-    lits = F.array(*[F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, types))]) for b in bounds])
-    n = F.size(F.filter(lits, lambda b: b <= key))
+    made = [F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, types))]) for b in bounds]
+    # bounds in groups: first the group, then the place in it
+    wide = math.isqrt(len(made)) + 1
+    groups = [made[i:i + wide] for i in range(0, len(made), wide)]
+    g = F.size(F.filter(F.array(*[x[0] for x in groups]), lambda b: b <= key))
+    n = F.when(g == 0, F.lit(0)).otherwise((g - 1) * wide + F.size(F.filter(F.element_at(F.array(*[F.array(*x) for x in groups]), F.greatest(g, F.lit(1))), lambda b: b <= key)))
     n = F.when(F.col(cols[0]).isNull(), F.lit(0)).otherwise(n)
     return n if spec[0][1] else -n
 
 
-def ranked(df: DataFrame, by: list[str], order: list[str], *names: str, block: Column | None = None) -> DataFrame:
+def ranked(df: DataFrame, by: list[str], order: list[str], *names: str, block: Column | bool | None = None) -> DataFrame:
     """Add row_number, rank, dense_rank, percent_rank and / or cume_dist per key."""
     names = names or ("row_number",)
-    d = df.withColumn("_block", block_column(df, order) if block is None else block)
     sort = sort_columns(order)
+    block = block_column(df, by, order) if block is None else block
+    if block is False:
+        w = Window.partitionBy(*by).orderBy(*sort)
+        plain = {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank, "percent_rank": F.percent_rank, "cume_dist": F.cume_dist}
+        return df.select(*df.columns, *[plain[n]().over(w).alias(n) for n in names])
+    d = df.withColumn("_block", block)
     w = Window.partitionBy(*by, "_block").orderBy(*sort)
     d = d.withColumn("_rn", F.row_number().over(w)).withColumn("_rk", F.rank().over(w)).withColumn("_dr", F.dense_rank().over(w))
     if "cume_dist" in names:
@@ -79,7 +101,11 @@ def _carry(d: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
 
 def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
     """Running totals per key: ``sums`` maps new column to source column; the order must be unique per key."""
-    d = df.withColumn("_block", block_column(df, order))
+    block = block_column(df, by, order)
+    if block is False:
+        w = Window.partitionBy(*by).orderBy(*sort_columns(order)).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select(*df.columns, *[F.sum(s).over(w).alias(n) for n, s in sums.items()])
+    d = df.withColumn("_block", block)
     w = Window.partitionBy(*by, "_block").orderBy(*sort_columns(order)).rowsBetween(Window.unboundedPreceding, 0)
     total = d.groupBy(*by, "_block").agg(*[F.sum(s).alias("_t" + n) for n, s in sums.items()])
     back = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,13 +115,16 @@ def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, str]
 
 
 def windowed(df: DataFrame, by: list[str], order: list[str], columns: dict, before: int = 0, after: int = 0, chunk: int = CHUNK,
-             block: Column | None = None) -> DataFrame:
+             block: Column | bool | None = None) -> DataFrame:
     """Lag, lead and moving frames: ``columns`` maps names to ``fn(window) -> Column``.
 
     Rows are numbered per key and cut into chunks; the rows a neighbour chunk needs
     (``before`` / ``after`` of them) are copied there, so frames are complete."""
-    if max(before, after) >= chunk:
-        raise ValueError("the frame must be shorter than a chunk")
+    block = block_column(df, by, order) if block is None else block
+    if block is False:
+        w = Window.partitionBy(*by).orderBy(*sort_columns(order))
+        return df.select(*df.columns, *[fn(w).alias(n) for n, fn in columns.items()])
+    chunk = max(chunk, 2 * max(before, after))
     d = ranked(df, by, order, "row_number", block=block).withColumnRenamed("row_number", "_rn")
     c = F.floor((F.col("_rn") - 1) / chunk)
     at = (F.col("_rn") - 1) % chunk
@@ -110,9 +139,13 @@ def windowed(df: DataFrame, by: list[str], order: list[str], columns: dict, befo
     return d.select(*df.columns, *columns)
 
 
-def last_before(df: DataFrame, by: list[str], order: list[str], value: Column, name: str, block: Column | None = None) -> DataFrame:
+def last_before(df: DataFrame, by: list[str], order: list[str], value: Column, name: str, block: Column | bool | None = None) -> DataFrame:
     """Add the last non-NULL ``value`` of the rows before each row; the order must be unique per key."""
-    d = df.withColumn("_v", value).withColumn("_block", block_column(df, order) if block is None else block)
+    block = block_column(df, by, order) if block is None else block
+    if block is False:
+        w = Window.partitionBy(*by).orderBy(*sort_columns(order)).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select(*df.columns, F.last(value, ignorenulls=True).over(w).alias(name))
+    d = df.withColumn("_v", value).withColumn("_block", block)
     w = Window.partitionBy(*by, "_block").orderBy(*sort_columns(order)).rowsBetween(Window.unboundedPreceding, -1)
     key = F.struct(*[F.col(c) for c, _ in _spec(order)])
     pick = F.max_by if _spec(order)[0][1] else F.min_by
