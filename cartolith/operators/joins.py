@@ -95,17 +95,21 @@ def spatial_join(a: DataFrame, b: DataFrame, predicate: str = "intersects", how:
 
 
 def finish_join(a: DataFrame, b: DataFrame, pairs: DataFrame, how: str, id: str | None) -> DataFrame:
+    """Rows of ``a`` that have a pair are known by their key and their content, so a NULL or repeated key neither hides a row nor doubles it."""
     pairs = tidy(pairs)
     if how == "inner":
         return pairs
     if id is None:
         raise ValueError(f"how={how!r} needs the key column of the first layer")
-    hit = pairs.select(F.col("a_" + id).alias(id)).distinct()
+    plain = [c for c in a.columns if a.schema[c].dataType.typeName() not in ("map", "variant")]
+    mark = lambda prefix: F.struct(*[F.xxhash64(F.lit(seed), *[F.col(f"`{prefix}{c}`") for c in plain]).alias(f"h{seed}") for seed in (1, 2)])
+    hit = pairs.select(F.col(f"`a_{id}`").alias("_hit_id"), mark("a_").alias("_hit")).distinct()
+    same = F.col(f"`{id}`").eqNullSafe(F.col("_hit_id")) & (mark("") == F.col("_hit"))
     if how in ("semi", "anti"):
-        return a.join(hit, id, "left_" + how)
+        return a.join(hit, same, "left_" + how)
     if how != "left":
         raise ValueError(f"unknown how {how!r}")
-    rest = a.join(hit, id, "left_anti").select(*[F.col(f"`{c}`").alias("a_" + c) for c in a.columns])
+    rest = a.join(hit, same, "left_anti").select(*[F.col(f"`{c}`").alias("a_" + c) for c in a.columns])
     return pairs.unionByName(rest, allowMissingColumns=True)
 
 
@@ -191,19 +195,21 @@ def distance_band_join(a: DataFrame, points: DataFrame, max_d: float, min_d: flo
 
 
 def knn_join(a: DataFrame, b: DataFrame, k: int, a_id: str, b_id: str, cell0: float | None = None) -> DataFrame:
-    """The ``k`` nearest points of ``b`` for every point of ``a``; ties by ``b_id``.
+    """The ``k`` nearest features of ``b`` for every feature of ``a``; ties by ``b_id``.
 
-    The search radius of a row comes from counts of ``b`` on a ladder of grids:
-    the finest cell around the row that holds k points bounds the k-th distance
-    by its diagonal.  So dense places search small circles and empty places large
-    ones.  Of points at one place only the k smallest keys can be results, so
+    The search radius of a row comes from counts of one vertex per feature of ``b``
+    on a ladder of grids: the finest cell around a vertex of the row that holds k of
+    them bounds the k-th distance by its diagonal.  So dense places search small
+    circles and empty places large ones; boxes within the radius are then measured
+    exactly.  Of points at one place only the k smallest keys can be results, so
     copies are cut to k before the search (this changes no result)."""
     a, b = align(a, b)
     a, b = ensure_bbox(a), ensure_bbox(b)
-    place = Window.partitionBy("_x", "_y").orderBy(b_id)
-    bb = F.col("bbox")
-    pts = (b.where(bb.isNotNull()).withColumn("_x", bb["xmin"]).withColumn("_y", bb["ymin"])
-           .withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= k).drop("_n"))
+    shape = F.when(F.col("geom")["gtype"] != "POINT", F.col(b_id))   # only points at one place are copies of each other
+    place = Window.partitionBy("_x", "_y", "_shape").orderBy(b_id)
+    bb, one = F.col("bbox"), F.get(F.get(F.get(F.col("geom")["parts"], F.lit(0)), F.lit(0)), F.lit(0))   # a vertex stands for its feature
+    pts = (b.where(bb.isNotNull()).withColumn("_x", one["x"]).withColumn("_y", one["y"]).withColumn("_shape", shape)
+           .withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= k).drop("_n", "_shape"))
     box = lambda d: (F.min(d["bbox"]["xmin"]), F.min(d["bbox"]["ymin"]), F.max(d["bbox"]["xmax"]), F.max(d["bbox"]["ymax"]))
     e = b.agg(F.count(bb["xmin"]).alias("n"), *[c.alias(n) for c, n in zip(box(b), "pqrs")]).first()
     f = a.agg(*[c.alias(n) for c, n in zip(box(a), "pqrs")]).first()
@@ -215,7 +221,7 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, a_id: str, b_id: str, cell0: fl
     extent = max(e["r"] - x0, e["s"] - y0, f["r"] - x0, f["s"] - y0, 1e-9) * 1.0000001
     # about k points per cell on average over the extent, then on to places a million times denser
     top = math.ceil(math.log2(max(math.sqrt(e["n"] / k), 2))) + 10
-    levels = list(range(0, min(top, 26) + 1, 2))
+    levels = list(range(0, min(top, 30) + 1, 2))   # cell numbers stay below 2^31; beyond, doubles of such an extent differ by little more
 
     def cell(level, x, y):
         size = extent / 2 ** level
@@ -223,22 +229,21 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, a_id: str, b_id: str, cell0: fl
 
     finest = levels[-1]
     counts = pts.groupBy(*cell(finest, F.col("_x"), F.col("_y"))).agg(F.count(F.lit(1)).alias("n"))
-    homes = a.where(bb.isNotNull()).select(*cell(finest, bb["xmin"], bb["ymin"])).distinct()
+    homes = a.where(bb.isNotNull()).select(*cell(finest, one["x"], one["y"])).distinct()
     ladder = counts.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels])))
     full = (ladder.groupBy("level", F.expr(f"shiftright(cx, {finest} - level)").alias("ux"), F.expr(f"shiftright(cy, {finest} - level)").alias("uy"))
             .agg(F.sum("n").alias("n")).where(F.col("n") >= min(k, e["n"]))).select("level", "ux", "uy")
     asked = (homes.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels])))
              .withColumn("ux", F.expr(f"shiftright(cx, {finest} - level)")).withColumn("uy", F.expr(f"shiftright(cy, {finest} - level)")))
     radius = asked.join(full, ["level", "ux", "uy"]).groupBy("cx", "cy").agg(F.max("level").alias("level"))
-    cx, cy = cell(finest, bb["xmin"], bb["ymin"])
+    cx, cy = cell(finest, one["x"], one["y"])
     ac = a.where(bb.isNotNull()).withColumn("_cx", cx).withColumn("_cy", cy)
     ac = salted_lookup(ac, radius.select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.col("level").alias("_level")), ["_cx", "_cy"], [a_id], "left")
     reach = F.coalesce(extent / F.pow(F.lit(2.0), F.col("_level")), F.lit(extent)) * (math.sqrt(2) * (1 + 1e-9))
     ac = ac.select(*a.columns, reach.alias("_r"))
-    pairs, _ = candidate_pairs(pts.drop("_x", "_y"), ac, grow_b=F.col("_r"))
+    pairs, plan = candidate_pairs(pts.drop("_x", "_y"), ac, grow_b=F.col("_r"))
     # candidate_pairs puts the grown side second: a_ is the neighbour here, b_ the searching row
-    p, q = _corner(F.col("b_bbox")), _corner(F.col("a_bbox"))
-    pairs = pairs.withColumn("dist", N.point_distance(p["x"], p["y"], q["x"], q["y"])).where(F.col("dist") <= F.col("b__r"))
+    pairs = pairs.withColumn("dist", _pair_distance(plan)).where(F.col("dist") <= F.col("b__r"))
     swap = [F.col("b_" + c).alias("a_" + c) for c in a.columns] + [F.col("a_" + c).alias("b_" + c) for c in b.columns]
     pairs = pairs.select(*swap, "dist")
     w = Window.partitionBy("a_" + a_id).orderBy("dist", "b_" + b_id)

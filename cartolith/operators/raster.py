@@ -109,14 +109,19 @@ def must_tile(grid: Grid, bands: int, bytes_per_value: int = 8) -> bool:
 
 
 def to_tiles(r: DataFrame) -> DataFrame:
-    """Tile form: one row per tile, one array of values per band in row-major order."""
+    """Tile form: one row per tile, one array of values per band in row-major order; pixels that a tile's rectangle lacks are NULL in their place."""
     g = grid_of(r)
-    order = F.array_sort(F.collect_list(F.struct("row", "col", "value")))
-    bands = r.groupBy("rid", "band").agg(order.alias("v"), F.min("col").alias("tx"), F.min("row").alias("ty"),
-                                         (F.max("col") - F.min("col") + 1).alias("width"), (F.max("row") - F.min("row") + 1).alias("height"))
-    bands = bands.withColumn("v", F.transform("v", lambda p: p["value"]))
-    t = bands.groupBy("rid").agg(F.min("tx").alias("tx"), F.min("ty").alias("ty"), F.max("width").alias("width"), F.max("height").alias("height"),
-                                 F.transform(F.array_sort(F.collect_list(F.struct("band", "v"))), lambda b: b["v"]).alias("bands"))
+    boxes = r.groupBy(F.col("rid").alias("_rid")).agg(F.min("col").alias("tx"), F.min("row").alias("ty"), (F.max("col") - F.min("col") + 1).alias("width"),
+                                                      (F.max("row") - F.min("row") + 1).alias("height"), F.max("band").alias("n_bands"))
+    bands = r.groupBy("rid", "band").agg(F.collect_list(F.struct("row", "col", "value")).alias("px"))
+    bands = bands.join(boxes, F.col("rid") == F.col("_rid"))
+    size = F.col("width") * F.col("height")
+    own = F.transform("px", lambda p: F.struct(((p["row"] - F.col("ty")) * F.col("width") + p["col"] - F.col("tx")).cast("int").alias("at"), p["value"].alias("value")))
+    gaps = F.array_except(F.sequence(F.lit(0), size.cast("int") - 1), F.transform("own", lambda p: p["at"]))
+    full = F.when(F.size("own") == size, F.col("own")).otherwise(F.concat("own", F.transform(gaps, lambda i: F.struct(i.alias("at"), F.lit(None).cast("double").alias("value")))))
+    bands = bands.withColumn("own", own).withColumn("v", F.transform(F.array_sort(full), lambda p: p["value"]))
+    t = bands.groupBy("rid", "tx", "ty", "width", "height", "n_bands").agg(F.collect_list(F.struct("band", "v")).alias("each"))
+    t = t.withColumn("bands", F.transform(F.sequence(F.lit(1), F.col("n_bands").cast("int")), lambda i: F.get(F.transform(F.filter("each", lambda b: b["band"] == i), lambda b: b["v"]), F.lit(0))))
     x, y = g.to_world(F.col("tx"), F.col("ty"))
     t = t.select("rid", "tx", "ty", x.alias("ulx"), y.alias("uly"), F.lit(g.sx).alias("sx"), F.lit(g.sy).alias("sy"), "width", "height",
                  F.lit(g.srid).cast("int").alias("srid"), "bands")
@@ -141,19 +146,19 @@ def raster_summary(r: DataFrame, band: int = 1, overlaps: bool | None = None) ->
         F.min(v).alias("min"), F.max(v).alias("max"), (F.max(v) - F.min(v)).alias("range"))
 
 
-def value_count(r: DataFrame, band: int = 1) -> DataFrame:
-    return r.where((F.col("band") == band) & F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+def value_count(r: DataFrame, band: int = 1, overlaps: bool | None = None) -> DataFrame:
+    return mosaic(r.where(F.col("band") == band), overlaps).where(F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def histogram(r: DataFrame, band: int = 1, bins: int = 10, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
+def histogram(r: DataFrame, band: int = 1, bins: int = 10, lo: float = 0.0, hi: float = 1.0, overlaps: bool | None = None) -> DataFrame:
     """Counts in equal bins of [lo, hi]; the top edge belongs to the last bin."""
     b = F.when(F.col("value") == hi, F.lit(bins)).otherwise(F.width_bucket("value", F.lit(float(lo)), F.lit(float(hi)), F.lit(bins)))
-    return r.where((F.col("band") == band) & F.col("value").between(lo, hi)).groupBy(b.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return mosaic(r.where(F.col("band") == band), overlaps).where(F.col("value").between(lo, hi)).groupBy(b.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def quantiles(r: DataFrame, band: int = 1, qs: tuple = (0.0, 0.25, 0.5, 0.75, 1.0), accuracy: int | None = None) -> DataFrame:
+def quantiles(r: DataFrame, band: int = 1, qs: tuple = (0.0, 0.25, 0.5, 0.75, 1.0), accuracy: int | None = None, overlaps: bool | None = None) -> DataFrame:
     """Quantiles of a band: exact (grouped by value, so memory follows the distinct values) or sketched."""
-    v = r.where((F.col("band") == band) & F.col("value").isNotNull())
+    v = mosaic(r.where(F.col("band") == band), overlaps).where(F.col("value").isNotNull())
     if accuracy:
         p = F.percentile_approx("value", F.array(*[F.lit(float(q)) for q in qs]), F.lit(accuracy))
     else:
@@ -170,30 +175,30 @@ def pixel_centers(r: DataFrame) -> DataFrame:
     return set_srid(r.withColumn("geom", make_point(x, y)).withColumn("bbox", make_bbox(x, y, x, y)), g.srid)
 
 
-def pixel_polygons(r: DataFrame, band: int = 1) -> DataFrame:
+def pixel_polygons(r: DataFrame, band: int = 1, overlaps: bool | None = None) -> DataFrame:
     """Box layer of the pixels of one band that hold data."""
     g = grid_of(r)
     x0, y0 = g.to_world(F.col("col"), F.col("row"))
     x1, y1 = g.to_world(F.col("col") + 1, F.col("row") + 1)
     c = (F.least(x0, x1), F.least(y0, y1), F.greatest(x0, x1), F.greatest(y0, y1))
-    px = r.where((F.col("band") == band) & F.col("value").isNotNull())
+    px = mosaic(r.where(F.col("band") == band), overlaps).where(F.col("value").isNotNull())
     return set_srid(px.withColumn("geom", make_box(*c)).withColumn("bbox", make_bbox(*c)), g.srid)
 
 
-def values_at(r: DataFrame, points: DataFrame, band: int = 1) -> DataFrame:
-    """Value of the pixel under each point (NULL outside); an equi-join on the pixel."""
+def values_at(r: DataFrame, points: DataFrame, band: int = 1, overlaps: bool | None = None) -> DataFrame:
+    """Value of the pixel under each point (NULL outside; the highest ``rid`` with data wins); an equi-join on the pixel."""
     g = grid_of(r)
     p = ensure_bbox(points)
     c, w = g.to_pixel(F.col("bbox.xmin"), F.col("bbox.ymin"))
     p = p.withColumn("col", F.floor(c).cast("int")).withColumn("row", F.floor(w).cast("int"))
-    px = mosaic(r.where(F.col("band") == band), False).select("col", "row", "value")
+    px = mosaic(r.where(F.col("band") == band), overlaps).select("col", "row", "value")
     return p.join(px, ["col", "row"], "left")
 
 
-def zonal_stats(r: DataFrame, zones: DataFrame, zone_id: str, band: int = 1) -> DataFrame:
+def zonal_stats(r: DataFrame, zones: DataFrame, zone_id: str, band: int = 1, overlaps: bool | None = None) -> DataFrame:
     """Statistics of the pixels whose centre lies in each zone (border included)."""
     from .joins import spatial_join
-    px = pixel_centers(r.where((F.col("band") == band) & F.col("value").isNotNull())).select("value", "geom", "bbox")
+    px = pixel_centers(mosaic(r.where(F.col("band") == band), overlaps).where(F.col("value").isNotNull())).select("value", "geom", "bbox")
     pairs = spatial_join(px, zones.select(zone_id, "geom", *(["bbox"] if "bbox" in zones.columns else [])), "coveredby")
     v = F.col("a_value")
     return pairs.groupBy(F.col("b_" + zone_id).alias(zone_id)).agg(
@@ -487,16 +492,25 @@ def focal(r: DataFrame, kind: str, radius: int = 1, band: int = 1, overlaps: boo
             res = F.coalesce(own, F.try_divide(F.sum(w * v), F.sum(w)))
         out = px.groupBy("col", "row").agg(res.alias("value"), F.max(F.when((F.col("_d") == 0), F.col("rid"))).alias("rid"))
     else:
+        # q is the sum of squared differences from the mean; parts are merged by their counts, sums and q, so nothing cancels for large values
         part = src.select("col", "row", "rid", v.isNotNull().cast("long").alias("n"), F.coalesce(v, F.lit(0.0)).alias("s"),
-                          F.coalesce(v * v, F.lit(0.0)).alias("q"), v.alias("lo"), v.alias("hi"))
+                          F.lit(0.0).alias("q"), v.alias("lo"), v.alias("hi"))
+        def merged(x, y):
+            n = x["n"] + y["n"]
+            d = F.try_divide(x["s"], x["n"]) - F.try_divide(y["s"], y["n"])
+            q = x["q"] + y["q"] + F.coalesce(F.try_divide(d * d * x["n"] * y["n"], n), F.lit(0.0))
+            return F.struct(n.alias("n"), (x["s"] + y["s"]).alias("s"), q.alias("q"))
+
+        none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
         for axis, size, other in (("col", g.width, "row"), ("row", g.height, "col")):
+            q = F.aggregate(F.collect_list(F.struct("n", "s", "q")), none, merged)["q"] if kind == "stddev" else F.lit(0.0)   # 2 radius + 1 parts
             part = shift(part, axis, size).groupBy(axis, other).agg(
-                F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+                F.sum("n").alias("n"), F.sum("s").alias("s"), q.alias("q"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
                 F.max(F.when(F.col("_d") == 0, F.col("rid"))).alias("rid"))
         n = F.nullif(F.col("n"), F.lit(0))
         mean = F.col("s") / n
         res = {"count": F.col("n").cast("double"), "sum": F.when(n.isNotNull(), F.col("s")), "mean": mean,
-               "stddev": F.sqrt(F.greatest(F.lit(0.0), F.col("q") / n - mean * mean)), "min": F.col("lo"), "max": F.col("hi"),
+               "stddev": F.sqrt(F.col("q") / n), "min": F.col("lo"), "max": F.col("hi"),
                "range": F.col("hi") - F.col("lo")}[kind]
         out = part.withColumn("value", res)
     return _like(out.withColumn("band", F.lit(1)).withColumn("rid", F.coalesce("rid", F.lit(0))), g)
