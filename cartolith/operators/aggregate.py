@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import kernel as K, native as N
 from ..layer import attribute_columns, ensure_bbox, geometry, make_line, set_srid, srid_of, vertex, with_bbox
-from ..plans.lookup import salted_lookup
+from ..plans.lookup import key_lookup
 from ..plans.reduce import merge_by_key
 
 
@@ -149,11 +150,14 @@ def tiled_aggregates(zones: DataFrame, df: DataFrame, zone_id: str, aggs: dict[s
 
 
 def checkpoint_dir(spark) -> str:
-    """Shared folder for cut lineage: the one the cluster names, else one next to the warehouse (local tests)."""
+    """Shared folder for cut lineage: the one the cluster names; a local session may do without and gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="run-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
 
 
 def save_step(df: DataFrame, name: str) -> DataFrame:
@@ -161,10 +165,12 @@ def save_step(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)   # steps go with the session
     return spark.read.schema(df.schema).parquet(path)
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Smallest node id of the component of every node; ``edges(u, v)``, ``nodes(id)``.
 
     Alternating large-star and small-star steps: work per round is linear in the
@@ -173,21 +179,19 @@ def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 6
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     e = save_step(e, "components")
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: neighbours above u go to the minimum of u
-        big = salted_lookup(both.where("v > u"), low, ["u"], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        big = key_lookup(both.where("v > u"), low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: neighbours below u go to the smallest of them
         low2 = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted_lookup(big, low2, ["u"], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = key_lookup(big, low2, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = save_step(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct(), "components")
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     return nodes.join(e.groupBy("u").agg(F.min("v").alias("component")), nodes["id"] == F.col("u"), "left").select(
         "id", F.coalesce("component", "id").alias("component"))
 

@@ -26,8 +26,8 @@ def generate_points(df: DataFrame, n: int = 1, seed: int = 0, by: tuple[str, ...
     point, so the union is covered evenly.  Then the n smallest hash values win.
     When heavy overlap leaves too few points the density goes up and the same plan
     runs again.  The result is a function of the layer, n and seed."""
-    if not 1 <= n <= 99999:
-        raise ValueError("the number of points must be between 1 and 99999")
+    if n < 1:
+        raise ValueError("the number of points must be 1 or more")
     by = list(by)
     srid = srid_of(df)
     polys = df.where(N.is_polygonal(F.col("geom"))).select(*by, "geom")
@@ -51,6 +51,8 @@ def generate_points(df: DataFrame, n: int = 1, seed: int = 0, by: tuple[str, ...
         if not by and total.first()["_total"] is None:
             break
         want *= max(2.0, 1.3 * n / low) if low else 4.0
+    else:
+        raise RuntimeError("some polygons are too small for points to fall inside")
     if by:
         w = Window.partitionBy(*by).orderBy("_rank")
         picked = picked.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= n)
@@ -58,7 +60,7 @@ def generate_points(df: DataFrame, n: int = 1, seed: int = 0, by: tuple[str, ...
         picked = picked.orderBy("_rank").limit(n)
     if not multipoint:
         return set_srid(with_bbox(picked.select(*by, make_point("_x", "_y").alias("geom"))), srid)
-    # at most n (<= 99999) points per group
+    # at most n points per group
     pts = F.array_sort(F.collect_list(F.struct(F.col("_rank"), F.col("_x"), F.col("_y"))))
     geom = geometry("MULTIPOINT", F.transform(F.col("_p"), lambda p: F.array(F.array(F.struct(p["_x"].alias("x"), p["_y"].alias("y"))))))
     return set_srid(with_bbox(picked.groupBy(*by).agg(pts.alias("_p")).select(*by, geom.alias("geom"))), srid)

@@ -309,19 +309,17 @@ def resample(r: DataFrame, scale: float = 100.0, algorithm: str = "NearestNeighb
 
 
 def overviews(r: DataFrame, levels: tuple[int, ...] = OVERVIEW_LEVELS, algorithm: str = "Lanczos", overlaps: bool | None = None) -> DataFrame:
-    """Pyramid: one reduced raster per level, told apart by ``level`` (store it partitioned by level).
+    """Pyramid: one reduced raster per level asked for (a pixel at least), told apart by ``level`` (store it partitioned by level).
 
     The grid in the metadata is that of the full raster; a level's pixel size is ``level`` times as large."""
     g = grid_of(r)
     base = mosaic(r, overlaps)
     out = None
     for level in levels:
-        if max(g.width, g.height) < level:
-            continue
         one = resample(base, abs(g.sx) * level, algorithm, overlaps=False).withColumn("level", F.lit(int(level)))
         out = one if out is None else out.unionByName(one)
     if out is None:
-        raise ValueError("the raster is smaller than the first level")
+        raise ValueError("no level is asked for")
     return _like(out, g, ("level",))
 
 

@@ -171,6 +171,14 @@ def set_operation(a: DataFrame, b: DataFrame, kind: str, keep_all: bool = False)
     return ops[kind, keep_all]()
 
 
+def not_in(df: DataFrame, column: str, values: DataFrame, value: str) -> DataFrame:
+    """Rows whose value is not in the list, as SQL has it: a NULL in the list leaves no row, a NULL value stays only if the list is empty."""
+    facts = values.agg(F.count(F.lit(1)).alias("n"), F.count(value).alias("k"))
+    n, k = facts.select("n").scalar(), facts.select("k").scalar()
+    listed = values.select(F.col(value).alias("_listed")).where(F.col("_listed").isNotNull()).distinct()
+    return df.join(listed, F.col(column) == F.col("_listed"), "left_anti").where((n == 0) | ((n == k) & F.col(column).isNotNull()))
+
+
 # ---------------------------------------------------------------- storage order
 
 def with_zkey(df: DataFrame, cell: float, x0: float = 0.0, y0: float = 0.0, name: str = "z") -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark.sql.functions import arrow_udf
 
 from ..functions import exact as X, kernel as K, native as N
 from ..functions.codec import decode, encode
-from ..layer import GEOM, geometry, set_srid, srid_of, with_bbox
+from ..layer import GEOM, geometry, make_point, set_srid, srid_of, with_bbox
 from .aggregate import connected_components, save_step
+from .joins import spatial_join
 
 
 @lru_cache(None)
@@ -97,7 +98,9 @@ def polygonize(lines: DataFrame) -> DataFrame:
 
     Every segment becomes two half edges; the next half edge around the face on the
     left is the clockwise neighbour at its end node.  Cycles of that relation are
-    connected components, and each component is one ring."""
+    connected components, and each component is one ring.  A ring that runs clockwise
+    is the outline of a connected piece of line work; it is cut out of the smallest
+    face around it."""
     s = _segments(lines)
     half = s.unionByName(s.select(F.col("x2").alias("x1"), F.col("y2").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2")))
     half = save_step(half.withColumn("id", F.xxhash64("x1", "y1", "x2", "y2")), "half-edges")
@@ -110,8 +113,18 @@ def polygonize(lines: DataFrame) -> DataFrame:
     comp = connected_components(step, half.select("id"))
     ring = half.join(comp, "id")
     rings = _gather(ring, ["component"], _segment_parts())
-    faces = rings.withColumn("geom", _assemble()(F.col("geom"))).where(F.size(F.col("geom")["parts"]) > 0)
-    return set_srid(with_bbox(faces.select(F.col("component").alias("face_id"), "geom")), srid_of(lines))
+    rings = save_step(rings.select("component", _assemble()(F.col("geom")).alias("geom"), _assemble()(N.reverse(F.col("geom"))).alias("outline")), "rings")
+    faces = with_bbox(rings.where(F.size(F.col("geom")["parts"]) > 0).select(F.col("component").alias("face_id"), "geom"))
+    islands = rings.where((F.size(F.col("geom")["parts"]) == 0) & (F.size(F.col("outline")["parts"]) > 0))
+    ring = F.get(F.get(F.col("outline")["parts"], F.lit(0)), F.lit(0))
+    first = F.get(ring, F.lit(0))
+    spots = islands.select("component", F.reverse(ring).alias("hole"), make_point(first["x"], first["y"]).alias("geom"))
+    around = spatial_join(with_bbox(spots), faces, "within")   # an outline meets no face that is not its own, so any vertex tells
+    owner = around.groupBy("a_component").agg(F.min_by(F.struct("b_face_id", "a_hole"), F.struct(N.area(F.col("b_geom")), "b_face_id")).alias("o"))
+    holes = owner.groupBy(F.col("o.b_face_id").alias("hole_in")).agg(F.collect_list("o.a_hole").alias("holes"))
+    cut = F.when(F.col("holes").isNull(), F.col("geom")).otherwise(geometry("POLYGON", F.array(F.concat(F.get(F.col("geom")["parts"], F.lit(0)), F.col("holes")))))
+    out = faces.join(holes, F.col("face_id") == F.col("hole_in"), "left").select("face_id", cut.alias("geom"))
+    return set_srid(with_bbox(out), srid_of(lines))
 
 
 def merge_lines(lines: DataFrame) -> DataFrame:

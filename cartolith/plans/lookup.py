@@ -1,16 +1,12 @@
 """Equi-join of a large table with a table that has one row per key.
 
-Rows of one busy key are spread over SLICES tasks; the lookup side is copied
-once per slice.  So a key that owns a third of all rows is no hot spot."""
+The lookup side is unique, so the adaptive join splits a busy key's rows over as many
+tasks as their size asks for, each with its one lookup row."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-SLICES = 16
 
-
-def salted_lookup(big: DataFrame, table: DataFrame, keys: list[str], spread: list[str], how: str = "inner") -> DataFrame:
-    left = big.withColumn("_slice", F.pmod(F.xxhash64(*spread), F.lit(SLICES)).cast("int"))
-    right = table.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
-    return left.join(right, [*keys, "_slice"], how).drop("_slice")
+def key_lookup(big: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    return big.join(table, keys, how)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.raster import (MAX_UNTILED_BYTES, TILE, Grid, _like, from_tiles, grid_of, must_tile, overviews, retile, stamp_grid, to_tiles)
+from ..operators.raster import (TILE, Grid, _like, from_tiles, grid_of, must_tile, overviews, retile, stamp_grid, to_tiles)
 
 
 def read_raster(spark: SparkSession, path: str, srid: int | None = None) -> DataFrame:
@@ -42,17 +42,17 @@ def read_ascii_grid(spark: SparkSession, path: str, srid: int | None = None) ->
 
 
 def import_raster(r: DataFrame, path: str, tiled: bool = True, w: int = TILE, h: int = TILE, levels: tuple[int, ...] = (), overwrite: bool = False) -> None:
-    """Store a raster as tiles, with overview levels beside it, one folder per level (0 = full)."""
+    """Store a raster as tiles, with overview levels beside it, one folder per level (0 = full).
+
+    ``tiled=False`` asks for one tile; from 100 MiB on a raster is tiled all the same."""
     g = grid_of(r)
     bands = r.agg(F.countDistinct("band").alias("n")).first()["n"]
-    if not tiled and must_tile(g, bands):
-        raise ValueError(f"rasters of {MAX_UNTILED_BYTES} bytes or more must be tiled")
+    tiled = tiled or must_tile(g, bands)
     mode = "overwrite" if overwrite else "errorifexists"
     base = retile(r, w, h) if tiled else retile(r, g.width, g.height)
     to_tiles(base).write.mode(mode).parquet(f"{path}/level=0")
     for level in levels:
-        if max(g.width, g.height) >= level:
-            one = overviews(r, (level,)).drop("level")
-            lw, lh = -(-g.width // level), -(-g.height // level)
-            one = stamp_grid(one, Grid(g.ulx, g.uly, g.sx * level, g.sy * level, lw, lh, g.srid))
-            to_tiles(retile(one, w, h, overlaps=False)).write.mode(mode).parquet(f"{path}/level={level}")
+        one = overviews(r, (level,)).drop("level")
+        lw, lh = -(-g.width // level), -(-g.height // level)
+        one = stamp_grid(one, Grid(g.ulx, g.uly, g.sx * level, g.sy * level, lw, lh, g.srid))
+        to_tiles(retile(one, w, h, overlaps=False)).write.mode(mode).parquet(f"{path}/level={level}")

@@ -36,12 +36,12 @@ def builder_operators(spark, sf):
 @query("builder_subqueries", """SELECT c_custkey FROM customer c WHERE c_acctbal > ALL (SELECT s_acctbal FROM supplier WHERE s_nationkey = 3)
     AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 1000) AND c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)""")
 def builder_subqueries(spark, sf):
-    """ALL as a maximum, EXISTS as a semi join, NOT IN as an anti join."""
+    """ALL as a maximum, EXISTS as a semi join, NOT IN with its rules for NULL."""
     c = t(spark, sf, "customer")
     top = t(spark, sf, "supplier").where("s_nationkey = 3").agg(F.coalesce(F.max("s_acctbal"), F.lit(float("-inf")))).scalar()
     o = t(spark, sf, "orders").where("o_totalprice > 1000").select(F.col("o_custkey").alias("c_custkey"))
-    n = t(spark, sf, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"))
-    return c.where(F.col("c_acctbal") > top).join(o, "c_custkey", "left_semi").join(n, "c_nationkey", "left_anti").select("c_custkey")
+    n = t(spark, sf, "nation").where("n_regionkey = 1")
+    return T.not_in(c.where(F.col("c_acctbal") > top).join(o, "c_custkey", "left_semi"), "c_nationkey", n, "n_nationkey").select("c_custkey")
 
 
 @query("attribute_columns", "SELECT parcel_id, p_brand, p_type FROM parcels", "parcels")
