@@ -9,13 +9,13 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Row, SparkSession
-from pyspark.sql.functions import arrow_udf, udtf
+from pyspark.sql import SparkSession
+from pyspark.sql.functions import arrow_udf
 
 from ..layer import GEOM, RING
 from . import kernel as K
 from .codec import decode, encode, from_wkb, to_wkb
-from .exact import PATTERNS, _each, _filled, _steps, pattern_regex
+from .exact import PATTERNS, _all_vertices, _closest, _each, _filled, _shortest, _steps, _surface, pattern_regex
 
 _V = "flatten(flatten(g.parts))"
 _RING_AREA = ("aggregate(r, named_struct('s', 0D, 'px', r[0].x, 'py', r[0].y), (a, v) -> named_struct('s', a.s + (a.px - r[0].x) * (v.y - r[0].y) "
@@ -28,6 +28,33 @@ def _point(x, y):
     return f"named_struct('x', {x}, 'y', {y})"
 
 
+def _moved(x, y):
+    """Every vertex v moved to (x, y)."""
+    return f"CASE WHEN g IS NOT NULL THEN named_struct('gtype', g.gtype, 'parts', transform(g.parts, p -> transform(p, r -> transform(r, v -> {_point(x, y)})))) END"
+
+
+def _rings(body):
+    """Every ring r changed."""
+    return f"CASE WHEN g IS NOT NULL THEN named_struct('gtype', g.gtype, 'parts', transform(g.parts, p -> transform(p, r -> {body}))) END"
+
+
+def _spot(v):
+    """A vertex as a point; NULL stays."""
+    return f"CASE WHEN {v} IS NOT NULL THEN named_struct('gtype', 'POINT', 'parts', array(array(array({v})))) END"
+
+
+_LINE_V = "CASE WHEN g.gtype = 'LINESTRING' THEN g.parts[0][0] END"
+_ENVELOPE = ("named_struct('gtype', 'POLYGON', 'parts', array(array(array(" + ", ".join(
+    _point(f"array_{a}(transform({_V}, v -> v.x))", f"array_{b}(transform({_V}, v -> v.y))") for a, b in (("min", "min"), ("max", "min"), ("max", "max"), ("min", "max"), ("min", "min"))) + "))))")
+_TEXT_V = "concat(regexp_replace(CAST(v.x AS STRING), '[.]0$', ''), ' ', regexp_replace(CAST(v.y AS STRING), '[.]0$', ''))"
+_TEXT_R = f"concat('(', array_join(transform(r, v -> {_TEXT_V}), ','), ')')"
+_TEXT = (f"CASE WHEN g IS NULL THEN NULL WHEN size(g.parts) = 0 THEN concat(g.gtype, ' EMPTY') "
+         f"WHEN g.gtype = 'MULTIPOLYGON' THEN concat(g.gtype, '(', array_join(transform(g.parts, p -> concat('(', array_join(transform(p, r -> {_TEXT_R}), ','), ')')), ','), ')') "
+         f"WHEN g.gtype = 'POLYGON' THEN concat(g.gtype, '(', array_join(transform(g.parts[0], r -> {_TEXT_R}), ','), ')') "
+         f"WHEN g.gtype LIKE 'MULTI%' THEN concat(g.gtype, '(', array_join(transform(flatten(g.parts), r -> {_TEXT_R}), ','), ')') "
+         f"ELSE concat(g.gtype, {_TEXT_R.replace('(r,', '(g.parts[0][0],')}) END")
+_POSITION = f"array_join(transform(r, v -> concat('[', regexp_replace(CAST(v.x AS STRING), '[.]0$', ''), ',', regexp_replace(CAST(v.y AS STRING), '[.]0$', ''), ']')), ',')"
+
 # name -> (parameters, result type, expression)
 INLINE = {
     "st_geometrytype": (f"g {GEOM}", "STRING", "g.gtype"),
@@ -51,6 +78,23 @@ INLINE = {
                         "named_struct('gtype', 'POLYGON', 'parts', array(array(array(" + ", ".join(
                             _point(*c) for c in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))) + "))))"),
     "st_makeline": (f"pts {RING}", GEOM, "named_struct('gtype', 'LINESTRING', 'parts', array(array(pts)))"),
+    "st_startpoint": (f"g {GEOM}", GEOM, _spot(f"get({_LINE_V}, 0)")),
+    "st_endpoint": (f"g {GEOM}", GEOM, _spot(f"get({_LINE_V}, size({_LINE_V}) - 1)")),
+    "st_pointn": (f"g {GEOM}, n INT", GEOM, _spot(f"get({_LINE_V}, n - 1)")),
+    "st_isclosed": (f"g {GEOM}", "BOOLEAN", "CASE WHEN g.gtype LIKE '%LINESTRING' THEN forall(flatten(g.parts), r -> r[0] = element_at(r, -1)) WHEN g IS NOT NULL THEN true END"),
+    "st_envelope": (f"g {GEOM}", GEOM, f"CASE WHEN size(g.parts) > 0 THEN {_ENVELOPE} END"),
+    "st_exteriorring": (f"g {GEOM}", GEOM, "CASE WHEN g.gtype = 'POLYGON' AND size(g.parts) > 0 THEN named_struct('gtype', 'LINESTRING', 'parts', array(array(g.parts[0][0]))) END"),
+    "st_translate": (f"g {GEOM}, dx DOUBLE, dy DOUBLE", GEOM, _moved("v.x + dx", "v.y + dy")),
+    "st_scale": (f"g {GEOM}, fx DOUBLE, fy DOUBLE", GEOM, _moved("v.x * fx", "v.y * fy")),
+    "st_rotate": (f"g {GEOM}, angle DOUBLE", GEOM, _moved("v.x * cos(angle) - v.y * sin(angle)", "v.x * sin(angle) + v.y * cos(angle)")),
+    "st_affine": (f"g {GEOM}, a DOUBLE, b DOUBLE, d DOUBLE, e DOUBLE, xoff DOUBLE, yoff DOUBLE", GEOM, _moved("v.x * a + v.y * b + xoff", "v.x * d + v.y * e + yoff")),
+    "st_reverse": (f"g {GEOM}", GEOM, _rings("reverse(r)")),
+    "st_snaptogrid": (f"g {GEOM}, size DOUBLE", GEOM, _rings(
+        "aggregate(transform(r, v -> " + _point("rint(v.x / size) * size", "rint(v.y / size) * size") + f"), CAST(array() AS {RING}), (s, v) -> CASE WHEN get(s, size(s) - 1) <=> v THEN s ELSE concat(s, array(v)) END)")),
+    "st_multi": (f"g {GEOM}", GEOM, "CASE WHEN g.gtype LIKE 'MULTI%' THEN g WHEN g IS NOT NULL THEN named_struct('gtype', concat('MULTI', g.gtype), 'parts', g.parts) END"),
+    "st_azimuth": (f"a {GEOM}, b {GEOM}", "DOUBLE", "CASE WHEN a.parts[0][0][0] <> b.parts[0][0][0] THEN pmod(atan2(b.parts[0][0][0].x - a.parts[0][0][0].x, b.parts[0][0][0].y - a.parts[0][0][0].y), 2 * pi()) END"),
+    "st_astext": (f"g {GEOM}", "STRING", _TEXT),
+    "st_point": ("px DOUBLE, py DOUBLE", GEOM, f"named_struct('gtype', 'POINT', 'parts', array(array(array({_point('px', 'py')}))))"),
     "st_distance_sphere": (f"a {GEOM}, b {GEOM}", "DOUBLE",
                            "2 * 6371008.7714150598D * asin(least(1D, sqrt(pow(sin(radians(b.parts[0][0][0].y - a.parts[0][0][0].y) / 2), 2) "
                            "+ cos(radians(a.parts[0][0][0].y)) * cos(radians(b.parts[0][0][0].y)) * pow(sin(radians(b.parts[0][0][0].x - a.parts[0][0][0].x) / 2), 2))))"),
@@ -135,15 +179,16 @@ def register(spark: SparkSession) -> list[str]:
     add("st_simplify", _numbered(_each(K.simplify)), GEOM)
     add("st_geomfromwkb_xy", wkb, GEOM)
 
-    class Dump:
-        def eval(self, geom: Row):
-            if geom is not None:
-                single = geom["gtype"].replace("MULTI", "")
-                for i, part in enumerate(geom["parts"], 1):
-                    yield i, Row(gtype=single, parts=[part])
-
-    spark.udtf.register("st_dump", udtf(Dump, returnType=f"path: int, geom: {GEOM}"))
+    # one row per part, in the engine's own generator
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION st_dump(g {GEOM}) RETURNS TABLE (path INT, geom {GEOM})
+        RETURN SELECT pos + 1, named_struct('gtype', replace(g.gtype, 'MULTI', ''), 'parts', array(col)) FROM (SELECT posexplode(g.parts))""")
     names.append("st_dump")
+    add("st_convexhull", _ones(_each(lambda g: K.hull(_all_vertices(g))), None), GEOM)
+    add("st_pointonsurface", _ones(_each(_surface), None), GEOM)
+    add("st_shortestline", _pairs(_each(_filled(_shortest)), None), GEOM)
+    add("st_closestpoint", _pairs(_each(_filled(_closest)), None), GEOM)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION st_dwithin(a {GEOM}, b {GEOM}, d DOUBLE) RETURNS BOOLEAN RETURN st_distance(a, b) <= d")
+    names.append("st_dwithin")
     for old, new in ALIASES.items():
         add(old, _pairs(_predicate(new[3:]), pa.bool_()), "boolean")
     return names

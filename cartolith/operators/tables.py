@@ -13,12 +13,17 @@ from ..plans.scan import ranked
 from .transform import force_single, reproject
 
 
+SPATIAL = re.compile(r"\s*st_(?P<predicate>intersects|within|contains|covers|coveredby|crosses|overlaps|touches|equals)\(\s*(?P<a>\w+)\.geom\s*,\s*(?P<b>\w+)\.geom\s*\)\s*(AND\s+|$)", re.I)
+
+
 @dataclass
 class QuerySpec:
     """SELECT cols FROM tables [WHERE] [GROUP BY] [ORDER BY] from picked pieces.
 
     ``tables`` maps names to DataFrames; several tables are comma-joined, and their
-    WHERE equalities become the join keys."""
+    WHERE equalities become the join keys.  A spatial predicate between two tables,
+    ``st_within(a.geom, b.geom) AND ...``, becomes a grid join of the two, so their
+    columns are then named with their table."""
     cols: list[str]
     tables: dict[str, DataFrame]
     where: str | None = None
@@ -37,8 +42,19 @@ class QuerySpec:
         return q
 
     def to_df(self, spark: SparkSession) -> DataFrame:
+        found = SPATIAL.match(self.where or "")
+        if found and len(self.tables) == 2 and {found["a"], found["b"]} == set(self.tables):
+            return self._joined(found["predicate"].lower(), found["a"], found["b"], self.where[found.end():])
         return spark.sql(self.to_sql(), **self.tables)
 
+    def _joined(self, predicate: str, a: str, b: str, rest: str) -> DataFrame:
+        from .joins import spatial_join
+        pairs = spatial_join(self.tables[a], self.tables[b], predicate)
+        side = lambda prefix, name: F.struct(*[F.col(f"`{prefix}{c}`").alias(c) for c in self.tables[name].columns]).alias(name)
+        both = pairs.select(side("a_", a), side("b_", b))
+        spec = QuerySpec(self.cols, {"pairs": both}, rest or None, self.group, self.order)
+        return both.sparkSession.sql(spec.to_sql(), pairs=both)
+
 
 def clean_sql(text: str) -> str:
     """Trailing semicolons off; Spark itself reads comments and line breaks."""

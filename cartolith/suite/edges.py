@@ -176,3 +176,36 @@ def hulls_between_points_and_convex(spark, sf):
     spots = d.join(hull, "zone_id").groupBy("zone_id").agg(F.min(N.point_to_geometry(F.col("hull"), F.col("bbox.xmin"), F.col("bbox.ymin")) <= 1e-6).alias("covers"))
     convex = A.convex_hull(set_srid(d, fx.SRID), ["zone_id"]).select("zone_id", N.area(F.col("geom")).alias("most"))
     return hull.join(convex, "zone_id").join(spots, "zone_id").select("zone_id", "covers", (N.area(F.col("hull")) <= F.col("most") * (1 + 1e-9)).alias("within_convex"))
+
+
+def _sql(spark, text: str, **layers):
+    from ..functions.register import register
+    register(spark)
+    return spark.sql(text, **layers)
+
+
+@query("sql_metrics", """SELECT parcel_id, round((xmax - xmin) * (ymax - ymin), 6) AS area, round(2 * (xmax - xmin + ymax - ymin), 6) AS around, 5 AS points, xmin, ymax, true AS closed, round((xmax - xmin) * (ymax - ymin), 6) AS hull, true AS seat FROM parcels""", "parcels")
+def sql_metrics(spark, sf):
+    return _sql(spark, """SELECT parcel_id, round(st_area(geom), 6) AS area, round(st_perimeter(geom), 6) AS around, st_npoints(geom) AS points, st_xmin(geom) AS xmin, st_ymax(geom) AS ymax, st_isclosed(geom) AS closed,
+        round(st_area(st_convexhull(geom)), 6) AS hull, st_contains(geom, st_pointonsurface(geom)) AS seat FROM {p}""", p=fx.parcels(spark, sf))
+
+
+@query("sql_edits", """SELECT parcel_id, round(xmin + 3, 6) AS moved, round(4 * (xmax - xmin) * (ymax - ymin), 5) AS scaled, round(-ymax, 6) AS turned, round_even(xmin, 0) AS snapped, round(xmin, 6) AS first_x, round(xmax, 6) AS third_x, 'MULTIPOLYGON' AS gtype FROM parcels""", "parcels")
+def sql_edits(spark, sf):
+    return _sql(spark, """SELECT parcel_id, round(st_xmin(st_translate(geom, 3, 1)), 6) AS moved, round(st_area(st_scale(geom, 2, -2)), 5) AS scaled, round(st_xmin(st_rotate(geom, pi() / 2)), 6) AS turned,
+        st_xmin(st_snaptogrid(geom, 1)) + 0D AS snapped, round(st_x(st_startpoint(st_exteriorring(geom))), 6) AS first_x, round(st_x(st_pointn(st_reverse(st_exteriorring(geom)), 3)), 6) AS third_x, st_geometrytype(st_multi(geom)) AS gtype FROM {p}""", p=fx.parcels(spark, sf))
+
+
+@query("sql_text_forms", """SELECT zone_id, 'POLYGON((' || xmin::INT || ' ' || ymin::INT || ',' || xmax::INT || ' ' || ymin::INT || ',' || xmax::INT || ' ' || ymax::INT || ',' || xmin::INT || ' ' || ymax::INT || ',' || xmin::INT || ' ' || ymin::INT || '))' AS text,
+    'POINT(' || xmin::INT || ' ' || ymin::INT || ')' AS corner, round(pi() / 4, 6) AS angle, 1 AS parts FROM zones""", "zones")
+def sql_text_forms(spark, sf):
+    return _sql(spark, """SELECT zone_id, st_astext(z.geom) AS text, st_astext(st_startpoint(st_exteriorring(z.geom))) AS corner, round(st_azimuth(st_point(st_xmin(z.geom), st_ymin(z.geom)), st_point(st_xmax(z.geom), st_ymax(z.geom))), 6) AS angle,
+        d.path AS parts FROM {z} AS z, LATERAL st_dump(z.geom) d""", z=fx.zones(spark, sf))
+
+
+@query("sql_spatial_join", "SELECT n_regionkey AS region, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM sites s JOIN zones z ON x > xmin AND x < xmax AND y > ymin AND y < ymax WHERE c_mktsegment <> 'BUILDING' GROUP BY 1", "sites zones")
+def sql_spatial_join(spark, sf):
+    """A spatial predicate in the query builder runs as a grid join."""
+    spec = T.QuerySpec(["z.n_regionkey AS region", "count(*) AS n", "round(sum(s.c_acctbal), 2) AS balance"], {"s": fx.sites(spark, sf), "z": fx.zones(spark, sf)},
+                       "st_within(s.geom, z.geom) AND s.c_mktsegment <> 'BUILDING'", ["z.n_regionkey"])
+    return spec.to_df(spark)
