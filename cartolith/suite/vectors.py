@@ -89,11 +89,17 @@ def join_equals(spark, sf):
     return _pairs(p, p, "equals", "parcel_id", "parcel_id")
 
 
-@query("join_crosses")
+@query("join_crosses", """SELECT zone_id, count(*) AS n FROM (
+    SELECT zone_id, greatest(0::DOUBLE, tx0, ty0) AS t0, least(1::DOUBLE, tx1, ty1) AS t1 FROM (
+        SELECT zone_id,
+            CASE WHEN x2 <> x1 THEN least((xmin - x1) / (x2 - x1), (xmax - x1) / (x2 - x1)) WHEN x1 > xmin AND x1 < xmax THEN 0 ELSE 2 END AS tx0,
+            CASE WHEN x2 <> x1 THEN greatest((xmin - x1) / (x2 - x1), (xmax - x1) / (x2 - x1)) ELSE 1 END AS tx1,
+            CASE WHEN y2 <> y1 THEN least((ymin - y1) / (y2 - y1), (ymax - y1) / (y2 - y1)) WHEN y1 > ymin AND y1 < ymax THEN 0 ELSE 2 END AS ty0,
+            CASE WHEN y2 <> y1 THEN greatest((ymin - y1) / (y2 - y1), (ymax - y1) / (y2 - y1)) ELSE 1 END AS ty1 FROM routes, zones))
+    WHERE t1 - t0 > 1e-9 AND t1 - t0 < 1 - 1e-9 GROUP BY 1""", "routes zones")
 def join_crosses(spark, sf):
-    """Per zone, the distinct routes that cross it."""
-    r = fx.routes(spark, sf).groupBy("site_id", "depot_id").agg(F.first("geom").alias("geom"))
-    j = J.spatial_join(set_srid(r, fx.SRID), fx.zones(spark, sf), "crosses")
+    """Per zone, the routes that cross it: partly inside, partly outside."""
+    j = J.spatial_join(fx.routes(spark, sf), fx.zones(spark, sf), "crosses")
     return j.groupBy(F.col("b_zone_id").alias("zone_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -239,12 +245,11 @@ def clip_sites(spark, sf):
             CASE WHEN x2 <> x1 THEN greatest((xmin - x1) / (x2 - x1), (xmax - x1) / (x2 - x1)) ELSE 1 END AS tx1,
             CASE WHEN y2 <> y1 THEN least((ymin - y1) / (y2 - y1), (ymax - y1) / (y2 - y1)) WHEN y1 BETWEEN ymin AND ymax THEN 0 ELSE 2 END AS ty0,
             CASE WHEN y2 <> y1 THEN greatest((ymin - y1) / (y2 - y1), (ymax - y1) / (y2 - y1)) ELSE 1 END AS ty1
-        FROM (SELECT DISTINCT site_id, depot_id, x1, y1, x2, y2 FROM routes), zones)) b
+        FROM routes, zones)) b
     WHERE t1 - t0 > 1e-9 GROUP BY 1""", "routes zones")
 def clip_routes(spark, sf):
-    """Length of the distinct routes inside each zone (lines that cross the border included)."""
-    r = fx.routes(spark, sf).groupBy("site_id", "depot_id").agg(F.first("geom").alias("geom"), F.first("bbox").alias("bbox"))
-    i = J.intersection(set_srid(r, fx.SRID), fx.zones(spark, sf), ["site_id"], mask_cols=["zone_id"])
+    """Length of the routes inside each zone (lines that cross the border included)."""
+    i = J.intersection(fx.routes(spark, sf), fx.zones(spark, sf), ["site_id"], mask_cols=["zone_id"])
     lines = i.where(N.is_linear(g()))
     return lines.groupBy("zone_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(N.length(g())), 4).alias("length"))
 
