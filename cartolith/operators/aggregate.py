@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import kernel as K, native as N
 from ..layer import attribute_columns, ensure_bbox, geometry, make_line, set_srid, srid_of, vertex, with_bbox
-from ..plans.lookup import key_lookup
 from ..plans.reduce import merge_by_key
 
 
@@ -183,10 +182,10 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: neighbours above u go to the minimum of u
-        big = key_lookup(both.where("v > u"), low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        big = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: neighbours below u go to the smallest of them
         low2 = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = key_lookup(big, low2, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = big.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = save_step(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct(), "components")
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:

@@ -10,7 +10,6 @@ from ..functions import exact as X, native as N
 from ..functions.kernel import union_many, union_one
 from ..layer import LINEAR, PARTS, POLYGONAL, PUNTAL, SridError, attribute_columns, empty, ensure_bbox, geometry, set_srid, srid_of, with_bbox
 from ..plans.grid import GridPlan, both_rects, candidate_pairs, spread, tidy
-from ..plans.lookup import key_lookup
 from ..plans.reduce import merge_by_key
 from .transform import reproject
 
@@ -238,7 +237,8 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, a_id: str, b_id: str, cell0: fl
     radius = asked.join(full, ["level", "ux", "uy"]).groupBy("cx", "cy").agg(F.max("level").alias("level"))
     cx, cy = cell(finest, one["x"], one["y"])
     ac = a.where(bb.isNotNull()).withColumn("_cx", cx).withColumn("_cy", cy)
-    ac = key_lookup(ac, radius.select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.col("level").alias("_level")), ["_cx", "_cy"], "left")
+    # one row per cell on the right, so the adaptive join can split a busy cell
+    ac = ac.join(radius.select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.col("level").alias("_level")), ["_cx", "_cy"], "left")
     reach = F.coalesce(extent / F.pow(F.lit(2.0), F.col("_level")), F.lit(extent)) * (math.sqrt(2) * (1 + 1e-9))
     ac = ac.select(*a.columns, reach.alias("_r"))
     pairs, plan = candidate_pairs(pts.drop("_x", "_y"), ac, grow_b=F.col("_r"))
