@@ -15,8 +15,9 @@ from cartolith.llm.blocks import Keys, distinct, find
 from cartolith.llm.bpe import lists
 from cartolith.llm.common import documents_of, written
 from cartolith.llm.components import components
-from cartolith.llm.words import NOT_SPACE, U, grams, mix, parts, signed, words
+from cartolith.llm.words import NOT_SPACE, U, grams, mix, odd, parts, signed, words
 
+SKETCHES, MINIMA = 4, 3   # of a set: so many groups of so many minima
 LARGEST_SMALL = 48   # sizes for which a cost is worked out; enumeration beyond is never the cheaper way
 
 
@@ -53,6 +54,14 @@ def shingle_sets(column: pa.Array, size: int):
             yield np.unique(s)
 
 
+def sketches(s: np.ndarray) -> np.ndarray:
+    """Signatures that near copies often share: each from MINIMA smallest hashes."""
+    with np.errstate(over="ignore"):
+        least = [mix(s ^ U(0xD1B54A32D192ED03 * (i + 1) & (2 ** 64 - 1))).min() for i in range(SKETCHES * MINIMA)]
+        rows = np.array(least, U).reshape(SKETCHES, MINIMA)
+        return signed(mix((rows * odd(MINIMA, 7)).sum(axis=1, dtype=U)))
+
+
 def text_column(table: pa.Table) -> pa.Array:
     c = table.column("text").combine_chunks()
     return c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
@@ -76,8 +85,8 @@ def in_several(k: Keys, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.n
 
 def sets_of(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """doc_id, n (set size), and where a link is possible s1, s2 (128 bits of the set), shared (its shingles that other documents have, rarest first by
-    documents, then by hash) and prefix (how many of them stand in the prefix). Shingles of one document only come first in that order and never
-    match, so a set whose prefix holds nothing else has no link."""
+    documents, then by hash), prefix (how many of them stand in the prefix) and sketch. Shingles of one document only come first in that order and
+    never match, so a set whose prefix holds nothing else has no link."""
     base, total = blocks.blocked(documents_of(docs, doc_id, text))
     by, keys = base.groupBy("block"), total / 6
 
@@ -88,7 +97,7 @@ def sets_of(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
 
     def make(_, table, back):
         known = blocks.received(back)
-        n, s1, s2, shared, prefix = [], [], [], [], []
+        n, s1, s2, shared, prefix, sketch = [], [], [], [], [], []
         for s in shingle_sets(text_column(table), size):
             there, at = find(known, s)
             own = s[there]
@@ -99,16 +108,18 @@ def sets_of(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
             s2.append(int(signed(mix(s ^ U(0xA54FF53A5F1D36F1)).sum(dtype=U).reshape(1))[0]) if possible else None)
             shared.append(signed(own[np.lexsort((own, known.low[at[there]]))]) if possible else np.empty(0, np.int64))
             prefix.append(p if possible else None)
-        return pa.table([table.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists(shared, pa.int64()), pa.array(prefix, pa.int32())], ["doc_id", "n", "s1", "s2", "shared", "prefix"])
+            sketch.append(sketches(s) if possible else np.empty(0, np.int64))
+        return pa.table([table.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists(shared, pa.int64()), pa.array(prefix, pa.int32()), lists(sketch, pa.int64())],
+                        ["doc_id", "n", "s1", "s2", "shared", "prefix", "sketch"])
 
-    return by.cogroup(common.groupBy("block")).applyInArrow(make, "doc_id long, n long, s1 long, s2 long, shared array<long>, prefix int")
+    return by.cogroup(common.groupBy("block")).applyInArrow(make, "doc_id long, n long, s1 long, s2 long, shared array<long>, prefix int, sketch array<long>")
 
 
 def subset_cost(n: int, percent: int) -> int:
     return sum(comb(n, needed(n, b, percent)) for b in partners(n, percent) if needed(n, b, percent) <= min(n, b))
 
 
-def boundary(sizes: dict[int, int], meets: float, percent: int) -> int:
+def boundary(meets: float, percent: int) -> int:
     """Sets up to this size are enumerated: as long as a set's subsets are fewer than the entries its prefix would meet in inverted lists."""
     b = 0
     while b < LARGEST_SMALL and subset_cost(b + 1, percent) <= max(prefix_length(b + 1, percent) * meets, 2):
@@ -160,35 +171,32 @@ def verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(both * 100 >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
-def list_links(postings: DataFrame, reps: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """All links that connect large sets, given links that are known.
+def sketch_links(reps: DataFrame, percent: int) -> DataFrame:
+    """Links found by comparing each set with the smallest id of its signatures: most of what holds a group of near copies together, at a cost that
+    is linear in the group. What they miss is for the lists to find."""
+    signed_by = reps.select("rep", "n", F.posexplode("sketch").alias("i", "sketch"))
+    heads = signed_by.groupBy("i", "sketch").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("sets")).where("sets > 1")
+    pairs = signed_by.join(heads, ["i", "sketch"]).where((F.col("rep") != F.col("head.rep")) & comparable(F.col("n"), F.col("head.n"), percent))
+    return verified(pairs.select(F.col("rep").alias("a"), F.col("head.rep").alias("b")).distinct(), reps, percent)
+
 
-    postings (word, rep, n) are the inverted lists of prefixes. Comparing all sets of a list would be quadratic in a group of near copies, and only
-    what connects is wanted: sets of one component need no comparison. Each round compares a list's sets with one of them, the pivot, taken from the
-    list's largest component. When rounds bring nothing more, or few pairs are left, every remaining pair of sets of one list in different
-    components is compared, so no link between components is lost.
+def list_links(postings: DataFrame, reps: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """The links between sets that the known links (a, b) do not connect yet.
+
+    postings (word, rep, n, at) are the inverted lists of prefixes; at is the word's place in its set. Sets of one component need no comparison, so a
+    list's sets are compared only across components: those outside its largest component with all others. The positional filter leaves out pairs
+    whose words from the shared one on are too few on either side; a linked pair passes it at its first shared word, so none is lost.
     """
-    links, last = known, None
-    entries = postings.count()
-    while True:
-        group = components(links)
-        placed = written(postings.join(group, F.col("rep") == F.col("id"), "left").select("word", "rep", "n", F.coalesce("component", "rep").alias("component")), "postings")
-        sizes = placed.groupBy("word", "component").agg(F.count("*").alias("sets"), F.min(F.struct(F.xxhash64("rep"), "rep", "n")).alias("one"))
-        best = sizes.groupBy("word").agg(F.max(F.struct("sets", "component", "one")).alias("top"), F.sum("sets").alias("all"))
-        best = written(best.where("all > top.sets").select("word", F.col("top.component").alias("main"), F.col("top.one.rep").alias("pivot"), F.col("top.one.n").alias("pivot_n"), "all", F.col("top.sets").alias("in_main")), "lists")
-        left = best.agg(F.sum(F.expr("(all - in_main) * all"))).first()[0] or 0
-        others = placed.join(best, "word").where("component <> main")
-        if left == 0:
-            return links
-        if left <= 4 * entries or last == (left, entries):
-            far = placed.select("word", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-            pairs = others.join(far, "word").where((F.col("component") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("rep") < F.col("b"))) & comparable(F.col("n"), F.col("nb"), percent))
-            pairs = pairs.select(F.col("rep").alias("a"), "b").distinct()
-            return links.unionByName(written(verified(pairs, reps, percent), "list-links"))
-        pairs = others.where(comparable(F.col("n"), F.col("pivot_n"), percent)).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-        found = written(verified(pairs, reps, percent), "list-links")
-        last = (left, entries) if found.isEmpty() else None
-        links = links.unionByName(found)
+    group = components(links)
+    placed = written(postings.join(group, F.col("rep") == F.col("id"), "left").select("word", "rep", "n", "at", F.coalesce("component", "rep").alias("component")), "postings")
+    sizes = placed.groupBy("word", "component").agg(F.count("*").alias("sets"))
+    mixed = sizes.groupBy("word").agg(F.max(F.struct("sets", "component")).alias("top"), F.sum("sets").alias("all")).where("all > top.sets").select("word", F.col("top.component").alias("main"))
+    others = placed.join(mixed, "word").where("component <> main")
+    far = placed.select("word", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("at").alias("at_b"), F.col("component").alias("cb"))
+    apart = (F.col("component") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("rep") < F.col("b")))
+    enough = F.least(F.col("n") - F.col("at"), F.col("nb") - F.col("at_b")) * (100 + percent) >= (F.col("n") + F.col("nb")) * percent
+    pairs = others.join(far, "word").where(apart & comparable(F.col("n"), F.col("nb"), percent) & enough)
+    return verified(pairs.select(F.col("rep").alias("a"), "b").distinct(), reps, percent)
 
 
 def linked_classes(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -203,17 +211,17 @@ def linked_classes(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: st
     some = sets.where("prefix IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = written(some.join(classes.withColumnsRenamed({"s1": "t1", "s2": "t2"}), (F.col("doc_id") == F.col("rep")) & (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")))
-                   .select("rep", "n", "shared", "prefix").dropDuplicates(["rep"]), "set-reps")
-    entries = reps.select("rep", "n", F.explode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("word"))
+                   .select("rep", "n", "shared", "prefix", "sketch").dropDuplicates(["rep"]), "set-reps")
+    entries = reps.select("rep", "n", F.posexplode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("i", "word"), (F.col("n") - F.size("shared")).alias("own"))
+    entries = entries.select("word", "rep", "n", (F.col("own") + F.col("i")).alias("at"))
     lengths = entries.groupBy("word").count().agg(F.sum(F.col("count") * F.col("count")), F.sum("count")).first()
-    small = {r.n: r["count"] for r in reps.where(F.col("n") <= LARGEST_SMALL).groupBy("n").count().collect()}
-    largest = boundary(small, (lengths[0] or 0) / max(lengths[1] or 0, 1), percent)
+    largest = boundary((lengths[0] or 0) / max(lengths[1] or 0, 1), percent)
     near = -(-percent * (largest + 1) // 100)   # the smallest size that links with a large set
     heavy = entries.where(F.col("n") >= near)
     several = heavy.groupBy("word").agg(F.count("*").alias("sets")).where("sets > 1").select("word")
     postings = written(heavy.join(several, "word"), "postings")
-    links = list_links(postings, reps, written(subset_links(reps, largest, percent), "subset-links"), percent)
-    group = components(links)
+    links = written(subset_links(reps, largest, percent).unionByName(sketch_links(reps, percent)).distinct(), "set-links")
+    group = components(links.unionByName(written(list_links(postings, reps, links, percent), "list-links")))
     found = written(classes.join(group, F.col("rep") == F.col("id"), "left").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id")), "classes")
     return sets.select("doc_id", "n", "s1", "s2").join(found, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
