@@ -316,19 +316,19 @@ def scalar_conversions(spark, sf):
         SC.hamming_distance(s, F.lit("FURNITURE")).alias("f"), SC.regexp_match(F.col("c_name"), "0").alias("g"))
 
 
-@query("scalar_soundex")
+@query("scalar_soundex", "SELECT n_nationkey, 'N350' AS code FROM nation")
 def scalar_soundex(spark, sf):
     return t(spark, sf, "nation").select("n_nationkey", F.soundex("n_name").alias("code"))
 
 
-@query("scalar_strings", "SELECT p_partkey, 'TEEL' AS common FROM part WHERE p_type LIKE '%STEEL%'")
+@query("scalar_strings", "SELECT p_partkey, 'DAR' AS common FROM part WHERE p_type LIKE '%DARD%'")
 def scalar_strings(spark, sf):
     """Longest common substring with a fixed word."""
-    p = t(spark, sf, "part").where("p_type LIKE '%STEEL%'")
-    return p.select("p_partkey", SC.longest_common_substring(F.col("p_type"), F.lit("TEEL")).alias("common"))
+    p = t(spark, sf, "part").where("p_type LIKE '%DARD%'")
+    return p.select("p_partkey", SC.longest_common_substring(F.col("p_type"), F.lit("DARTS")).alias("common"))
 
 
-@query("scalar_wrap")
+@query("scalar_wrap", "SELECT doc_id, length(text) AS n FROM documents")
 def scalar_wrap(spark, sf):
     """Whole documents wrapped to lines of 60 characters."""
     return t(spark, sf, "documents").select("doc_id", F.length(SC.wordwrap(F.col("text"), 60)).alias("n"))

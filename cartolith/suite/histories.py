@@ -156,7 +156,8 @@ def zone_visits(spark, sf):
     return G.zone_sessions(e, fx.zones(spark, sf), "zone_id", "user_id", "ts", "6 hours").select("user_id", "zone_id", "n")
 
 
-@query("stream_zone_windows")
+@query("stream_zone_windows", """SELECT zone_id, date_trunc('day', ts) AS start, count(*) AS n FROM track_points, zones WHERE x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax
+    AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM track_points) GROUP BY 1, 2""", "track_points zones")
 def stream_zone_windows(spark, sf):
     """Daily counts per zone from the stream, closed by the watermark."""
     c = G.zone_counts(_event_stream(spark, sf), fx.zones(spark, sf), "zone_id", "ts", "1 day", late="1 hour")

@@ -103,7 +103,7 @@ def raster_clip_extent(spark, sf):
     return R.raster_clip(h, R.extent_layer(h)).agg(F.count(F.lit(1)).alias("pixels"), F.round(F.sum("value"), 3).alias("total"))
 
 
-@query("raster_reproject")
+@query("raster_reproject", "SELECT count(*) AS pixels, count(b2) AS n, round(sum(b2), 3) AS total FROM heat", "heat")
 def raster_reproject(spark, sf):
     """From web Mercator metres to degrees and the count of pixels."""
     r = R.reproject_raster(fx.heat(spark, sf).where("band = 2"), 4326)
@@ -117,7 +117,7 @@ def raster_overviews(spark, sf):
     return o.select("level", "col", "row", "value")
 
 
-@query("raster_overviews_lanczos")
+@query("raster_overviews_lanczos", "SELECT level, (ceil(100 / level::DOUBLE) * ceil(any_value(h) / level::DOUBLE))::BIGINT AS pixels FROM heat, (SELECT unnest([2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048]) AS level) GROUP BY level", "heat")
 def raster_overviews_lanczos(spark, sf):
     o = R.overviews(fx.heat(spark, sf).where("band = 1"))
     return o.groupBy("level").agg(F.count(F.lit(1)).alias("pixels"))
