@@ -20,7 +20,7 @@ from cartolith.llm.words import U
 
 BLOCK = 2 << 20         # bytes of text
 BLOCKS = 1 << 20        # beyond so many blocks they grow instead, which bounds what one key can cost
-PER_RANGE = 1 << 20     # keys that one range holds
+PER_RANGE = 1 << 18     # keys that one range holds
 
 
 def blocked(base: DataFrame) -> tuple[DataFrame, int]:
@@ -42,23 +42,29 @@ class Keys:
         return Keys(self.key[at], self.check[at], self.low[at], self.high[at])
 
 
-def planes(a: np.ndarray) -> bytes:
-    """Numbers byte by byte, all lowest bytes first: planes of zeros cost nothing once compressed."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
-
-
-def from_planes(raw: memoryview, n: int, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, n).T).view(kind).ravel()
+def planes(a: np.ndarray) -> np.ndarray:
+    """Numbers byte by byte: a row for the lowest bytes of all, and so on."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T
 
 
 def pack(k: Keys) -> bytes:
-    return b"".join((planes(np.diff(k.key, prepend=U(0))), planes(k.check), planes(k.low), planes(k.high - k.low)))
+    """Steps between keys, checks, values and their widths, byte by byte; a byte that is zero in all numbers is left out."""
+    rows = [row for a in (np.diff(k.key, prepend=U(0)), k.check, k.low, k.high - k.low) for row in planes(a)]
+    used = [row.any() for row in rows]
+    head = np.array([len(k.key), sum(1 << i for i, u in enumerate(used) if u)], np.uint32)
+    return b"".join([head.tobytes(), *(row.tobytes() for row, u in zip(rows, used) if u)])
 
 
 def unpack(raw: bytes) -> Keys:
-    n, v = len(raw) // 28, memoryview(raw)
-    key, check, low = from_planes(v[:8 * n], n, U), from_planes(v[8 * n:12 * n], n, np.uint32), from_planes(v[12 * n:20 * n], n, U)
-    return Keys(np.cumsum(key, dtype=U), check, low, low + from_planes(v[20 * n:], n, U))
+    n, used = (int(x) for x in np.frombuffer(raw, np.uint32, 2))
+    rows, at = np.zeros((28, n), np.uint8), 8
+    for i in range(28):
+        if used >> i & 1:
+            rows[i] = np.frombuffer(raw, np.uint8, n, at)
+            at += n
+    number = lambda lo, hi, kind: np.ascontiguousarray(rows[lo:hi].T).view(kind).ravel()
+    low = number(12, 20, U)
+    return Keys(np.cumsum(number(0, 8, U), dtype=U), number(8, 12, np.uint32), low, low + number(20, 28, U))
 
 
 def joined(each: list[Keys]) -> Keys:

@@ -6,9 +6,10 @@ of its length) with the smallest hash, the first of equal ones, so equal windows
 share their pick. Passes then go from the most significant digit on, each over what the pass before has left together:
 
 1. the picked gram: only grams that stand in two documents go on;
-2. the gram with the half window before it or after it, and the whole stretch of windows that picked it: stretches that are equal are settled at
-   once, for all their windows, by the smallest document id;
-3. whole windows, where stretches differ but share a gram and a half window.
+2. the whole stretch of windows around one picked gram: stretches that are equal are settled at once, for all their windows, by the smallest
+   document id; grams with several stretches are contested;
+3. for the first document of each stretch of a contested gram, the gram with the half window before it or after it;
+4. whole windows, of those stretches, with a half window that another document has.
 
 Digits are compared by 64-bit hashes, windows and stretches by 96 bits; a pass is a round of blocks.py.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -103,11 +105,10 @@ def texts_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, offsets - offsets[0], data[offsets[0]:offsets[-1]]
 
 
-def half_keys(p: Picks, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def half_keys(p: Picks, of, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each run: whether some window has the half before the gram, and its key; whether some has the half after it, and its key."""
     g = gram_length(depth)
     half = (depth - g) // 2
-    of = p.hashed()
     before, after = p.place - p.lo >= half, p.place - p.hi < half
     b = of(np.where(before, p.place - half, 0), np.where(before, p.place + g, 0))
     a = of(np.where(after, p.place, 0), np.where(after, p.place + depth - half, 0))
@@ -132,43 +133,76 @@ def grams_meet(k: Keys, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.n
     return (n > 1) | (np.maximum.reduceat(k.high, at) > 0), np.zeros(len(at), U)
 
 
-def shared_runs(table: pa.Table, grams: Keys, depth: int):
+def tag(gram: np.ndarray) -> np.ndarray:
+    """32 bits of a gram, never 0, which go along with longer digits."""
+    return (gram >> U(32)).astype(np.uint32) | np.uint32(1)
+
+
+def stretches_meet(k: Keys, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of two documents, with the smaller one; grams with two stretches (they have no tag), without a value."""
+    back, low = blocks.several(k, at, n)
+    return back, np.where(k.check[at] > 0, low, U(0))
+
+
+def halves_meet(k: Keys, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    back, _ = blocks.several(k, at, n)
+    return back, np.zeros(len(at), U)
+
+
+def gram_runs(table: pa.Table, grams: Keys, depth: int):
+    """The runs whose gram stands in two documents, with document and stretch hash."""
     ids, offsets, data = texts_of(table)
     for p in picks(offsets, data, depth):
         there, _ = find(grams, p.gram)
         if there.any():
-            p = p.pick(there)
-            yield p, ids[p.doc], p.hashed()
+            p, of = p.pick(there), p.hashed()
+            yield p, ids[p.doc], of(p.lo, p.hi + depth)
 
 
 def stretch_keys(table: pa.Table, grams: Keys, depth: int) -> Keys:
-    """Pass 2: stretches with their documents, half windows with theirs, and grams with their stretches."""
+    """Pass 2: stretches with their documents, and grams with their stretches."""
     each = []
-    for p, ids, of in shared_runs(table, grams, depth):
-        whole = of(p.lo, p.hi + depth)
-        before, b, after, a = half_keys(p, depth)
-        each += [distinct(mix(whole ^ STRETCH), p.gram, ids), distinct(mix(p.gram ^ GRAM), None, whole), distinct(b[before], None, ids[before]), distinct(a[after], None, ids[after])]
+    for p, ids, whole in gram_runs(table, grams, depth):
+        each += [distinct(mix(whole ^ STRETCH), tag(p.gram), ids), distinct(mix(p.gram ^ GRAM), None, whole)]
     k = joined(each)
     return distinct(k.key, k.check, k.low, k.high)
 
 
-joined = blocks.joined
+def shared_runs(table: pa.Table, shared: Keys, depth: int):
+    """The runs that pass 2 has found something for: with document, hash function, the first document of the stretch, and whether the gram is contested."""
+    ids, offsets, data = texts_of(table)
+    for p in picks(offsets, data, depth):
+        of = p.hashed()
+        own, stretch = ids[p.doc], mix(of(p.lo, p.hi + depth) ^ STRETCH)
+        contested, _ = find(shared, mix(p.gram ^ GRAM))
+        there, at = find(shared, stretch, tag(p.gram))
+        some = there | contested
+        if some.any():
+            first = np.where(there, shared.low[at], own) if len(shared.key) else own
+            yield p.pick(some), own[some], of, first[some], contested[some]
+
+
+def half_window_keys(table: pa.Table, shared: Keys, depth: int) -> Keys:
+    """Pass 3: half windows of the first documents of contested stretches."""
+    each = []
+    for p, ids, of, first, contested in shared_runs(table, shared, depth):
+        some = contested & (first == ids)
+        p, ids = p.pick(some), ids[some]
+        before, b, after, a = half_keys(p, of, depth)
+        each += [distinct(b[before], None, ids[before]), distinct(a[after], None, ids[after])]
+    k = joined(each)
+    return distinct(k.key, k.check, k.low, k.high)
 
 
-def first_of(p: Picks, ids: np.ndarray, whole: np.ndarray, shared: Keys) -> np.ndarray:
-    """The smallest document with the same stretch."""
-    there, at = find(shared, mix(whole ^ STRETCH), p.gram)
-    return np.where(there, shared.low[at], ids) if len(shared.key) else ids
+joined = blocks.joined
 
 
-def open_windows(p: Picks, of, whole: np.ndarray, firsts: np.ndarray, ids: np.ndarray, shared: Keys, depth: int):
-    """Windows that must be compared one by one: (run, first byte). Only of each stretch's first document, where its gram has other stretches, and with a half that another document has."""
-    contested, _ = find(shared, mix(p.gram ^ GRAM))
-    before, b, after, a = half_keys(p, depth)
+def open_windows(p: Picks, of, some: np.ndarray, halves: Keys, depth: int):
+    """Windows that must be compared one by one: (run, first byte). Only of the runs `some`, and with a half that another document has."""
+    before, b, after, a = half_keys(p, of, depth)
     half = (depth - gram_length(depth)) // 2
-    before &= find(shared, b)[0]
-    after &= find(shared, a)[0]
-    some = contested & (firsts == ids)
+    before &= find(halves, b)[0]
+    after &= find(halves, a)[0]
     # windows lo .. place - half have the half before the gram, windows place - half + 1 .. hi the half after it
     parts = [(before & some, p.lo, np.minimum(p.hi, p.place - half)), (after & some, np.maximum(p.lo, p.place - half + 1), p.hi)]
     run, at = [], []
@@ -180,29 +214,26 @@ def open_windows(p: Picks, of, whole: np.ndarray, firsts: np.ndarray, ids: np.nd
     return np.concatenate(run), np.concatenate(at)
 
 
-def window_keys(table: pa.Table, grams: Keys, shared: Keys, depth: int) -> Keys:
-    """Pass 3: windows that no whole stretch has settled."""
+def window_keys(table: pa.Table, shared: Keys, halves: Keys, depth: int) -> Keys:
+    """Pass 4: windows that no whole stretch has settled."""
     each = []
-    for p, ids, of in shared_runs(table, grams, depth):
-        whole = of(p.lo, p.hi + depth)
-        run, at = open_windows(p, of, whole, first_of(p, ids, whole, shared), ids, shared, depth)
-        each.append(distinct(of(at, at + depth), p.gram[run], ids[run]))
+    for p, ids, of, first, contested in shared_runs(table, shared, depth):
+        run, at = open_windows(p, of, contested & (first == ids), halves, depth)
+        each.append(distinct(of(at, at + depth), tag(p.gram[run]), ids[run]))
     k = joined(each)
     return distinct(k.key, k.check, k.low, k.high)
 
 
-def removed(table: pa.Table, grams: Keys, shared: Keys, windows: Keys, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def removed(table: pa.Table, shared: Keys, halves: Keys, windows: Keys, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offsets, bytes, and which bytes go."""
     _, offsets, data = texts_of(table)
     change = np.zeros(len(data) + 1, np.int32)
-    for p, ids, of in shared_runs(table, grams, depth):
-        whole = of(p.lo, p.hi + depth)
-        firsts = first_of(p, ids, whole, shared)
-        gone = firsts < ids
+    for p, ids, of, first, contested in shared_runs(table, shared, depth):
+        gone = first < ids
         np.add.at(change, p.at + p.lo[gone], 1)
         np.add.at(change, p.at + p.hi[gone] + depth, -1)
-        run, at = open_windows(p, of, whole, firsts, ids, shared, depth)
-        there, i = find(windows, of(at, at + depth), p.gram[run])
+        run, at = open_windows(p, of, contested & ~gone, halves, depth)
+        there, i = find(windows, of(at, at + depth), tag(p.gram[run]))
         at = at[there & (windows.low[i] < ids[run])] if len(windows.key) else at[:0]
         np.add.at(change, p.at + at, 1)
         np.add.at(change, p.at + at + depth, -1)
@@ -223,26 +254,34 @@ def remove_repeats(docs: DataFrame, depth: int = 50, doc_id: str = "doc_id", tex
     def one(key, table):
         return blocks.sent(key[0].as_py(), gram_keys(table, depth), blocks.ranges(keys))
 
-    grams = written(blocks.answers(by.applyInArrow(one, blocks.SENT), grams_meet).withColumn("pass", F.lit(1)), "repeat-grams")
-
-    def answers_of(table: pa.Table) -> list[Keys]:
+    def answers_of(table: pa.Table, n: int) -> list[Keys]:
         kind = table.column("pass").to_numpy()
-        return [blocks.received(table.filter(pa.array(kind == i))) for i in (1, 2, 3)]
+        return [blocks.received(table.filter(pa.array(kind == i))) for i in range(n)]
+
+    def together(known: list[DataFrame]):
+        each = [d.withColumn("pass", F.lit(i)) for i, d in enumerate(known)]
+        return by.cogroup(reduce(DataFrame.unionByName, each).groupBy("block"))
 
-    def two(key, table, back):
-        return blocks.sent(key[0].as_py(), stretch_keys(table, answers_of(back)[0], depth), blocks.ranges(keys))
+    def round_of(known: list[DataFrame], keys_of, rule, name: str) -> DataFrame:
+        """What the ranges answer to the keys that blocks send, given the answers before."""
+        n = len(known)
 
-    shared = written(blocks.answers(by.cogroup(grams.groupBy("block")).applyInArrow(two, blocks.SENT)).withColumn("pass", F.lit(2)), "repeat-stretches")
+        def send(key, table, back):
+            return blocks.sent(key[0].as_py(), keys_of(table, *answers_of(back, n), depth), blocks.ranges(keys))
 
-    def three(key, table, back):
-        g, s, _ = answers_of(back)
-        return blocks.sent(key[0].as_py(), window_keys(table, g, s, depth), blocks.ranges(keys))
+        return written(blocks.answers(together(known).applyInArrow(send, blocks.SENT), rule), name)
+
+    def first_round(key, table):
+        return blocks.sent(key[0].as_py(), gram_keys(table, depth), blocks.ranges(keys))
 
-    known = grams.unionByName(shared)
-    windows = written(blocks.answers(by.cogroup(known.groupBy("block")).applyInArrow(three, blocks.SENT)).withColumn("pass", F.lit(3)), "repeat-windows")
+    grams = written(blocks.answers(by.applyInArrow(first_round, blocks.SENT), grams_meet), "repeat-grams")
+    shared = round_of([grams], stretch_keys, stretches_meet, "repeat-stretches")
+    discard(grams)
+    halves = round_of([shared], half_window_keys, halves_meet, "repeat-halves")
+    windows = round_of([shared, halves], window_keys, blocks.several, "repeat-windows")
 
     def last(key, table, back):
-        offsets, data, gone = removed(table, *answers_of(back), depth)
+        offsets, data, gone = removed(table, *answers_of(back, 3), depth)
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
         before, after = np.concatenate([[False], gone]), np.concatenate([gone, [False]])
@@ -255,4 +294,4 @@ def remove_repeats(docs: DataFrame, depth: int = 50, doc_id: str = "doc_id", tex
         kept = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(kept_at.astype(np.int32)), pa.py_buffer(data[~gone])])
         return pa.table([table.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), kept, lists(start), lists(end)], ["doc_id", "n_bytes", "kept", "span_starts", "span_ends"])
 
-    return by.cogroup(known.unionByName(windows).groupBy("block")).applyInArrow(last, "doc_id long, n_bytes long, kept binary, span_starts array<long>, span_ends array<long>")
+    return together([shared, halves, windows]).applyInArrow(last, "doc_id long, n_bytes long, kept binary, span_starts array<long>, span_ends array<long>")
