@@ -42,8 +42,7 @@ def seeds_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text")
                     if k >= len(SHAPES):   # whole items of this length only
                         fits = n[w.doc[at]] == len(s)
                         at, h = at[fits], h[fits]
-                    at = at[n[w.doc[at]] >= MIN_WORDS] if k < len(SHAPES) else at
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[w.doc[at]], pa.int64(), from_pandas=True), pa.array(signed(h)[:len(at)], pa.int64()), pa.array(at - w.first[w.doc[at]], pa.int32())], ["item_id", "seed", "item_at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[w.doc[at]], pa.int64(), from_pandas=True), pa.array(signed(h), pa.int64()), pa.array(at - w.first[w.doc[at]], pa.int32())], ["item_id", "seed", "item_at"])
 
     def whole(batches):
         for batch in batches:
