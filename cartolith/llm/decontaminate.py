@@ -11,9 +11,10 @@ from cartolith.llm.bpe import lists
 from cartolith.llm.common import documents_of, written
 from cartolith.llm.words import ALNUM, U, grams, parts, signed, words
 
-# Every way to substitute 3 words of 16 leaves one of these masks whole somewhere in the 16 (1: word counts, 0: ignored), so no overlap that passes
-# the check below is missed for want of a seed.
+# Every way to substitute 3 words of 16 leaves one of MASKS whole somewhere in the 16 (1: word counts, 0: ignored), so no overlap that passes
+# the check below is missed for want of a seed. With NARROW the same holds for whole items of 9 to 15 words and a fifth of their words.
 MASKS = ("1101111", "1100010111", "11110101")
+NARROW = ("11010011", "110111")
 WINDOW, SHARE = 16, 0.8
 MIN_WORDS = 5
 BITS = 1 << 24   # of the filter that every task gets: 2 MB, whatever the benchmark's size
@@ -24,7 +25,14 @@ def shape(mask: str) -> tuple[int, ...]:
 
 
 SHAPES = tuple(shape(m) for m in MASKS)
-SHORT = {n: tuple(range(n)) for n in range(MIN_WORDS, max(len(m) for m in MASKS))}   # items too short for some mask: all of their words as well
+NARROW_SHAPES = tuple(shape(m) for m in NARROW)
+WHOLE = {n: tuple(range(n)) for n in range(MIN_WORDS, 9)}   # shorter items: all of their words
+
+
+def shapes_for(lengths: list[int]) -> list[tuple[int, tuple[int, ...], range]]:
+    """(number, shape, numbers of words of the items that it is for), as far as items of these lengths need them."""
+    every = [*[(s, range(9, 1 << 31)) for s in SHAPES], *[(s, range(9, WINDOW)) for s in NARROW_SHAPES], *[(s, range(n, n + 1)) for n, s in WHOLE.items()]]
+    return [(k, s, r) for k, (s, r) in enumerate(every) if any(n in r for n in lengths)]
 
 
 def seeds_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -37,11 +45,10 @@ def seeds_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text")
                 w = words(offsets, data, ALNUM)
                 n = np.diff(w.first)
                 ids = batch.column(0).slice(row, len(offsets) - 1).to_numpy(zero_copy_only=False)
-                for k, s in enumerate([*SHAPES, *SHORT.values()]):
+                for k, s, r in shapes_for(n.tolist()):
                     at, h = grams(w, s, k)
-                    if k >= len(SHAPES):   # whole items of this length only
-                        fits = n[w.doc[at]] == len(s)
-                        at, h = at[fits], h[fits]
+                    fits = (n[w.doc[at]] >= r.start) & (n[w.doc[at]] < r.stop)
+                    at, h = at[fits], h[fits]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[w.doc[at]], pa.int64(), from_pandas=True), pa.array(signed(h), pa.int64()), pa.array(at - w.first[w.doc[at]], pa.int32())], ["item_id", "seed", "item_at"])
 
     def whole(batches):
@@ -63,19 +70,19 @@ def seed_filter(seeds: DataFrame) -> np.ndarray:
     return np.unpackbits(found.view(np.uint8), bitorder="little").astype(bool)
 
 
-def stretches(docs: DataFrame, present: np.ndarray, short: list[int]) -> DataFrame:
+def stretches(docs: DataFrame, present: np.ndarray, lengths: list[int]) -> DataFrame:
     """doc_id, first, words, at, seed: the words around places whose seed may be one of the benchmark, with those places and seeds.
 
     Stretches end where no such place follows within two windows."""
     packed = np.packbits(present)
-    shapes = [*enumerate(SHAPES), *((len(SHAPES) + n - MIN_WORDS, SHORT[n]) for n in short)]
+    shapes = [(k, s) for k, s, _ in shapes_for(lengths)]
 
     def run(batches):
         here = np.unpackbits(packed).astype(bool)
         for batch in batches:
             for row, offsets, data in parts(batch.column(1)):
                 w = words(offsets, data, ALNUM)
-                at, seed = [], []
+                at, seed = [np.empty(0, np.int64)], [np.empty(0, U)]
                 for k, s in shapes:
                     a, h = grams(w, s, k)
                     hit = here[h & U(BITS - 1)]
@@ -117,13 +124,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     """doc_id, item_id, doc_word, equal_words, window: every alignment of a document and a benchmark item with a window of WINDOW words (or the whole
     of a shorter item) in which at least SHARE of the words are equal, place by place.
 
-    Words are runs of digits, letters (A-Z lower-cased) and non-ASCII characters; items of fewer than MIN_WORDS words are not searched. Null texts
+    Words are runs of digits, letters (A-Z lower-cased) and non-ASCII characters; items of 5 to 8 words are
+    found word for word only, those of fewer than MIN_WORDS words are not searched. Null texts
     have no words; benchmark rows with a null id are left out. Only ids and texts are read.
     """
     base = documents_of(docs, doc_id, text)
     seeds, items = seeds_of(benchmark, item_id, item_text)
-    short = sorted(r.n for r in items.select(F.size("item_words").alias("n")).where(F.col("n").isin(list(SHORT))).distinct().collect())
-    found = written(stretches(base, seed_filter(seeds), short).withColumn("stretch", F.xxhash64("doc_id", "first", "words")), "stretches")
+    lengths = [r.n for r in items.select(F.least(F.size("item_words"), F.lit(WINDOW)).alias("n")).distinct().collect()]   # at most WINDOW + 1 numbers
+    found = written(stretches(base, seed_filter(seeds), lengths).withColumn("stretch", F.xxhash64("doc_id", "first", "words")), "stretches")
     hits = found.select("stretch", F.explode(F.arrays_zip("at", "seed")).alias("hit")).select("stretch", "hit.at", "hit.seed")
     lined = hits.join(seeds, "seed").select("stretch", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     both = lined.join(found.select("stretch", "doc_id", "first", "words"), "stretch").join(items, "item_id").select("doc_id", "item_id", "first", "words", "item_words", "shift")

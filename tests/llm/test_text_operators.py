@@ -134,16 +134,18 @@ def brute_overlap(doc, item):
 
 
 def test_masks_miss_no_window():
-    """Whatever three of sixteen words are substituted, some mask stands on equal words."""
-    for bad in itertools.combinations(range(16), 3):
-        assert any(all(at + i not in bad for i in s) for s in decontaminate.SHAPES for at in range(16 - s[-1]))
+    """Whatever a fifth of the words of a window are substituted, some mask stands on equal words."""
+    for size in range(9, 17):
+        shapes = [s for _, s, _ in decontaminate.shapes_for([size])]
+        for bad in itertools.combinations(range(size), size // 5):
+            assert any(all(at + i not in bad for i in s) for s in shapes for at in range(size - s[-1]))
 
 
 def test_decontamination(spark, docs_of, odd_rows):
     rnd = random.Random(9)
     vocabulary = [f"w{i}" for i in range(400)]
     text = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
-    items = {k: text(n) for k, n in enumerate([40, 60, 16, 12, 9, 6, 5, 3, 0])}
+    items = {k: text(n) for k, n in enumerate([40, 60, 16, 15, 12, 10, 9, 6, 5, 3, 0])}
     rows = list(odd_rows)
     for i in range(120):
         w = text(rnd.randint(0, 80))
@@ -152,7 +154,7 @@ def test_decontamination(spark, docs_of, odd_rows):
             lo = rnd.randrange(len(b) - 15) if len(b) > 16 and rnd.random() < 0.5 else 0
             b = b[lo:lo + 24]
             for _ in range(rnd.randint(0, 4)):
-                if b and len(b) >= 16:
+                if b and len(b) >= 9:
                     b[rnd.randrange(len(b))] = "zz"
             w = w[:20] + b + w[20:]
         rows.append((100 + i, ", ".join(w).upper()))
