@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.llm.common import documents_of
+from cartolith.llm.common import documents_of, worker_cache
 
 MEMORY = 200_000   # pieces a worker remembers; more are encoded again
 
@@ -70,15 +70,13 @@ class Codec:
         return ends, begun[ends - 1] if len(ends) else ends
 
 
-CODECS: dict[tuple[str, str], Codec] = {}   # per Python worker
-
-
 def codec(path: str, pattern: str) -> Codec:
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark's tasks are the parallelism
-    if (path, pattern) not in CODECS:
-        CODECS[path, pattern] = Codec(path, pattern)
-    return CODECS[path, pattern]
+    made = worker_cache().setdefault("codecs", {})
+    if (path, pattern, MEMORY) not in made:
+        made[path, pattern, MEMORY] = Codec(path, pattern)
+    return made[path, pattern, MEMORY]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +48,11 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def worker_cache() -> dict:
+    """What a Python worker keeps between tasks. The library's own modules travel with each task, so their globals don't last."""
+    return sys.modules.setdefault("cartolith_worker_cache", types.ModuleType("cartolith_worker_cache")).__dict__
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

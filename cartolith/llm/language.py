@@ -11,21 +11,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolith.llm.bpe import slices
+from cartolith.llm.common import worker_cache
 
 SYMBOLS = 64   # 0: anything between words; 1-26: a-z; the rest: other letters by a fixed hash
-TABLE: dict[str, np.ndarray] = {}
 
 
 def symbol_table() -> np.ndarray:
     """The symbol of each code point."""
-    if "all" not in TABLE:
+    kept = worker_cache()
+    if "symbols" not in kept:
         table = np.zeros(0x110000, np.uint8)
         for c in range(0x110000):
             if chr(c).isalpha():
                 table[c] = 27 + (c * 2654435761 >> 7) % (SYMBOLS - 27)
         table[ord("a"):ord("z") + 1] = np.arange(1, 27)
-        TABLE["all"] = table
-    return TABLE["all"]
+        kept["symbols"] = table
+    return kept["symbols"]
 
 
 def trigrams(text: str) -> np.ndarray:

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from cartolith.llm.common import worker_cache
+
 U = np.uint64
 
 
@@ -32,17 +34,19 @@ ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True   # digits, letters, all of a non-ASCII character
 LETTER_VALUES = odd(256, 11)
 R = 0x5851F42D4C957F2D
-POWERS = {"up": np.ones(1, U), "down": np.ones(1, U)}   # R and 1/R to the i; grown as needed
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(POWERS["up"]) < n:
-        size = max(n, 1 << 20)
-        for k, base in (("up", R), ("down", pow(R, -1, 1 << 64))):
-            steps = np.full(size, base, U)
+    """R and 1/R to the i, for i below n at least; kept and grown as needed."""
+    kept = worker_cache().get("powers")
+    if kept is None or len(kept[0]) < n:
+        made = []
+        for base in (R, pow(R, -1, 1 << 64)):
+            steps = np.full(max(n, 1 << 20), base, U)
             steps[0] = 1
-            POWERS[k] = np.cumprod(steps, dtype=U)
-    return POWERS["up"], POWERS["down"]
+            made.append(np.cumprod(steps, dtype=U))
+        kept = worker_cache()["powers"] = tuple(made)
+    return kept
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
