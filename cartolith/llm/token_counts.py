@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartolith.llm.common import written
+
 STEP = 1024   # lengths of one part of the suffix sums
 
 
@@ -20,7 +22,8 @@ def histogram(lengths: DataFrame, length: str = "n_tokens", by: Sequence[str] =
     """
     group = [f"by_{i}" for i in range(len(by))]
     base = lengths.select(*[F.col(c).alias(g) for c, g in zip(by, group)], F.col(length).cast("long").alias("n_tokens")).where("n_tokens IS NOT NULL")
-    rows = base.groupBy(*group, "n_tokens").agg(F.count("*").alias("n_docs")).withColumn("part", F.expr(f"n_tokens DIV {STEP}"))
+    rows = written(base.groupBy(*group, "n_tokens").agg(F.count("*").alias("n_docs")), "lengths")   # what follows reads it twice; encoding ran once
+    rows = rows.withColumn("part", F.expr(f"n_tokens DIV {STEP}"))
     rows = rows.withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     parts = rows.groupBy(*group, "part").agg(F.sum("n_docs").alias("part_docs"), F.sum("tokens").alias("part_tokens"))
     over = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
