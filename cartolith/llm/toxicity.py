@@ -15,10 +15,11 @@ from cartolith.llm.words import ALNUM, LOWER, NOT_SPACE, U, mix, parts, words
 
 DIMS = 1 << 22        # hashed features
 PREFIXES = (4, 5, 6, 7, 8)
-SAMPLE = 10_000       # labelled documents that the models learn from, at most
+SAMPLE = 4_000        # labelled documents that the models learn from, at most
 FOLDS = 3
 FEATURES = 300        # of a model, at most
 LEAST_Z = 4.0
+LEAST_ROWS = 5        # that a feature occurs in
 OFTEN = 3
 RIDGE = 0.3
 
@@ -74,27 +75,30 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 def matrix(rows: np.ndarray, found: np.ndarray, n: int, chosen: np.ndarray) -> np.ndarray:
     """Presence (rows x chosen) from distinct (row, feature)."""
     x = np.zeros((n, len(chosen)))
-    at = np.minimum(np.searchsorted(chosen, found), max(len(chosen) - 1, 0))
-    some = chosen[at] == found if len(chosen) else np.zeros(len(found), bool)
-    x[rows[some], at[some]] = 1
+    if len(chosen):
+        at = np.searchsorted(chosen, found).astype(np.int32)
+        at[at == len(chosen)] = 0
+        some = chosen[at] == found
+        x[rows[some], at[some]] = 1
     return x
 
 
-def fit(rows: np.ndarray, found: np.ndarray, y: np.ndarray, extra: np.ndarray, use: np.ndarray) -> Linear:
-    """One model, from the rows of `use`: features that are far more or less frequent where y holds, then ridge-penalised Newton steps."""
+def fit(rows: np.ndarray, found: np.ndarray, kinds: int, y: np.ndarray, extra: np.ndarray, use: np.ndarray) -> Linear:
+    """One model, from the rows of `use`: features (below kinds) that are far more or less frequent where y holds, then ridge-penalised Newton steps."""
     n, p = max(int(use.sum()), 1), float(y[use].mean()) if use.any() else 0.0
     few = np.empty(0, np.int64)
     if not 0 < p < 1:   # one class, or no rows: its share is all there is to say
         return Linear(few, np.concatenate([np.zeros(extra.shape[1]), [np.log((p * n + 0.5) / ((1 - p) * n + 0.5)) if use.any() else -30.0]]))
     mine = use[rows]
     f, hit = found[mine], y[rows[mine]]
-    total = np.bincount(f, minlength=DIMS)
+    total = np.bincount(f, minlength=kinds)
     with np.errstate(divide="ignore", invalid="ignore"):
-        z = np.abs(np.bincount(f, weights=hit, minlength=DIMS) - total * p) / np.sqrt(total * p * (1 - p))
-    z[total < 5] = 0
-    order = np.lexsort((np.arange(DIMS)[z >= LEAST_Z], -z[z >= LEAST_Z]))[:FEATURES]
+        z = np.abs(np.bincount(f, weights=hit, minlength=kinds) - total * p) / np.sqrt(total * p * (1 - p))
+    z[total < LEAST_ROWS] = 0
+    order = np.lexsort((np.arange(kinds)[z >= LEAST_Z], -z[z >= LEAST_Z]))[:FEATURES]
     chosen = np.sort(np.flatnonzero(z >= LEAST_Z)[order])
-    x = np.concatenate([matrix(rows, found, len(y), chosen)[use], extra[use], np.ones((n, 1))], axis=1)
+    mine &= np.isin(found, chosen, kind="table" if kinds < 1 << 24 else None)
+    x = np.concatenate([matrix(rows[mine], found[mine], len(y), chosen)[use], extra[use], np.ones((n, 1))], axis=1)
     w, ridge = np.zeros(x.shape[1]), RIDGE * np.eye(x.shape[1])
     ridge[-1, -1] = 1e-6
     for _ in range(25):
@@ -126,21 +130,30 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, n), *(batch.column(f"y{i}").slice(row, n) for i in range(len(names))), lists(np.split(f, cuts), pa.int32())], ["doc_id", *(f"y{i}" for i in range(len(names))), "f"])
 
     schema = "doc_id long, " + "".join(f"y{i} int, " for i in range(len(names))) + "f array<int>"
-    got = texts.mapInArrow(run, schema).toArrow().sort_by("doc_id").combine_chunks()
+    got = texts.mapInArrow(run, schema).toArrow().sort_by("doc_id")
     n = got.num_rows
-    each = got.column("f").combine_chunks() if n else pa.array([], pa.list_(pa.int32()))
-    lengths = each.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if n else np.empty(0, np.int64)
-    found = each.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    at = np.repeat(np.arange(n), lengths)
-    fold = (mix(got.column("doc_id").to_numpy().astype(np.int64).view(U)) % U(FOLDS)).astype(int) if n else np.empty(0, int)
+    ids, ys = got.column("doc_id").to_numpy().astype(np.int64), [got.column(f"y{i}").to_numpy().astype(float) for i in range(len(names))]
+    each = [np.asarray(c.values)[c.offsets[0].as_py():c.offsets[-1].as_py()] for c in got.column("f").chunks]
+    lengths = np.concatenate([np.diff(np.asarray(c.offsets)) for c in got.column("f").chunks]) if n else np.empty(0, int)
+    found = np.concatenate(each) if n else np.empty(0, np.int32)
+    del got, each
+    kept, total = np.unique(found, return_counts=True)
+    kept = kept[total >= LEAST_ROWS]   # rarer ones can't be chosen; most are
+    del total
+    place = np.searchsorted(kept, found).astype(np.int32)
+    some = kept[np.minimum(place, max(len(kept) - 1, 0))] == found if len(kept) else np.zeros(len(found), bool)
+    at = np.repeat(np.arange(n, dtype=np.int32), lengths)[some]
+    found = place[some]
+    del place, some
+    fold = (mix(ids.view(U)) % U(FOLDS)).astype(int)
     extra, models = np.zeros((n, 0)), []
     for i in range(len(names)):
-        y = got.column(f"y{i}").to_numpy().astype(float)
-        models.append(fit(at, found, y, extra, np.ones(n, bool)))
+        m = fit(at, found, len(kept), ys[i], extra, np.ones(n, bool))
+        models.append(Linear(kept[m.chosen], m.weights))
         if i + 1 < len(names):
             unseen = np.zeros(n)
             for k in range(FOLDS):
-                m = fit(at, found, y, extra, fold != k)
+                m = fit(at, found, len(kept), ys[i], extra, fold != k)
                 own = fold == k
                 unseen[own] = sigmoid(m.logits(matrix(at, found, n, m.chosen), extra)[own])
             extra = np.concatenate([extra, unseen[:, None]], axis=1)
