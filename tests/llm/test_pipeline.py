@@ -35,3 +35,15 @@ def test_stages_keep_columns_and_nulls(spark, docs_of, odd_rows, sf):
             out = stage(spark, some, sf)
             assert out.columns == docs.columns, name
             assert out.count() <= some.count()
+
+
+def test_near_copies_at_the_threshold(spark, docs_of, sf):
+    """One word of 50 differs: 0.804 by five words, 0.843 by four. Of 48: 0.796 by five."""
+    def pair(first, n):
+        w = [f"{'v' if n == 50 else 'w'}{i}" for i in range(n)]
+        return [(first, " ".join(w)), (first + 1, " ".join([*w[:20], "other", *w[21:]]))]
+
+    rows = pair(1, 50) + pair(3, 48)
+    group = brute_links(sets(rows, 5), 80)
+    left = {r.doc_id for r in corpus_pipeline.jaccard_stage(spark, docs_of(rows), sf).collect()}
+    assert left == {i for i in group if group[i] == i} == {1, 3, 4}
