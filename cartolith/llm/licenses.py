@@ -40,6 +40,11 @@ def tokens(template: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), template))))
 
 
+def length(template: str) -> int:
+    """The words of a template, repeated ones too."""
+    return len(re.findall(r"[0-9A-Za-z\x80-\U0010FFFF]+", template))
+
+
 def spaces(c: Column) -> Column:
     return (F.octet_length(c) - F.octet_length(F.replace(c, F.lit(" "), F.lit("")))).cast("long")
 
@@ -68,8 +73,11 @@ def word_order(base: DataFrame, vocabulary: list[str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def blocks_found(base: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, key, block, template, label, containment: all blocks (lines, from 0) that hold at least `threshold` of a template's distinct words.
+def blocks_found(base: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
+    """doc_id, key, block, template, label, containment: all blocks that hold at least `threshold` of a template's distinct words.
+
+    Blocks are lines (from 0); with `wrapped` also windows over line ends (from -1 down): for a template of n words those of 2 n words that begin at
+    every n-th word, so a run of up to n + 1 words lies whole in one of them.
 
     Words get numbers in the order of their frequency in the whole corpus. A template's prefix is what a block can't miss altogether if it passes:
     its rarest (words - needed + 1) words. Blocks meet templates by an equi-join on prefix words. The length filter asks for enough template words in
@@ -80,36 +88,51 @@ def blocks_found(base: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLA
     sets = {name: (label, tokens(text)) for name, (label, text) in templates.items()}
     order = word_order(base, sorted({w for _, ws in sets.values() for w in ws}))
     number = {w: i for i, w in enumerate(order)}
-    rows, least = [], None
+    rows, needs = [], {}
     for name, (label, ws) in sets.items():
         own = sorted(number[w] for w in ws)
-        need = ceil(threshold * len(own) - 1e-9)
-        least = need if least is None else min(least, need)
-        rows += [(n, name, label, own, i, need) for i, n in enumerate(own[:len(own) - need + 1])]
-    prefixes = spark.createDataFrame(rows, "word int, template string, label string, own array<int>, own_at int, need int")
+        need = needs[name] = ceil(threshold * len(own) - 1e-9)
+        rows += [(n, name, label, own, i, need, length(templates[name][1])) for i, n in enumerate(own[:len(own) - need + 1])]
+    least = min(needs.values(), default=0)
+    prefixes = spark.createDataFrame(rows, "word int, template string, label string, own array<int>, own_at int, need int, n int")
     heads = sorted({r[0] for r in rows})
     numbers = F.create_map(*[F.lit(x) for pair in number.items() for x in pair])
     line = F.split(F.regexp_replace(lowered(F.col("text")), OTHER_IN_LINE, " "), "\n")
     lines = base.select("doc_id", "key", F.posexplode(line).alias("block", "line"))
-    held = lines.select("doc_id", "key", "block", F.array_intersect(F.split("line", " "), F.array(*map(F.lit, order))).alias("held")).where(F.size("held") >= least)
-    ranked = held.select("doc_id", "key", "block", F.array_sort(F.transform("held", lambda w: F.element_at(numbers, w))).alias("held"))
+    held = lines.select("doc_id", "key", "block", F.lit(None).cast("int").alias("of"), F.array_intersect(F.split("line", " "), F.array(*map(F.lit, order))).alias("held"))
+    if wrapped:
+        held = held.unionByName(windows(base, [(length(templates[name][1]), needs[name], ws) for name, (_, ws) in sets.items()], order))
+    held = held.where(F.size("held") >= least)
+    ranked = held.select("doc_id", "key", "block", "of", F.array_sort(F.transform("held", lambda w: F.element_at(numbers, w))).alias("held"))
     shared = ranked.withColumn("word", F.explode(F.array_intersect("held", F.array(*map(F.lit, heads)))))
-    met = shared.join(F.broadcast(prefixes), "word").where(F.size("held") >= F.col("need"))
+    met = shared.join(F.broadcast(prefixes), "word").where((F.size("held") >= F.col("need")) & (F.col("of").isNull() | (F.col("of") == F.col("n"))))
     after = F.least(F.size("held") - F.array_position("held", F.col("word")).cast("int"), F.size("own") - F.col("own_at") - 1) + 1
-    first = met.where(after >= F.col("need")).dropDuplicates(["doc_id", "key", "block", "template"])
+    first = met.where(after >= F.col("need")).dropDuplicates(["doc_id", "key", "block", "of", "template"])
     share = F.size(F.array_intersect("held", "own"))
     return first.where(share >= F.col("need")).select("doc_id", "key", "block", "template", "label", (share / F.size("own")).alias("containment"))
 
 
-def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def windows(base: DataFrame, templates: list[tuple[int, int, list[str]]], order: list[str]) -> DataFrame:
+    """doc_id, key, block, of (the template length they are for) and held of windows over line ends. Templates are (words, needed, distinct words);
+    a document gets windows for those only that it holds enough words of as a whole."""
+    words = base.select("doc_id", "key", F.split(F.trim(F.regexp_replace(lowered(F.col("text")), OTHER, " ")), " ").alias("words"))
+    whole = words.withColumn("whole", F.array_intersect("words", F.array(*map(F.lit, order))))
+    enough = [F.when(F.size(F.array_intersect("whole", F.array(*map(F.lit, ws)))) >= need, F.lit(n)) for n, need, ws in templates]
+    some = whole.withColumn("of", F.explode_outer(F.array_distinct(F.array_compact(F.array(*enough))))).where("of IS NOT NULL")
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("words") / F.col("of")).cast("int") - 2, F.lit(0)))
+    cut = F.transform(starts, lambda k: F.array_intersect(F.slice("words", k * F.col("of") + 1, 2 * F.col("of")), F.col("whole")))
+    return some.select("doc_id", "key", "of", F.posexplode(cut).alias("at", "held")).select("doc_id", "key", (-1 - F.col("at")).alias("block"), "of", "held")
+
+
+def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text", wrapped: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     base_labels come from phrases whose words follow each other; labels add those of the templates found. score is the largest containment of a
-    template in a block of the document, 0 if none passes. Null text counts as empty. Repeated rows are scanned one by one; rows of one id with
+    template in a block of the document, 0 if none passes; blocks are lines, with `wrapped` also windows over line ends (see blocks_found). Null text counts as empty. Repeated rows are scanned one by one; rows of one id with
     different texts keep apart. Other columns are not read.
     """
     base = documents_of(docs, doc_id, text).withColumn("key", F.xxhash64("text"))
-    found = blocks_found(base, templates, threshold).groupBy(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key")).agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    found = blocks_found(base, templates, threshold, wrapped).groupBy(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key")).agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     out = base
     for name, c in base_columns(F.col("text")).items():
         out = out.withColumn(name, c)

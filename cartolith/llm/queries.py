@@ -15,7 +15,7 @@ def op1_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents"), wrapped=True)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,34 @@ def test_license_join_is_exact(docs_of):
         assert found == want
 
 
+def test_wrapped_licenses(spark, docs_of, odd_rows, tmp_path):
+    """License sentences over several lines, by trying every window; what lines give stays."""
+    rnd = random.Random(5)
+    rows = list(odd_rows)
+    for k, (label, text) in enumerate(licenses.TEMPLATES.values()):
+        w = text.split()
+        for width in (3, 7):
+            lines = "\n# ".join(" ".join(w[i:i + width]) for i in range(0, len(w), width))
+            rows.append((100 + 10 * k + width, " ".join(rnd.choice(["one", "the", "of\n"]) for _ in range(rnd.randint(0, 40))) + f"\n# {lines}\nrest of it"))
+    rows.append((300, "\n".join(rnd.sample([w for _, t in licenses.TEMPLATES.values() for w in t.split()] * 3, 300))))
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.op2_license_scan(spark, str(tmp_path)).collect()}
+    by_line = {r.doc_id: r for r in licenses.scan(docs_of(rows)).collect()}
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    for i, t in rows:
+        best, labels = by_line[i].score, set(filter(None, by_line[i].labels.split(",")))
+        ws = cut(t or "")
+        for label, x in licenses.TEMPLATES.values():
+            n, own = len(cut(x)), set(cut(x))
+            share = max(len(own & set(ws[k:k + 2 * n])) / len(own) for k in range(0, max(len(ws), 1), n))
+            if share >= licenses.THRESHOLD:
+                best, labels = max(best, share), labels | {label}
+        assert (found[i].score, found[i].labels) == (best, ",".join(sorted(labels))), t
+    for k, (label, _) in enumerate(licenses.TEMPLATES.values()):
+        for width in (3, 7):
+            assert found[100 + 10 * k + width].score == 1 and label in found[100 + 10 * k + width].labels.split(",")
+
+
 def test_words_are_cut_and_told_apart():
     import pyarrow as pa
     texts = ["", "one two", "  ONE,two  ", "é ß", "x", " ", "a" * 5000 + " b"] * 3
