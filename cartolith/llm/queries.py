@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.llm import bpe, conversations, decontaminate, exact_dedup, jaccard, language, licenses, quality_bands, repeats, sharding, token_counts, toxicity
+from cartolith.llm import bpe, conversations, decontaminate, exact_dedup, jaccard, language, licenses, merkle, quality_bands, repeats, sharding, token_counts, toxicity
 from cartolith.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"), merkle.without_newlines())
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digests(table(spark, sf_dir, "conversations"))
 
@@ -59,5 +63,5 @@ def op13_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bands.rate(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeat_removal, op2_license_scan, op3_language_id, op4_ngram_jaccard, op5_token_counts, op6_byte_bpe, op7_toxicity_chain, op8_exact_dedup, op9_decontamination, op10_ring_shards, op12_conversation_repair, op13_quality_bands)}
-ORACLE = {"op2_license_scan": licenses.oracle(), "op8_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_repeat_removal, op2_license_scan, op3_language_id, op4_ngram_jaccard, op5_token_counts, op6_byte_bpe, op7_toxicity_chain, op8_exact_dedup, op9_decontamination, op10_ring_shards, op11_merkle_manifest, op12_conversation_repair, op13_quality_bands)}
+ORACLE = {"op2_license_scan": licenses.oracle(), "op8_exact_dedup": exact_dedup.ORACLE, "op11_merkle_manifest": merkle.oracle()}
