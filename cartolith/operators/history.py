@@ -77,9 +77,9 @@ def apply_changes(h: DataFrame, changes: DataFrame, key: str, op: str = "op", ts
 
 
 def changes_between(h: DataFrame, t1, t2, key: str) -> DataFrame:
-    """Keys inserted, updated or deleted between two times, from the two states."""
-    a = at_time(h, t1).select(F.col(key).alias("_k1"), F.col("valid_from").alias("_f1"))
-    b = at_time(h, t2).select(F.col(key).alias("_k2"), F.col("valid_from").alias("_f2"))
-    j = a.join(b, F.col("_k1") == F.col("_k2"), "full")
-    kind = (F.when(F.col("_k1").isNull(), "inserted").when(F.col("_k2").isNull(), "deleted").when(F.col("_f1") != F.col("_f2"), "updated"))
-    return j.select(F.coalesce("_k1", "_k2").alias(key), kind.alias("change")).where(F.col("change").isNotNull())
+    """Keys inserted, updated or deleted between two times, from the two states; a NULL key is a key like any other."""
+    a = at_time(h, t1).select(F.col(key).alias("_k1"), F.col("valid_from").alias("_f1"), F.lit(True).alias("_in1"))
+    b = at_time(h, t2).select(F.col(key).alias("_k2"), F.col("valid_from").alias("_f2"), F.lit(True).alias("_in2"))
+    j = a.join(b, F.col("_k1").eqNullSafe(F.col("_k2")), "full")
+    kind = F.when(F.col("_in1").isNull(), "inserted").when(F.col("_in2").isNull(), "deleted").when(~F.col("_f1").eqNullSafe(F.col("_f2")), "updated")
+    return j.select(F.when(F.col("_in1"), F.col("_k1")).otherwise(F.col("_k2")).alias(key), kind.alias("change")).where(F.col("change").isNotNull())

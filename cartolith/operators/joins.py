@@ -93,6 +93,12 @@ def spatial_join(a: DataFrame, b: DataFrame, predicate: str = "intersects", how:
     return finish_join(a, b, pairs, how, id)
 
 
+def content_mark(a: DataFrame, prefix: str = "") -> Column:
+    """128 bits that tell rows of ``a`` apart by what they hold, whatever their key is; rows that hold the same share it."""
+    plain = [c for c in a.columns if a.schema[c].dataType.typeName() not in ("map", "variant")]
+    return F.struct(*[F.xxhash64(F.lit(seed), *[F.col(f"`{prefix}{c}`") for c in plain]).alias(f"h{seed}") for seed in (1, 2)])
+
+
 def finish_join(a: DataFrame, b: DataFrame, pairs: DataFrame, how: str, id: str | None) -> DataFrame:
     """Rows of ``a`` that have a pair are known by their key and their content, so a NULL or repeated key neither hides a row nor doubles it."""
     pairs = tidy(pairs)
@@ -100,10 +106,8 @@ def finish_join(a: DataFrame, b: DataFrame, pairs: DataFrame, how: str, id: str
         return pairs
     if id is None:
         raise ValueError(f"how={how!r} needs the key column of the first layer")
-    plain = [c for c in a.columns if a.schema[c].dataType.typeName() not in ("map", "variant")]
-    mark = lambda prefix: F.struct(*[F.xxhash64(F.lit(seed), *[F.col(f"`{prefix}{c}`") for c in plain]).alias(f"h{seed}") for seed in (1, 2)])
-    hit = pairs.select(F.col(f"`a_{id}`").alias("_hit_id"), mark("a_").alias("_hit")).distinct()
-    same = F.col(f"`{id}`").eqNullSafe(F.col("_hit_id")) & (mark("") == F.col("_hit"))
+    hit = pairs.select(F.col(f"`a_{id}`").alias("_hit_id"), content_mark(a, "a_").alias("_hit")).distinct()
+    same = F.col(f"`{id}`").eqNullSafe(F.col("_hit_id")) & (content_mark(a) == F.col("_hit"))
     if how in ("semi", "anti"):
         return a.join(hit, same, "left_" + how)
     if how != "left":
@@ -194,7 +198,7 @@ def distance_band_join(a: DataFrame, points: DataFrame, max_d: float, min_d: flo
 
 
 def knn_join(a: DataFrame, b: DataFrame, k: int, a_id: str, b_id: str, cell0: float | None = None) -> DataFrame:
-    """The ``k`` nearest features of ``b`` for every feature of ``a``; ties by ``b_id``.
+    """The ``k`` nearest features of ``b`` for every feature of ``a``; ties by ``b_id``. A row of ``a`` counts for itself, also under a NULL or repeated key.
 
     The search radius of a row comes from counts of one vertex per feature of ``b``
     on a ladder of grids: the finest cell around a vertex of the row that holds k of
@@ -246,8 +250,12 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, a_id: str, b_id: str, cell0: fl
     pairs = pairs.withColumn("dist", _pair_distance(plan)).where(F.col("dist") <= F.col("b__r"))
     swap = [F.col("b_" + c).alias("a_" + c) for c in a.columns] + [F.col("a_" + c).alias("b_" + c) for c in b.columns]
     pairs = pairs.select(*swap, "dist")
-    w = Window.partitionBy("a_" + a_id).orderBy("dist", "b_" + b_id)
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    # rows that hold the same share a mark, so each neighbour shows up once for each of them; such rows are rare and one aggregate finds them
+    more = a.groupBy(content_mark(a).alias("_same")).agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
+    pairs = pairs.withColumn("_mark", content_mark(a, "a_")).join(more, F.col("_mark") == F.col("_same"), "left")
+    w = Window.partitionBy("_mark").orderBy("dist", "b_" + b_id)
+    nth = F.ceil(F.row_number().over(w) / F.coalesce(F.col("_copies"), F.lit(1))).cast("int")
+    return pairs.withColumn("rank", nth).where(F.col("rank") <= k).drop("_mark", "_same", "_copies")
 
 
 # ---------------------------------------------------------------- overlay
@@ -322,24 +330,25 @@ def difference(a: DataFrame, b: DataFrame, id: str, single: bool = False, drop_e
 
     Only the pieces of ``b`` that lie inside a feature are united for it, in
     rounds (no union of the whole layer).  Covered features stay with an empty
-    geometry unless ``drop_empty``."""
+    geometry unless ``drop_empty``.  Features are told apart by what they hold, so
+    NULL and repeated keys are cut like any other."""
     a, b = align(a, b)
     a, b = ensure_bbox(a), ensure_bbox(b)
     pairs, plan = candidate_pairs(a, b)
     lk, rk = _kind(plan.left.types), _kind(plan.right.types)
     if _only_points(plan.left.types) and rk == 2:
-        hit = pairs.where(pair_predicate("intersects", plan)).select(F.col("a_" + id).alias(id)).distinct()
+        hit = pairs.where(pair_predicate("intersects", plan)).select(content_mark(a, "a_").alias("_gone")).distinct()
         gone = F.col("_gone").isNotNull()
-        out = a.join(hit.withColumn("_gone", F.lit(1)), id, "left")
+        out = a.join(hit, content_mark(a) == F.col("_gone"), "left")
         out = out.withColumn("geom", F.when(gone, geometry("POINT", F.array().cast(PARTS)))
                              .otherwise(F.col("geom"))).drop("_gone")
     else:
         # a cut needs at least the dimension of the feature, so drop lower-dimensional contact early
         pairs, geom = _pair_intersection(pairs, plan)
         cut = (pairs.withColumn("_cut", geom).where(_parts_only(F.col("_cut")) & (N.dimension(F.col("_cut")) >= N.dimension(F.col("a_geom"))))
-               .select(F.col("a_" + id).alias(id), F.col("_cut").alias("geom")))
-        cover = merge_by_key(cut, [id], "geom", union_many, union_one).withColumnRenamed("geom", "_cover")
-        out = spread(a, plan.left).join(cover, id, "left")
+               .select(content_mark(a, "a_").alias("_m"), F.col("_cut").alias("geom")).select("_m.h1", "_m.h2", "geom"))
+        cover = merge_by_key(cut, ["h1", "h2"], "geom", union_many, union_one).select(F.struct("h1", "h2").alias("_m"), F.col("geom").alias("_cover"))
+        out = spread(a, plan.left).join(cover, content_mark(a) == F.col("_m"), "left")
         g, c = F.col("geom"), F.col("_cover")
         gone = F.coalesce(X.is_rect(g, F.col("bbox")) & X.is_rect(c, F.col("bbox")), F.lit(False))   # a rectangle under itself
         cut = ~gone & c.isNotNull()

@@ -41,6 +41,27 @@ def join_anti_null_keys(spark, sf):
     return J.spatial_join(_nulled(spark, sf), fx.parcels(spark, sf), "intersects", "anti", id="k").select("k", "site_id")
 
 
+@query("difference_null_ids", """SELECT CASE WHEN parcel_id % 3 > 0 THEN parcel_id // 7 END AS k, round((a.xmax - a.xmin) * (a.ymax - a.ymin) - coalesce(sum((least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin))), 0), 6) AS area
+    FROM parcels a LEFT JOIN zones b ON a.xmin < b.xmax AND a.xmax > b.xmin AND a.ymin < b.ymax AND a.ymax > b.ymin GROUP BY parcel_id, a.xmin, a.xmax, a.ymin, a.ymax""", "parcels zones")
+def difference_null_ids(spark, sf):
+    """Parcels under a key that is NULL for a third of them and repeats for the rest."""
+    p = fx.parcels(spark, sf).select(F.when(F.col("parcel_id") % 3 > 0, F.expr("parcel_id div 7")).alias("k"), "geom", "bbox")
+    return J.difference(p, fx.zones(spark, sf), "k").select("k", F.abs(F.round(N.area(F.col("geom")), 6)).alias("area"))
+
+
+_APART = "sqrt((s.x - d.x) * (s.x - d.x) + (s.y - d.y) * (s.y - d.y))"
+
+
+@query("nearest_repeated_ids", f"""SELECT CASE WHEN site_id % 3 > 0 THEN site_id // 7 END AS k, depot_id, round(dist, 6) AS dist, rank::INT AS rank FROM (SELECT s.site_id, depot_id, {_APART} AS dist,
+    row_number() OVER (PARTITION BY s.site_id ORDER BY {_APART}, depot_id) AS rank FROM sites s, depots d), (SELECT unnest([1, 2]) AS copy) WHERE rank <= 2 AND (copy = 1 OR site_id % 5 = 0)""", "sites depots")
+def nearest_repeated_ids(spark, sf):
+    """NULL keys, keys of several sites, and every fifth site twice with all it holds."""
+    s = fx.sites(spark, sf).select("site_id", F.when(F.col("site_id") % 3 > 0, F.expr("site_id div 7")).alias("k"), "geom", "bbox")
+    twice = s.unionByName(s.where("site_id % 5 = 0")).drop("site_id")
+    j = J.knn_join(set_srid(twice, fx.SRID), fx.depots(spark, sf).select("depot_id", "geom", "bbox"), 2, "k", "depot_id")
+    return j.select(F.col("a_k").alias("k"), F.col("b_depot_id").alias("depot_id"), F.round("dist", 6).alias("dist"), "rank")
+
+
 @query("raster_values_under_overlaps", "SELECT site_id, CASE WHEN rid = 0 THEN b1 + 1 ELSE b1 END AS value FROM sites LEFT JOIN heat ON floor(x) = col AND floor(h - y) = row", "heat sites")
 def raster_values_under_overlaps(spark, sf):
     """Tile 0 lies under a copy with higher values, which wins."""

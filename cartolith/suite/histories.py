@@ -71,6 +71,16 @@ def history_changes_between(spark, sf):
     return H.changes_between(_history(spark, sf), "1995-01-01 00:00:00", "1997-01-01 00:00:00", "key")
 
 
+@query("history_changes_null_keys", _HISTORY + """, n AS (SELECT nullif(key, 7) AS key, valid_from, valid_to FROM h), a AS (SELECT key, valid_from FROM n WHERE valid_from <= TIMESTAMP '1995-01-01' AND (valid_to IS NULL OR valid_to > TIMESTAMP '1995-01-01')),
+    b AS (SELECT key, valid_from FROM n WHERE valid_from <= TIMESTAMP '1997-01-01' AND (valid_to IS NULL OR valid_to > TIMESTAMP '1997-01-01'))
+    SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.valid_from IS NULL THEN 'inserted' WHEN b.valid_from IS NULL THEN 'deleted' ELSE 'updated' END AS change
+    FROM a FULL JOIN b ON a.key IS NOT DISTINCT FROM b.key WHERE a.valid_from IS DISTINCT FROM b.valid_from""", "changes")
+def history_changes_null_keys(spark, sf):
+    """One customer's key is NULL."""
+    h = _history(spark, sf)
+    return H.changes_between(h.withColumn("key", F.when(F.col("key") != 7, F.col("key"))), "1995-01-01 00:00:00", "1997-01-01 00:00:00", "key")
+
+
 # ---------------------------------------------------------------- files
 
 def _folder(spark, name):
