@@ -1,149 +1,373 @@
-"""Concave hulls of point groups: Delaunay triangles, long border edges eroded (Duckham et al. 2008)."""
+"""Delaunay triangles and concave hulls of point layers of any size.
+
+Triangles: points lie in tiles that hold at most POINTS of them. A triangle whose circle lies inside its tile is final, whatever lies elsewhere; only
+the corners of the other triangles go on to the tile four times as wide, with the edges that part final ground from the rest. Every triangle that a wider
+tile has to find has all of its corners among those (a circle that leaves the tile and touches a point makes one of the point's own circles leave it, too),
+so the wider tile's triangles are right outside the final ground, and those inside it are dropped. What goes on grows with the borders of tiles, not
+with the points.
+
+Hulls: long border edges are eroded (Duckham et al. 2008), longest first inside a task. A task holds a stretch of the triangles along a space-filling
+curve and takes away only what it sees whole, that is, triangles behind whose edge lies a point with all of its triangles in the task and none of them at
+the border. Stretches shift from round to round until no triangle anywhere can go.
+"""
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import kernel as K, native as N
 from ..functions.codec import encode
-from ..layer import GEOM, PUNTAL, set_srid, srid_of, with_bbox
-
-MAX_POINTS = 20_000   # distinct points of one group; larger groups are refused, not thinned
-
-
-def delaunay(p: np.ndarray) -> np.ndarray:
-    """Triangles (counter-clockwise vertex numbers) by insertion; circle tests run over all triangles at once."""
-    n = len(p)
-    mid, span = p.mean(axis=0), max(np.ptp(p, axis=0).max(), 1e-12)
-    q = np.vstack([(p - mid) / span, [[-300.0, -200.0], [300.0, -200.0], [0.0, 400.0]]])
-    tri = np.empty((2 * n + 8, 3), int)
-    circle = np.empty((2 * n + 8, 3))
-
-    def circum(t):
-        a, b, c = q[t[:, 0]], q[t[:, 1]], q[t[:, 2]]
-        b, c = b - a, c - a
-        d = 2 * K.cross(b, c)
-        bb, cc = (b * b).sum(axis=1), (c * c).sum(axis=1)
-        d = np.where(np.abs(d) < 1e-300, 1e-300, d)
-        ux, uy = (c[:, 1] * bb - b[:, 1] * cc) / d, (b[:, 0] * cc - c[:, 0] * bb) / d
-        return np.column_stack([a[:, 0] + ux, a[:, 1] + uy, ux * ux + uy * uy])
-
-    tri[0] = (n, n + 1, n + 2)
-    circle[0] = circum(tri[:1])[0]
-    size = 1
-    for i in range(n):
-        c = circle[:size]
-        bad = np.flatnonzero((c[:, 0] - q[i, 0]) ** 2 + (c[:, 1] - q[i, 1]) ** 2 < c[:, 2] * (1 + 1e-12))
-        e = tri[bad][:, [0, 1, 1, 2, 2, 0]].reshape(-1, 2)
-        twin = {(b, a) for a, b in e.tolist()}
-        rim = np.array([x for x in e.tolist() if tuple(x) not in twin])
-        new = np.column_stack([rim, np.full(len(rim), i)])
-        good = K.cross(q[new[:, 1]] - q[new[:, 0]], q[new[:, 2]] - q[new[:, 0]]) > 1e-18
-        new = new[good]
-        slots = np.concatenate([bad, np.arange(size, size + max(0, len(new) - len(bad)))])
-        if len(new) < len(bad):   # fill the gaps from the end
-            keep = np.setdiff1d(np.arange(size), bad)
-            tri[:len(keep)], circle[:len(keep)] = tri[keep], circle[keep]
-            size = len(keep)
-            slots = np.arange(size, size + len(new))
-        tri[slots], circle[slots] = new, circum(new)
-        size = max(size, int(slots.max()) + 1 if len(slots) else size)
-    t = tri[:size]
-    return t[(t < n).all(axis=1)]
+from ..functions.delaunay import circles, delaunay
+from ..layer import GEOM, PUNTAL, make_polygon, set_srid, srid_of, vertex, with_bbox
+from .aggregate import save_step
 
+POINTS = 4096         # of a tile; a larger group is cut into tiles
+TRIANGLES = 1 << 15   # of a task while borders are eroded
+CORNERS = ["ax", "ay", "bx", "by", "cx", "cy"]
+FLAGS = ["h0", "h1", "h2"]   # whether the edge ab, bc, ca is at the border
 
-def concave_hull(points: np.ndarray, ratio: float, holes: bool):
-    p = np.unique(points, axis=0)
-    if len(p) < 4 or abs(np.linalg.matrix_rank(p - p[0], tol=1e-12)) < 2:
-        return K.hull(p)
+
+# ---------------------------------------------------------------- triangles
+
+def directed(t: np.ndarray) -> np.ndarray:
+    return t[:, [0, 1, 1, 2, 2, 0]].reshape(-1, 2)
+
+
+def outside(t: np.ndarray, final_edges: set[tuple[int, int]]) -> np.ndarray:
+    """Which triangles do not lie on final ground, whose border edges have it on their left."""
+    owner = {(a, b): k // 3 for k, (a, b) in enumerate(directed(t).tolist())}
+    inside = np.zeros(len(t), bool)
+    todo = [owner[e] for e in final_edges if e in owner]
+    while todo:
+        k = todo.pop()
+        if inside[k]:
+            continue
+        inside[k] = True
+        a, b, c = t[k].tolist()
+        for e in ((a, b), (b, c), (c, a)):
+            back = (e[1], e[0])
+            if e not in final_edges and back not in final_edges and back in owner:
+                todo.append(owner[back])
+    return ~inside
+
+
+def tile_triangles(p: np.ndarray, edges: np.ndarray, box: tuple[float, float, float, float] | None):
+    """(final triangles, points that go on, edges that go on, border edges of the whole) of a tile; without a box it is the last one and all is final."""
     t = delaunay(p)
     if not len(t):
-        return K.hull(p)
-    edges = t[:, [0, 1, 1, 2, 2, 0]].reshape(-1, 2)
-    length = np.hypot(*(p[edges[:, 0]] - p[edges[:, 1]]).T)
-    limit = length.min() + ratio * (length.max() - length.min())
-    owner = {(a, b): k // 3 for k, (a, b) in enumerate(edges.tolist())}
-    size = {(a, b): d for (a, b), d in zip(map(tuple, edges.tolist()), length.tolist())}
+        return np.empty((0, 3, 2)), (p if box else p[:0]), edges, np.empty((0, 4))
+    number = {v: i for i, v in enumerate(map(tuple, p.tolist()))}
+    known = {(number[a, b], number[c, d]) for a, b, c, d in edges.tolist()}
+    new = t[outside(t, known)] if known else t
+    rim = {(a, b) for a, b in directed(t).tolist()}
+    rim = [e for e in rim if (e[1], e[0]) not in rim]
+    if box is None:
+        return p[new], p[:0], edges[:0], np.array([[*p[a], *p[b]] for a, b in rim]).reshape(-1, 4)
+    centre, radius = circles(p[new[:, 0]], p[new[:, 1]], p[new[:, 2]])
+    reach = radius * (1 + 1e-6) + 1e-9 * max(box[2] - box[0], box[3] - box[1], abs(box[0]), abs(box[1]))
+    final = (centre[:, 0] - reach > box[0]) & (centre[:, 1] - reach > box[1]) & (centre[:, 0] + reach < box[2]) & (centre[:, 1] + reach < box[3])
+    ground = known | {(a, b) for a, b in directed(new[final]).tolist()}
+    ground = [e for e in ground if (e[1], e[0]) not in ground]
+    on = np.unique(np.concatenate([new[~final].ravel(), np.array(rim, np.int64).reshape(-1)]))
+    return p[new[final]], p[on], np.array([[*p[a], *p[b]] for a, b in ground]).reshape(-1, 4), np.empty((0, 4))
+
+
+def _keyed(first: pa.Array, n: int) -> pa.Array:
+    return first.take(pa.array(np.zeros(n, np.int64)))
+
+
+def _with_group(pts: DataFrame, ddl: str) -> T.StructType:
+    return T.StructType([T.StructField("_g", pts.schema["_g"].dataType), *T.StructType.fromDDL(ddl).fields])
+
+
+def _points_of(points: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct (_g, x, y) of a point layer; _g holds the group's columns."""
+    if points.where(~F.col("geom")["gtype"].isin(*PUNTAL)).limit(1).count():
+        raise ValueError("only point layers can be turned into triangles and polygons")
+    g = F.struct(*[F.col(f"`{c}`") for c in by]) if by else F.struct(F.lit(0).alias("_none"))
+    return points.select(g.alias("_g"), F.explode(N.vertices(F.col("geom"))).alias("v")).select("_g", "v.x", "v.y").distinct()
+
+
+def _mesh(pts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(_g, corners) of all triangles and (_g, x1, y1, x2, y2) of their outer edges; ``most`` is the size of the largest group."""
+    e = pts.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")).first()
+    x0, y0, extent = e["x0"], e["y0"], max(e["x1"] - e["x0"], e["y1"] - e["y0"], 1e-300) * (1 + 1e-9)
+    steps = min(15, max(1, math.ceil(math.log(most / POINTS, 16))) + 4)       # four steps finer than even density asks for
+    finest, levels = 2 * steps, [2 * i for i in range(steps + 1)]               # level l has 2^l tiles a side
+    cell = lambda v, v0: F.least(F.floor((F.col(v) - v0) / (extent / 2 ** finest)), F.lit(2 ** finest - 1)).cast("int")
+    pts = pts.withColumns({"cx": cell("x", x0), "cy": cell("y", y0)})
+    at = lambda c: F.expr(f"shiftright({c}, {finest} - level)")
+    cells = pts.groupBy("_g", "cx", "cy").agg(F.count(F.lit(1)).alias("n"))
+    ladder = save_step(cells, "cells").withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels])))
+    fits = ladder.groupBy("_g", "level", at("cx").alias("tx"), at("cy").alias("ty")).agg(F.sum("n").alias("n")).where(F.col("n") <= POINTS).drop("n")
+    leaf = (ladder.withColumns({"tx": at("cx"), "ty": at("cy")}).join(fits, ["_g", "level", "tx", "ty"]).groupBy(F.col("_g").alias("_lg"), F.col("cx").alias("_lx"), F.col("cy").alias("_ly")).agg(F.min("level").alias("level")))
+    placed = pts.join(leaf, (F.col("_g") == F.col("_lg")) & (F.col("cx") == F.col("_lx")) & (F.col("cy") == F.col("_ly")), "left").withColumn("level", F.coalesce("level", F.lit(finest)))
+    none = [F.lit(None).cast("double").alias(c) for c in ("x2", "y2", "x3", "y3")]
+    placed = save_step(placed.select("_g", F.lit("p").alias("kind"), "level", at("cx").alias("tx"), at("cy").alias("ty"), F.col("x").alias("x1"), F.col("y").alias("y1"), *none), "points")
+    used = {r["level"] for r in placed.select("level").distinct().collect()}    # 16 numbers at most
+    names = ["_g", "kind", "tx", "ty", "x1", "y1", "x2", "y2", "x3", "y3"]
+    schema = _with_group(pts, "kind string, tx int, ty int, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double")
+
+    def work(level: int):
+        side = extent / 2 ** level
+
+        def run(table: pa.Table) -> pa.Table:
+            kind = np.array(table.column("kind").to_pylist())
+            num = np.column_stack([table.column(c).to_numpy() for c in names[4:]])
+            tx, ty = table.column("tx")[0].as_py(), table.column("ty")[0].as_py()
+            box = None if level == 0 else (x0 + tx * side, y0 + ty * side, x0 + (tx + 1) * side, y0 + (ty + 1) * side)
+            tri, on, ground, rim = tile_triangles(np.unique(num[kind == "p", :2], axis=0), num[kind == "e", :4], box)
+            wide = lambda a: np.column_stack([a, np.full((len(a), 6 - a.shape[1]), np.nan)])
+            rows = np.concatenate([tri.reshape(-1, 6), wide(on.reshape(-1, 2)), wide(ground), wide(rim)])
+            kinds = ["t"] * len(tri) + ["p"] * len(on) + ["e"] * len(ground) + ["h"] * len(rim)
+            first = table.column("_g").slice(0, 1).combine_chunks()
+            first = first.chunk(0) if isinstance(first, pa.ChunkedArray) else first
+            up = [pa.array(np.full(len(rows), v >> 2), pa.int32()) for v in (tx, ty)]
+            return pa.table([_keyed(first, len(rows)), pa.array(kinds, pa.string()), *up, *[pa.array(rows[:, i], pa.float64()) for i in range(6)]], names)
+
+        return run
+
+    made, carried = [], None
+    for level in reversed(levels):
+        here = placed.where(F.col("level") == level).drop("level") if level in used else None
+        rows = here if carried is None else carried if here is None else here.unionByName(carried)
+        if rows is None:
+            continue
+        done = save_step(rows.groupBy("_g", "tx", "ty").applyInArrow(work(level), schema), "tiles")
+        made.append(done)
+        carried = done.where("kind IN ('p', 'e')")
+    tri = hull = None
+    for done in made:
+        t = done.where("kind = 't'").select("_g", *[F.col(c).alias(n) for c, n in zip(names[4:], CORNERS)])
+        tri = t if tri is None else tri.unionByName(t)
+        hull = done.where("kind = 'h'").select("_g", "x1", "y1", "x2", "y2")   # only the last one has any
+    return tri, hull
+
+
+def _triangulated(pts: DataFrame) -> DataFrame:
+    """(_g, corners, flags) for distinct points (_g, x, y); flags tell the outer edges."""
+    most = pts.groupBy("_g").count().agg(F.max("count")).first()[0] or 0
+    schema = _with_group(pts, ", ".join([f"{c} double" for c in CORNERS] + [f"{c} boolean" for c in FLAGS]))
+    if most <= POINTS:
+        def whole(table: pa.Table) -> pa.Table:
+            p = np.column_stack([table.column("x").to_numpy(), table.column("y").to_numpy()])
+            t = delaunay(p)
+            e = list(map(tuple, directed(t).tolist()))
+            have = set(e)
+            flags = np.array([(b, a) not in have for a, b in e], bool).reshape(-1, 3)
+            first = table.column("_g").slice(0, 1).combine_chunks()
+            first = first.chunk(0) if isinstance(first, pa.ChunkedArray) else first
+            xy = p[t].reshape(-1, 6)
+            return pa.table([_keyed(first, len(t)), *[pa.array(xy[:, i]) for i in range(6)], *[pa.array(flags[:, i]) for i in range(3)]], ["_g", *CORNERS, *FLAGS])
+
+        return pts.groupBy("_g").applyInArrow(whole, schema)
+    tri, hull = _mesh(pts, most)
+    edges = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), *[F.col(c).alias(n) for c, n in zip((a + "x", a + "y", b + "x", b + "y"), ("x1", "y1", "x2", "y2"))]) for i, (a, b) in enumerate(("ab", "bc", "ca"))]))
+    outer = tri.select("_g", *CORNERS, edges.alias("e")).select("_g", *CORNERS, "e.*").join(hull, ["_g", "x1", "y1", "x2", "y2"])
+    outer = outer.groupBy("_g", *CORNERS).agg(*[F.max(F.col("i") == i).alias(h) for i, h in enumerate(FLAGS)])
+    return tri.join(outer, ["_g", *CORNERS], "left").select("_g", *CORNERS, *[F.coalesce(h, F.lit(False)).alias(h) for h in FLAGS])
+
+
+def delaunay_triangles(points: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Layer of the Delaunay triangles of each group of a point layer, with ``outer``, the number of edges at the group's border.
+
+    Copies of a point count once; a group on one line has none. Of several ways to cut points on one circle one is taken, the same whatever the tiles."""
+    tri = _triangulated(_points_of(points, list(by)))
+    ring = F.array(*[vertex(F.col(c + "x"), F.col(c + "y")) for c in "abc"])
+    out = tri.select(*[F.col("_g")[c].alias(c) for c in by], sum((F.col(h).cast("int") for h in FLAGS[1:]), F.col(FLAGS[0]).cast("int")).alias("outer"), make_polygon(ring).alias("geom"))
+    return set_srid(with_bbox(out), srid_of(points))
+
+
+# ---------------------------------------------------------------- concave hulls
+
+def erode(tri: np.ndarray, flags: np.ndarray, limit: float, holes: bool) -> np.ndarray:
+    """Which triangles (n, 3, 2) of one group stay; ``flags`` (n, 3), the border edges, are brought up to date for those.
+
+    An edge that is neither flagged nor met by another triangle has its other triangle in another task; its ends are left alone."""
+    vertices, t = np.unique(tri.reshape(-1, 2), axis=0, return_inverse=True)
+    t = t.reshape(-1, 3)
+    e = directed(t)
+    length = np.hypot(*(vertices[e[:, 0]] - vertices[e[:, 1]]).T).reshape(-1, 3)
+    owner = {(a, b): k for k, (a, b) in enumerate(e.tolist())}
+    rim, cut = np.zeros(len(vertices), int), np.zeros(len(vertices), bool)
+    for k, (a, b) in enumerate(e.tolist()):
+        if flags[k // 3, k % 3]:
+            rim[a] += 1
+            rim[b] += 1
+        elif (b, a) not in owner:
+            cut[a] = cut[b] = True
     alive = np.ones(len(t), bool)
-    border = {e for e in owner if (e[1], e[0]) not in owner}
-    on_rim = np.zeros(len(p), int)
-    for a, b in border:
-        on_rim[a] += 1; on_rim[b] += 1
-    heap = [(-size[e], e) for e in border if size[e] > limit]
+    heap = [(-length[k, i], k, i) for k, i in zip(*np.nonzero(flags & (length > limit)))]
     heapq.heapify(heap)
 
-    def open_(k, gone):
-        """Remove triangle k; its other edges become border."""
+    def take(k):
         alive[k] = False
-        for a, b in ((t[k][0], t[k][1]), (t[k][1], t[k][2]), (t[k][2], t[k][0])):
-            a, b = int(a), int(b)
-            if (a, b) in gone:
-                border.discard((a, b)); on_rim[a] -= 1; on_rim[b] -= 1
-                continue
-            border.add((b, a)); on_rim[a] += 1; on_rim[b] += 1
-            if size.get((b, a), 0) > limit:
-                heapq.heappush(heap, (-size[b, a], (b, a)))
-
-    def erode():
+        corners = t[k].tolist()
+        for i in range(3):
+            a, b = corners[i], corners[(i + 1) % 3]
+            if flags[k, i]:
+                rim[a] -= 1
+                rim[b] -= 1
+            else:
+                other = owner[b, a]
+                j, side = divmod(other, 3)
+                flags[j, side] = True
+                rim[a] += 1
+                rim[b] += 1
+                if length[j, side] > limit:
+                    heapq.heappush(heap, (-length[j, side], j, side))
+
+    def outer():
         while heap:
-            _, e = heapq.heappop(heap)
-            k = owner.get(e)
-            if e not in border or k is None or not alive[k]:
-                continue
-            apex = int(sum(t[k])) - e[0] - e[1]
-            if on_rim[apex] == 0:   # only triangles with one border edge and a free third corner
-                open_(k, {e})
-
-    erode()
+            _, k, i = heapq.heappop(heap)
+            apex = t[k, (i + 2) % 3]
+            if alive[k] and rim[apex] == 0 and not cut[apex]:
+                take(k)
+
+    outer()
     if holes:
-        longest = length.reshape(-1, 3).max(axis=1)
-        for k in np.argsort(-longest):
+        longest = length.max(axis=1)
+        for k in np.argsort(-longest, kind="stable"):
             if longest[k] <= limit:
                 break
-            if alive[k] and (on_rim[t[k]] == 0).all():
-                open_(k, set())
-                erode()
-    left = t[alive]
-    e = left[:, [0, 1, 1, 2, 2, 0]].reshape(-1, 2)
-    have = set(map(tuple, e.tolist()))
-    rim = np.array([x for x in e.tolist() if (x[1], x[0]) not in have])
-    parts = K.build_polygons(p, rim[:, 0], rim[:, 1], K.REL_EPS * np.ptp(p, axis=0).max())
-    return ("POLYGON" if len(parts) <= 1 else "MULTIPOLYGON", parts)
+            if alive[k] and not rim[t[k]].any() and not cut[t[k]].any():
+                take(k)
+                outer()
+    return alive
+
+
+def _rings(x1, y1, x2, y2):
+    p, at = np.unique(np.column_stack([np.concatenate([x1, x2]), np.concatenate([y1, y2])]), axis=0, return_inverse=True)
+    at = at.reshape(2, -1)
+    parts = K.build_polygons(p, at[0], at[1], K.REL_EPS * np.ptp(p, axis=0).max())
+    return "POLYGON" if len(parts) <= 1 else "MULTIPOLYGON", parts
+
+
+def concave_hull(points: np.ndarray, ratio: float, holes: bool):
+    """The hull of one small set of points."""
+    p = np.unique(points, axis=0)
+    t = delaunay(p)
+    if not len(t):
+        return K.hull(p)
+    e = list(map(tuple, directed(t).tolist()))
+    have = set(e)
+    flags = np.array([(b, a) not in have for a, b in e], bool).reshape(-1, 3)
+    length = np.hypot(*(p[directed(t)[:, 0]] - p[directed(t)[:, 1]]).T)
+    alive = erode(p[t], flags, length.min() + ratio * (length.max() - length.min()), holes)
+    k, i = np.nonzero(flags & alive[:, None])
+    a, b = p[t[k, i]], p[t[k, (i + 1) % 3]]
+    return _rings(a[:, 0], a[:, 1], b[:, 0], b[:, 1])
+
+
+def _lengths() -> list[Column]:
+    return [F.hypot(F.col(a + "x") - F.col(b + "x"), F.col(a + "y") - F.col(b + "y")) for a, b in ("ab", "bc", "ca")]
+
+
+def _can_go(tri: DataFrame, holes: bool) -> bool:
+    """Whether a triangle anywhere can still be taken away."""
+    flagged = F.filter(F.array(*[F.when(F.col(h), F.array(F.struct(F.col(a + "x").alias("x"), F.col(a + "y").alias("y")), F.struct(F.col(b + "x").alias("x"), F.col(b + "y").alias("y")))) for h, (a, b) in zip(FLAGS, ("ab", "bc", "ca"))]), lambda e: e.isNotNull())
+    rim = tri.select("_g", F.explode(F.flatten(flagged)).alias("v")).select("_g", "v.x", "v.y").distinct()
+    long = [n > F.col("lim") for n in _lengths()]
+    apex = F.filter(F.array(*[F.when(F.col(h) & far, F.struct(F.col(c + "x").alias("x"), F.col(c + "y").alias("y"))) for h, far, c in zip(FLAGS, long, "cab")]), lambda v: v.isNotNull())
+    ends = tri.select("_g", F.explode(apex).alias("v")).select("_g", "v.x", "v.y")
+    if not ends.join(rim, ["_g", "x", "y"], "left_anti").isEmpty():
+        return True
+    if not holes:
+        return False
+    free = tri.where(long[0] | long[1] | long[2])
+    for c in "abc":
+        free = free.join(rim.withColumnsRenamed({"x": c + "x", "y": c + "y"}), ["_g", c + "x", c + "y"], "left_anti")
+    return not free.isEmpty()
+
+
+def _eroded(tri: DataFrame, holes: bool) -> DataFrame:
+    """Rounds over stretches of a Morton curve; where a round takes nothing although something can go, stretches grow."""
+    e = tri.agg(F.count(F.lit(1)).alias("n"), F.min("ax").alias("x0"), F.min("ay").alias("y0"), F.max("ax").alias("x1"), F.max("ay").alias("y1")).first()
+    if not e["n"]:
+        return tri
+    cell = max(e["x1"] - e["x0"], e["y1"] - e["y0"], 1e-300) / (1 << 20)
+    names, kind = tri.columns, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tri.schema.fields)
+    left, tasks, turn = e["n"], math.ceil(e["n"] / TRIANGLES), 0
+    for inner in (False, True) if holes else (False,):
+        while True:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                table = pa.Table.from_batches(list(batches)).combine_chunks()
+                groups: dict = {}
+                for i, g in enumerate(table.column("_g").to_pylist()):
+                    groups.setdefault(tuple(g.values()), []).append(i)
+                xy = np.column_stack([table.column(c).to_numpy() for c in CORNERS]).reshape(-1, 3, 2)
+                flags = np.column_stack([table.column(c).to_numpy() for c in FLAGS])
+                lim = table.column("lim").to_numpy()
+                for rows in groups.values():
+                    own = flags[rows]
+                    alive = erode(xy[rows], own, lim[rows[0]], inner)
+                    part = table.take(pa.array(np.array(rows)[alive]))
+                    for i, c in enumerate(FLAGS):
+                        part = part.set_column(part.column_names.index(c), c, pa.array(own[alive, i]))
+                    yield from part.to_batches()
+
+            # the curve starts elsewhere in every round, so its stretches end elsewhere
+            off = (turn * 0.6180339887498949) % 1
+            c = [F.floor((F.col("a" + v) - e[v + "0"]) / cell + off * (1 << 20)) for v in "xy"]
+            where = N.morton(c[0], c[1], 22)
+            spread = tri.withColumn("_z", where).repartitionByRange(tasks, "_g", "_z").select(*names) if tasks > 1 else tri.coalesce(1)
+            tri = save_step(spread.mapInArrow(run, kind), "eroded")
+            turn += 1
+            if tasks == 1 or not _can_go(tri, inner):
+                break
+            now = tri.count()
+            if now == left:
+                tasks = -(-tasks // 2)
+            left = now
+    return tri
 
 
 def polygon_from_points(df: DataFrame, ratio: float = 0.4, holes: bool = True, by: list[str] = ()) -> DataFrame:
-    """Concave hull per group of a point layer; ``ratio`` 1 gives the convex hull.
+    """Concave hull per group of a point layer; ``ratio`` 1 gives the convex hull, 0 erodes as far as it goes.
 
-    Copies of a point count once.  A group is one triangulation, so groups beyond
-    MAX_POINTS distinct points are refused with a hint to group more finely."""
+    Border edges longer than the shortest edge plus ``ratio`` times the range of edge lengths are opened, as long as every point stays covered and
+    the border simple; ``holes`` opens such triangles inside as well. Copies of a point count once; a group on one line or in one place gives that.
+    Groups may have any size. Which of two long edges goes first depends on the tasks where a group has more than one, so hulls of large groups may
+    differ in detail between runs of different size; what is said here holds for each."""
     if not 0 <= ratio <= 1:
         raise ValueError("the ratio must be between 0 and 1")
     by = list(by)
-    if df.where(~F.col("geom")["gtype"].isin(*PUNTAL)).limit(1).count():
-        raise ValueError("only point layers can be turned into polygons")
     if ratio == 1:
         from .aggregate import convex_hull
         return convex_hull(df.select(*by, "geom"), by)
-    keys = by or ["_k"]
-    src = df if by else df.withColumn("_k", F.lit(0))
-    pts = src.select(*keys, F.explode(N.vertices(F.col("geom"))).alias("v")).select(*keys, "v.x", "v.y").distinct()
-    big = pts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_POINTS).first()
-    if big is not None:
-        raise ValueError(f"group {big.asDict()} has more than {MAX_POINTS} distinct points; pass by= with smaller groups")
-    k = len(keys)
-    names = [*keys, "geom"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pts.schema.fields[:k]] + [f"geom {GEOM}"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        xy = np.column_stack([table.column(k).to_numpy(), table.column(k + 1).to_numpy()])
-        first = [table.column(i).slice(0, 1).combine_chunks() for i in range(k)]
-        yield pa.RecordBatch.from_arrays([*first, encode([concave_hull(xy, ratio, holes)])], names=names)
-
-    out = pts.groupBy(*keys).applyInArrow(run, schema)
-    return set_srid(with_bbox(out if by else out.drop("_k")), srid_of(df))
+    pts = save_step(_points_of(df, by), "distinct-points")
+    most = pts.groupBy("_g").count().agg(F.max("count")).first()[0] or 0
+    schema = _with_group(pts, f"geom {GEOM}")
+
+    def grouped(geometry_of):
+        def run(table: pa.Table) -> pa.Table:
+            first = table.column("_g").slice(0, 1).combine_chunks()
+            return pa.table([first.chunk(0) if isinstance(first, pa.ChunkedArray) else first, encode([geometry_of(table)])], ["_g", "geom"])
+
+        return run
+
+    def small(table):
+        return concave_hull(np.column_stack([table.column("x").to_numpy(), table.column("y").to_numpy()]), ratio, holes)
+
+    def large(table):
+        return _rings(*[table.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2")])
+
+    if most <= POINTS:
+        out = pts.groupBy("_g").applyInArrow(grouped(small), schema)
+    else:
+        tri = save_step(_triangulated(pts), "triangles")
+        n = _lengths()
+        lim = tri.groupBy(F.col("_g").alias("_lg")).agg(F.min(F.least(*n)).alias("lo"), F.max(F.greatest(*n)).alias("hi")).select("_lg", (F.col("lo") + ratio * (F.col("hi") - F.col("lo"))).alias("lim"))
+        kept = _eroded(tri.join(lim, F.col("_g") == F.col("_lg")).drop("_lg"), holes)
+        edges = F.filter(F.array(*[F.when(F.col(h), F.struct(*[F.col(c).alias(m) for c, m in zip((a + "x", a + "y", b + "x", b + "y"), ("x1", "y1", "x2", "y2"))])) for h, (a, b) in zip(FLAGS, ("ab", "bc", "ca"))]), lambda v: v.isNotNull())
+        out = kept.select("_g", F.explode(edges).alias("e")).select("_g", "e.*").groupBy("_g").applyInArrow(grouped(large), schema)   # a group's border is its result
+        from .aggregate import convex_hull
+        flat = pts.join(tri.select("_g").distinct(), "_g", "left_anti").select("_g", F.struct(F.lit("POINT").alias("gtype"), F.array(F.array(F.array(vertex("x", "y")))).alias("parts")).alias("geom"))
+        out = out.unionByName(convex_hull(flat, ["_g"]).select("_g", "geom"))
+    return set_srid(with_bbox(out.select(*[F.col("_g")[c].alias(c) for c in by], "geom")), srid_of(df))

@@ -199,6 +199,49 @@ def hulls_between_points_and_convex(spark, sf):
     return hull.join(convex, "zone_id").join(spots, "zone_id").select("zone_id", "covers", (N.area(F.col("hull")) <= F.col("most") * (1 + 1e-9)).alias("within_convex"))
 
 
+def _hull_facts(spark, layer, hull):
+    """Whether one hull covers all points of a layer, and its share of the convex hull."""
+    far = layer.join(hull.select(F.col("geom").alias("hull"))).agg(F.max(N.point_to_geometry(F.col("hull"), F.col("bbox.xmin"), F.col("bbox.ymin"))).alias("far"))   # one hull
+    return far.join(hull.select(N.area(F.col("geom")).alias("area"))).join(A.convex_hull(layer).select(N.area(F.col("geom")).alias("most")))
+
+
+@query("concave_hull_of_layer", "SELECT unnest([0.1::DOUBLE, 1.0]) AS ratio, true AS covers, unnest([false, true]) AS convex, count(*) AS points FROM customer")
+def concave_hull_of_layer(spark, sf):
+    """All sites at once: the hull covers them, is smaller than the convex hull, and with ratio 1 is the convex hull."""
+    from ..operators.hulls import polygon_from_points
+    s = fx.sites(spark, sf).select("geom", "bbox")
+    out = None
+    for ratio in (0.1, 1.0):
+        facts = _hull_facts(spark, s, polygon_from_points(s, ratio, False))
+        one = facts.join(s.agg(F.count(F.lit(1)).alias("points"))).select(F.lit(ratio).alias("ratio"), (F.col("far") <= 1e-6).alias("covers"), (F.col("area") > F.col("most") * (1 - 1e-9)).alias("convex"), "points")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_NOTCH = "NOT (col >= 30 AND row * 3 >= h AND row * 3 < 2 * h)"
+
+
+@query("concave_hull_of_grid", f"""SELECT count(*)::DOUBLE AS area FROM (SELECT * FROM heat WHERE {_NOTCH}) a JOIN (SELECT * FROM heat WHERE {_NOTCH}) b ON b.col = a.col + 1 AND b.row = a.row
+    JOIN (SELECT * FROM heat WHERE {_NOTCH}) c ON c.col = a.col AND c.row = a.row + 1 JOIN (SELECT * FROM heat WHERE {_NOTCH}) d ON d.col = a.col + 1 AND d.row = a.row + 1""", "heat")
+def concave_hull_of_grid(spark, sf):
+    """A grid of points with a notch, all on common circles: the hull follows the notch, so its area is that of the grid's cells."""
+    from ..operators.hulls import polygon_from_points
+    h = fx.heat(spark, sf)
+    p = R.pixel_centers(h.where("band = 1").withColumn("h", F.lit(R.grid_of(h).height)).where(_NOTCH)).select("geom", "bbox")
+    return polygon_from_points(set_srid(p, fx.SRID), 0.001, False).select(F.round(N.area(F.col("geom")), 6).alias("area"))
+
+
+@query("triangles_of_sites", "SELECT true AS tiled, true AS counted, count(*) AS points FROM (SELECT DISTINCT x, y FROM sites)", "sites")
+def triangles_of_sites(spark, sf):
+    """Triangles fill the convex hull, and there are two per point but for the border."""
+    from ..operators.hulls import delaunay_triangles
+    s = fx.sites(spark, sf).select("geom", "bbox")
+    t = A.save_step(delaunay_triangles(s).select("outer", N.area(F.col("geom")).alias("area")), "triangles").agg(F.count(F.lit(1)).alias("n"), F.sum("outer").alias("outer"), F.sum("area").alias("area"))
+    whole = A.convex_hull(s).select(N.area(F.col("geom")).alias("most"))
+    points = s.select("bbox.xmin", "bbox.ymin").distinct().agg(F.count(F.lit(1)).alias("points"))
+    return t.join(whole).join(points).select((F.abs(F.col("area") / F.col("most") - 1) < 1e-9).alias("tiled"), (F.col("n") == 2 * F.col("points") - F.col("outer") - 2).alias("counted"), "points")
+
+
 def _sql(spark, text: str, **layers):
     from ..functions.register import register
     register(spark)
