@@ -97,3 +97,18 @@ def heat(spark, sf_dir) -> DataFrame:
     long = px.select(rid.alias("rid"), F.explode(F.array(F.struct(F.lit(1).alias("band"), F.col("b1").alias("value")),
                                                          F.struct(F.lit(2).alias("band"), F.col("b2").alias("value")))).alias("b"), "col", "row")
     return stamp_grid(long.select("rid", "b.band", "col", "row", "b.value"), Grid(0.0, float(n), 1.0, -1.0, 100, int(n), SRID))
+
+
+def heat_tiles(spark, sf_dir) -> DataFrame:
+    """The same raster in tile form: both bands, 25 x 25 pixels a tile."""
+    from .operators.raster import Grid
+    from .operators.tiles import stamp
+    e = table(spark, sf_dir, "events")
+    n = e.agg(F.max("event_id").alias("m")).first()["m"] // 100 + 1   # one number: the height of the raster
+    px = e.select(F.expr("CAST((event_id div 100 div 25) * 4 + (event_id % 100) div 25 AS BIGINT)").alias("rid"),
+                  F.struct("event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("b1"), F.col("user_id").cast("double").alias("b2")).alias("p"))
+    t = px.groupBy("rid").agg(F.array_sort(F.collect_list("p")).alias("p"))   # 625 pixels at most
+    at = F.element_at("p", 1)["event_id"]
+    t = t.select("rid", (at % 100).cast("int").alias("tx"), F.floor(at / 100).cast("int").alias("ty"), F.lit(25).alias("width"), F.ceil(F.size("p") / 25).cast("int").alias("height"),
+                 F.array(F.transform("p", lambda v: v["b1"]), F.transform("p", lambda v: v["b2"])).alias("bands"))
+    return stamp(t, Grid(0.0, float(n), 1.0, -1.0, 100, int(n), SRID), True)

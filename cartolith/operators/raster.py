@@ -1,9 +1,10 @@
-"""Raster operators on the pixel form (rid, band, col, row, value).
+"""Raster operators, on the tile form (see ``tiles``) and on the pixel form (rid, band, col, row, value).
 
 ``col`` and ``row`` count from the upper-left corner of one common grid, so
 tiles line up by integer arithmetic.  NULL is nodata.  The grid itself (origin,
-pixel size, size in pixels, SRID) travels in the metadata of ``value``.
-The tile form holds one row per tile with an array per band, for storage.
+pixel size, size in pixels, SRID) travels in the metadata of ``value`` or ``bands``.
+An operator gives back the form it gets.  The work is done on tiles; the pixel form
+is for joins and SQL by pixel, and is gathered into tiles where an operator needs them.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import tiles as T
 from ..functions import native as N
 from ..functions.kernel import union_many, union_one
 from ..layer import ensure_bbox, make_bbox, make_box, make_point, set_srid, srid_of
 from ..plans.grid import candidate_pairs
 from ..plans.reduce import merge_by_key
+from .tiles import is_tiles
 from .transform import reproject, transform_xy
 
 MAX_UNTILED_BYTES = 104857600   # fixed value: larger rasters must be tiled
@@ -54,6 +57,8 @@ def stamp_grid(df: DataFrame, grid: Grid) -> DataFrame:
 
 
 def grid_of(r: DataFrame) -> Grid:
+    if is_tiles(r):
+        return T.grid_of(r)
     meta = r.schema["value"].metadata.get("grid")
     if meta is None:
         raise ValueError("the raster carries no grid; stamp it first")
@@ -69,11 +74,15 @@ def _like(out: DataFrame, grid: Grid, extra: tuple[str, ...] = ()) -> DataFrame:
 
 def tile_boxes(r: DataFrame) -> DataFrame:
     """Pixel box of every tile."""
+    if is_tiles(r):
+        return r.select("rid", F.col("tx").alias("c0"), (F.col("tx") + F.col("width") - 1).alias("c1"), F.col("ty").alias("r0"), (F.col("ty") + F.col("height") - 1).alias("r1"))
     return r.groupBy("rid").agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.min("row").alias("r0"), F.max("row").alias("r1"))
 
 
 def has_overlap(r: DataFrame) -> bool:
-    """Whether two tiles share pixels; works on one row per tile."""
+    """Whether two tiles share pixels; works on one row per tile. Tiles that an operator has made disjoint say so themselves."""
+    if is_tiles(r):
+        return not T.is_flat(r) and T.has_overlap(r)
     t = tile_boxes(r).select("rid", make_bbox(F.col("c0") + 0.25, F.col("r0") + 0.25, F.col("c1") + 0.75, F.col("r1") + 0.75).alias("bbox"))
     pairs, _ = candidate_pairs(t, t, ageom=None, bgeom=None)
     return not pairs.where("a_rid < b_rid").isEmpty()
@@ -87,12 +96,27 @@ def mosaic(r: DataFrame, overlaps: bool | None = None) -> DataFrame:
         overlaps = has_overlap(r)
     if not overlaps:
         return r
+    if is_tiles(r):
+        return T.mosaic(r, True, TILE)
     out = r.groupBy("band", "col", "row").agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("rid"))).alias("value"), F.max("rid").alias("rid"))
     return _like(out, grid_of(r))
 
 
+def as_tiles(r: DataFrame, overlaps: bool | None = None) -> DataFrame:
+    """Tile form without overlaps."""
+    m = mosaic(r, overlaps)
+    return m if is_tiles(m) else T.from_pixels(m, grid_of(m))
+
+
+def _back(r: DataFrame, t: DataFrame, grid: Grid | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Tiles ``t`` in the form of ``r``."""
+    return t if is_tiles(r) else _like(T.to_pixels(t, extra), grid or T.grid_of(t), extra)
+
+
 def retile(r: DataFrame, w: int = RETILE, h: int = RETILE, overlaps: bool | None = None) -> DataFrame:
     """Mosaic, then number the tiles row by row; edge tiles are smaller."""
+    if is_tiles(r):
+        return T.retile(r, w, h)
     g = grid_of(r)
     across = -(-g.width // w)
     rid = F.floor(F.col("row") / h) * across + F.floor(F.col("col") / w)
@@ -109,31 +133,29 @@ def must_tile(grid: Grid, bands: int, bytes_per_value: int = 8) -> bool:
 
 
 def to_tiles(r: DataFrame) -> DataFrame:
-    """Tile form: one row per tile, one array of values per band in row-major order; pixels that a tile's rectangle lacks are NULL in their place."""
-    g = grid_of(r)
-    boxes = r.groupBy(F.col("rid").alias("_rid")).agg(F.min("col").alias("tx"), F.min("row").alias("ty"), (F.max("col") - F.min("col") + 1).alias("width"),
-                                                      (F.max("row") - F.min("row") + 1).alias("height"), F.max("band").alias("n_bands"))
-    bands = r.groupBy("rid", "band").agg(F.collect_list(F.struct("row", "col", "value")).alias("px"))
-    bands = bands.join(boxes, F.col("rid") == F.col("_rid"))
-    size = F.col("width") * F.col("height")
-    own = F.transform("px", lambda p: F.struct(((p["row"] - F.col("ty")) * F.col("width") + p["col"] - F.col("tx")).cast("int").alias("at"), p["value"].alias("value")))
-    gaps = F.array_except(F.sequence(F.lit(0), size.cast("int") - 1), F.transform("own", lambda p: p["at"]))
-    full = F.when(F.size("own") == size, F.col("own")).otherwise(F.concat("own", F.transform(gaps, lambda i: F.struct(i.alias("at"), F.lit(None).cast("double").alias("value")))))
-    bands = bands.withColumn("own", own).withColumn("v", F.transform(F.array_sort(full), lambda p: p["value"]))
-    t = bands.groupBy("rid", "tx", "ty", "width", "height", "n_bands").agg(F.collect_list(F.struct("band", "v")).alias("each"))
-    t = t.withColumn("bands", F.transform(F.sequence(F.lit(1), F.col("n_bands").cast("int")), lambda i: F.get(F.transform(F.filter("each", lambda b: b["band"] == i), lambda b: b["v"]), F.lit(0))))
+    """Tile form for storage: one row per tile with its place in the world; pixels that a tile's rectangle lacks are NULL in their place."""
+    t = T.whole_tiles(r) if is_tiles(r) else T.from_pixels(r, grid_of(r))
+    g = T.grid_of(t)
     x, y = g.to_world(F.col("tx"), F.col("ty"))
-    t = t.select("rid", "tx", "ty", x.alias("ulx"), y.alias("uly"), F.lit(g.sx).alias("sx"), F.lit(g.sy).alias("sy"), "width", "height",
-                 F.lit(g.srid).cast("int").alias("srid"), "bands")
-    return t.withMetadata("bands", {"grid": {k: v for k, v in asdict(g).items() if v is not None}})
+    return T.stamp(t.select("rid", "tx", "ty", x.alias("ulx"), y.alias("uly"), F.lit(g.sx).alias("sx"), F.lit(g.sy).alias("sy"), "width", "height", F.lit(g.srid).cast("int").alias("srid"), "bands"), g, T.is_flat(t))
 
 
 def from_tiles(t: DataFrame, grid: Grid | None = None) -> DataFrame:
-    g = grid or Grid(**t.schema["bands"].metadata["grid"])
-    px = t.select("rid", "tx", "ty", "width", F.posexplode("bands").alias("b", "vals"))
-    px = px.select("rid", (F.col("b") + 1).alias("band"), "tx", "ty", "width", F.posexplode("vals").alias("i", "value"))
-    return _like(px.select("rid", "band", (F.col("tx") + F.col("i") % F.col("width")).alias("col"),
-                           (F.col("ty") + F.floor(F.col("i") / F.col("width"))).alias("row"), "value"), g)
+    return _like(T.to_pixels(t), grid or T.grid_of(t))
+
+
+def _band(r: DataFrame, band: int, overlaps: bool | None) -> DataFrame:
+    """(value) of the pixels of one band that hold data."""
+    if is_tiles(r):
+        return T.band_values(mosaic(r, overlaps), band)
+    return mosaic(r.where(F.col("band") == band), overlaps).where(F.col("value").isNotNull())
+
+
+def _pixels(r: DataFrame, band: int, overlaps: bool | None) -> DataFrame:
+    """One band in pixel form."""
+    if is_tiles(r):
+        return from_tiles(mosaic(r, overlaps)).where(F.col("band") == band)
+    return mosaic(r.where(F.col("band") == band), overlaps)
 
 
 # ---------------------------------------------------------------- statistics
@@ -141,24 +163,24 @@ def from_tiles(t: DataFrame, grid: Grid | None = None) -> DataFrame:
 def raster_summary(r: DataFrame, band: int = 1, overlaps: bool | None = None) -> DataFrame:
     """count, sum, mean, population stddev, min, max and range of one band without nodata."""
     v = F.col("value")
-    return mosaic(r.where(F.col("band") == band), overlaps).agg(
+    return _band(r, band, overlaps).agg(
         F.count(v).alias("count"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stddev"),
         F.min(v).alias("min"), F.max(v).alias("max"), (F.max(v) - F.min(v)).alias("range"))
 
 
 def value_count(r: DataFrame, band: int = 1, overlaps: bool | None = None) -> DataFrame:
-    return mosaic(r.where(F.col("band") == band), overlaps).where(F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    return _band(r, band, overlaps).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def histogram(r: DataFrame, band: int = 1, bins: int = 10, lo: float = 0.0, hi: float = 1.0, overlaps: bool | None = None) -> DataFrame:
     """Counts in equal bins of [lo, hi]; the top edge belongs to the last bin."""
     b = F.when(F.col("value") == hi, F.lit(bins)).otherwise(F.width_bucket("value", F.lit(float(lo)), F.lit(float(hi)), F.lit(bins)))
-    return mosaic(r.where(F.col("band") == band), overlaps).where(F.col("value").between(lo, hi)).groupBy(b.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return _band(r, band, overlaps).where(F.col("value").between(lo, hi)).groupBy(b.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def quantiles(r: DataFrame, band: int = 1, qs: tuple = (0.0, 0.25, 0.5, 0.75, 1.0), accuracy: int | None = None, overlaps: bool | None = None) -> DataFrame:
     """Quantiles of a band: exact (grouped by value, so memory follows the distinct values) or sketched."""
-    v = mosaic(r.where(F.col("band") == band), overlaps).where(F.col("value").isNotNull())
+    v = _band(r, band, overlaps).select("value")
     if accuracy:
         p = F.percentile_approx("value", F.array(*[F.lit(float(q)) for q in qs]), F.lit(accuracy))
     else:
@@ -171,6 +193,7 @@ def quantiles(r: DataFrame, band: int = 1, qs: tuple = (0.0, 0.25, 0.5, 0.75, 1.
 def pixel_centers(r: DataFrame) -> DataFrame:
     """Point layer of the pixel centres."""
     g = grid_of(r)
+    r = from_tiles(r) if is_tiles(r) else r
     x, y = g.to_world(F.col("col") + 0.5, F.col("row") + 0.5)
     return set_srid(r.withColumn("geom", make_point(x, y)).withColumn("bbox", make_bbox(x, y, x, y)), g.srid)
 
@@ -181,7 +204,7 @@ def pixel_polygons(r: DataFrame, band: int = 1, overlaps: bool | None = None) ->
     x0, y0 = g.to_world(F.col("col"), F.col("row"))
     x1, y1 = g.to_world(F.col("col") + 1, F.col("row") + 1)
     c = (F.least(x0, x1), F.least(y0, y1), F.greatest(x0, x1), F.greatest(y0, y1))
-    px = mosaic(r.where(F.col("band") == band), overlaps).where(F.col("value").isNotNull())
+    px = _pixels(r, band, overlaps).where(F.col("value").isNotNull())
     return set_srid(px.withColumn("geom", make_box(*c)).withColumn("bbox", make_bbox(*c)), g.srid)
 
 
@@ -191,136 +214,92 @@ def values_at(r: DataFrame, points: DataFrame, band: int = 1, overlaps: bool | N
     p = ensure_bbox(points)
     c, w = g.to_pixel(F.col("bbox.xmin"), F.col("bbox.ymin"))
     p = p.withColumn("col", F.floor(c).cast("int")).withColumn("row", F.floor(w).cast("int"))
-    px = mosaic(r.where(F.col("band") == band), overlaps).select("col", "row", "value")
+    px = _pixels(r, band, overlaps).select("col", "row", "value")
     return p.join(px, ["col", "row"], "left")
 
 
 def zonal_stats(r: DataFrame, zones: DataFrame, zone_id: str, band: int = 1, overlaps: bool | None = None) -> DataFrame:
-    """Statistics of the pixels whose centre lies in each zone (border included)."""
-    from .joins import spatial_join
-    px = pixel_centers(mosaic(r.where(F.col("band") == band), overlaps).where(F.col("value").isNotNull())).select("value", "geom", "bbox")
-    pairs = spatial_join(px, zones.select(zone_id, "geom", *(["bbox"] if "bbox" in zones.columns else [])), "coveredby")
-    v = F.col("a_value")
-    return pairs.groupBy(F.col("b_" + zone_id).alias(zone_id)).agg(
-        F.count(v).alias("count"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stddev"), F.min(v).alias("min"), F.max(v).alias("max"))
+    """Statistics of the pixels whose centre lies in each zone (border included); zones meet tiles, not pixels."""
+    return T.zonal_stats(as_tiles(r, overlaps), zones, zone_id, band)
 
 
 def raster_profile(r: DataFrame) -> DataFrame:
     """Facts of a raster table in one pass."""
     g = grid_of(r)
-    v = F.col("value")
-    return r.agg(F.countDistinct("rid").alias("tiles"), F.countDistinct("band").alias("bands"), F.count(F.lit(1)).alias("pixels"),
-                 F.count_if(v.isNull()).alias("nodata"), F.min("col").alias("col_min"), F.max("col").alias("col_max"),
-                 F.min("row").alias("row_min"), F.max("row").alias("row_max")).select(
-        "*", F.lit(g.ulx).alias("ulx"), F.lit(g.uly).alias("uly"), F.lit(g.sx).alias("scale_x"), F.lit(g.sy).alias("scale_y"),
-        F.lit(g.srid).cast("int").alias("srid"))
-
-
-def check_constraints(r: DataFrame, w: int, h: int, bands: int, srid: int | None = None) -> DataFrame:
-    """Pass or fail per rule: SRID, block size, alignment, band count, extent."""
-    g = grid_of(r)
-    tiles = r.groupBy("rid").agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.min("row").alias("r0"), F.max("row").alias("r1"),
-                                 F.countDistinct("band").alias("nb"))
-    ok = tiles.agg(F.bool_and((F.col("c1") - F.col("c0") < w) & (F.col("r1") - F.col("r0") < h)).alias("blocksize"),
-                   F.bool_and((F.col("c0") % w == 0) & (F.col("r0") % h == 0)).alias("same_alignment"),
-                   F.bool_and(F.col("nb") == bands).alias("num_bands"),
-                   ((F.min("c0") >= 0) & (F.min("r0") >= 0) & (F.max("c1") < g.width) & (F.max("r1") < g.height)).alias("extent"))
-    ok = ok.withColumn("srid", F.lit(srid is None or srid == g.srid))
-    return ok.select(F.expr("stack(5, 'srid', srid, 'blocksize', blocksize, 'same_alignment', same_alignment, 'num_bands', num_bands, 'extent', extent) AS (rule, passed)"))
-
-
-# ---------------------------------------------------------------- resampling
-
-def _sinc(x: Column) -> Column:
-    p = x * math.pi
-    return F.when(x == 0, F.lit(1.0)).otherwise(F.sin(p) / F.when(x == 0, F.lit(1.0)).otherwise(p))
+    if is_tiles(r):
+        gaps = F.aggregate(F.transform("bands", lambda b: F.size(F.filter(b, lambda v: v.isNull()))), F.lit(0), lambda x, y: x + y)
+        size = F.col("width").cast("long") * F.col("height")
+        out = r.agg(F.countDistinct("rid").alias("tiles"), F.max(F.size("bands")).cast("long").alias("bands"), F.sum(size * F.size("bands")).alias("pixels"), F.sum(gaps.cast("long")).alias("nodata"),
+                    F.min("tx").alias("col_min"), F.max(F.col("tx") + F.col("width") - 1).alias("col_max"), F.min("ty").alias("row_min"), F.max(F.col("ty") + F.col("height") - 1).alias("row_max"))
+    else:
+        v = F.col("value")
+        out = r.agg(F.countDistinct("rid").alias("tiles"), F.countDistinct("band").alias("bands"), F.count(F.lit(1)).alias("pixels"),
+                    F.count_if(v.isNull()).alias("nodata"), F.min("col").alias("col_min"), F.max("col").alias("col_max"), F.min("row").alias("row_min"), F.max("row").alias("row_max"))
+    return out.select("*", F.lit(g.ulx).alias("ulx"), F.lit(g.uly).alias("uly"), F.lit(g.sx).alias("scale_x"), F.lit(g.sy).alias("scale_y"), F.lit(g.srid).cast("int").alias("srid"))
 
 
-def _bilinear(x):
-    return F.greatest(F.lit(0.0), 1 - F.abs(x))
+# The names of the constraints on a raster table.
+CONSTRAINTS = ("srid", "scale_x", "scale_y", "blocksize_x", "blocksize_y", "same_alignment", "regular_blocking", "num_bands", "pixel_types", "nodata_values", "out_db", "extent")
 
 
-def _cubic(x, a=-0.5):
-    x = F.abs(x)
-    return (F.when(x <= 1, (a + 2) * x * x * x - (a + 3) * x * x + 1).when(x < 2, a * x * x * x - 5 * a * x * x + 8 * a * x - 4 * a)
-            .otherwise(F.lit(0.0)))
+def check_constraints(r: DataFrame, w: int, h: int, bands: int, srid: int | None = None, scale: tuple[float, float] | None = None, nodata: bool = True) -> DataFrame:
+    """Whether each constraint holds. Tiles are at most w x h and start on multiples of that; regular blocking also asks that no two tiles share a place.
 
+    ``scale`` is the wanted pixel size, ``nodata`` whether nodata may occur; without a wanted SRID or scale these hold."""
+    g = grid_of(r)
+    if is_tiles(r):
+        tiles = tile_boxes(r).join(r.select(F.col("rid").alias("_rid"), F.size("bands").alias("nb"), F.exists("bands", lambda b: F.exists(b, lambda v: v.isNull())).alias("gap")), F.col("rid") == F.col("_rid"))
+    else:
+        tiles = r.groupBy("rid").agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.min("row").alias("r0"), F.max("row").alias("r1"), F.countDistinct("band").alias("nb"), F.bool_or(F.col("value").isNull()).alias("gap"))
+    on = (F.col("c0") % w == 0) & (F.col("r0") % h == 0)
+    ok = tiles.agg(F.bool_and(F.col("c1") - F.col("c0") < w).alias("blocksize_x"), F.bool_and(F.col("r1") - F.col("r0") < h).alias("blocksize_y"), F.bool_and(on).alias("same_alignment"),
+                   (F.bool_and(on) & (F.count_distinct("c0", "r0") == F.count(F.lit(1)))).alias("regular_blocking"), F.bool_and(F.col("nb") == bands).alias("num_bands"), (F.lit(nodata) | ~F.bool_or("gap")).alias("nodata_values"),
+                   ((F.min("c0") >= 0) & (F.min("r0") >= 0) & (F.max("c1") < g.width) & (F.max("r1") < g.height)).alias("extent"))
+    known = {"srid": srid is None or srid == g.srid, "scale_x": scale is None or scale[0] == g.sx, "scale_y": scale is None or scale[1] == g.sy, "pixel_types": True, "out_db": True}   # values are doubles, kept in the table
+    ok = ok.withColumns({k: F.lit(v) for k, v in known.items()})
+    return ok.select(F.expr(f"stack({len(CONSTRAINTS)}, " + ", ".join(f"'{c}', {c}" for c in CONSTRAINTS) + ") AS (rule, passed)"))
 
-def _spline(x):
-    x = F.abs(x)
-    return (F.when(x <= 1, (3 * x * x * x - 6 * x * x + 4) / 6).when(x < 2, (2 - x) * (2 - x) * (2 - x) / 6).otherwise(F.lit(0.0)))
 
+# ---------------------------------------------------------------- resampling
 
-def _lanczos(x, a=3):
-    return F.when(F.abs(x) < a, _sinc(x) * _sinc(x / a)).otherwise(F.lit(0.0))
+ALGORITHMS = ("NearestNeighbor", *T.KERNELS)
 
 
-KERNELS = {"Bilinear": (_bilinear, 1), "Cubic": (_cubic, 2), "CubicSpline": (_spline, 2), "Lanczos": (_lanczos, 3)}
-ALGORITHMS = ("NearestNeighbor", *KERNELS)
+def _scaled(g: Grid, sx: float, sy: float) -> Grid:
+    rx, ry = sx / abs(g.sx), sy / abs(g.sy)
+    return replace(g, sx=math.copysign(sx, g.sx), sy=math.copysign(sy, g.sy), width=max(1, math.ceil(g.width / rx - 1e-9)), height=max(1, math.ceil(g.height / ry - 1e-9)))
 
 
 def resample(r: DataFrame, scale: float = 100.0, algorithm: str = "NearestNeighbor", max_error: float = 0.125,
              overlaps: bool | None = None, tile: int | None = None) -> DataFrame:
     """Raster with square pixels of size ``scale``, without seams at tile edges.
 
-    Each source pixel sends its weighted value to the target pixels its kernel
-    reaches, first along columns, then along rows (12 messages instead of 36 for
-    Lanczos).  Weights are normalised over pixels with data; when shrinking, the
-    kernel widens with the ratio.  Coordinates are exact here, so ``max_error``
-    (0 .. 100) is accepted and never used up."""
+    Weights are normalised over pixels with data; when shrinking, the kernel widens with the ratio.  Each source tile sends its weighted sums to the
+    target tiles it reaches, all bands at once.  Coordinates are exact here, so ``max_error`` (0 .. 100) is accepted and never used up."""
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm!r}; choose from {ALGORITHMS}")
     if scale <= 0 or not 0 <= max_error <= 100:
         raise ValueError("scale must be positive and max_error between 0 and 100")
-    g = grid_of(r)
-    rx, ry = scale / abs(g.sx), scale / abs(g.sy)
-    out_grid = replace(g, sx=math.copysign(scale, g.sx), sy=math.copysign(scale, g.sy),
-                       width=max(1, math.ceil(g.width / rx - 1e-9)), height=max(1, math.ceil(g.height / ry - 1e-9)))
-    src = mosaic(r, overlaps)
-    if algorithm == "NearestNeighbor":
-        px = src
-        for axis, ratio, size, width in (("col", rx, out_grid.width, g.width), ("row", ry, out_grid.height, g.height)):
-            i = F.col(axis)
-            # targets t with floor((t + 0.5) * ratio) = i (beyond the edge: the last pixel); a spare on either side, then the exact test
-            lo = F.greatest(F.lit(0).cast("long"), F.least(F.floor(i / ratio - 0.5), F.lit(size - 1).cast("long")))
-            hi = F.least(F.lit(size - 1).cast("long"), F.ceil((i + 1) / ratio))
-            px = (px.where(lo <= hi).withColumn("_t", F.explode(F.sequence(lo, hi)))
-                  .where(F.least(F.floor((F.col("_t") + 0.5) * ratio), F.lit(width - 1).cast("long")) == i)
-                  .withColumn(axis, F.col("_t")).drop("_t"))
-        out = px
-    else:
-        fn, radius = KERNELS[algorithm]
-        v = F.col("value")
-        px = src.where(v.isNotNull()).select("band", "col", "row", v.alias("num"), F.lit(1.0).alias("den"))
-        for axis, ratio, size, other in (("col", rx, out_grid.width, "row"), ("row", ry, out_grid.height, "col")):
-            wide = max(1.0, ratio)
-            i = F.col(axis) + 0.5
-            lo = F.greatest(F.lit(0).cast("long"), F.ceil((i - radius * wide) / ratio - 0.5))
-            hi = F.least(F.lit(size - 1).cast("long"), F.floor((i + radius * wide) / ratio - 0.5))
-            w = fn(((F.col("_t") + 0.5) * ratio - i) / wide)
-            px = (px.where(lo <= hi).withColumn("_t", F.explode(F.sequence(lo, hi))).withColumn("_w", w).where(F.col("_w") != 0)
-                  .groupBy("band", F.col("_t").alias(axis), other).agg(F.sum(F.col("num") * F.col("_w")).alias("num"), F.sum(F.col("den") * F.col("_w")).alias("den")))
-        out = px.withColumn("value", F.when(F.abs("den") > 1e-12, F.col("num") / F.col("den")))
-        out = out.withColumn("rid", F.lit(0))
-    t = tile or TILE
-    across = -(-out_grid.width // t)
-    rid = F.floor(F.col("row") / t) * across + F.floor(F.col("col") / t)
-    return _like(out.withColumn("rid", rid), out_grid)
+    out = _scaled(grid_of(r), scale, scale)
+    t = T.resampled(as_tiles(r, overlaps), {0: out}, algorithm, tile or TILE).drop("level")
+    return _back(r, T.stamp(t, out, True))
 
 
 def overviews(r: DataFrame, levels: tuple[int, ...] = OVERVIEW_LEVELS, algorithm: str = "Lanczos", overlaps: bool | None = None) -> DataFrame:
     """Pyramid: one reduced raster per level asked for (a pixel at least), told apart by ``level`` (store it partitioned by level).
 
-    The grid in the metadata is that of the full raster; a level's pixel size is ``level`` times as large."""
-    g = grid_of(r)
-    base = mosaic(r, overlaps)
-    out = None
-    for level in levels:
-        one = resample(base, abs(g.sx) * level, algorithm, overlaps=False).withColumn("level", F.lit(int(level)))
-        out = one if out is None else out.unionByName(one)
-    if out is None:
+    All levels come from one pass over the tiles.  The grid in the metadata is that of the full raster; a level's pixel size is ``level`` times as large."""
+    if not levels:
         raise ValueError("no level is asked for")
-    return _like(out, g, ("level",))
+    if algorithm not in ALGORITHMS:
+        raise ValueError(f"unknown algorithm {algorithm!r}; choose from {ALGORITHMS}")
+    g = grid_of(r)
+    t = T.resampled(as_tiles(r, overlaps), {int(l): level_grid(g, l) for l in levels}, algorithm, TILE)
+    return _back(r, T.stamp(t, g), g, ("level",))
+
+
+def level_grid(g: Grid, level: int) -> Grid:
+    return _scaled(g, abs(g.sx) * level, abs(g.sy) * level)
 
 
 def overview_name(table: str, level: int) -> str:
@@ -335,8 +314,12 @@ def reproject_raster(r: DataFrame, srid: int, overlaps: bool | None = None) -> D
     if g.srid == srid:
         return r
     spark = r.sparkSession
-    # 21 x 21 positions over the extent give the target extent (a fixed number of rows)
-    lattice = spark.range(441).select((F.col("id") % 21 / 20 * g.width).alias("c"), (F.floor(F.col("id") / 21) / 20 * g.height).alias("w"))
+    # the extent of the target is that of the border, seen at every pixel's corner, and of a lattice inside; half a pixel more for what bends between
+    border = spark.range(2 * (g.width + 1) + 2 * (g.height + 1)).select(F.col("id").alias("i"))
+    across, i = g.width + 1, F.col("i")
+    down = F.floor((i - 2 * across) / 2)
+    border = border.select(F.when(i < 2 * across, F.floor(i / 2)).otherwise((i % 2) * g.width).cast("double").alias("c"), F.when(i < 2 * across, (i % 2) * g.height).otherwise(down).cast("double").alias("w"))
+    lattice = border.unionByName(spark.range(441).select((F.col("id") % 21 / 20 * g.width).alias("c"), (F.floor(F.col("id") / 21) / 20 * g.height).alias("w")))
     x, y = transform_xy(*g.to_world(F.col("c"), F.col("w")), g.srid, srid)
     e = lattice.select(x.alias("x"), y.alias("y")).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
     size = math.hypot(e["x1"] - e["x0"], e["y1"] - e["y0"]) / math.hypot(g.width, g.height)
@@ -347,8 +330,10 @@ def reproject_raster(r: DataFrame, srid: int, overlaps: bool | None = None) -> D
     c, w = g.to_pixel(sx, sy)
     target = target.select("tc", "tr", F.floor(c).cast("int").alias("col"), F.floor(w).cast("int").alias("row"))
     target = target.where(F.col("col").between(0, g.width - 1) & F.col("row").between(0, g.height - 1))
-    out = target.join(mosaic(r, overlaps), ["col", "row"]).select("rid", "band", F.col("tc").alias("col"), F.col("tr").alias("row"), "value")
-    return _like(out, out_grid)
+    px = mosaic(r, overlaps)
+    px = from_tiles(px) if is_tiles(px) else px
+    out = _like(target.join(px, ["col", "row"]).select("rid", "band", F.col("tc").alias("col"), F.col("tr").alias("row"), "value"), out_grid)
+    return T.from_pixels(out, out_grid) if is_tiles(r) else out
 
 
 # ---------------------------------------------------------------- clip and burn
@@ -361,85 +346,49 @@ def extent_layer(r: DataFrame) -> DataFrame:
     return set_srid(one, g.srid)
 
 
-def raster_clip(r: DataFrame, mask: DataFrame, keep_outside: bool = False) -> DataFrame:
-    """Pixels whose centre lies in the mask, in tiles that meet it; ``rid`` stays.
+def raster_clip(r: DataFrame, mask: DataFrame, overlaps: bool | None = None) -> DataFrame:
+    """The tiles that share area with the mask, with nodata where a pixel's centre is outside; ``rid`` stays.
 
-    The mask is united per tile (cut to the tile first, in rounds), so each pixel is
-    tested against one geometry.  ``keep_outside`` keeps the other pixels as nodata."""
+    The mask is united per tile (cut to the tile first, in rounds), so each tile is tested against one geometry."""
     from .joins import intersection
-    g = grid_of(r)
+    t = as_tiles(r, overlaps)
+    g = T.grid_of(t)
     if g.srid is not None and srid_of(mask) not in (None, g.srid):
         mask = reproject(mask, g.srid)
-    t = tile_boxes(r)
-    x0, y0 = g.to_world(F.col("c0"), F.col("r0"))
-    x1, y1 = g.to_world(F.col("c1") + 1, F.col("r1") + 1)
-    c = (F.least(x0, x1), F.least(y0, y1), F.greatest(x0, x1), F.greatest(y0, y1))
-    tiles = set_srid(t.select("rid", make_box(*c).alias("geom"), make_bbox(*c).alias("bbox")), g.srid)
-    m = mask.where(N.is_polygonal(F.col("geom")))
-    cut = intersection(tiles, m, ["rid"]).where(N.is_polygonal(F.col("geom")))
-    cover = merge_by_key(cut, ["rid"], "geom", union_many, union_one)
-    x, y = g.to_world(F.col("col") + 0.5, F.col("row") + 0.5)
-    px = r.join(cover, "rid").withColumn("_in", N.point_location(F.col("geom"), x, y) >= 0).drop("geom")
-    if keep_outside:
-        return _like(px.withColumn("value", F.when(F.col("_in"), F.col("value"))), g)
-    return _like(px.where("_in"), g)
-
-
-BLOCK = 256
+    boxes = T.with_box(t).select("rid", "geom", "bbox")
+    cut = intersection(set_srid(boxes, g.srid), mask.where(N.is_polygonal(F.col("geom"))), ["rid"]).where(N.is_polygonal(F.col("geom")))
+    return _back(r, T.clip(t, merge_by_key(cut, ["rid"], "geom", union_many, union_one)))
 
 
-def burn(layer: DataFrame, grid: Grid, value: str, order: str, band: int = 1) -> DataFrame:
-    """Raster from polygons: pixels whose centre is inside take ``value``; the highest ``order`` wins.
-
-    A feature is first cut into blocks of pixels and spread, so a huge polygon is not one task's work."""
-    b = F.col("bbox")
-    df = ensure_bbox(layer).where(N.is_polygonal(F.col("geom")) & b.isNotNull()).select(F.col(value).cast("double").alias("value"), F.col(order).alias("_o"), "geom", "bbox")
-    ca, ra = grid.to_pixel(b["xmin"], b["ymin"])
-    cb, rb = grid.to_pixel(b["xmax"], b["ymax"])
-
-    def rng(p, q, n):
-        lo = F.greatest(F.lit(0).cast("long"), F.floor(F.least(p, q)))
-        hi = F.least(F.lit(n - 1).cast("long"), F.floor(F.greatest(p, q)))
-        return lo, hi
-
-    (c0, c1), (r0, r1) = rng(ca, cb, grid.width), rng(ra, rb, grid.height)
-    df = df.withColumns({"_c0": c0, "_c1": c1, "_r0": r0, "_r1": r1}).where("_c0 <= _c1 AND _r0 <= _r1").drop("bbox")
-    df = df.withColumn("_bx", F.explode(F.expr(f"sequence(_c0 div {BLOCK}, _c1 div {BLOCK})")))
-    df = df.withColumn("_by", F.explode(F.expr(f"sequence(_r0 div {BLOCK}, _r1 div {BLOCK})"))).repartition("_bx", "_by", "_o")
-    df = df.withColumn("col", F.explode(F.expr(f"sequence(greatest(_c0, _bx * {BLOCK}), least(_c1, _bx * {BLOCK} + {BLOCK - 1}))")))
-    df = df.withColumn("row", F.explode(F.expr(f"sequence(greatest(_r0, _by * {BLOCK}), least(_r1, _by * {BLOCK} + {BLOCK - 1}))")))
-    x, y = grid.to_world(F.col("col") + 0.5, F.col("row") + 0.5)
-    hit = df.where(N.point_location(F.col("geom"), x, y) >= 0)
-    out = hit.groupBy("col", "row").agg(F.max_by("value", "_o").alias("value"))
-    across = -(-grid.width // TILE)
-    rid = F.floor(F.col("row") / TILE) * across + F.floor(F.col("col") / TILE)
-    return _like(out.withColumn("band", F.lit(band)).withColumn("rid", rid), grid)
+def burn(layer: DataFrame, grid: Grid, value: str, order: str, band: int = 1, tiles: bool = False) -> DataFrame:
+    """Raster from polygons: pixels whose centre is inside take ``value``; the highest ``order``, a number, wins. In pixel form only burned pixels have a row."""
+    df = ensure_bbox(layer).where(N.is_polygonal(F.col("geom")))
+    t = T.burn(df, grid, value, order, TILE)
+    return t if tiles else _like(T.to_pixels(t).where(F.col("value").isNotNull()).withColumn("band", F.lit(band)), grid)
 
 
 # ---------------------------------------------------------------- algebra
 
-def bands_wide(r: DataFrame, bands: tuple[int, ...]) -> DataFrame:
-    """One row per pixel with a column b1, b2, ... per band."""
-    return r.where(F.col("band").isin(*bands)).groupBy("rid", "col", "row").agg(
-        *[F.max(F.when(F.col("band") == b, F.col("value"))).alias(f"b{b}") for b in bands])
-
-
 def map_algebra(r: DataFrame, expression: str, bands: tuple[int, ...]) -> DataFrame:
     """New one-band raster from an SQL expression over b1, b2, ..."""
-    if len(bands) == 1:
-        wide = r.where(F.col("band") == bands[0]).withColumnRenamed("value", f"b{bands[0]}")
-    else:
-        wide = bands_wide(r, bands)
+    if is_tiles(r):
+        return T.algebra(r, expression, bands)
+    wide = r.where(F.col("band").isin(*bands)).groupBy("rid", "col", "row").agg(*[F.max(F.when(F.col("band") == b, F.col("value"))).alias(f"b{b}") for b in bands])
     return _like(wide.withColumn("value", F.expr(expression)).withColumn("band", F.lit(1)), grid_of(r))
 
 
 def reclass(r: DataFrame, ranges: list[tuple[float, float, float]], band: int = 1) -> DataFrame:
     """Map half-open value ranges [lo, hi) of one band to new values; the rest becomes nodata."""
-    v, out = F.col("value"), None
-    for lo, hi, new in ranges:
-        cond = (v >= lo) & (v < hi)
-        out = F.when(cond, float(new)) if out is None else out.when(cond, float(new))
-    return _like(r.withColumn("value", F.when(F.col("band") == band, out).otherwise(v)), grid_of(r))
+    def new(v: Column) -> Column:
+        out = F.lit(None).cast("double")
+        for lo, hi, to in reversed(ranges):
+            out = F.when((v >= lo) & (v < hi), F.lit(float(to))).otherwise(out)
+        return out
+
+    if is_tiles(r):
+        return T.map_band(r, band, new)
+    v = F.col("value")
+    return _like(r.withColumn("value", F.when(F.col("band") == band, new(v)).otherwise(v)), grid_of(r))
 
 
 def grayscale(r: DataFrame, red: int = 1, green: int = 2, blue: int = 3) -> DataFrame:
@@ -449,11 +398,17 @@ def grayscale(r: DataFrame, red: int = 1, green: int = 2, blue: int = 3) -> Data
 
 
 def add_band(r: DataFrame, other: DataFrame, band: int) -> DataFrame:
-    """Append a one-band raster on the same grid as band ``band``."""
+    """Append a one-band raster on the same grid (tiles: in the same tiles) as band ``band``, the next one in tile form."""
+    if is_tiles(r):
+        more = other.select(F.col("rid").alias("_rid"), F.get("bands", F.lit(0)).alias("_b"))
+        both = r.join(more, F.col("rid") == F.col("_rid"), "left").withColumn("bands", F.concat(F.slice("bands", 1, band - 1), F.array(F.coalesce("_b", F.transform(F.get("bands", F.lit(0)), lambda v: F.lit(None).cast("double"))))))
+        return T.stamp(both.drop("_rid", "_b"), grid_of(r), T.is_flat(r))
     return _like(r.unionByName(other.withColumn("band", F.lit(band))), grid_of(r))
 
 
 def drop_band(r: DataFrame, band: int) -> DataFrame:
+    if is_tiles(r):
+        return T.drop_band(r, band)
     rest = r.where(F.col("band") != band)
     return _like(rest.withColumn("band", F.when(F.col("band") > band, F.col("band") - 1).otherwise(F.col("band"))), grid_of(r))
 
@@ -464,54 +419,10 @@ FOCAL = ("count", "sum", "mean", "stddev", "min", "max", "range", "distinct", "i
 
 
 def focal(r: DataFrame, kind: str, radius: int = 1, band: int = 1, overlaps: bool | None = None) -> DataFrame:
-    """Statistic over the (2 radius + 1) square window around each pixel with a place in the raster.
-
-    Sums and extremes go along columns, then along rows; distinct and
-    inverse-distance weights look at the whole window at once."""
+    """Statistic over the (2 radius + 1) square window around each pixel; only strips along tile borders are shuffled."""
     if kind not in FOCAL:
         raise ValueError(f"unknown neighbourhood statistic {kind!r}")
-    g = grid_of(r)
-    src = mosaic(r.where(F.col("band") == band), overlaps)
-    v = F.col("value")
-    steps = F.sequence(F.lit(-radius), F.lit(radius))
-
-    def shift(df, axis, size):
-        return df.withColumn("_d", F.explode(steps)).withColumn(axis, F.col(axis) + F.col("_d")).where(F.col(axis).between(0, size - 1))
-
-    if kind in ("distinct", "invdist"):
-        px = shift(src.withColumn("_dx", F.lit(0)), "col", g.width).withColumn("_dx", F.col("_d")).drop("_d")
-        px = shift(px, "row", g.height)
-        if kind == "distinct":
-            res = F.countDistinct("value").cast("double")
-        else:
-            d = F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_d") * F.col("_d"))
-            w = F.when(v.isNotNull() & (d > 0), 1 / F.when(d > 0, d).otherwise(1.0))
-            own = F.max(F.when(d == 0, v))
-            res = F.coalesce(own, F.try_divide(F.sum(w * v), F.sum(w)))
-        out = px.groupBy("col", "row").agg(res.alias("value"), F.max(F.when((F.col("_d") == 0), F.col("rid"))).alias("rid"))
-    else:
-        # q is the sum of squared differences from the mean; parts are merged by their counts, sums and q, so nothing cancels for large values
-        part = src.select("col", "row", "rid", v.isNotNull().cast("long").alias("n"), F.coalesce(v, F.lit(0.0)).alias("s"),
-                          F.lit(0.0).alias("q"), v.alias("lo"), v.alias("hi"))
-        def merged(x, y):
-            n = x["n"] + y["n"]
-            d = F.try_divide(x["s"], x["n"]) - F.try_divide(y["s"], y["n"])
-            q = x["q"] + y["q"] + F.coalesce(F.try_divide(d * d * x["n"] * y["n"], n), F.lit(0.0))
-            return F.struct(n.alias("n"), (x["s"] + y["s"]).alias("s"), q.alias("q"))
-
-        none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
-        for axis, size, other in (("col", g.width, "row"), ("row", g.height, "col")):
-            q = F.aggregate(F.collect_list(F.struct("n", "s", "q")), none, merged)["q"] if kind == "stddev" else F.lit(0.0)   # 2 radius + 1 parts
-            part = shift(part, axis, size).groupBy(axis, other).agg(
-                F.sum("n").alias("n"), F.sum("s").alias("s"), q.alias("q"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-                F.max(F.when(F.col("_d") == 0, F.col("rid"))).alias("rid"))
-        n = F.nullif(F.col("n"), F.lit(0))
-        mean = F.col("s") / n
-        res = {"count": F.col("n").cast("double"), "sum": F.when(n.isNotNull(), F.col("s")), "mean": mean,
-               "stddev": F.sqrt(F.col("q") / n), "min": F.col("lo"), "max": F.col("hi"),
-               "range": F.col("hi") - F.col("lo")}[kind]
-        out = part.withColumn("value", res)
-    return _like(out.withColumn("band", F.lit(1)).withColumn("rid", F.coalesce("rid", F.lit(0))), g)
+    return _back(r, T.focal(as_tiles(r, overlaps), kind, radius, band))
 
 
 TERRAIN = ("slope", "aspect", "hillshade", "roughness", "tpi", "tri")
@@ -519,40 +430,12 @@ TERRAIN = ("slope", "aspect", "hillshade", "roughness", "tpi", "tri")
 
 def terrain(r: DataFrame, kind: str, band: int = 1, azimuth: float = 315.0, altitude: float = 45.0, z_factor: float = 1.0,
             overlaps: bool | None = None) -> DataFrame:
-    """3 x 3 terrain measures (Horn weights); NULL where a neighbour is missing.
+    """3 x 3 terrain measures (Horn weights); NULL where the pixel or a neighbour is missing.
 
     slope and aspect in degrees (aspect clockwise from north, NULL on flat ground), hillshade 0 .. 255."""
     if kind not in TERRAIN:
         raise ValueError(f"unknown terrain measure {kind!r}")
-    g = grid_of(r)
-    src = mosaic(r.where(F.col("band") == band), overlaps).where(F.col("value").isNotNull())
-    near = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    # a pixel at offset (dx, dy) of its target
-    px = src.withColumn("_o", F.explode(near)).withColumn("col", F.col("col") - F.col("_o.dx")).withColumn("row", F.col("row") - F.col("_o.dy"))
-    cell = {(dx, dy): F.max(F.when((F.col("_o.dx") == dx) & (F.col("_o.dy") == dy), F.col("value"))).alias(f"z{dx + 1}{dy + 1}")
-            for dx in (-1, 0, 1) for dy in (-1, 0, 1)}
-    w = px.groupBy("col", "row").agg(F.max(F.when((F.col("_o.dx") == 0) & (F.col("_o.dy") == 0), F.col("rid"))).alias("rid"), *cell.values())
-    z = lambda dx, dy: F.col(f"z{dx + 1}{dy + 1}")
-    gx = ((z(1, -1) + 2 * z(1, 0) + z(1, 1)) - (z(-1, -1) + 2 * z(-1, 0) + z(-1, 1))) / (8 * abs(g.sx)) * z_factor
-    gy = ((z(-1, 1) + 2 * z(0, 1) + z(1, 1)) - (z(-1, -1) + 2 * z(0, -1) + z(1, -1))) / (8 * abs(g.sy)) * z_factor   # downwards
-    steep = F.atan(F.sqrt(gx * gx + gy * gy))
-    asp = F.degrees(F.atan2(-gx, gy))       # downhill direction, clockwise from north
-    asp = F.when((gx == 0) & (gy == 0), None).when(asp < 0, asp + 360).otherwise(asp)
-    around = [z(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx, dy) != (0, 0)]
-    total = around[0]
-    diff = F.abs(around[0] - z(0, 0))
-    for q in around[1:]:
-        total, diff = total + q, diff + F.abs(q - z(0, 0))
-    whole = [*around, z(0, 0)]
-    complete = F.lit(True)
-    for q in whole:
-        complete = complete & q.isNotNull()
-    zen, azi = math.radians(90 - altitude), math.radians(azimuth)
-    shade = F.greatest(F.lit(0.0), 255 * (math.cos(zen) * F.cos(steep) + math.sin(zen) * F.sin(steep) * F.cos(azi - F.radians(F.coalesce(asp, F.lit(0.0))))))
-    res = {"slope": F.degrees(steep), "aspect": asp, "hillshade": shade, "roughness": F.greatest(*whole) - F.least(*whole),
-           "tpi": z(0, 0) - total / 8, "tri": diff / 8}[kind]
-    out = w.where(z(0, 0).isNotNull()).withColumn("value", F.when(complete, res)).withColumn("band", F.lit(1))
-    return _like(out, g)
+    return _back(r, T.terrain(as_tiles(r, overlaps), kind, band, azimuth, altitude, z_factor))
 
 
 # ---------------------------------------------------------------- georeference
@@ -560,6 +443,7 @@ def terrain(r: DataFrame, kind: str, band: int = 1, azimuth: float = 315.0, alti
 def georeference(r: DataFrame) -> DataFrame:
     """World position of the corner and centre of every pixel, with scale and skew."""
     g = grid_of(r)
+    r = from_tiles(r) if is_tiles(r) else r
     x, y = g.to_world(F.col("col"), F.col("row"))
     cx, cy = g.to_world(F.col("col") + 0.5, F.col("row") + 0.5)
     return r.select("rid", "band", "col", "row", "value", x.alias("ulx"), y.alias("uly"), cx.alias("cx"), cy.alias("cy"),
@@ -571,4 +455,4 @@ def set_georeference(r: DataFrame, ulx: float | None = None, uly: float | None =
     new = replace(g, ulx=g.ulx if ulx is None else float(ulx), uly=g.uly if uly is None else float(uly), srid=g.srid if srid is None else srid)
     if scale is not None:
         new = replace(new, sx=math.copysign(scale, g.sx), sy=math.copysign(scale, g.sy))
-    return stamp_grid(r, new)
+    return T.stamp(r, new, T.is_flat(r)) if is_tiles(r) else stamp_grid(r, new)

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.raster import (TILE, Grid, _like, from_tiles, grid_of, must_tile, overviews, retile, stamp_grid, to_tiles)
+from ..operators import tiles as T
+from ..operators.raster import TILE, Grid, _like, as_tiles, from_tiles, grid_of, level_grid, must_tile, overviews, retile, stamp_grid, to_tiles
 
 
-def read_raster(spark: SparkSession, path: str, srid: int | None = None) -> DataFrame:
-    """Raster stored as pixels or as tiles in Parquet; the SRID is taken from the file or given."""
+def read_raster(spark: SparkSession, path: str, srid: int | None = None, tiles: bool = False) -> DataFrame:
+    """Raster stored as pixels or as tiles in Parquet, in pixel form unless ``tiles``; the SRID is taken from the file or given."""
     df = spark.read.parquet(path)
-    r = from_tiles(df) if "bands" in df.columns else df
-    g = grid_of(r)
+    stored = T.is_tiles(df)
+    g = grid_of(df)
     if g.srid is None and srid is None:
         raise ValueError("the raster has no SRID; pass srid=")
-    return r if srid is None else stamp_grid(r, Grid(g.ulx, g.uly, g.sx, g.sy, g.width, g.height, srid))
+    g = g if srid is None else Grid(g.ulx, g.uly, g.sx, g.sy, g.width, g.height, srid)
+    df = T.stamp(df, g, T.is_flat(df)) if stored else stamp_grid(df, g)
+    if tiles:
+        return df if stored else T.from_pixels(df, g)
+    return from_tiles(df) if stored else df
 
 
 def read_ascii_grid(spark: SparkSession, path: str, srid: int | None = None) -> DataFrame:
@@ -46,13 +51,11 @@ def import_raster(r: DataFrame, path: str, tiled: bool = True, w: int = TILE, h:
 
     ``tiled=False`` asks for one tile; from 100 MiB on a raster is tiled all the same."""
     g = grid_of(r)
-    bands = r.agg(F.countDistinct("band").alias("n")).first()["n"]
+    t = as_tiles(r)
+    bands = t.agg(F.max(F.size("bands")).alias("n")).first()["n"]
     tiled = tiled or must_tile(g, bands)
     mode = "overwrite" if overwrite else "errorifexists"
-    base = retile(r, w, h) if tiled else retile(r, g.width, g.height)
-    to_tiles(base).write.mode(mode).parquet(f"{path}/level=0")
+    to_tiles(retile(t, w, h) if tiled else retile(t, g.width, g.height)).write.mode(mode).parquet(f"{path}/level=0")
     for level in levels:
-        one = overviews(r, (level,)).drop("level")
-        lw, lh = -(-g.width // level), -(-g.height // level)
-        one = stamp_grid(one, Grid(g.ulx, g.uly, g.sx * level, g.sy * level, lw, lh, g.srid))
-        to_tiles(retile(one, w, h, overlaps=False)).write.mode(mode).parquet(f"{path}/level={level}")
+        one = T.stamp(overviews(t, (level,), overlaps=False).drop("level"), level_grid(g, level), True)
+        to_tiles(retile(one, w, h)).write.mode(mode).parquet(f"{path}/level={level}")

@@ -78,11 +78,11 @@ def sparse_tiles_and_back(spark, sf):
     return R.from_tiles(R.to_tiles(R.stamp_grid(some, R.grid_of(h)))).where("value IS NOT NULL").select("rid", "band", "col", "row", "value")
 
 
-@query("overviews_all_levels", "SELECT level, (ceil(100 / level) * ceil(any_value(h) / level))::BIGINT AS pixels FROM heat, (SELECT unnest([2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048])::DOUBLE AS level) GROUP BY level", "heat")
+@query("overviews_all_levels", "SELECT level, band, (ceil(100 / level) * ceil(any_value(h) / level))::BIGINT AS pixels FROM heat, (SELECT unnest([2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048])::DOUBLE AS level), (SELECT unnest([1, 2]) AS band) GROUP BY level, band", "heat")
 def overviews_all_levels(spark, sf):
-    """Every level, also those beyond the raster, which are one pixel."""
-    o = R.overviews(fx.heat(spark, sf).where("band = 1"))
-    return o.groupBy("level").agg(F.count(F.lit(1)).alias("pixels")).select(F.col("level").cast("double").alias("level"), "pixels")
+    """Every level, also those beyond the raster, which are one pixel; from the pixel form (values: raster_overviews_lanczos)."""
+    o = R.overviews(fx.heat(spark, sf))
+    return o.groupBy("level", "band").agg(F.count(F.lit(1)).alias("pixels")).select(F.col("level").cast("double").alias("level"), "band", "pixels")
 
 
 _WINDOW = """, n AS (SELECT c.col, c.row, v.b2 AS v FROM heat c, (SELECT unnest([-1, 0, 1]) AS ox), (SELECT unnest([-1, 0, 1]) AS oy), heat v WHERE v.col = c.col + ox AND v.row = c.row + oy)
@@ -93,7 +93,7 @@ _WINDOW = """, n AS (SELECT c.col, c.row, v.b2 AS v FROM heat c, (SELECT unnest(
 def focal_stddev_large_values(spark, sf):
     """Values far from zero don't change a deviation."""
     h = fx.heat(spark, sf)
-    far = R.stamp_grid(h.withColumn("value", F.col("value") + 1e9), R.grid_of(h))
+    far = R.stamp_grid(h.withColumn("value", F.col("value") + 1e9), R.grid_of(h))   # in pixel form
     return R.focal(far, "stddev", 1, 2).select("col", "row", F.round("value", 1).alias("value"))
 
 
