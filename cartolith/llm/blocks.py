@@ -19,14 +19,13 @@ from pyspark.sql import functions as F
 from cartolith.llm.words import U
 
 BLOCK = 2 << 20         # bytes of text
-BLOCKS = 1 << 20        # beyond so many blocks they grow instead, which bounds what one key can cost
 PER_RANGE = 1 << 18     # keys that one range holds
 
 
 def blocked(base: DataFrame) -> tuple[DataFrame, int]:
     """(block, doc_id, text) and the number of bytes. Equal ids come into the same block."""
     size = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n = max(1, min(BLOCKS, ceil(size / BLOCK)))
+    n = max(1, ceil(size / BLOCK))
     return base.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), "doc_id", "text"), size
 
 

@@ -16,7 +16,8 @@ from cartolith.llm.words import ALNUM, U, grams, parts, signed, words
 MASKS = ("1101111", "1100010111", "11110101")
 NARROW = ("11010011", "110111")
 WINDOW, SHARE = 16, 0.8
-MIN_WORDS = 5
+EDGE = 13        # equal words in a row that are enough where the document's edge cuts a window short
+MIN_WORDS = 1    # of an item
 BITS = 1 << 24   # of the filter that every task gets: 2 MB, whatever the benchmark's size
 
 
@@ -109,12 +110,17 @@ def stretches(docs: DataFrame, present: np.ndarray, lengths: list[int]) -> DataF
 
 
 def best_window(doc: np.ndarray, first: int, item: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """Along one alignment (document word = item word + shift): most equal words in a window, the window's length, and its first document word."""
+    """Along one alignment (document word = item word + shift): most equal words in a window, the window's length, and its first document word.
+
+    Where the document begins or ends inside the item and leaves fewer words than a window, EDGE equal words in a row among them are enough. A stretch reaches a window's length beyond its seeds wherever the document goes on, so only the document's own edges cut windows short."""
     size = min(WINDOW, len(item))
     lo, hi = max(0, first - shift), min(len(item), first + len(doc) - shift)
+    same = doc[lo + shift - first:hi + shift - first] == item[lo:hi]
     if hi - lo < size:
-        return 0, size, -1
-    equal = np.concatenate([[0], np.cumsum(doc[lo + shift - first:hi + shift - first] == item[lo:hi])])
+        at = np.flatnonzero(np.concatenate([[True], ~same, [True]])) if hi > lo else np.empty(0, np.int64)
+        run = int(np.diff(at).max()) - 1 if len(at) > 1 else 0
+        return (run, run, lo + shift + int(at[np.diff(at).argmax()])) if run >= EDGE else (0, size, -1)
+    equal = np.concatenate([[0], np.cumsum(same)])
     sums = equal[size:] - equal[:-size]
     at = int(sums.argmax())
     return int(sums[at]), size, lo + shift + at
@@ -122,11 +128,11 @@ def best_window(doc: np.ndarray, first: int, item: np.ndarray, shift: int) -> tu
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, doc_word, equal_words, window: every alignment of a document and a benchmark item with a window of WINDOW words (or the whole
-    of a shorter item) in which at least SHARE of the words are equal, place by place.
+    of a shorter item) in which at least SHARE of the words are equal, place by place; where a document begins or ends inside an item and leaves less than
+    a window, EDGE equal words in a row are enough.
 
-    Words are runs of digits, letters (A-Z lower-cased) and non-ASCII characters; items of 5 to 8 words are
-    found word for word only, those of fewer than MIN_WORDS words are not searched. Null texts
-    have no words; benchmark rows with a null id are left out. Only ids and texts are read.
+    Words are runs of digits, letters (A-Z lower-cased) and non-ASCII characters; items of up to 8 words are found word for word only, so an item of one
+    common word is found in many documents. Null texts have no words; benchmark rows with a null id are left out. Only ids and texts are read.
     """
     base = documents_of(docs, doc_id, text)
     seeds, items = seeds_of(benchmark, item_id, item_text)

@@ -18,6 +18,7 @@ from cartolith.llm.components import components
 from cartolith.llm.words import NOT_SPACE, U, grams, mix, odd, parts, signed, words
 
 SKETCHES, MINIMA = 4, 3   # of a set: so many groups of so many minima
+TOGETHER = 512       # sets of a component that are compared at a time
 LARGEST_SMALL = 48   # sizes for which a cost is worked out; enumeration beyond is never the cheaper way
 
 
@@ -199,18 +200,78 @@ def list_links(postings: DataFrame, reps: DataFrame, links: DataFrame, percent:
     return verified(pairs.select(F.col("rep").alias("a"), "b").distinct(), reps, percent)
 
 
-def linked_classes(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (smallest id with the same set), component_id (smallest id reachable by links).
+def intersections(a: list[np.ndarray], b: list[np.ndarray], most: int = 1 << 13) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products of presence matrices over so many elements at a time."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    row_a, row_b = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    all_a, all_b = np.concatenate([np.empty(0, np.int64), *a]), np.concatenate([np.empty(0, np.int64), *b])
+    both = np.intersect1d(all_a, all_b)
+    at_a, at_b = np.searchsorted(both, all_a), np.searchsorted(both, all_b)
+    for lo in range(0, len(both), most):
+        parts_of = []
+        for rows, at, values, n in ((row_a, at_a, all_a, len(a)), (row_b, at_b, all_b, len(b))):
+            mine = (at >= lo) & (at < min(lo + most, len(both)))
+            mine[mine] = both[at[mine]] == values[mine]
+            x = np.zeros((n, min(most, len(both) - lo)), np.float32)
+            x[rows[mine], at[mine] - lo] = 1
+            parts_of.append(x)
+        out += parts_of[0] @ parts_of[1].T
+    return out.astype(np.int64)
+
+
+def link_counts(reps: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(class, n_links): for the sets of found (class_id, docs, component_id) with a component of several sets, how many documents with other sets one of
+    its documents links with. Links only lie inside components, so these are all.
+
+    The sets of a component are dealt into blocks of about TOGETHER; each pair of blocks is compared in one task, which sends back a count per set, never
+    a pair. So the work in a component grows with the square of its different texts, as the links do, and the rows with that square over TOGETHER.
+    """
+    sizes = found.groupBy("component_id").agg(F.count("*").alias("sets")).where("sets > 1").withColumnRenamed("component_id", "c")
+    own = found.join(sizes, F.col("component_id") == F.col("c")).select("class_id", "docs", F.col("c"), F.ceil(F.col("sets") / TOGETHER).cast("int").alias("deals"))
+    own = own.withColumn("deal", F.pmod(F.xxhash64("class_id"), F.col("deals")).cast("int"))
+    sets = own.join(reps.select("rep", "n", "shared"), F.col("class_id") == F.col("rep")).select("class_id", "docs", "c", "deals", "deal", "n", "shared")
+    met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+    # components of one deal share tasks, as many as the sets ask for; of several, each pair of deals is a group
+    tasks = max(1, ceil(found.count() / (8 * TOGETHER)))
+    several = F.col("deals") > 1
+    met = met.select("class_id", "docs", "c", "deal", "n", "shared", F.least("deal", "other").alias("x"), F.greatest("deal", "other").alias("y"),
+                     F.when(several, F.col("c")).otherwise(-1 - F.pmod(F.xxhash64("c"), F.lit(tasks))).alias("task"))
+
+    def count(table: pa.Table) -> pa.Table:
+        ids, n, docs, comp = (table.column(c).to_numpy() for c in ("class_id", "n", "docs", "c"))
+        deal, x, y = (table.column(c).to_numpy() for c in ("deal", "x", "y"))
+        shared = [np.array(v, np.int64) for v in table.column("shared").to_pylist()]
+        links = np.zeros(len(ids), np.int64)
+        order = np.argsort(comp, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
+            a, b = rows[deal[rows] == x[rows]], rows[deal[rows] == y[rows]]
+            for i in range(0, len(a), TOGETHER):
+                for j in range(0, len(b), TOGETHER):
+                    p, q = a[i:i + TOGETHER], b[j:j + TOGETHER]
+                    both = intersections([shared[k] for k in p], [shared[k] for k in q])
+                    linked = (100 * both >= percent * (n[p][:, None] + n[q][None, :] - both)) & (ids[p][:, None] != ids[q][None, :])
+                    links[p] += linked @ docs[q]
+                    if x[rows[0]] != y[rows[0]]:
+                        links[q] += linked.T @ docs[p]
+        return pa.table([table.column("class_id"), pa.array(links)], ["class", "links"])
+
+    parts_of = met.groupBy("task", "x", "y").applyInArrow(count, "class long, links long")
+    return parts_of.groupBy("class").agg(F.sum("links").alias("n_links"))
+
+
+def linked_classes(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, class_id (smallest id with the same set), component_id (smallest id reachable by links), and with
+    `counts` n_links, the number of other documents that it links with (those with the same set, too).
 
     A document's set holds its distinct shingles of `size` words (runs of other than white space, A-Z lower-cased), or the whole sequence if it has
     fewer words; a text without words, or null, has none and is linked with nothing. Two documents link when 100 * intersection >= percent * union.
-    Rows with the same id and text count as one document more than once; a null id gets null as class and component unless it has copies.
+    Rows with the same id and text count as one document more than once (and as links of each other); a null id gets null as class and component unless it has copies.
     Other columns are not read. An empty table gives an empty result. Shingles are told apart by 64-bit hashes, sets by 128 bits.
     """
     sets = written(sets_of(docs, size, percent, doc_id, text), "sets")
     some = sets.where("prefix IS NOT NULL AND doc_id IS NOT NULL")
-    classes = written(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = written(some.join(classes.withColumnsRenamed({"s1": "t1", "s2": "t2"}), (F.col("doc_id") == F.col("rep")) & (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")))
+    classes = written(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs")), "classes")
+    reps = written(some.join(classes.select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")))
                    .select("rep", "n", "shared", "prefix", "sketch").dropDuplicates(["rep"]), "set-reps")
     entries = reps.select("rep", "n", F.posexplode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("i", "word"), (F.col("n") - F.size("shared")).alias("own"))
     entries = entries.select("word", "rep", "n", (F.col("own") + F.col("i")).alias("at"))
@@ -222,6 +283,10 @@ def linked_classes(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: st
     postings = written(heavy.join(several, "word"), "postings")
     links = written(subset_links(reps, largest, percent).unionByName(sketch_links(reps, percent)).distinct(), "set-links")
     group = components(links.unionByName(written(list_links(postings, reps, links, percent), "list-links")))
-    found = written(classes.join(group, F.col("rep") == F.col("id"), "left").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id")), "classes")
-    return sets.select("doc_id", "n", "s1", "s2").join(found, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = written(classes.join(group, F.col("rep") == F.col("id"), "left").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"), "docs"), "classes")
+    if counts:
+        links = link_counts(reps, found, percent)
+        found = found.join(links, F.col("class_id") == F.col("class"), "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)) + F.col("docs") - 1)
+    both = sets.select("doc_id", "n", "s1", "s2").join(found, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")), "left")
+    out = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id")]
+    return both.select(*out, *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if counts else []))

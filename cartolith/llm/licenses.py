@@ -30,6 +30,20 @@ TEMPLATES = {
 }
 THRESHOLD = 0.8
 
+# Words that name a license (template: words it can't do without, words that make it another one). Most words of a short sentence are
+# those of any license sentence, so its share alone says little.
+NAMES = {
+    "apache line": (("apache",), ()),
+    "bsd conditions": (("redistribution", "binary"), ()),
+    "cc by line": (("creative", "commons", "attribution"), ("noncommercial", "sharealike", "noderivatives", "noderivs")),
+    "cc by-nc line": (("cc", "by", "nc"), ("nd", "sa")),
+    "gpl line": (("gnu", "general"), ("lesser", "library", "affero")),
+    "gpl notice": (("gnu", "general"), ("lesser", "library", "affero")),
+    "mit line": (("mit",), ()),
+    "mpl form": (("mozilla",), ()),
+    "public domain": (("unencumbered", "domain"), ()),
+}
+
 OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"              # what stands between words, after lower-casing A-Z
 OTHER_IN_LINE = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASE = "(?<= )(?:" + "|".join(PHRASES) + ")(?= )"
@@ -73,11 +87,12 @@ def word_order(base: DataFrame, vocabulary: list[str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def blocks_found(base: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
-    """doc_id, key, block, template, label, containment: all blocks that hold at least `threshold` of a template's distinct words.
+def blocks_found(base: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, wrapped: bool = False, names: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = NAMES) -> DataFrame:
+    """doc_id, key, block, template, label, containment: all blocks that hold at least `threshold` of a template's distinct words, all the words that name
+    it, and none that make it another license.
 
-    Blocks are lines (from 0); with `wrapped` also windows over line ends (from -1 down): for a template of n words those of 2 n words that begin at
-    every n-th word, so a run of up to n + 1 words lies whole in one of them.
+    Blocks are lines (from 0); with `wrapped` lines of up to 2 n words for a template of n words, and windows over line ends (from -1 down): those of 2 n
+    words that begin at every n-th word, so a run of up to n + 1 words lies whole in one of them, and the words of a long line don't add up.
 
     Words get numbers in the order of their frequency in the whole corpus. A template's prefix is what a block can't miss altogether if it passes:
     its rarest (words - needed + 1) words. Blocks meet templates by an equi-join on prefix words. The length filter asks for enough template words in
@@ -86,26 +101,30 @@ def blocks_found(base: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLA
     """
     spark = base.sparkSession
     sets = {name: (label, tokens(text)) for name, (label, text) in templates.items()}
-    order = word_order(base, sorted({w for _, ws in sets.values() for w in ws}))
+    naming = {name: names.get(name, ((), ())) for name in sets}
+    order = word_order(base, sorted({w for _, ws in sets.values() for w in ws} | {w for both in naming.values() for words in both for w in words}))
     number = {w: i for i, w in enumerate(order)}
     rows, needs = [], {}
     for name, (label, ws) in sets.items():
         own = sorted(number[w] for w in ws)
         need = needs[name] = ceil(threshold * len(own) - 1e-9)
-        rows += [(n, name, label, own, i, need, length(templates[name][1])) for i, n in enumerate(own[:len(own) - need + 1])]
+        own_names, others = ([number[w] for w in words] for words in naming[name])
+        rows += [(n, name, label, own, i, need, length(templates[name][1]), own_names, others) for i, n in enumerate(own[:len(own) - need + 1])]
     least = min(needs.values(), default=0)
-    prefixes = spark.createDataFrame(rows, "word int, template string, label string, own array<int>, own_at int, need int, n int")
+    prefixes = spark.createDataFrame(rows, "word int, template string, label string, own array<int>, own_at int, need int, n int, names array<int>, others array<int>")
     heads = sorted({r[0] for r in rows})
     numbers = F.create_map(*[F.lit(x) for pair in number.items() for x in pair])
     line = F.split(F.regexp_replace(lowered(F.col("text")), OTHER_IN_LINE, " "), "\n")
     lines = base.select("doc_id", "key", F.posexplode(line).alias("block", "line"))
-    held = lines.select("doc_id", "key", "block", F.lit(None).cast("int").alias("of"), F.array_intersect(F.split("line", " "), F.array(*map(F.lit, order))).alias("held"))
+    count = F.size(F.array_remove(F.split("line", " "), "")) if wrapped else F.lit(0)
+    held = lines.select("doc_id", "key", "block", F.lit(None).cast("int").alias("of"), count.alias("words"), F.array_intersect(F.split("line", " "), F.array(*map(F.lit, order))).alias("held"))
     if wrapped:
-        held = held.unionByName(windows(base, [(length(templates[name][1]), needs[name], ws) for name, (_, ws) in sets.items()], order))
+        held = held.unionByName(windows(base, [(length(templates[name][1]), needs[name], ws) for name, (_, ws) in sets.items()], order).withColumn("words", F.lit(0)))
     held = held.where(F.size("held") >= least)
-    ranked = held.select("doc_id", "key", "block", "of", F.array_sort(F.transform("held", lambda w: F.element_at(numbers, w))).alias("held"))
+    ranked = held.select("doc_id", "key", "block", "of", "words", F.array_sort(F.transform("held", lambda w: F.element_at(numbers, w))).alias("held"))
     shared = ranked.withColumn("word", F.explode(F.array_intersect("held", F.array(*map(F.lit, heads)))))
-    met = shared.join(F.broadcast(prefixes), "word").where((F.size("held") >= F.col("need")) & (F.col("of").isNull() | (F.col("of") == F.col("n"))))
+    met = shared.join(F.broadcast(prefixes), "word").where((F.size("held") >= F.col("need")) & (F.col("words") <= 2 * F.col("n")) & (F.col("of").isNull() | (F.col("of") == F.col("n"))))
+    met = met.where((F.size(F.array_except("names", "held")) == 0) & ~F.arrays_overlap("others", "held"))
     after = F.least(F.size("held") - F.array_position("held", F.col("word")).cast("int"), F.size("own") - F.col("own_at") - 1) + 1
     first = met.where(after >= F.col("need")).dropDuplicates(["doc_id", "key", "block", "of", "template"])
     share = F.size(F.array_intersect("held", "own"))
@@ -145,17 +164,20 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, thr
 
 
 def oracle() -> str:
-    """The same by brute force: every line against every template, and phrases by looking at following words."""
-    values = ", ".join(f"('{label}', [{', '.join(repr(w) for w in tokens(text))}])" for label, text in TEMPLATES.values())
+    """The same by brute force: every line and every window against every template, and phrases by looking at following words."""
+    quoted = lambda ws: f"[{', '.join(repr(w) for w in ws)}]::VARCHAR[]"
+    values = ", ".join(f"('{label}', {quoted(tokens(text))}, {length(text)}, {quoted(NAMES.get(name, ((), ()))[0])}, {quoted(NAMES.get(name, ((), ()))[1])})" for name, (label, text) in TEMPLATES.items())
     hits = " UNION ALL ".join(
         f"SELECT doc_id, i, '{label}' AS label FROM w WHERE " + " AND ".join(f"w{k} = '{x}'" for k, x in enumerate(phrase.split())) for phrase, label in PHRASES.items())
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return f"""WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
-t AS (SELECT * FROM (VALUES {values}) AS v(label, ws)),
-lines AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS ws FROM (SELECT doc_id, unnest(string_split(x, chr(10))) AS line FROM d)),
-blocks AS (SELECT doc_id, label, len(list_intersect(lines.ws, t.ws)) / len(t.ws)::DOUBLE AS share FROM lines, t),
-more AS (SELECT doc_id, label, share FROM blocks WHERE share >= {THRESHOLD}),
+t AS (SELECT * FROM (VALUES {values}) AS v(label, ws, n, names, others)),
 n AS (SELECT doc_id, regexp_extract_all(x, '{word}') AS ws FROM d),
+lines AS (SELECT doc_id, regexp_extract_all(line, '{word}') AS ws FROM (SELECT doc_id, unnest(string_split(x, chr(10))) AS line FROM d)),
+blocks AS (SELECT doc_id, label, lines.ws AS block, t.ws, names, others FROM lines, t WHERE len(lines.ws) <= 2 * t.n UNION ALL
+    SELECT doc_id, label, list_slice(b, k * n + 1, k * n + 2 * n), ws, names, others FROM (SELECT doc_id, label, n.ws AS b, t.ws, t.n, names, others, unnest(generate_series(0, greatest(ceil(len(n.ws) / t.n)::BIGINT - 2, 0))) AS k FROM n, t)),
+shares AS (SELECT doc_id, label, len(list_intersect(list_distinct(block), ws)) / len(ws)::DOUBLE AS share FROM blocks WHERE list_has_all(block, names) AND NOT list_has_any(block, others)),
+more AS (SELECT doc_id, label, share FROM shares WHERE share >= {THRESHOLD}),
 e AS (SELECT doc_id, unnest(ws) AS w0, generate_subscripts(ws, 1) - 1 AS i FROM n),
 w AS (SELECT doc_id, i, w0, lead(w0, 1) OVER o AS w1, lead(w0, 2) OVER o AS w2, lead(w0, 3) OVER o AS w3 FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 hits AS ({hits}),

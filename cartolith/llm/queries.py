@@ -23,7 +23,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.linked_classes(table(spark, sf_dir, "documents"), size=4, percent=85).select("doc_id", "n_shingles", "component_id", "class_id")
+    return jaccard.linked_classes(table(spark, sf_dir, "documents"), size=4, percent=85, counts=True).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

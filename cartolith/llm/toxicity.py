@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolith.llm.bpe import lists
-from cartolith.llm.common import documents_of
+from cartolith.llm.common import documents_of, written
 from cartolith.llm.words import ALNUM, LOWER, NOT_SPACE, U, mix, parts, words
 
 DIMS = 1 << 22        # hashed features
@@ -110,6 +110,33 @@ def fit(rows: np.ndarray, found: np.ndarray, kinds: int, y: np.ndarray, extra: n
     return Linear(chosen, w)
 
 
+def fold_of(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(FOLDS)).cast("int")
+
+
+def candidates(held: DataFrame, n: int) -> list[int]:
+    """The features that some model may choose: for each category, and for all rows or all but a fold, the FEATURES whose frequency where the category holds is
+    farthest from chance. Counted by Spark; FEATURES x categories x (folds + 1) numbers come to the driver, whatever the texts hold."""
+    rows = held.withColumn("fold", fold_of(F.col("doc_id")))
+    uses = [None, *range(FOLDS)]
+    there = lambda k: F.lit(True) if k is None else F.col("fold") != k
+    shares = rows.agg(*[F.count_if(there(k)).alias(f"n{j}") for j, k in enumerate(uses)], *[F.count_if(there(k) & (F.col(f"y{i}") == 1)).alias(f"p{i}_{j}") for i in range(n) for j, k in enumerate(uses)]).first()
+    each = rows.select("fold", *[f"y{i}" for i in range(n)], F.explode("f").alias("feature")).groupBy("feature").agg(
+        *[F.count_if(there(k)).alias(f"t{j}") for j, k in enumerate(uses)], *[F.count_if(there(k) & (F.col(f"y{i}") == 1)).alias(f"h{i}_{j}") for i in range(n) for j, k in enumerate(uses)])
+    each = written(each.where(F.col("t0") >= LEAST_ROWS), "feature-counts")   # rarer ones can't be chosen; most are
+    best = None
+    for i in range(n):
+        for j in range(len(uses)):
+            p = shares[f"p{i}_{j}"] / shares[f"n{j}"] if shares[f"n{j}"] else 0.0
+            if not 0 < p < 1:
+                continue
+            t = F.col(f"t{j}")
+            z = F.abs(F.col(f"h{i}_{j}") - t * p) / F.sqrt(t * p * (1 - p))
+            one = each.where(t >= LEAST_ROWS).select("feature", z.alias("z")).where(F.col("z") >= LEAST_Z * (1 - 1e-9)).orderBy(F.desc("z"), "feature").limit(FEATURES).select("feature")
+            best = one if best is None else best.unionByName(one)
+    return [] if best is None else sorted(r.feature for r in best.distinct().collect())
+
+
 def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> list[Linear]:
     """A model for each category (name: condition on the columns of labels), in order.
 
@@ -119,7 +146,8 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc
     names = list(categories)
     rows = labels.select(F.col(doc_id).cast("long").alias("label_id"), *[c.cast("int").alias(f"y{i}") for i, c in enumerate(categories.values())]).dropna()
     some = rows.groupBy("label_id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(names))]).orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
-    texts = documents_of(docs, doc_id, text).join(F.broadcast(some), F.col("doc_id") == F.col("label_id")).dropDuplicates(["doc_id"])   # at most `sample` rows are broadcast
+    texts = documents_of(docs, doc_id, text).join(F.broadcast(some), F.col("doc_id") == F.col("label_id"))   # at most `sample` rows are broadcast
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.max(f"y{i}").alias(f"y{i}") for i in range(len(names))])   # of several texts of an id the least
 
     def run(batches):
         for batch in batches:
@@ -130,22 +158,16 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, n), *(batch.column(f"y{i}").slice(row, n) for i in range(len(names))), lists(np.split(f, cuts), pa.int32())], ["doc_id", *(f"y{i}" for i in range(len(names))), "f"])
 
     schema = "doc_id long, " + "".join(f"y{i} int, " for i in range(len(names))) + "f array<int>"
-    got = texts.mapInArrow(run, schema).toArrow().sort_by("doc_id")
+    held = written(texts.mapInArrow(run, schema), "features")
+    wanted = candidates(held, len(names))
+    here = F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<int>")
+    got = held.withColumns({"f": F.array_intersect("f", here), "fold": fold_of(F.col("doc_id"))}).toArrow().sort_by("doc_id")   # at most `sample` rows with FEATURES numbers for each model and fold
     n = got.num_rows
     ids, ys = got.column("doc_id").to_numpy().astype(np.int64), [got.column(f"y{i}").to_numpy().astype(float) for i in range(len(names))]
-    each = [np.asarray(c.values)[c.offsets[0].as_py():c.offsets[-1].as_py()] for c in got.column("f").chunks]
-    lengths = np.concatenate([np.diff(np.asarray(c.offsets)) for c in got.column("f").chunks]) if n else np.empty(0, int)
-    found = np.concatenate(each) if n else np.empty(0, np.int32)
-    del got, each
-    kept, total = np.unique(found, return_counts=True)
-    kept = kept[total >= LEAST_ROWS]   # rarer ones can't be chosen; most are
-    del total
-    place = np.searchsorted(kept, found).astype(np.int32)
-    some = kept[np.minimum(place, max(len(kept) - 1, 0))] == found if len(kept) else np.zeros(len(found), bool)
-    at = np.repeat(np.arange(n, dtype=np.int32), lengths)[some]
-    found = place[some]
-    del place, some
-    fold = (mix(ids.view(U)) % U(FOLDS)).astype(int)
+    own = [np.array(f, np.int64) for f in got.column("f").to_pylist()]
+    at, kept = np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in own]), np.array(sorted(wanted), np.int64)
+    found = np.searchsorted(kept, np.concatenate([np.empty(0, np.int64), *own])).astype(np.int32)
+    fold = got.column("fold").to_numpy().astype(int)
     extra, models = np.zeros((n, 0)), []
     for i in range(len(names)):
         m = fit(at, found, len(kept), ys[i], extra, np.ones(n, bool))

@@ -20,7 +20,7 @@ def test_pipeline(spark, sf):
     for i in sorted(left):
         seen.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", left[i]), i)
     left = {i: left[i] for i in seen.values()}
-    group = brute_links(sets(list(left.items()), 4), 85)
+    group = brute_links(sets(list(left.items()), 5), 80)
     left = {i: t for i, t in left.items() if group[i] == i}
     left = {i: t for i, t in left.items() if not any(brute_overlap(t, x) for x in items)}
     found = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.run(spark, sf).collect()}

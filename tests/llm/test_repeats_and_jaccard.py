@@ -115,6 +115,20 @@ def test_linked_classes(docs_of, odd_rows, monkeypatch, seed, longest, smallest)
     assert len(set(group.values())) < len(own) - 20
 
 
+@pytest.mark.parametrize("together", [512, 3])
+def test_link_counts(docs_of, odd_rows, monkeypatch, together):
+    """Links inside groups of near copies too, in one deal and in many."""
+    monkeypatch.setattr(jaccard, "TOGETHER", together)
+    rows = near_copies(random.Random(6), 150, 40) + [(i + 5000, t) for i, t in odd_rows] + [(7000 + i, " ".join(f"g{k}" for k in range(60)) + f" x{i % 9}") for i in range(40)]
+    own = [(i, *sets([(i, t)], 4).values()) for i, t in rows]
+    want = Counter()
+    for k, (i, a) in enumerate(own):
+        want[i, sum(1 for j, (_, b) in enumerate(own) if j != k and a and 100 * len(a & b) >= 85 * len(a | b))] += 1
+    found = jaccard.linked_classes(docs_of(rows), counts=True).collect()
+    assert Counter((r.doc_id, r.n_links) for r in found) == want
+    assert max(n for _, n in want) >= 39
+
+
 def test_linked_classes_of_nothing(docs_of):
     assert jaccard.linked_classes(docs_of([])).collect() == []
     assert [tuple(r) for r in jaccard.linked_classes(docs_of([(5, None)])).collect()] == [(5, 0, 5, 5)]

@@ -61,11 +61,13 @@ def test_wrapped_licenses(spark, docs_of, odd_rows, tmp_path):
     by_line = {r.doc_id: r for r in licenses.scan(docs_of(rows)).collect()}
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
     for i, t in rows:
-        best, labels = by_line[i].score, set(filter(None, by_line[i].labels.split(",")))
+        best, labels = 0, set(filter(None, by_line[i].base_labels.split(",")))
         ws = cut(t or "")
-        for label, x in licenses.TEMPLATES.values():
+        for name, (label, x) in licenses.TEMPLATES.items():
             n, own = len(cut(x)), set(cut(x))
-            share = max(len(own & set(ws[k:k + 2 * n])) / len(own) for k in range(0, max(len(ws), 1), n))
+            need, others = licenses.NAMES.get(name, ((), ()))
+            tried = [ws[k:k + 2 * n] for k in range(0, max(len(ws), 1), n)] + [line for line in map(cut, (t or "").split("\n")) if len(line) <= 2 * n]
+            share = max((len(own & set(b)) / len(own) for b in tried if set(need) <= set(b) and not set(others) & set(b)), default=0)
             if share >= licenses.THRESHOLD:
                 best, labels = max(best, share), labels | {label}
         assert (found[i].score, found[i].labels) == (best, ",".join(sorted(labels))), t
@@ -74,6 +76,16 @@ def test_wrapped_licenses(spark, docs_of, odd_rows, tmp_path):
             assert found[100 + 10 * k + width].score == 1 and label in found[100 + 10 * k + width].labels.split(",")
 
 
+def test_sentences_of_other_licenses(docs_of):
+    """Sentences that share most words with a template of another license."""
+    gpl = licenses.TEMPLATES["gpl notice"][1]
+    probes = {1: ("The album was released under the license of the studio", ""), 2: ("Released under the BSD License", ""), 3: ("Licensed under the MIT License, Version 2.0", "mit"), 4: ("Licensed under CC BY-SA 4.0", "cc-by"),
+              5: ("Licensed under CC BY-NC-ND 4.0", "cc-by"), 6: (gpl.replace("General", "Lesser General"), ""), 7: (" ".join(["released"] + ["word"] * 900 + ["the"] + ["thing"] * 900 + ["mit under"] + ["other"] * 900 + ["license"]), ""),
+              8: (gpl, "gpl"), 9: ("Released under the MIT License", "mit"), 10: ("Licensed under CC BY-NC 4.0", "cc-by,cc-by-nc")}
+    found = {r.doc_id: r.labels for r in licenses.scan(docs_of([(i, t) for i, (t, _) in probes.items()]), wrapped=True).collect()}
+    assert found == {i: x for i, (_, x) in probes.items()}
+
+
 def test_words_are_cut_and_told_apart():
     import pyarrow as pa
     texts = ["", "one two", "  ONE,two  ", "é ß", "x", " ", "a" * 5000 + " b"] * 3
@@ -158,7 +170,24 @@ def brute_overlap(doc, item):
     for i in range(len(d) - size + 1):
         for j in range(len(b) - size + 1):
             best = max(best, sum(x == y for x, y in zip(d[i:i + size], b[j:j + size])))
-    return best / size if best >= decontaminate.SHARE * size else 0.0
+    if best >= decontaminate.SHARE * size:
+        return best / size
+    ends = range(-len(b), len(d)) if len(d) < size else [*range(-len(b), size - len(b)), *range(len(d) - size, len(d))]
+    for shift in ends:           # the document begins or ends inside the item
+        lo, hi = max(0, -shift), min(len(b), len(d) - shift)
+        if hi - lo < size and any(d[i + shift:i + shift + decontaminate.EDGE] == b[i:i + decontaminate.EDGE] for i in range(lo, hi - decontaminate.EDGE + 1)):
+            return 1.0
+    return 0.0
+
+
+def test_cut_by_the_documents_edge(spark, docs_of):
+    item = [f"w{i}" for i in range(20)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "only four words here"), (3, "x"), (4, " ".join(f"v{i}" for i in range(14)))], "item_id long, text string")
+    rows = [(1, " ".join(item[:15])), (2, "other words stand before it " + " ".join(item[:15])), (3, " ".join(item[4:18])), (4, " ".join(item[7:]) + " then more words follow here"), (5, " ".join(item[:12])),
+            (6, "a text with Only, four; words HERE in it"), (7, "y x z"), (8, "only four words"), (9, " ".join(f"v{i}" for i in range(1, 14))), (10, " ".join(f"v{i}" for i in range(2, 14))), (11, " ".join([*item[:14], "z"]))]
+    got = {r.doc_id: r.contaminated for r in decontaminate.contaminated(docs_of(rows), bench).collect()}
+    want = {i: any(brute_overlap(t, b) for b in (" ".join(item), "only four words here", "x", " ".join(f"v{i}" for i in range(14)))) for i, t in rows}
+    assert got == want == {1: True, 2: True, 3: True, 4: True, 5: False, 6: True, 7: True, 8: False, 9: True, 10: False, 11: True}
 
 
 def test_masks_miss_no_window():
