@@ -56,9 +56,13 @@ class QuerySpec:
         return both.sparkSession.sql(spec.to_sql(), pairs=both)
 
 
+_QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`"""   # a doubled quote is two quoted texts side by side
+
+
 def clean_sql(text: str) -> str:
-    """Trailing semicolons off; Spark itself reads comments and line breaks."""
-    return re.sub(r"[;\s]+$", "", text)
+    """A typed statement on one line: comments to the end of a line go, line breaks become spaces, trailing semicolons go; quoted text stays as it is."""
+    one = re.sub(rf"({_QUOTED})|--[^\n]*|\s*\n\s*", lambda m: m[1] or " ", text, flags=re.DOTALL)
+    return re.sub(r"[;\s]+$", "", one).strip()
 
 
 def glob(c: Column | str, pattern: str) -> Column:

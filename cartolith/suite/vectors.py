@@ -653,9 +653,23 @@ def merged_layers(spark, sf):
     return m.select(F.col("site_id").alias("id"), N.point_x(g()).alias("x"), N.point_y(g()).alias("y"))
 
 
-@query("spatially_sorted", "SELECT count(*) AS n, round(sum(x), 4) AS sx FROM sites", "sites")
+@query("spatially_sorted", "SELECT count(*) AS n, round(sum(x), 4) AS sx, 0::BIGINT AS falls, 0::BIGINT AS shared, true AS near FROM sites", "sites")
 def spatially_sorted(spark, sf):
-    return T.spatial_sort(fx.sites(spark, sf)).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 4).alias("sx"))
+    """In storage order keys never fall, tasks share no key range, and neighbours in that order lie nearer than in the given one."""
+    from pyspark.sql import Window
+    s = fx.sites(spark, sf)
+    e = s.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    keyed = lambda d: T.with_zkey(d, max(e[2] - e[0], e[3] - e[1]) / (1 << 16), e[0], e[1])
+    d = keyed(T.spatial_sort(s, 4)).select("x", "y", "z", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("i"))
+    d = A.save_step(d, "sorted")
+    w = Window.partitionBy("part").orderBy("i")
+    steps = d.select("part", "x", "z", (F.col("z") < F.lag("z").over(w)).alias("fall"), F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)).alias("step"))
+    given = s.withColumn("i", F.col("site_id")).withColumn("part", F.expr("site_id div 400"))
+    far = given.select(F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)).alias("step")).agg(F.avg("step").alias("before"))
+    ranges = d.groupBy("part").agg(F.min("z").alias("lo"), F.max("z").alias("hi"))   # 4 rows
+    both = ranges.alias("a").join(ranges.alias("b"), F.expr("a.part < b.part AND a.hi > b.lo")).agg(F.count(F.lit(1)).alias("shared"))
+    out = steps.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 4).alias("sx"), F.count_if("fall").alias("falls"), F.avg("step").alias("after"))
+    return out.join(both).join(far).select("n", "sx", "falls", "shared", (F.col("after") < F.col("before") / 4).alias("near"))
 
 
 @query("track_steps", """SELECT event_id, round(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 6) AS step, round((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6::DOUBLE, 6) AS seconds

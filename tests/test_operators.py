@@ -282,3 +282,9 @@ def test_components_of_a_long_chain(spark):
     nodes = spark.range(n).unionByName(spark.range(500, 503))
     got = {r.id: r.component for r in A.connected_components(edges, nodes).collect()}
     assert all(got[i] == 0 for i in range(n)) and got[501] == 500 and got[502] == 502
+
+
+def test_clean_sql():
+    assert T.clean_sql("SELECT 1 -- one; 'two\n  , '-- \"no' AS `--x` ;\n;") == "SELECT 1   , '-- \"no' AS `--x`"
+    assert T.clean_sql("SELECT 'it''s' || 'a\nb\\'--' -- end") == "SELECT 'it''s' || 'a\nb\\'--'"
+    assert T.clean_sql(" ;; ") == ""
