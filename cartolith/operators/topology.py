@@ -93,14 +93,79 @@ def _segment_parts() -> Column:
     return F.array(F.array(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))))
 
 
-def polygonize(lines: DataFrame) -> DataFrame:
-    """Polygons bounded by line work whose lines meet only at vertices.
+def node_lines(lines: DataFrame, grid: float | None = None) -> DataFrame:
+    """Line work cut at every place where lines meet, as single segments without copies.
+
+    A grid join pairs segments whose boxes meet; each pair gives the places on the first one where the second crosses, touches or overlaps it; the
+    places of a segment, in order, part it.  Both segments of a pair get the very same place: it is computed from the lesser one, moved to an end of
+    either if it is that near, else to a lattice of ``grid`` (default: about 1e-10 of the coordinates), so that lines through one point share a node.
+    A segment with very many crossings is ordered in blocks."""
+    from ..plans.grid import candidate_pairs
+    from ..plans.scan import windowed
+    s = save_step(_segments(lines), "segments")
+    e = s.agg(F.max(F.greatest(*[F.abs(c) for c in ("x1", "y1", "x2", "y2")]))).first()[0]
+    if e is None:
+        return lines.select("geom").where(F.lit(False))
+    grid = grid or 2.0 ** np.floor(np.log2(max(e, 1e-300) * 1e-10))
+    b = lambda *v: F.struct(*[c.alias(n) for c, n in zip(v, ("xmin", "ymin", "xmax", "ymax"))])
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    boxed = s.withColumn("bbox", b(F.least(x1, x2), F.least(y1, y2), F.greatest(x1, x2), F.greatest(y1, y2)))
+    pairs, _ = candidate_pairs(boxed, boxed, grow_b=4 * grid, ageom=None, bgeom=None)
+    names = ("x1", "y1", "x2", "y2")
+    mine, its = F.struct(*[F.col("a_" + c).alias(c) for c in names]), F.struct(*[F.col("b_" + c).alias(c) for c in names])
+    pairs = pairs.select(mine.alias("s"), its.alias("o")).where(F.col("s") != F.col("o")).withColumns({"p": F.least("s", "o"), "q": F.greatest("s", "o")})
+    p, q = F.col("p"), F.col("q")
+    rx, ry, sx, sy = p["x2"] - p["x1"], p["y2"] - p["y1"], q["x2"] - q["x1"], q["y2"] - q["y1"]
+    d, wx, wy = rx * sy - ry * sx, q["x1"] - p["x1"], q["y1"] - p["y1"]
+    flat = F.abs(d) <= 1e-12 * F.hypot(rx, ry) * F.hypot(sx, sy)
+    t, u = F.try_divide(wx * sy - wy * sx, d), F.try_divide(wx * ry - wy * rx, d)
+    near_p, near_q = 2 * grid / F.hypot(rx, ry), 2 * grid / F.hypot(sx, sy)
+    cx, cy = p["x1"] + t * rx, p["y1"] + t * ry
+    place = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    ends = [place(v[a], v[c]) for v in (p, q) for a, c in (("x1", "y1"), ("x2", "y2"))]
+    snapped = F.coalesce(*[F.when((F.abs(v["x"] - cx) <= 2 * grid) & (F.abs(v["y"] - cy) <= 2 * grid), v) for v in ends], place(F.round(cx / grid) * grid, F.round(cy / grid) * grid))
+    crossing = F.when(~flat & t.between(-near_p, 1 + near_p) & u.between(-near_q, 1 + near_q), F.array(snapped))
+    # parallel segments on one line: the ends of the other one
+    m, o = F.col("s"), F.col("o")
+    mx, my = m["x2"] - m["x1"], m["y2"] - m["y1"]
+    length = F.hypot(mx, my)
+    off = lambda v: F.abs((v["x"] - m["x1"]) * my - (v["y"] - m["y1"]) * mx) / length <= 2 * grid
+    over = F.when(flat, F.filter(F.array(place(o["x1"], o["y1"]), place(o["x2"], o["y2"])), off))
+    met = pairs.select("s", F.explode(F.coalesce(crossing, over, F.array().cast("array<struct<x:double,y:double>>"))).alias("v"))
+    own = s.select(F.struct(*names).alias("s")).select("s", F.explode(F.array(place(F.col("s.x1"), F.col("s.y1")), place(F.col("s.x2"), F.col("s.y2")))).alias("v"))
+    along = lambda c: ((F.col("v.x") - c["x1"]) * (c["x2"] - c["x1"]) + (F.col("v.y") - c["y1"]) * (c["y2"] - c["y1"])) / ((c["x2"] - c["x1"]) ** 2 + (c["y2"] - c["y1"]) ** 2)
+    spots = own.unionByName(met).select("s.*", "v", along(F.col("s")).alias("t")).where("t >= -1e-9 AND t <= 1 + 1e-9").select(*names, F.col("v.x").alias("x"), F.col("v.y").alias("y"), "t").distinct()
+    spots = save_step(spots, "nodes")
+    cut = windowed(spots, list(names), ["t", "x", "y"], {"to": lambda w: F.lead(F.struct("x", "y")).over(w)}, after=1)
+    here = F.struct("x", "y")
+    pieces = cut.where(F.col("to").isNotNull() & (here != F.col("to"))).select(F.least(here, F.col("to")).alias("a"), F.greatest(here, F.col("to")).alias("b")).distinct()
+    return set_srid(with_bbox(pieces.select(geometry("LINESTRING", F.array(F.array(F.array("a", "b")))).alias("geom"))), srid_of(lines))
+
+
+def without_dangles(lines: DataFrame) -> DataFrame:
+    """Noded single segments without those that lead nowhere: what hangs on a node of its own goes, round by round."""
+    now = save_step(lines.select("geom"), "dangles")
+    while True:
+        v = N.vertices(F.col("geom"))
+        ends = now.select(F.explode(F.array(v[0], v[1])).alias("p")).groupBy("p").count().where("count = 1").select(F.struct("p.x", "p.y").alias("loose"))
+        a, b = F.struct(v[0]["x"].alias("x"), v[0]["y"].alias("y")), F.struct(v[1]["x"].alias("x"), v[1]["y"].alias("y"))
+        left = now.withColumns({"_a": a, "_b": b}).join(ends, F.col("_a") == F.col("loose"), "left_anti").join(ends, F.col("_b") == F.col("loose"), "left_anti").select("geom")
+        after = save_step(left, "dangles")
+        if after.count() == now.count():
+            return set_srid(with_bbox(now), srid_of(lines))
+        now = after
+
+
+def polygonize(lines: DataFrame, node: bool = False) -> DataFrame:
+    """Polygons bounded by line work whose lines meet only at vertices; with ``node`` any line work, which is cut where lines meet and freed of dangles first.
 
     Every segment becomes two half edges; the next half edge around the face on the
     left is the clockwise neighbour at its end node.  Cycles of that relation are
     connected components, and each component is one ring.  A ring that runs clockwise
     is the outline of a connected piece of line work; it is cut out of the smallest
     face around it."""
+    if node:
+        lines = without_dangles(node_lines(lines))
     s = _segments(lines)
     half = s.unionByName(s.select(F.col("x2").alias("x1"), F.col("y2").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2")))
     half = save_step(half.withColumn("id", F.xxhash64("x1", "y1", "x2", "y2")), "half-edges")

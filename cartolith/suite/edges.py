@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..fixtures import table as t
 from ..functions import native as N, scalars as SC
-from ..layer import make_box, set_srid, with_bbox
+from ..layer import make_box, make_line, set_srid, with_bbox
 from ..operators import aggregate as A, joins as J, raster as R, tables as T, topology as TP
 from .registry import query
 
@@ -110,6 +110,30 @@ def polygonized_islands(spark, sf):
     return TP.polygonize(set_srid(lines, fx.SRID)).groupBy(F.round(N.area(F.col("geom")), 6).alias("area")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_BORDERS = """, h AS (SELECT DISTINCT y, xmin AS a, xmax AS b FROM (SELECT *, unnest([ymin, ymax]) AS y FROM parcels)), v AS (SELECT DISTINCT x, ymin AS a, ymax AS b FROM (SELECT *, unnest([xmin, xmax]) AS x FROM parcels)),
+    ch AS (SELECT any_value(h.b - h.a) AS len, count(DISTINCT v.x) AS cuts FROM h LEFT JOIN v ON v.x > h.a AND v.x < h.b AND h.y BETWEEN v.a AND v.b GROUP BY h.y, h.a, h.b),
+    cv AS (SELECT any_value(v.b - v.a) AS len, count(DISTINCT h.y) AS cuts FROM v LEFT JOIN h ON h.y > v.a AND h.y < v.b AND v.x BETWEEN h.a AND h.b GROUP BY v.x, v.a, v.b)"""
+
+
+@query("noded_lines", _BORDERS + " SELECT sum(cuts + 1)::BIGINT AS pieces, round(sum(len), 3) AS length FROM (SELECT * FROM ch UNION ALL SELECT * FROM cv)", "parcels")
+def noded_lines(spark, sf):
+    """The borders of all parcels, cut where they cross."""
+    s = TP.node_lines(fx.parcels(spark, sf).select("geom"))
+    return s.agg(F.count(F.lit(1)).alias("pieces"), F.round(F.sum(N.length(F.col("geom"))), 3).alias("length"))
+
+
+@query("polygonized_crossings", "SELECT CASE WHEN xmin = ymin THEN 200.0 ELSE 400.0 END::DOUBLE AS area, xmin, ymin, CASE WHEN xmin = ymin THEN 2 ELSE 1 END::BIGINT AS n FROM zones", "zones")
+def polygonized_crossings(spark, sf):
+    """Lines through all borders of the zones and beyond, and one across, which passes through nodes of two others."""
+    z = fx.zones(spark, sf)
+    line = lambda *xy: make_line(F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in xy]))
+    at = z.select(F.explode(F.array(F.col("bbox.xmin"), F.col("bbox.xmax"))).alias("c")).distinct()
+    lo, hi, c = F.lit(-3), F.lit(103), F.col("c")
+    lines = at.select(line((c, lo), (c, hi)).alias("geom")).unionByName(at.select(line((lo, c), (hi, c)).alias("geom"))).unionByName(z.agg(F.min("bbox.xmin").alias("c")).select(line((lo, lo), (hi, hi)).alias("geom")))
+    p = TP.polygonize(set_srid(lines, fx.SRID), node=True)
+    return p.groupBy(F.round(N.area(F.col("geom")), 6).alias("area"), F.col("bbox.xmin").alias("xmin"), F.col("bbox.ymin").alias("ymin")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("not_in_with_nulls", """SELECT 'nulls' AS list, count(*) AS n FROM customer WHERE CASE WHEN c_custkey % 4 > 0 THEN c_nationkey END NOT IN (SELECT CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey END FROM nation WHERE n_regionkey = 1)
     UNION ALL SELECT 'plain', count(*) FROM customer WHERE CASE WHEN c_custkey % 4 > 0 THEN c_nationkey END NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)
     UNION ALL SELECT 'empty', count(*) FROM customer WHERE CASE WHEN c_custkey % 4 > 0 THEN c_nationkey END NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 99)""")
