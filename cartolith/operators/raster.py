@@ -19,6 +19,7 @@ from ..functions import native as N
 from ..functions.kernel import union_many, union_one
 from ..layer import ensure_bbox, make_bbox, make_box, make_point, set_srid, srid_of
 from ..plans.grid import candidate_pairs
+from ..plans.ranks import exact_quantiles
 from ..plans.reduce import merge_by_key
 from .tiles import is_tiles
 from .transform import reproject, transform_xy
@@ -179,15 +180,13 @@ def histogram(r: DataFrame, band: int = 1, bins: int = 10, lo: float = 0.0, hi:
 
 
 def quantiles(r: DataFrame, band: int = 1, qs: tuple = (0.0, 0.25, 0.5, 0.75, 1.0), accuracy: int | None = None, overlaps: bool | None = None) -> DataFrame:
-    """Quantiles of a band: exact (grouped by value, so memory follows the distinct values) or sketched."""
+    """Quantiles of a band: exact by selection of ranks, or sketched with an ``accuracy``."""
     v = _band(r, band, overlaps).select("value")
-    if accuracy:
-        p = F.percentile_approx("value", F.array(*[F.lit(float(q)) for q in qs]), F.lit(accuracy))
-    else:
-        v = v.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-        p = F.percentile("value", F.array(*[F.lit(float(q)) for q in qs]), F.col("n"))
-    return (v.agg(p.alias("p")).select(F.posexplode(F.arrays_zip(F.array(*[F.lit(float(q)) for q in qs]).alias("q"), F.col("p").alias("v"))).alias("i", "z"))
-            .select(F.col("z.q").alias("quantile"), F.col("z.v").alias("value")))
+    if not accuracy:
+        return exact_quantiles(v, [], "value", qs)
+    every = F.array(*[F.lit(float(q)) for q in qs])
+    p = F.percentile_approx("value", every, F.lit(accuracy))
+    return v.agg(p.alias("p")).select(F.posexplode(F.arrays_zip(every.alias("q"), F.col("p").alias("v"))).alias("i", "z")).select(F.col("z.q").alias("quantile"), F.col("z.v").alias("value"))
 
 
 def pixel_centers(r: DataFrame) -> DataFrame:

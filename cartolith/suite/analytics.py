@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions import native as N, scalars as SC
 from ..operators import profile as PR, statistics as ST, tables as T
+from ..plans.ranks import exact_quantiles
 from ..plans.scan import ranked, running, windowed
 from .registry import query
 
@@ -128,11 +129,22 @@ def builder_aggregates(spark, sf):
     round(median(o_totalprice), 4) AS md, round(quantile_cont(o_totalprice, 0.9), 4) AS pc, quantile_disc(o_totalprice, 0.25) AS pd, arg_min(o_totalprice, o_orderkey) AS f, arg_max(o_totalprice, o_orderkey) AS l,
     count(DISTINCT o_custkey) AS nd, round(variance(o_totalprice), 0) AS va FROM orders GROUP BY 1""")
 def more_aggregates(spark, sf):
+    """Quantiles by selection of ranks, the rest in one pass."""
     x, y = F.col("o_totalprice"), F.col("o_custkey")
-    return t(spark, sf, "orders").groupBy("o_orderpriority").agg(
-        F.round(F.corr(x, y), 8).alias("cr"), F.round(F.covar_pop(x, y), 1).alias("cp"), F.round(F.covar_samp(x, y), 1).alias("cs"), F.round(F.median(x), 4).alias("md"),
-        F.round(F.expr("percentile_cont(0.9) WITHIN GROUP (ORDER BY o_totalprice)"), 4).alias("pc"), F.expr("percentile_disc(0.25) WITHIN GROUP (ORDER BY o_totalprice)").alias("pd"),
+    o = t(spark, sf, "orders")
+    plain = o.groupBy("o_orderpriority").agg(
+        F.round(F.corr(x, y), 8).alias("cr"), F.round(F.covar_pop(x, y), 1).alias("cp"), F.round(F.covar_samp(x, y), 1).alias("cs"),
         F.min_by(x, "o_orderkey").alias("f"), F.max_by(x, "o_orderkey").alias("l"), F.countDistinct(y).alias("nd"), F.round(F.variance(x), 0).alias("va"))
+    q = exact_quantiles(o, ["o_orderpriority"], "o_totalprice", (0.5, 0.9)).groupBy("o_orderpriority").agg(
+        F.round(F.max(F.when(F.col("quantile") == 0.5, F.col("value"))), 4).alias("md"), F.round(F.max(F.when(F.col("quantile") == 0.9, F.col("value"))), 4).alias("pc"))
+    d = exact_quantiles(o, ["o_orderpriority"], "o_totalprice", (0.25,), discrete=True).select("o_orderpriority", F.col("value").alias("pd"))
+    return plain.join(q, "o_orderpriority").join(d, "o_orderpriority")
+
+
+@query("quantiles_of_null_groups", """SELECT CASE WHEN o_custkey % 3 > 0 THEN o_custkey % 3 END AS k, unnest([0.0, 0.1, 0.5, 0.99, 1.0])::DOUBLE AS quantile, round(unnest(quantile_cont(o_totalprice, [0.0, 0.1, 0.5, 0.99, 1.0])), 6) AS value FROM orders GROUP BY 1""")
+def quantiles_of_null_groups(spark, sf):
+    o = t(spark, sf, "orders").withColumn("k", F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey") % 3))
+    return exact_quantiles(o, ["k"], "o_totalprice", (0.0, 0.1, 0.5, 0.99, 1.0)).withColumn("value", F.round("value", 6))
 
 
 @query("value_mode", "SELECT l_linenumber, arg_max(q, (c, -q)) AS q FROM (SELECT l_linenumber, l_quantity AS q, count(*) AS c FROM lineitem GROUP BY 1, 2) GROUP BY 1")
