@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..fixtures import table as t
 from ..functions import native as N, scalars as SC
-from ..layer import make_box, make_line, set_srid, with_bbox
+from ..layer import make_bbox, make_box, make_line, set_srid, with_bbox
 from ..operators import aggregate as A, joins as J, raster as R, tables as T, topology as TP
 from .registry import query
 
@@ -173,9 +173,13 @@ _zone_boxes("touches", """a.xmin <= b.xmax AND a.xmax >= b.xmin AND a.ymin <= b.
     AND NOT (a.xmin < b.xmax AND a.xmax > b.xmin AND a.ymin < b.ymax AND a.ymax > b.ymin)""")
 
 
-@query("mbr_disjoint_parcels", """SELECT a.parcel_id FROM parcels a WHERE NOT EXISTS (SELECT 1 FROM zones b WHERE zone_id % 2 = 0 AND a.xmin <= b.xmax AND a.xmax >= b.xmin AND a.ymin <= b.ymax AND a.ymax >= b.ymin)""", "parcels zones")
+@query("mbr_disjoint_parcels", """SELECT a.parcel_id FROM parcels a WHERE NOT EXISTS (SELECT 1 FROM (SELECT xmin + 4 AS xmin, ymin + 4 AS ymin, xmax - 4 AS xmax, ymax - 4 AS ymax FROM zones) b
+    WHERE a.xmin <= b.xmax AND a.xmax >= b.xmin AND a.ymin <= b.ymax AND a.ymax >= b.ymin)""", "parcels zones")
 def mbr_disjoint_parcels(spark, sf):
-    return J.mbr_join(fx.parcels(spark, sf), fx.zones(spark, sf).where("zone_id % 2 = 0"), "disjoint", "semi", id="parcel_id").select("parcel_id")
+    """All zones, drawn in so that there is room between them."""
+    b = F.col("bbox")
+    z = fx.zones(spark, sf).withColumn("bbox", make_bbox(b["xmin"] + 4, b["ymin"] + 4, b["xmax"] - 4, b["ymax"] - 4))
+    return J.mbr_join(fx.parcels(spark, sf), z, "disjoint", "semi", id="parcel_id").select("parcel_id")
 
 
 # The codes of the five segments, worked out by the letters' classes.

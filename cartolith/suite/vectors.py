@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import exact as X, native as N
-from ..layer import make_box, set_srid, vertex
+from ..layer import make_bbox, make_box, set_srid, vertex
 from ..operators import aggregate as A, joins as J, linear as L, points as P, tables as T, topology as TP, tracks as TR, transform as X8
 from .registry import query
 
@@ -136,15 +136,45 @@ def _mbr(test, sql):
 
 _mbr("intersects", _MEET)
 _mbr("within", _BHASA)
-_mbr("contains", _AHASB)
 _mbr("overlaps", f"{_OPEN} AND NOT ({_AHASB}) AND NOT ({_BHASA})")
-_mbr("touches", f"{_MEET} AND NOT ({_OPEN})")
-_mbr("equals", f"{_AHASB} AND {_BHASA}")
 
 
-@query("mbr_disjoint", f"SELECT a.parcel_id FROM parcels a WHERE NOT EXISTS (SELECT 1 FROM zones b WHERE {_MEET})", "parcels zones")
+def _boxed(df, *c):
+    c = [F.col(x) if isinstance(x, str) else x for x in c]
+    return df.withColumns({"geom": make_box(*c), "bbox": make_bbox(*c)})
+
+
+def _cores(spark, sf):
+    """The middle of each zone, two units wide."""
+    return _boxed(fx.zones(spark, sf).select("zone_id", "bbox"), F.col("bbox.xmin") + 9, F.col("bbox.ymin") + 9, F.col("bbox.xmax") - 9, F.col("bbox.ymax") - 9)
+
+
+_CORES = "(SELECT zone_id, xmin + 9 AS xmin, ymin + 9 AS ymin, xmax - 9 AS xmax, ymax - 9 AS ymax FROM zones)"
+
+
+@query("mbr_contains", f"SELECT a.parcel_id AS a_id, b.zone_id AS b_id FROM parcels a, {_CORES} b WHERE {_AHASB}", "parcels zones")
+def mbr_contains(spark, sf):
+    """Parcels that hold the middle of a zone."""
+    return J.mbr_join(fx.parcels(spark, sf).select("parcel_id", "geom", "bbox"), _cores(spark, sf), "contains").select(F.col("a_parcel_id").alias("a_id"), F.col("b_zone_id").alias("b_id"))
+
+
+@query("mbr_touches", f"SELECT a.parcel_id AS a_id, b.parcel_id AS b_id FROM parcels a, (SELECT parcel_id, xmax AS xmin, ymin, xmax + 1 AS xmax, ymax FROM parcels) b WHERE {_MEET} AND NOT ({_OPEN})", "parcels")
+def mbr_touches(spark, sf):
+    """Parcels and the strips right of them."""
+    p = fx.parcels(spark, sf).select("parcel_id", "geom", "bbox")
+    right = _boxed(p, "bbox.xmax", "bbox.ymin", F.col("bbox.xmax") + 1, "bbox.ymax")
+    return J.mbr_join(p, right, "touches").select(F.col("a_parcel_id").alias("a_id"), F.col("b_parcel_id").alias("b_id"))
+
+
+@query("mbr_equals", f"SELECT a.parcel_id AS a_id, b.parcel_id AS b_id FROM parcels a, parcels b WHERE {_AHASB} AND {_BHASA}", "parcels")
+def mbr_equals(spark, sf):
+    p = fx.parcels(spark, sf).select("parcel_id", "geom", "bbox")
+    return J.mbr_join(p, p, "equals").select(F.col("a_parcel_id").alias("a_id"), F.col("b_parcel_id").alias("b_id"))
+
+
+@query("mbr_disjoint", f"SELECT a.parcel_id FROM parcels a WHERE NOT EXISTS (SELECT 1 FROM {_CORES} b WHERE {_MEET})", "parcels zones")
 def mbr_disjoint(spark, sf):
-    return J.mbr_join(fx.parcels(spark, sf), fx.zones(spark, sf), "disjoint", "semi", id="parcel_id").select("parcel_id")
+    return J.mbr_join(fx.parcels(spark, sf), _cores(spark, sf), "disjoint", "semi", id="parcel_id").select("parcel_id")
 
 
 @query("bbox_window", "SELECT parcel_id FROM parcels WHERE xmin <= 60 AND xmax >= 40 AND ymin <= 55 AND ymax >= 45", "parcels")
@@ -421,12 +451,11 @@ def buffer_boxes(spark, sf):
     return X8.buffer(fx.parcels(spark, sf), 0.5, ["parcel_id"]).select("parcel_id", r6(N.area(g())).alias("area"))
 
 
-@query("buffer_lines", f"SELECT site_id, depot_id, round(2 * 1 * sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) + {_POLY32}, 5) AS area FROM (SELECT DISTINCT site_id, depot_id, x1, y1, x2, y2 FROM routes) WHERE x1 <> x2 OR y1 <> y2", "routes")
+@query("buffer_lines", f"SELECT order_id, line_no, round(2 * 1 * sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) + {_POLY32}, 5) AS area FROM routes", "routes")
 def buffer_lines(spark, sf):
-    """Distinct routes as capsules."""
-    r = fx.routes(spark, sf).select("site_id", "depot_id", "geom", "bbox").dropDuplicates(["site_id", "depot_id"])
-    r = r.where((F.col("bbox.xmin") != F.col("bbox.xmax")) | (F.col("bbox.ymin") != F.col("bbox.ymax"))).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "site_id", "depot_id")
-    return X8.buffer(r, 1.0, ["site_id", "depot_id"]).select("site_id", "depot_id", F.round(N.area(g()), 5).alias("area"))
+    """Routes as capsules."""
+    r = fx.routes(spark, sf).select("order_id", "line_no", "geom", "bbox").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "order_id", "line_no")
+    return X8.buffer(r, 1.0, ["order_id", "line_no"]).select("order_id", "line_no", F.round(N.area(g()), 5).alias("area"))
 
 
 @query("repair_valid", "SELECT parcel_id, true AS is_valid, round((xmax - xmin) * (ymax - ymin), 6) AS area FROM parcels", "parcels")
@@ -473,10 +502,10 @@ def reproject_sites(spark, sf):
     return s.select("site_id", F.round(N.point_x(g()), 3).alias("mx"), F.round(N.point_y(g()), 3).alias("my"))
 
 
-@query("reproject_there_and_back", "SELECT site_id, round(x * 0.5, 6) AS x, round(y * 0.5, 6) AS y FROM sites WHERE x <= 12", "sites")
+@query("reproject_there_and_back", "SELECT site_id, round(x * 0.06, 6) AS x, round(y * 0.5, 6) AS y FROM sites", "sites")
 def reproject_there_and_back(spark, sf):
-    """4326 to UTM zone 31 and 3857 and back."""
-    s = X8.edit(fx.sites(spark, sf).where("x <= 12").select("site_id", "geom"), "scale", 0.5, 0.5)
+    """4326 to UTM zone 31 and 3857 and back; the plane is drawn together so that all sites lie in the zone."""
+    s = X8.edit(fx.sites(spark, sf).select("site_id", "geom"), "scale", 0.06, 0.5)
     s = X8.reproject(X8.reproject(X8.reproject(set_srid(s, 4326), 32631), 3857), 4326)
     return s.select("site_id", F.abs(r6(N.point_x(g()))).alias("x"), F.abs(r6(N.point_y(g()))).alias("y"))
 
@@ -558,14 +587,13 @@ def pair_measures(spark, sf):
 
 @query("pair_measures_boxes", f"""SELECT a.parcel_id AS a_id, b.parcel_id AS b_id, round(sqrt(power(greatest(0, a.xmin - b.xmax, b.xmin - a.xmax), 2) + power(greatest(0, a.ymin - b.ymax, b.ymin - a.ymax), 2)), 5) AS dist,
     round(sqrt(power(greatest(a.xmax - b.xmin, b.xmax - a.xmin), 2) + power(greatest(a.ymax - b.ymin, b.ymax - a.ymin), 2)), 5) AS far
-    FROM parcels a, parcels b WHERE a.parcel_id < b.parcel_id AND a.p_brand = b.p_brand AND a.p_type = b.p_type
-    AND a.xmin - 0.5 <= b.xmax AND b.xmin - 0.5 <= a.xmax AND a.ymin - 0.5 <= b.ymax AND b.ymin - 0.5 <= a.ymax""", "parcels")
+    FROM parcels a, parcels b WHERE a.parcel_id < b.parcel_id AND a.xmin - 0.5 <= b.xmax AND b.xmin - 0.5 <= a.xmax AND a.ymin - 0.5 <= b.ymax AND b.ymin - 0.5 <= a.ymax""", "parcels")
 def pair_measures_boxes(spark, sf):
-    """Smallest and largest distance of near parcels of one kind."""
+    """Smallest and largest distance of near parcels."""
     from ..layer import make_bbox
     p = fx.parcels(spark, sf)
     wide = p.withColumn("bbox", make_bbox(F.col("bbox.xmin") - 0.5, F.col("bbox.ymin") - 0.5, F.col("bbox.xmax") + 0.5, F.col("bbox.ymax") + 0.5))
-    j = J.mbr_join(wide, p, "intersects").where((F.col("a_parcel_id") < F.col("b_parcel_id")) & (F.col("a_p_brand") == F.col("b_p_brand")) & (F.col("a_p_type") == F.col("b_p_type")))
+    j = J.mbr_join(wide, p, "intersects").where(F.col("a_parcel_id") < F.col("b_parcel_id"))
     j = j.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a_parcel_id", "b_parcel_id")
     a, b = F.col("a_geom"), F.col("b_geom")
     return j.select(F.col("a_parcel_id").alias("a_id"), F.col("b_parcel_id").alias("b_id"), F.round(X.distance(a, b), 5).alias("dist"), F.round(X.max_distance(a, b), 5).alias("far"))
@@ -634,15 +662,15 @@ def topology_nodes(spark, sf):
     return n.select(N.point_x(g()).alias("x"), N.point_y(g()).alias("y"), "degree")
 
 
-@query("next_edges", "SELECT count(*) AS n, count(*) AS linked FROM (SELECT DISTINCT xmin, ymin, xmax, ymax, k FROM zones, (SELECT unnest([1, 2, 3, 4]) AS k)) WHERE k IN (1, 2)", "zones")
+@query("next_edges", "SELECT count(*) AS n, count(*) AS linked FROM zones, (SELECT unnest([1, 2, 3, 4]) AS k)", "zones")
 def next_edges(spark, sf):
-    """Each zone border segment of a west or south side linked to the next one of its zone."""
+    """Each zone border segment linked to the next one of its zone."""
     z = fx.zones(spark, sf)
     d = X8.dump(z.select("zone_id", "geom"), "segments")
     d = d.withColumn("edge_id", F.col("zone_id") * 4 + F.col("path")).withColumn("next_left", F.col("zone_id") * 4 + F.col("path") % 4 + 1)
     l = TP.edge_links(d, "edge_id", "next_left")
     ok = N.vertices(F.col("geom"))[1] == N.vertices(F.col("next_geom"))[0]
-    return l.where("path IN (1, 4)").agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("linked"))
+    return l.agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("linked"))
 
 
 # ---------------------------------------------------------------- tables around layers
