@@ -17,13 +17,15 @@ def _same(df_keys: list[str], l: str = "l", r: str = "r") -> list[Column]:
     return [F.col(f"{l}.`{k}`").eqNullSafe(F.col(f"{r}.`{k}`")) for k in df_keys]
 
 
-def dissolve(df: DataFrame, by: str, geom: str = "geom") -> DataFrame:
+def dissolve(df: DataFrame, by: str, geom: str = "geom", coverage: bool = False) -> DataFrame:
     """Union the geometries of each key; other attributes become their distinct values as text.
 
-    Columns: attributes, key, geom, bbox.  A NULL key is a group of its own."""
+    Columns: attributes, key, geom, bbox.  A NULL key is a group of its own.  ``coverage`` promises polygons that do not overlap within
+    a key: then shared borders cancel in one aggregate, without rounds of unions."""
+    from .coverage import dissolved_shapes
     cols = [c for c in attribute_columns(df) if c != by]
     lists = [F.expr(f"listagg(DISTINCT CAST(`{c}` AS STRING), ', ') WITHIN GROUP (ORDER BY CAST(`{c}` AS STRING))").alias(c) for c in cols]
-    shapes = merge_by_key(df, [by], geom, K.union_many, K.union_one)
+    shapes = dissolved_shapes(df, by, geom) if coverage else merge_by_key(df, [by], geom, K.union_many, K.union_one)
     if not cols:
         out = shapes
     else:
@@ -32,9 +34,12 @@ def dissolve(df: DataFrame, by: str, geom: str = "geom") -> DataFrame:
     return set_srid(with_bbox(out), srid_of(df, geom))
 
 
-def union_layer(df: DataFrame, geom: str = "geom") -> DataFrame:
-    """One row: the union of a whole layer."""
+def union_layer(df: DataFrame, geom: str = "geom", coverage: bool = False) -> DataFrame:
+    """One row: the union of a whole layer (``coverage`` as in ``dissolve``; an empty layer then gives no row)."""
     one = df.select(F.lit(0).alias("_k"), F.col(geom).alias("geom"))
+    if coverage:
+        from .coverage import dissolved_shapes
+        return set_srid(with_bbox(dissolved_shapes(one, "_k").drop("_k")), srid_of(df, geom))
     return set_srid(with_bbox(merge_by_key(one, ["_k"], "geom", K.union_many, K.union_one).drop("_k")), srid_of(df, geom))
 
 
