@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import native as N
 from ..layer import ensure_bbox
-from ..operators.history import apply_changes
 from ..plans.grid import BROADCAST_BYTES, cell_array, own_level, row_bytes
+from ..sources.history_store import HistoryStore
 
 STREAM_FLOOR = -20   # level of stream points: finer than any zone
 
@@ -58,14 +58,11 @@ def zone_sessions(points: DataFrame, zones: DataFrame, zone_id: str, key: str, t
     return out.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), key, zone_id, "n")
 
 
-def history_sink(path: str, empty: DataFrame, key: str, seq: list[str] = (), user: str | None = None):
-    """A foreachBatch function that keeps a history table under ``path``.
+def history_sink(path: str, empty: DataFrame, key: str, seq: list[str] = (), user: str | None = None, buckets: int = 64):
+    """A foreachBatch function that keeps a history table in buckets under ``path``.
 
-    Each batch writes a complete new state to its own folder, so a repeated batch
-    overwrites itself and a failed one leaves the state before it intact."""
+    A batch rewrites the buckets it touches; a repeated batch is recognised, and a failed one leaves the state before it intact."""
     def run(changes: DataFrame, batch: int) -> None:
-        spark = changes.sparkSession
-        before = empty if batch == 0 else spark.read.schema(empty.schema).parquet(f"{path}/batch={batch - 1}")
-        apply_changes(before, changes, key, seq=list(seq), user=user).select(empty.columns).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        HistoryStore(changes.sparkSession, path, empty, key, seq, user, buckets).apply(changes, batch)
 
     return run

@@ -12,6 +12,7 @@ from ..layer import srid_of
 from ..operators import history as H
 from ..operators.aggregate import checkpoint_dir
 from ..sources import vector as SV
+from ..sources.history_store import HistoryStore
 from ..streaming import geofence as G
 from .registry import query
 
@@ -184,5 +185,18 @@ def stream_history(spark, sf):
     stream = spark.readStream.schema(log.schema).parquet(path + "/log")
     q = stream.writeStream.foreachBatch(G.history_sink(path + "/table", empty, "key", ["seq"])).option("checkpointLocation", path + "/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    last = max(p["batchId"] for p in q.recentProgress)
-    return H.current(spark.read.schema(empty.schema).parquet(f"{path}/table/batch={last}")).select("key", "total")
+    return HistoryStore(spark, path + "/table", empty, "key").open_versions().select("key", "total")
+
+
+@query("history_many_batches", _HISTORY + "SELECT key, priority, total, valid_from::DATE AS since, valid_to::DATE AS until, 1 AS repeated FROM h", "changes")
+def history_many_batches(spark, sf):
+    """The change log in five batches by year, one of them sent twice, into a table in buckets; every version."""
+    log = fx.changes(spark, sf).withColumn("batch", F.least(F.greatest(F.year("ts") - 1993, F.lit(0)), F.lit(4)))
+    path = _folder(spark, "store")
+    log.write.partitionBy("batch").parquet(path + "/log")
+    log = spark.read.parquet(path + "/log")
+    empty = H.init_history(log.where(F.lit(False)).select("key", "priority", "total"), "key")
+    store = HistoryStore(spark, path + "/table", empty, "key", ["seq"], "loader", buckets=8)
+    done = [store.apply(log.where(F.col("batch") == i).drop("batch"), i) for i in (0, 1, 2, 2, 3, 4)]
+    store.vacuum()
+    return store.read().select("key", "priority", "total", F.to_date("valid_from").alias("since"), F.to_date("valid_to").alias("until"), F.lit(done.count(False)).alias("repeated"))
