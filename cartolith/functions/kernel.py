@@ -787,3 +787,44 @@ def point_on_surface(g):
     width = xs[1::2] - xs[:-1:2]
     w = int(np.argmax(width))
     return np.array([(xs[2 * w] + xs[2 * w + 1]) / 2, y])
+
+
+# ---------------------------------------------------------------- circles
+
+def _through(p):
+    """Smallest circle with one, two or three points on it: (x, y, radius)."""
+    a = p[0]
+    if len(p) == 1:
+        return a[0], a[1], 0.0
+    if len(p) == 3:
+        b, c = p[1] - a, p[2] - a
+        d = 2 * cross(b, c)
+        if d != 0:
+            u = np.array([c[1] * (b @ b) - b[1] * (c @ c), b[0] * (c @ c) - c[0] * (b @ b)]) / d
+            return a[0] + u[0], a[1] + u[1], float(np.hypot(*u))
+        p = max(((p[0], p[1]), (p[0], p[2]), (p[1], p[2])), key=lambda e: np.hypot(*(e[1] - e[0])))   # on one line
+    m = (p[0] + p[1]) / 2
+    return m[0], m[1], float(np.hypot(*(p[1] - p[0]))) / 2
+
+
+def smallest_circle(xy):
+    """(x, y, radius) of the smallest circle around points: incremental, in a fixed random order."""
+    xy = np.unique(np.asarray(xy, float).reshape(-1, 2), axis=0)
+    if not len(xy):
+        return None
+    xy = xy[np.random.default_rng(7).permutation(len(xy))]
+
+    def around(pts, on):
+        c = _through(on or [pts[0]])
+        while len(on) < 3:
+            out = np.hypot(pts[:, 0] - c[0], pts[:, 1] - c[1]) > c[2] * (1 + 1e-12) + 1e-300
+            if not out.any():
+                break
+            k = int(np.argmax(out))
+            inner = around(pts[:k], [*on, pts[k]])
+            if inner == c:
+                break
+            c = inner
+        return c
+
+    return tuple(float(v) for v in around(xy, []))

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ..functions import kernel as K, native as N
+from ..functions.codec import decode
 from ..layer import attribute_columns, ensure_bbox, geometry, make_line, set_srid, srid_of, vertex, with_bbox
 from ..plans.reduce import merge_by_key
 
@@ -55,6 +59,27 @@ def convex_hull(df: DataFrame, by: list[str] = (), geom: str = "geom") -> DataFr
     return set_srid(with_bbox(out if by else out.drop("_k")), srid_of(df, geom))
 
 
+@lru_cache(None)
+def _circle():
+    def run(arr: pa.Array) -> pa.Array:
+        found = [None if g is None else K.smallest_circle(np.concatenate([r for p in g[1] for r in p])) if g[1] else None for g in decode(arr)]
+        return pa.array([None if c is None else dict(zip(("x", "y", "radius"), c)) for c in found], pa.struct([(n, pa.float64()) for n in ("x", "y", "radius")]))
+
+    return arrow_udf(run, "struct<x:double,y:double,radius:double>").asNondeterministic()
+
+
+def bounding_circles(df: DataFrame, by: list[str] = (), geom: str = "geom", quad_segs: int = 48) -> DataFrame:
+    """Smallest circle around each group: centre, radius, and the circle as a polygon of ``4 * quad_segs`` corners.
+
+    The circle of a group is that of its convex hull, which is merged from hulls of pieces, so no task holds a group's vertices.  A group of one place has
+    radius 0 and its point as ``geom``; a group without a place has NULLs."""
+    c = F.col("_c")
+    out = convex_hull(df, list(by), geom).select(*by, _circle()(F.col("geom")).alias("_c"))
+    round_ = geometry("POLYGON", F.array(F.array(N.circle_ring(c["x"], c["y"], c["radius"], quad_segs))))
+    shape = F.when(c["radius"] > 0, round_).when(c.isNotNull(), geometry("POINT", F.array(F.array(F.array(F.struct(c["x"].alias("x"), c["y"].alias("y")))))))
+    return set_srid(with_bbox(out.select(*by, c["x"].alias("x"), c["y"].alias("y"), c["radius"].alias("radius"), shape.alias("geom"))), srid_of(df, geom))
+
+
 def collect_points(df: DataFrame, by: list[str], order: list[str], geom: str = "geom") -> DataFrame:
     """Gather the parts of a group into one multi geometry (a row of the result is one value, so it must fit a row)."""
     g = F.col(geom)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import tiles as T
 from ..functions import native as N
 from ..functions.kernel import union_many, union_one
-from ..layer import ensure_bbox, make_bbox, make_box, make_point, set_srid, srid_of
+from ..layer import ensure_bbox, make_bbox, make_box, make_point, set_srid, srid_of, with_bbox
 from ..plans.grid import candidate_pairs
 from ..plans.ranks import exact_quantiles
 from ..plans.reduce import merge_by_key
@@ -217,6 +217,50 @@ def values_at(r: DataFrame, points: DataFrame, band: int = 1, overlaps: bool | N
     return p.join(px, ["col", "row"], "left")
 
 
+def _nearest(t: DataFrame, places: DataFrame, band: int) -> DataFrame:
+    """(col, row, value) of the nearest pixel with data for every distinct place; distances count in pixels, ties go to the upper, then the left pixel.
+
+    From a pixel with data one step along an axis leads nearer to any other place, so the nearest one has a side neighbour without data: only the rims
+    of what holds data are searched, and strips along tile borders are all that the rims need."""
+    from .joins import knn_join
+    key = F.col("row").cast("long") * (1 << 31) + F.col("col")
+    spot = make_point(F.col("col").cast("double"), F.col("row").cast("double"))
+    b = T.to_pixels(T.rim(t, band)).where(F.col("value").isNotNull() & ~F.isnan("value")).select(key.alias("pixel"), "value", spot.alias("geom"))
+    a = places.select("col", "row").distinct().select("col", "row", key.alias("place"), spot.alias("geom"))
+    j = knn_join(with_bbox(a), with_bbox(b), 1, "place", "pixel")
+    return j.select(F.col("a_col").alias("col"), F.col("a_row").alias("row"), F.col("b_value").alias("nearest"))
+
+
+def nearest_values(r: DataFrame, points: DataFrame, band: int = 1, overlaps: bool | None = None) -> DataFrame:
+    """``values_at``, with the value of the nearest pixel with data where the point's own pixel has none or lies outside (NULL for points without a
+    place and in a raster without data)."""
+    t = as_tiles(r, overlaps)
+    own = values_at(t, points, band, False)
+    bare = own.where(F.col("value").isNull() & F.col("col").isNotNull() & F.col("row").isNotNull())
+    return own.join(_nearest(t, bare, band), ["col", "row"], "left").withColumn("value", F.coalesce("value", "nearest")).drop("nearest")
+
+
+def fill_nearest(r: DataFrame, band: int = 1, overlaps: bool | None = None) -> DataFrame:
+    """(col, row, value) of every pixel of one band, gaps filled by the nearest pixel with data."""
+    t = as_tiles(r, overlaps)
+    px = T.to_pixels(t).where(F.col("band") == band).select("col", "row", F.nanvl("value", F.lit(None).cast("double")).alias("value"))
+    gaps = px.where("value IS NULL").select("col", "row").distinct()
+    return px.where("value IS NOT NULL").unionByName(gaps.join(_nearest(t, gaps, band), ["col", "row"], "left").select("col", "row", F.col("nearest").alias("value")))
+
+
+def pixels_of_value(r: DataFrame, values: list[float], band: int = 1, overlaps: bool | None = None) -> DataFrame:
+    """(value, col, row) of the pixels that hold one of the values."""
+    return _pixels(r, band, overlaps).where(F.col("value").isin([float(v) for v in values])).select("value", "col", "row")
+
+
+def dump_values(r: DataFrame, band: int = 1, overlaps: bool | None = None) -> DataFrame:
+    """A band as rows of values: (row, col, values) per tile row, from its leftmost pixel."""
+    t = as_tiles(r, overlaps)
+    flat, w = F.get("bands", F.lit(band - 1)), F.col("width")
+    lines = F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda i: F.struct((F.col("ty") + i).alias("row"), F.col("tx").alias("col"), F.slice(flat, i * w + 1, w).alias("values")))
+    return t.where("width > 0 AND height > 0").select(F.explode(lines).alias("l")).select("l.*")
+
+
 def zonal_stats(r: DataFrame, zones: DataFrame, zone_id: str, band: int = 1, overlaps: bool | None = None) -> DataFrame:
     """Statistics of the pixels whose centre lies in each zone (border included); zones meet tiles, not pixels."""
     return T.zonal_stats(as_tiles(r, overlaps), zones, zone_id, band)

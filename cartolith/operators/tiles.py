@@ -308,6 +308,16 @@ def focal(t: DataFrame, kind: str, radius: int = 1, band: int = 1) -> DataFrame:
     return neighbourhood(t, radius, focal_function(kind, radius), band)
 
 
+def rim(t: DataFrame, band: int = 1) -> DataFrame:
+    """Only the pixels with data that have a side neighbour without (the outside of the raster counts as without); all else is nodata."""
+    def run(v: np.ndarray) -> np.ndarray:
+        own = v[1:-1, 1:-1]
+        open_ = np.isnan(v[:-2, 1:-1]) | np.isnan(v[2:, 1:-1]) | np.isnan(v[1:-1, :-2]) | np.isnan(v[1:-1, 2:])
+        return np.where(open_, own, np.nan)
+
+    return neighbourhood(t, 1, run, band)
+
+
 def terrain_function(kind: str, sx: float, sy: float, azimuth: float, altitude: float, z_factor: float) -> Callable[[np.ndarray], np.ndarray]:
     def run(v: np.ndarray) -> np.ndarray:
         z = {(dx, dy): x for dx, dy, x in _shifts(v, 1)}

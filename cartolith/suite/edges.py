@@ -301,3 +301,14 @@ def sql_spatial_join(spark, sf):
     spec = T.QuerySpec(["z.n_regionkey AS region", "count(*) AS n", "round(sum(s.c_acctbal), 2) AS balance"], {"s": fx.sites(spark, sf), "z": fx.zones(spark, sf)},
                        "st_within(s.geom, z.geom) AND s.c_mktsegment <> 'BUILDING'", ["z.n_regionkey"])
     return spec.to_df(spark)
+
+
+@query("bounding_circles", """SELECT parcel_id::VARCHAR AS of, round((xmin + xmax) / 2, 6) AS x, round((ymin + ymax) / 2, 6) AS y, round(sqrt(power(xmax - xmin, 2) + power(ymax - ymin, 2)) / 2, 6) AS radius FROM parcels
+    UNION ALL SELECT c_mktsegment, 50, 50, round(max(sqrt(power(x - 50, 2) + power(y - 50, 2))), 6) FROM sites GROUP BY c_mktsegment""", "parcels sites")
+def bounding_circles(spark, sf):
+    """Around each parcel, and around the sites of a segment with their mirror images, whose circle stands in the middle."""
+    s = fx.sites(spark, sf).select("c_mktsegment", "geom")
+    both = s.unionByName(s.withColumn("geom", N.translate(N.scale(F.col("geom"), -1.0, -1.0), 100.0, 100.0)))
+    one = A.bounding_circles(fx.parcels(spark, sf), ["parcel_id"]).select(F.col("parcel_id").cast("string").alias("of"), "x", "y", "radius")
+    rows = one.unionByName(A.bounding_circles(both, ["c_mktsegment"]).select(F.col("c_mktsegment").alias("of"), "x", "y", "radius"))
+    return rows.select("of", *[F.round(c, 6).alias(c) for c in ("x", "y", "radius")])

@@ -283,3 +283,38 @@ def stored_raster(spark, sf):
         one = r.agg(F.countDistinct("rid").alias("tiles"), F.count(F.lit(1)).alias("pixels")).select(F.lit(level).alias("level"), "tiles", "pixels")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# every fourth diagonal and a block of columns have no data
+_GAPS = "SELECT col, row, CASE WHEN (col + row) % 4 > 0 AND col NOT BETWEEN 40 AND 60 THEN b1 END AS v FROM heat"
+
+
+def _gappy(spark, sf):
+    h = fx.heat(spark, sf).where("band = 1")
+    keep = "(col + row) % 4 > 0 AND col NOT BETWEEN 40 AND 60"
+    return R.stamp_grid(h.withColumn("value", F.when(F.expr(keep), F.col("value"))), R.grid_of(h))
+
+
+@query("raster_nearest_values", f"""SELECT site_id, (SELECT arg_min(v, (power(col - floor(x), 2) + power(row - floor(tall - y), 2), row, col)) FROM ({_GAPS}) WHERE v IS NOT NULL) AS value FROM sites, (SELECT max(h) AS tall FROM heat)""", "heat sites")
+def raster_nearest_values(spark, sf):
+    """Each site's nearest value, also over gaps and outside of the raster."""
+    return R.nearest_values(_gappy(spark, sf), fx.sites(spark, sf).select("site_id", "bbox"), 1).select("site_id", "value")
+
+
+@query("raster_gaps_filled", f""", g AS ({_GAPS})
+    SELECT col, row, coalesce(v, (SELECT arg_min(d.v, (power(d.col - g.col, 2) + power(d.row - g.row, 2), d.row, d.col)) FROM g d WHERE d.v IS NOT NULL)) AS value FROM g""", "heat")
+def raster_gaps_filled(spark, sf):
+    """A band without gaps."""
+    return R.fill_nearest(_gappy(spark, sf), 1)
+
+
+@query("raster_pixels_of_value", "SELECT b2 AS value, col, row FROM heat WHERE b2 IN (3, 7, 11)", "heat")
+def raster_pixels_of_value(spark, sf):
+    return R.pixels_of_value(fx.heat_tiles(spark, sf), [3, 7, 11], 2)
+
+
+@query("raster_dump_values", "SELECT row, col // 25 * 25 AS col, count(*) AS places, round(sum(b2), 4) AS total, min_by(b2, col) AS first_value FROM heat GROUP BY row, col // 25", "heat")
+def raster_dump_values(spark, sf):
+    """Rows of values per tile: how many, their sum and the first one."""
+    v = F.filter("values", lambda x: x.isNotNull() & ~F.isnan(x))
+    return R.dump_values(fx.heat_tiles(spark, sf), 2).select("row", "col", F.size(v).alias("places"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 4).alias("total"), F.get("values", F.lit(0)).alias("first_value")).where("places > 0")
