@@ -58,6 +58,17 @@ def zone_sessions(points: DataFrame, zones: DataFrame, zone_id: str, key: str, t
     return out.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), key, zone_id, "n")
 
 
+def visit_events(points: DataFrame, zones: DataFrame, zone_id: str, key: str, ts: str, gap: str, late: str | None = None, x="x", y="y") -> DataFrame:
+    """When a key enters and leaves a zone: ``event`` (enter, leave), ``at`` and ``n``, the points of the visit.
+
+    A visit ends when the key is not seen in the zone for ``gap``; ``leave`` carries the last time it was seen.  As a stream (append mode) both events come out
+    once the watermark has passed the end of the visit, so points up to ``late`` behind still join or bridge visits; state is one row per open visit."""
+    p = points.withWatermark(ts, late) if late else points
+    v = geofence(p, zones, zone_id, x, y).groupBy(F.session_window(ts, gap), key, zone_id).agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("n"))
+    two = F.array(*[F.struct(F.lit(e).alias("event"), F.col(c).alias("at")) for e, c in (("enter", "first"), ("leave", "last"))])
+    return v.select(key, zone_id, "n", F.explode(two).alias("e")).select(key, zone_id, "e.event", "e.at", "n")
+
+
 def history_sink(path: str, empty: DataFrame, key: str, seq: list[str] = (), user: str | None = None, buckets: int = 64):
     """A foreachBatch function that keeps a history table in buckets under ``path``.
 

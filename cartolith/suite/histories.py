@@ -200,3 +200,23 @@ def history_many_batches(spark, sf):
     done = [store.apply(log.where(F.col("batch") == i).drop("batch"), i) for i in (0, 1, 2, 2, 3, 4)]
     store.vacuum()
     return store.read().select("key", "priority", "total", F.to_date("valid_from").alias("since"), F.to_date("valid_to").alias("until"), F.lit(done.count(False)).alias("repeated"))
+
+
+_VISITS = """, e AS (SELECT user_id, zone_id, ts, lag(ts) OVER (PARTITION BY user_id, zone_id ORDER BY ts) AS p FROM track_points, zones WHERE x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax),
+    s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, zone_id ORDER BY ts) AS k FROM e),
+    v AS (SELECT user_id, zone_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, zone_id, k),
+    closed AS (SELECT * FROM v WHERE last + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM track_points)) """
+
+
+@query("stream_zone_visits", _VISITS + "SELECT user_id, zone_id, first AS start, n FROM closed", "track_points zones")
+def stream_zone_visits(spark, sf):
+    """Visits as a stream: those that the watermark has closed."""
+    v = G.zone_sessions(_event_stream(spark, sf), fx.zones(spark, sf), "zone_id", "user_id", "ts", "6 hours", late="1 hour")
+    return _drain(v.select("user_id", "zone_id", "start", "n"), spark, "zone-visits")
+
+
+@query("stream_visit_events", _VISITS + "SELECT user_id, zone_id, 'enter' AS event, first AS at, n FROM closed UNION ALL SELECT user_id, zone_id, 'leave', last, n FROM closed", "track_points zones")
+def stream_visit_events(spark, sf):
+    """Entering and leaving, told when a visit is closed."""
+    v = G.visit_events(_event_stream(spark, sf), fx.zones(spark, sf), "zone_id", "user_id", "ts", "6 hours", late="1 hour")
+    return _drain(v, spark, "visit-events")
