@@ -11,7 +11,7 @@ from ..fixtures import table as t
 from ..layer import set_srid
 from ..operators import profile as PR, tables as T
 from ..operators.aggregate import checkpoint_dir
-from ..sources import tables as ST, vector as SV
+from ..sources import stored as SI, tables as ST, vector as SV
 from .registry import query
 
 DATABASE = "cartolith_suite"
@@ -164,3 +164,15 @@ def stored_queries(spark, sf):
         one = PR.load_query(spark, store, row["name"]).select(F.lit(row["name"]).alias("name"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query("indexed_box_search", "SELECT parcel_id, p_brand, true AS few_files, true AS all_listed FROM parcels WHERE xmin <= 38 AND xmax >= 31 AND ymin <= 55.5 AND ymax >= 48", "parcels")
+def indexed_box_search(spark, sf):
+    """Parcels that meet a box, from a layer in some 64 files of which at most a quarter is opened."""
+    path = f"{checkpoint_dir(spark)}/indexed-{uuid.uuid4().hex}"
+    p = fx.parcels(spark, sf)
+    n = p.count()
+    SI.write_indexed(p.select("parcel_id", "p_brand", "geom", "bbox"), path, -(-n // 64))
+    files = spark.read.parquet(path + "/files")
+    opened, total, listed = SI.files_meeting(spark, path, 31, 48, 38, 55.5).count(), files.count(), files.agg(F.sum("n")).first()[0]
+    return SI.read_indexed(spark, path, 31, 48, 38, 55.5).select("parcel_id", "p_brand", F.lit(opened <= total / 4).alias("few_files"), F.lit(listed == n).alias("all_listed"))
