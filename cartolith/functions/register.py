@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import arrow_udf
@@ -53,7 +54,28 @@ _TEXT = (f"CASE WHEN g IS NULL THEN NULL WHEN size(g.parts) = 0 THEN concat(g.gt
          f"WHEN g.gtype = 'POLYGON' THEN concat(g.gtype, '(', array_join(transform(g.parts[0], r -> {_TEXT_R}), ','), ')') "
          f"WHEN g.gtype LIKE 'MULTI%' THEN concat(g.gtype, '(', array_join(transform(flatten(g.parts), r -> {_TEXT_R}), ','), ')') "
          f"ELSE concat(g.gtype, {_TEXT_R.replace('(r,', '(g.parts[0][0],')}) END")
-_POSITION = f"array_join(transform(r, v -> concat('[', regexp_replace(CAST(v.x AS STRING), '[.]0$', ''), ',', regexp_replace(CAST(v.y AS STRING), '[.]0$', ''), ']')), ',')"
+_TYPE = "regexp_extract(regexp_replace(upper(trim(t)), r'^SRID=\d+;\s*', ''), '^([A-Z]+)', 1)"
+_BODY = "regexp_replace(regexp_replace(upper(trim(t)), r'^SRID=\d+;\s*', ''), r'^[A-Z]+\s*', '')"
+_NUMBER = r"(-?[0-9.]+(?:E[-+]?[0-9]+)?)"
+_NESTED = rf"regexp_replace(translate(regexp_replace({_BODY}, r'{_NUMBER}\s+{_NUMBER}', '[$1,$2]'), '()', '[]'), r'(?<=[\[,-])\.', '0.')"   # WKT as nested JSON arrays
+_V_OF_C = "c -> named_struct('x', c[0], 'y', c[1])"
+_FROM_TEXT = (f"CASE WHEN t IS NULL THEN NULL WHEN {_TYPE} NOT IN ('POINT', 'MULTIPOINT', 'LINESTRING', 'MULTILINESTRING', 'POLYGON', 'MULTIPOLYGON') THEN raise_error('unsupported geometry type: ' || {_TYPE}) "
+              f"ELSE named_struct('gtype', {_TYPE}, 'parts', CASE WHEN {_BODY} = 'EMPTY' THEN CAST(array() AS array<array<{RING}>>) "
+              f"WHEN {_TYPE} IN ('POINT', 'LINESTRING') THEN array(array(transform(from_json({_NESTED}, 'array<array<double>>'), {_V_OF_C}))) "
+              rf"WHEN {_TYPE} = 'MULTIPOINT' THEN transform(regexp_extract_all({_NESTED}, r'\[([^\[\],]+,[^\[\],]+)\]', 1), w -> array(array(named_struct('x', CAST(split(w, ',')[0] AS DOUBLE), 'y', CAST(split(w, ',')[1] AS DOUBLE))))) "
+              f"WHEN {_TYPE} = 'MULTILINESTRING' THEN transform(from_json({_NESTED}, 'array<array<array<double>>>'), r -> array(transform(r, {_V_OF_C}))) "
+              f"WHEN {_TYPE} = 'POLYGON' THEN array(transform(from_json({_NESTED}, 'array<array<array<double>>>'), r -> transform(r, {_V_OF_C}))) "
+              f"ELSE transform(from_json({_NESTED}, 'array<array<array<array<double>>>>'), p -> transform(p, r -> transform(r, {_V_OF_C}))) END) END")
+_PAIR = "v -> array(v.x, v.y)"
+# The type names of GeoJSON.
+_JSON_NAMES = ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon")
+_JSON = ("CASE WHEN g IS NOT NULL THEN concat('{\"type\":\"', CASE g.gtype " + " ".join(f"WHEN '{n.upper()}' THEN '{n}'" for n in _JSON_NAMES) + " END, '\",\"coordinates\":', CASE WHEN size(g.parts) = 0 THEN '[]' "
+         f"WHEN g.gtype = 'POINT' THEN to_json(transform(g.parts[0][0], {_PAIR})[0]) WHEN g.gtype IN ('LINESTRING', 'MULTIPOINT') THEN to_json(transform({_V}, {_PAIR})) "
+         f"WHEN g.gtype = 'MULTIPOLYGON' THEN to_json(transform(g.parts, p -> transform(p, r -> transform(r, {_PAIR})))) ELSE to_json(transform(flatten(g.parts), r -> transform(r, {_PAIR}))) END, '}}') END").replace("'}}'", "'}'")
+_LAST = "element_at(s, -1)"
+_PIECES = f"greatest(CAST(ceil(hypot(v.x - {_LAST}.x, v.y - {_LAST}.y) / d) AS INT), 1)"
+_STEP = "CASE WHEN i = n THEN v ELSE " + _point(f"{_LAST}.x + (v.x - {_LAST}.x) * i / n", f"{_LAST}.y + (v.y - {_LAST}.y) * i / n") + " END"
+_SEGMENTIZED = f"aggregate(slice(r, 2, greatest(size(r) - 1, 0)), slice(r, 1, 1), (s, v) -> concat(s, flatten(transform(array({_PIECES}), n -> transform(sequence(1, n), i -> {_STEP})))))"
 
 # name -> (parameters, result type, expression)
 INLINE = {
@@ -93,6 +115,9 @@ INLINE = {
         "aggregate(transform(r, v -> " + _point("rint(v.x / size) * size", "rint(v.y / size) * size") + f"), CAST(array() AS {RING}), (s, v) -> CASE WHEN get(s, size(s) - 1) <=> v THEN s ELSE concat(s, array(v)) END)")),
     "st_multi": (f"g {GEOM}", GEOM, "CASE WHEN g.gtype LIKE 'MULTI%' THEN g WHEN g IS NOT NULL THEN named_struct('gtype', concat('MULTI', g.gtype), 'parts', g.parts) END"),
     "st_azimuth": (f"a {GEOM}, b {GEOM}", "DOUBLE", "CASE WHEN a.parts[0][0][0] <> b.parts[0][0][0] THEN pmod(atan2(b.parts[0][0][0].x - a.parts[0][0][0].x, b.parts[0][0][0].y - a.parts[0][0][0].y), 2 * pi()) END"),
+    "st_geomfromtext": ("t STRING", GEOM, _FROM_TEXT),
+    "st_asgeojson": (f"g {GEOM}", "STRING", _JSON),
+    "st_segmentize": (f"g {GEOM}, d DOUBLE", GEOM, "CASE WHEN g.gtype LIKE '%POINT' THEN g ELSE " + _rings(_SEGMENTIZED) + " END"),
     "st_astext": (f"g {GEOM}", "STRING", _TEXT),
     "st_point": ("px DOUBLE, py DOUBLE", GEOM, f"named_struct('gtype', 'POINT', 'parts', array(array(array({_point('px', 'py')}))))"),
     "st_distance_sphere": (f"a {GEOM}, b {GEOM}", "DOUBLE",
@@ -122,7 +147,7 @@ def _ones(fn_many, t):
 
 def _numbered(fn_many):
     def run(a: pa.Array, d: pa.Array) -> pa.Array:
-        return encode(_steps(fn_many, decode(a), d.to_pylist()))
+        return encode(_steps(fn_many, decode(a), d.cast(pa.float64()).to_pylist()))   # a literal such as 0.5 is a decimal
 
     return run
 
@@ -146,6 +171,76 @@ def _relation(name):
     return lambda a, b: [None if m is None else one(m, K.dim(x), K.dim(y)) for m, x, y in zip(K.relate_many(a, b), a, b)]
 
 
+def _centroid(g):
+    """Weighted by area, else by length, else by points."""
+    if not g[1]:
+        return None
+    w = total = 0.0
+    if K.dim(g) == K.POLY:
+        for part in g[1]:
+            for i, r in enumerate(part):
+                a, b = r[:-1] - r[0], r[1:] - r[0]
+                c = K.cross(a, b)
+                side = (1 if c.sum() > 0 else -1) * (-1 if i else 1)
+                w, total = w + side * c.sum() / 2, total + side * ((a + b) * c[:, None]).sum(axis=0) / 6 + side * c.sum() / 2 * r[0]
+    elif K.dim(g) == K.LINE:
+        for part in g[1]:
+            n = np.hypot(*np.diff(part[0], axis=0).T)
+            w, total = w + n.sum(), total + ((part[0][:-1] + part[0][1:]) / 2 * n[:, None]).sum(axis=0)
+    if w == 0:
+        v = _all_vertices(g)
+        w, total = len(v), v.sum(axis=0)
+    return ("POINT", [[np.array([total / w])]])
+
+
+def _simple(g):
+    """Points that differ; a line whose noded form is one chain of its length; any polygon."""
+    if K.dim(g) == K.POINT:
+        v = _all_vertices(g)
+        return len(np.unique(v, axis=0)) == len(v)
+    if K.dim(g) == K.POLY or not g[1]:
+        return True
+    u = K.union_many([[g]])[0]
+    size = lambda h: sum(float(np.hypot(*np.diff(r, axis=0).T).sum()) for p in h[1] for r in p)
+    return len(u[1]) == len(g[1]) and abs(size(u) - size(g)) <= 1e-9 * max(size(g), 1e-300)
+
+
+def _along(line):
+    """Distance of each vertex from the start."""
+    return np.concatenate([[0.0], np.cumsum(np.hypot(*np.diff(line, axis=0).T))])
+
+
+def _at(line, m, where):
+    return np.array([np.interp(where, m, line[:, 0]), np.interp(where, m, line[:, 1])])
+
+
+def _interpolated(g, f):
+    line = g[1][0][0] if g[0] == "LINESTRING" and g[1] else None
+    return None if line is None or not 0 <= f <= 1 else ("POINT", [[_at(line, _along(line), f * _along(line)[-1])[None]]])
+
+
+def _located(g, p):
+    """Share of the line's length at the place nearest to the point (the first of several)."""
+    if g[0] != "LINESTRING" or p[0] != "POINT":
+        return None
+    line, q, m = g[1][0][0], p[1][0][0][0], _along(g[1][0][0])
+    a, d = line[:-1], np.diff(line, axis=0)
+    n = (d * d).sum(axis=1)
+    t = np.clip(((q - a) * d).sum(axis=1) / np.where(n > 0, n, 1), 0, 1)
+    k = int(np.argmin(np.hypot(*(a + t[:, None] * d - q).T)))
+    return float((m[k] + t[k] * (m[k + 1] - m[k])) / m[-1]) if m[-1] > 0 else 0.0
+
+
+def _between(g, lo, hi):
+    if g[0] != "LINESTRING" or not 0 <= lo <= hi <= 1:
+        return None
+    line, m = g[1][0][0], _along(g[1][0][0])
+    a, b = lo * m[-1], hi * m[-1]
+    if a == b:
+        return ("POINT", [[_at(line, m, a)[None]]])
+    return ("LINESTRING", [[np.vstack([_at(line, m, a), line[(m > a) & (m < b)], _at(line, m, b)])]])
+
+
 def register(spark: SparkSession) -> list[str]:
     """Make the functions known to SQL; returns their names."""
     names = []
@@ -189,6 +284,16 @@ def register(spark: SparkSession) -> list[str]:
     add("st_closestpoint", _pairs(_each(_filled(_closest)), None), GEOM)
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION st_dwithin(a {GEOM}, b {GEOM}, d DOUBLE) RETURNS BOOLEAN RETURN st_distance(a, b) <= d")
     names.append("st_dwithin")
+    add("st_centroid", _ones(_each(_centroid), None), GEOM)
+    add("st_issimple", _ones(_each(_simple), pa.bool_()), "boolean")
+    add("st_isring", _ones(_each(lambda g: g[0] == "LINESTRING" and bool(g[1]) and bool((g[1][0][0][0] == g[1][0][0][-1]).all()) and _simple(g)), pa.bool_()), "boolean")
+    add("st_line_interpolate_point", _numbered(_each(_interpolated)), GEOM)
+    add("st_line_locate_point", _pairs(_each(_located), pa.float64()), "double")
+
+    def substring(g: pa.Array, lo: pa.Array, hi: pa.Array) -> pa.Array:
+        return encode(_each(_between)(decode(g), lo.cast(pa.float64()).to_pylist(), hi.cast(pa.float64()).to_pylist()))
+
+    add("st_line_substring", substring, GEOM)
     for old, new in ALIASES.items():
         add(old, _pairs(_predicate(new[3:]), pa.bool_()), "boolean")
     return names

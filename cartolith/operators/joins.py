@@ -270,10 +270,11 @@ def _layer(pairs: DataFrame, cols: list[str], geom: Column, srid: int | None) ->
 
 
 def intersection(a: DataFrame, mask: DataFrame, cols: list[str] | None = None, align_srid: bool = False,
-                 mask_cols: list[str] = (), plan: GridPlan | None = None) -> DataFrame:
+                 mask_cols: list[str] = (), plan: GridPlan | None = None, where: str | Column | None = None) -> DataFrame:
     """Intersection geometry of every pair that meets (a boundary touch counts).
 
-    Keeps ``cols`` of ``a`` (default all attributes) and ``mask_cols`` of the mask."""
+    Keeps ``cols`` of ``a`` (default all attributes) and ``mask_cols`` of the mask; ``where`` chooses rows of ``a`` before the join."""
+    a = a if where is None else a.where(where)
     a, mask = align(a, mask, align_srid)
     a, mask = ensure_bbox(a), ensure_bbox(mask)
     pairs, plan = candidate_pairs(a, mask, plan=plan)

@@ -312,3 +312,16 @@ def bounding_circles(spark, sf):
     one = A.bounding_circles(fx.parcels(spark, sf), ["parcel_id"]).select(F.col("parcel_id").cast("string").alias("of"), "x", "y", "radius")
     rows = one.unionByName(A.bounding_circles(both, ["c_mktsegment"]).select(F.col("c_mktsegment").alias("of"), "x", "y", "radius"))
     return rows.select("of", *[F.round(c, 6).alias(c) for c in ("x", "y", "radius")])
+
+
+@query("sql_texts_in_and_out", """SELECT parcel_id, round((xmin + xmax) / 2, 6) AS cx, round((ymin + ymax) / 2, 6) AS cy, round((xmax - xmin) * (ymax - ymin), 6) AS area, true AS same, '{"type":"Point","coordinates":[' || round(xmin, 3)::VARCHAR || ',' || parcel_id || '.0]}' AS json,
+    (4 * greatest(1, ceil((xmax - xmin) / 0.75)) / 2 + 4 * greatest(1, ceil((ymax - ymin) / 0.75)) / 2 + 1)::INT AS points FROM parcels""", "parcels")
+def sql_texts_in_and_out(spark, sf):
+    return _sql(spark, """SELECT parcel_id, round(st_x(st_centroid(geom)), 6) AS cx, round(st_y(st_centroid(geom)), 6) AS cy, round(st_area(st_geomfromtext(st_astext(geom))), 6) AS area, st_geomfromtext('SRID=3857; ' || lower(st_astext(geom))) = geom AS same,
+        st_asgeojson(st_point(round(st_xmin(geom), 3), parcel_id)) AS json, st_npoints(st_segmentize(geom, 0.75)) AS points FROM {p}""", p=fx.parcels(spark, sf))
+
+
+@query("sql_places_on_lines", """SELECT order_id, line_no, round(x1 + (x2 - x1) * 0.25, 6) AS x, 0.75 AS share, round(sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) / 2, 6) AS half, true AS simple, false AS ring FROM routes WHERE x1 <> x2 OR y1 <> y2""", "routes")
+def sql_places_on_lines(spark, sf):
+    return _sql(spark, """SELECT order_id, line_no, round(st_x(st_line_interpolate_point(geom, 0.25)), 6) AS x, round(st_line_locate_point(geom, st_line_interpolate_point(geom, 0.75)), 6) AS share, round(st_length(st_line_substring(geom, 0.25, 0.75)), 6) AS half,
+        st_issimple(geom) AS simple, st_isring(geom) AS ring FROM {r} WHERE st_length(geom) > 0""", r=fx.routes(spark, sf))
