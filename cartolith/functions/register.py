@@ -200,6 +200,10 @@ def _simple(g):
         return len(np.unique(v, axis=0)) == len(v)
     if K.dim(g) == K.POLY or not g[1]:
         return True
+    if len(g[1]) == 1 and len(g[1][0][0]) == 2:   # two vertices apart leave no room for a crossing
+        v = g[1][0][0]
+        if np.hypot(*(v[1] - v[0])) > 1e-6 * np.abs(v).max():
+            return True
     u = K.union_many([[g]])[0]
     size = lambda h: sum(float(np.hypot(*np.diff(r, axis=0).T).sum()) for p in h[1] for r in p)
     return len(u[1]) == len(g[1]) and abs(size(u) - size(g)) <= 1e-9 * max(size(g), 1e-300)

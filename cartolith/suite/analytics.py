@@ -77,13 +77,19 @@ def distinct_values(spark, sf):
 
 # ---------------------------------------------------------------- joins and set operations
 
+SLICES = 16   # of a nation in sql_joins
+
+
 @query("sql_joins", """SELECT 'inner' AS kind, count(*) AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal < s_acctbal
     UNION ALL SELECT 'left', count(*) FROM customer LEFT JOIN orders ON c_custkey = o_custkey UNION ALL SELECT 'right', count(*) FROM orders RIGHT JOIN customer ON c_custkey = o_custkey
     UNION ALL SELECT 'full', count(*) FROM part FULL JOIN lineitem ON p_partkey = l_partkey AND p_size > 25 UNION ALL SELECT 'using', count(*) FROM nation JOIN (SELECT r_regionkey AS n_regionkey FROM region) USING (n_regionkey)
     UNION ALL SELECT 'lateral', count(*) FROM nation, LATERAL (SELECT 1 FROM region WHERE r_regionkey = n_regionkey) z""")
 def sql_joins(spark, sf):
     c, s, o, p, l, n, r = (t(spark, sf, x) for x in ("customer", "supplier", "orders", "part", "lineitem", "nation", "region"))
-    ones = {"inner": c.join(s, (c.c_nationkey == s.s_nationkey) & (c.c_acctbal < s.s_acctbal)), "left": c.join(o, c.c_custkey == o.o_custkey, "left"),
+    # a nation's pairs are spread over SLICES tasks: its customers are dealt out by their key, its suppliers copied
+    cs = c.withColumn("slice", F.pmod(F.xxhash64("c_custkey"), F.lit(SLICES)).cast("int"))
+    ss = s.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    ones = {"inner": cs.join(ss.hint("merge"), (cs.c_nationkey == ss.s_nationkey) & (cs.slice == ss.copy) & (cs.c_acctbal < ss.s_acctbal)), "left": c.join(o, c.c_custkey == o.o_custkey, "left"),
             "right": o.join(c, c.c_custkey == o.o_custkey, "right"), "full": p.join(l, (p.p_partkey == l.l_partkey) & (p.p_size > 25), "full"),
             "using": n.join(r.select(F.col("r_regionkey").alias("n_regionkey")), "n_regionkey"),
             "lateral": spark.sql("SELECT n_name FROM {n} n, LATERAL (SELECT 1 FROM {r} WHERE r_regionkey = n.n_regionkey) z", n=n, r=r)}
@@ -351,4 +357,4 @@ def geometry_text(spark, sf):
     """Geometry through WKT, GeoJSON and WKB and back."""
     from ..functions import exact as X
     g = F.col("geom")
-    return fx.parcels(spark, sf).select("parcel_id", (N.from_wkt(N.as_wkt(g)) == g).alias("wkt"), (N.from_geojson(N.as_geojson(g)) == g).alias("geojson"), (X.from_wkb(X.as_wkb(g)) == g).alias("wkb"))
+    return fx.over_tasks(fx.parcels(spark, sf), "parcel_id").select("parcel_id", (N.from_wkt(N.as_wkt(g)) == g).alias("wkt"), (N.from_geojson(N.as_geojson(g)) == g).alias("geojson"), (X.from_wkb(X.as_wkb(g)) == g).alias("wkb"))
