@@ -85,3 +85,26 @@ def test_farthest_places_of_points_and_boxes_without_python(spark):
     assert "ArrowEval" not in plan_text(j)
     got = {r["b_id"]: r["dist"] for r in j.collect()}
     assert got == pytest.approx({0: 1.25 ** 0.5, 1: 1.25 ** 0.5})
+
+
+def test_rectangles_united_in_tiles(spark, monkeypatch):
+    """Tiles give the shapes that rounds of unions give: overlaps, islands, holes, copies, keys without a geometry."""
+    from cartolith.functions import native as N
+    from cartolith.operators import aggregate as A
+    rows = ROWS + [(100 + i, *r) for i, r in enumerate([(20.0, 0.0, 26.0, 1.0), (20.0, 5.0, 26.0, 6.0), (20.0, 0.0, 21.0, 6.0), (25.0, 0.0, 26.0, 6.0), (40.3, 40.3, 40.4, 40.6)])]
+    a = boxes(spark, rows).select((F.col("id") % 3).alias("k"), "geom")
+    a = a.unionByName(a.limit(1).select(F.lit(9).alias("k"), F.lit(None).cast(a.schema["geom"].dataType).alias("geom")))
+    facts = lambda d: sorted((r["k"], None if r["area"] is None else round(r["area"], 9), None if r["around"] is None else round(r["around"], 9), r["parts"]) for r in d.select(
+        "k", N.area(F.col("geom")).alias("area"), N.perimeter(F.col("geom")).alias("around"), F.size("geom.parts").alias("parts")).collect())
+    slow = facts(A.dissolve(a, "k"))
+    whole = A.union_layer(a.select("geom")).select(F.lit(0).alias("k"), "geom")
+    slow_whole = facts(whole)
+    monkeypatch.setattr(A, "TILED_ROWS", 0)
+    assert facts(A.dissolve(a, "k")) == slow
+    assert facts(A.union_layer(a.select("geom")).select(F.lit(0).alias("k"), "geom")) == slow_whole
+    z = boxes(spark, [(0, 0.0, 0.0, 10.0, 10.0), (1, 19.0, -1.0, 30.0, 7.0), (2, 50.0, 50.0, 51.0, 51.0)])
+    monkeypatch.setattr(A, "TILED_ROWS", 1 << 40)
+    cut = J.difference(z, boxes(spark, rows), "id").withColumnRenamed("id", "k")
+    want = facts(cut)
+    monkeypatch.setattr(A, "TILED_ROWS", 0)
+    assert facts(J.difference(z, boxes(spark, rows), "id").withColumnRenamed("id", "k")) == want
