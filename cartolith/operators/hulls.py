@@ -82,8 +82,16 @@ def _keyed(first: pa.Array, n: int) -> pa.Array:
     return first.take(pa.array(np.zeros(n, np.int64)))
 
 
+def _group_of(table: pa.Table) -> pa.Array:
+    """The group of a table's rows, with fields that may be null as in ``_with_group``: a constant's field may not, until it went through a file."""
+    first = table.column("_g").slice(0, 1).combine_chunks()
+    first = first.chunk(0) if isinstance(first, pa.ChunkedArray) else first
+    return pa.StructArray.from_arrays(first.flatten(), fields=[pa.field(f.name, f.type) for f in first.type])
+
+
 def _with_group(pts: DataFrame, ddl: str) -> T.StructType:
-    return T.StructType([T.StructField("_g", pts.schema["_g"].dataType), *T.StructType.fromDDL(ddl).fields])
+    group = T.StructType([T.StructField(f.name, f.dataType) for f in pts.schema["_g"].dataType.fields])
+    return T.StructType([T.StructField("_g", group), *T.StructType.fromDDL(ddl).fields])
 
 
 def _points_of(points: DataFrame, by: list[str]) -> DataFrame:
@@ -126,8 +134,7 @@ def _mesh(pts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
             wide = lambda a: np.column_stack([a, np.full((len(a), 6 - a.shape[1]), np.nan)])
             rows = np.concatenate([tri.reshape(-1, 6), wide(on.reshape(-1, 2)), wide(ground), wide(rim)])
             kinds = ["t"] * len(tri) + ["p"] * len(on) + ["e"] * len(ground) + ["h"] * len(rim)
-            first = table.column("_g").slice(0, 1).combine_chunks()
-            first = first.chunk(0) if isinstance(first, pa.ChunkedArray) else first
+            first = _group_of(table)
             up = [pa.array(np.full(len(rows), v >> 2), pa.int32()) for v in (tx, ty)]
             return pa.table([_keyed(first, len(rows)), pa.array(kinds, pa.string()), *up, *[pa.array(rows[:, i], pa.float64()) for i in range(6)]], names)
 
@@ -161,8 +168,7 @@ def _triangulated(pts: DataFrame) -> DataFrame:
             e = list(map(tuple, directed(t).tolist()))
             have = set(e)
             flags = np.array([(b, a) not in have for a, b in e], bool).reshape(-1, 3)
-            first = table.column("_g").slice(0, 1).combine_chunks()
-            first = first.chunk(0) if isinstance(first, pa.ChunkedArray) else first
+            first = _group_of(table)
             xy = p[t].reshape(-1, 6)
             return pa.table([_keyed(first, len(t)), *[pa.array(xy[:, i]) for i in range(6)], *[pa.array(flags[:, i]) for i in range(3)]], ["_g", *CORNERS, *FLAGS])
 
@@ -347,8 +353,7 @@ def polygon_from_points(df: DataFrame, ratio: float = 0.4, holes: bool = True, b
 
     def grouped(geometry_of):
         def run(table: pa.Table) -> pa.Table:
-            first = table.column("_g").slice(0, 1).combine_chunks()
-            return pa.table([first.chunk(0) if isinstance(first, pa.ChunkedArray) else first, encode([geometry_of(table)])], ["_g", "geom"])
+            return pa.table([_group_of(table), encode([geometry_of(table)])], ["_g", "geom"])
 
         return run
 

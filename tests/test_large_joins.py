@@ -108,3 +108,14 @@ def test_rectangles_united_in_tiles(spark, monkeypatch):
     want = facts(cut)
     monkeypatch.setattr(A, "TILED_ROWS", 0)
     assert facts(J.difference(z, boxes(spark, rows), "id").withColumnRenamed("id", "k")) == want
+
+
+def test_triangles_of_a_layer_of_several_tiles(spark, monkeypatch):
+    """The whole layer as one group, beyond one tile."""
+    from cartolith.layer import make_point
+    from cartolith.operators import hulls
+    monkeypatch.setattr(hulls, "POINTS", 64)
+    p = with_bbox(spark.range(300).select(make_point(F.expr("double(id * 7919 % 307)"), F.expr("double(id * id % 311)")).alias("geom")))
+    n = p.select("bbox.xmin", "bbox.ymin").distinct().count()
+    t = hulls.delaunay_triangles(p).agg(F.count(F.lit(1)).alias("n"), F.sum("outer").alias("outer")).first()
+    assert t["n"] == 2 * n - t["outer"] - 2
