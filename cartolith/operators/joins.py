@@ -212,6 +212,26 @@ def distance_band_join(a: DataFrame, points: DataFrame, max_d: float, min_d: flo
     return out
 
 
+NARROWED_ROWS = 20_000   # from here on radii are narrowed before neighbours are gathered
+
+
+def _narrowed(ac: DataFrame, a: DataFrame, pts: DataFrame, k: int, b_id: str) -> DataFrame:
+    """Smaller radii ``_r`` that still hold k neighbours: with the neighbours dealt out to k classes, the farthest of the classes' nearest ones bounds the
+    k-th distance.  The nearest ones are k minima per row, summed up before the shuffle, so only pairs within the new radius are ever written."""
+    number = F.pmod(F.xxhash64(b_id), F.lit(k))
+    seen = set_srid(ac.select(content_mark(a).alias("m"), "geom", "bbox", "_r"), srid_of(a))
+    pairs, plan = candidate_pairs(pts.select(number.alias("class"), "geom", "bbox"), seen, grow_b=F.col("_r"))
+    pairs = pairs.withColumn("dist", _pair_distance(plan)).where(F.col("dist") <= F.col("b__r"))
+    least = pairs.groupBy("b_m.h1", "b_m.h2").agg(*[F.min(F.when(F.col("a_class") == i, F.col("dist"))).alias(f"d{i}") for i in range(k)])
+    every = F.lit(True)
+    for i in range(k):
+        every = every & F.col(f"d{i}").isNotNull()
+    far = F.greatest(*[F.col(f"d{i}") for i in range(k)], F.lit(0.0)) * (1 + 1e-9)
+    bound = least.where(every).select(F.struct("h1", "h2").alias("_m"), far.alias("_far"))
+    out = ac.join(bound, content_mark(a) == F.col("_m"), "left")
+    return out.select(*a.columns, F.least("_r", F.coalesce("_far", "_r")).alias("_r"))
+
+
 def knn_join(a: DataFrame, b: DataFrame, k: int, a_id: str, b_id: str, cell0: float | None = None) -> DataFrame:
     """The ``k`` nearest features of ``b`` for every feature of ``a``; ties by ``b_id``. A row of ``a`` counts for itself, also under a NULL or repeated key.
 
@@ -230,7 +250,7 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, a_id: str, b_id: str, cell0: fl
            .withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= k).drop("_n", "_shape"))
     box = lambda d: (F.min(d["bbox"]["xmin"]), F.min(d["bbox"]["ymin"]), F.max(d["bbox"]["xmax"]), F.max(d["bbox"]["ymax"]))
     e = b.agg(F.count(bb["xmin"]).alias("n"), *[c.alias(n) for c, n in zip(box(b), "pqrs")]).first()
-    f = a.agg(*[c.alias(n) for c, n in zip(box(a), "pqrs")]).first()
+    f = a.agg(F.count(F.col("bbox")["xmin"]).alias("n"), *[c.alias(n) for c, n in zip(box(a), "pqrs")]).first()
     if not e["n"] or f["p"] is None:
         cols = [F.col(c).alias("a_" + c) for c in a.columns]
         return (a.select(*cols).join(b.select(*[F.col(c).alias("b_" + c) for c in b.columns]).where(F.lit(False)), F.lit(False))
@@ -260,6 +280,8 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, a_id: str, b_id: str, cell0: fl
     ac = ac.join(radius.select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.col("level").alias("_level")), ["_cx", "_cy"], "left")
     reach = F.coalesce(extent / F.pow(F.lit(2.0), F.col("_level")), F.lit(extent)) * (math.sqrt(2) * (1 + 1e-9))
     ac = ac.select(*a.columns, reach.alias("_r"))
+    if f["n"] >= NARROWED_ROWS:
+        ac = _narrowed(ac, a, pts, k, b_id)
     pairs, plan = candidate_pairs(pts.drop("_x", "_y"), ac, grow_b=F.col("_r"))
     # candidate_pairs puts the grown side second: a_ is the neighbour here, b_ the searching row
     pairs = pairs.withColumn("dist", _pair_distance(plan)).where(F.col("dist") <= F.col("b__r"))

@@ -222,12 +222,15 @@ def _nearest(t: DataFrame, places: DataFrame, band: int) -> DataFrame:
 
     From a pixel with data one step along an axis leads nearer to any other place, so the nearest one has a side neighbour without data: only the rims
     of what holds data are searched, and strips along tile borders are all that the rims need."""
+    from .aggregate import save_step
     from .joins import knn_join
     key = F.col("row").cast("long") * (1 << 31) + F.col("col")
     spot = make_point(F.col("col").cast("double"), F.col("row").cast("double"))
     b = T.to_pixels(T.rim(t, band)).where(F.col("value").isNotNull() & ~F.isnan("value")).select(key.alias("pixel"), "value", spot.alias("geom"))
     a = places.select("col", "row").distinct().select("col", "row", key.alias("place"), spot.alias("geom"))
-    j = knn_join(with_bbox(a), with_bbox(b), 1, "place", "pixel")
+    # the search looks at both sides several times, and rims are costly to find
+    a, b = save_step(with_bbox(a), "places"), save_step(with_bbox(b), "rims")
+    j = knn_join(a, b, 1, "place", "pixel")
     return j.select(F.col("a_col").alias("col"), F.col("a_row").alias("row"), F.col("b_value").alias("nearest"))
 
 

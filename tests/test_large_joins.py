@@ -119,3 +119,18 @@ def test_triangles_of_a_layer_of_several_tiles(spark, monkeypatch):
     n = p.select("bbox.xmin", "bbox.ymin").distinct().count()
     t = hulls.delaunay_triangles(p).agg(F.count(F.lit(1)).alias("n"), F.sum("outer").alias("outer")).first()
     assert t["n"] == 2 * n - t["outer"] - 2
+
+
+def test_neighbours_within_narrowed_radii(spark, monkeypatch):
+    """Radii are narrowed without losing a neighbour: ties, copies on both sides, fewer neighbours than asked for."""
+    from cartolith.layer import make_point
+    at = lambda n, x, y: with_bbox(spark.range(n).select("id", make_point(F.expr(f"double({x})"), F.expr(f"double({y})")).alias("geom")))
+    a, b = at(200, "id * 17 % 41", "id * 29 % 37"), at(60, "id * 13 % 43 div 2 * 2", "id * 7 % 31")
+    a, few = a.unionByName(a.where("id % 9 = 0")), at(2, "id * 5", "3")
+    rows = lambda d: sorted((r["a_id"], r["b_id"], r["dist"], r["rank"]) for r in d.collect())
+    cases = [(b, 1), (b, 3), (few, 3)]
+    want = [rows(J.knn_join(a, n, k, "id", "id")) for n, k in cases]
+    calls, narrowed = [], J._narrowed
+    monkeypatch.setattr(J, "_narrowed", lambda *args: calls.append(1) or narrowed(*args))
+    monkeypatch.setattr(J, "NARROWED_ROWS", 0)
+    assert [rows(J.knn_join(a, n, k, "id", "id")) for n, k in cases] == want and len(calls) == 3
