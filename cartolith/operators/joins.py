@@ -109,7 +109,8 @@ def _marked(a: DataFrame, id: str) -> DataFrame:
 def finish_join(a: DataFrame, b: DataFrame, pairs: DataFrame, how: str, id: str | None, hits: DataFrame | None = None) -> DataFrame:
     """Rows of ``a`` that have a pair are known by their key and their content, so a NULL or repeated key neither hides a row nor doubles it.
 
-    ``hits`` are such rows when something cheaper than the pairs tells them (``_marked`` under the prefix ``a_``)."""
+    ``hits`` are such rows when something cheaper than the pairs tells them (``_marked`` under the prefix ``a_``).  They can be nearly all rows of ``a``,
+    whatever the size of its file says, so they are told to shuffle and never go through the driver."""
     pairs = tidy(pairs)
     if how == "inner":
         return pairs
@@ -119,6 +120,7 @@ def finish_join(a: DataFrame, b: DataFrame, pairs: DataFrame, how: str, id: str
         hit = pairs.select(F.col(f"`a_{id}`").alias("_hit_id"), content_mark(a, "a_").alias("_hit")).distinct()
     else:
         hit = hits.select(F.col("a__hit_id").alias("_hit_id"), F.col("a__hit").alias("_hit")).distinct()
+    hit = hit.hint("merge")
     same = F.col(f"`{id}`").eqNullSafe(F.col("_hit_id")) & (content_mark(a) == F.col("_hit"))
     if how in ("semi", "anti"):
         return a.join(hit, same, "left_" + how)
@@ -382,7 +384,7 @@ def difference(a: DataFrame, b: DataFrame, id: str, single: bool = False, drop_e
         else:
             hit = pairs.where(pair_predicate("intersects", plan)).select(content_mark(a, "a_").alias("_gone")).distinct()
         gone = F.col("_gone").isNotNull()
-        out = a.join(hit, content_mark(a) == F.col("_gone"), "left")
+        out = a.join(hit.hint("merge"), content_mark(a) == F.col("_gone"), "left")   # no estimate may send the hits through the driver
         out = out.withColumn("geom", F.when(gone, geometry("POINT", F.array().cast(PARTS)))
                              .otherwise(F.col("geom"))).drop("_gone")
     else:

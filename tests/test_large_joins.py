@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartolith.functions import exact as X
-from cartolith.layer import make_box, make_line, set_srid, vertex, with_bbox
+from cartolith.layer import make_box, make_line, make_point, set_srid, vertex, with_bbox
 from cartolith.operators import joins as J
 from cartolith.plans import grid
 
@@ -34,6 +34,23 @@ def test_an_estimate_makes_no_broadcast(spark, monkeypatch):
     assert "BroadcastHashJoin" not in plan_text(pairs)
 
 
+def test_rows_with_a_pair_are_not_broadcast(spark, monkeypatch):
+    """Rows that have a pair may be nearly all rows, so looking them up shuffles: semi, anti, left and a difference of points."""
+    monkeypatch.setattr(grid, "BROADCAST_BYTES", 0)
+    rows = [(1, 0.5, 0.5), (None, 1.5, 0.5), (None, 9.0, 9.0), (2, 9.0, 9.0), (2, 0.5, 0.5), (2, 0.5, 0.5)]
+    p = with_bbox(spark.createDataFrame(rows, "id int, x double, y double").select("id", make_point(F.col("x"), F.col("y")).alias("geom")))
+    a = boxes(spark, [(0, 0.0, 0.0, 2.0, 1.0), (1, 1.0, 0.0, 3.0, 1.0)])
+    semi, anti, left = (J.spatial_join(p, a, "intersects", how, "id") for how in ("semi", "anti", "left"))
+    gone = J.difference(p, a, "id")
+    for df in (semi, anti, left, gone):
+        assert "BroadcastHashJoin" not in plan_text(df)
+    key = lambda v: (v[0] is None, v)
+    assert sorted(((r["id"], r["bbox"]["xmin"]) for r in semi.collect()), key=key) == [(1, 0.5), (2, 0.5), (2, 0.5), (None, 1.5)]
+    assert sorted(((r["id"], r["bbox"]["xmin"]) for r in anti.collect()), key=key) == [(2, 9.0), (None, 9.0)]
+    assert sorted((str(r["a_id"]), str(r["b_id"])) for r in left.collect()) == sorted([("1", "0"), ("2", "0"), ("2", "0"), ("None", "0"), ("None", "1"), ("2", "None"), ("None", "None")])
+    assert sum(not r["geom"]["parts"] for r in gone.collect()) == 4
+
+
 @pytest.mark.parametrize("bound", [0, 32 << 20])
 def test_boxes_that_touch_or_are_equal(spark, monkeypatch, bound):
     monkeypatch.setattr(grid, "BROADCAST_BYTES", bound)
