@@ -194,6 +194,26 @@ def within_distance_join(a: DataFrame, b: DataFrame, d: float, how: str = "inner
     return finish_join(a, b, pairs, how, id)
 
 
+def radius_of_pairs(a: DataFrame, b: DataFrame, k: int, d: float) -> float:
+    """A distance up to ``d`` within which all of the ``k`` closest pairs at most ``d`` apart lie: the first of growing ones with k pairs.
+
+    The search starts where a few times k pairs are to be expected of rows that lie evenly, so it looks at about as many as it asks for, not at all pairs."""
+    a, b = align(a, b)
+    a, b = ensure_bbox(a), ensure_bbox(b)
+    box, spots = F.col("bbox"), []
+    for df in (a, b):
+        spots.append(df.agg(F.count(box["xmin"]).alias("n"), F.min(box["xmin"]).alias("x0"), F.min(box["ymin"]).alias("y0"), F.max(box["xmax"]).alias("x1"), F.max(box["ymax"]).alias("y1")).first())
+    if not spots[0]["n"] or not spots[1]["n"]:
+        return d
+    x, y = (max(s[c + "1"] for s in spots) - min(s[c + "0"] for s in spots) for c in "xy")
+    r = math.sqrt(4 * k * x * y / (math.pi * spots[0]["n"] * spots[1]["n"]))
+    while 0 < r < d:
+        if within_distance_join(a.select("geom", "bbox"), b.select("geom", "bbox"), r).limit(k).count() >= k:
+            return r
+        r *= 4
+    return d
+
+
 def distance_band_join(a: DataFrame, points: DataFrame, max_d: float, min_d: float | None = None, point_id: str | None = None,
                        single: bool = False) -> DataFrame:
     """One row of ``a`` per point whose distance lies in the band.

@@ -718,6 +718,7 @@ def track_lengths(spark, sf):
 
 @query("top_k_by_distance", f"SELECT site_id, depot_id, round({_DIST}, 6) AS dist FROM sites s, depots d WHERE {_DIST} <= 5 ORDER BY {_DIST}, site_id, depot_id LIMIT 20", "sites depots")
 def top_k_by_distance(spark, sf):
-    j = J.within_distance_join(fx.sites(spark, sf), fx.depots(spark, sf), 5.0)
+    s, d = fx.sites(spark, sf).select("site_id", "geom", "bbox"), fx.depots(spark, sf).select("depot_id", "geom", "bbox")
+    j = J.within_distance_join(s, d, J.radius_of_pairs(s, d, 20, 5.0))
     j = j.select(F.col("a_site_id").alias("site_id"), F.col("b_depot_id").alias("depot_id"), "dist")
     return j.orderBy("dist", "site_id", "depot_id").limit(20).withColumn("dist", r6("dist"))

@@ -51,6 +51,18 @@ def test_rows_with_a_pair_are_not_broadcast(spark, monkeypatch):
     assert sum(not r["geom"]["parts"] for r in gone.collect()) == 4
 
 
+def test_radius_of_pairs(spark):
+    """The closest pairs lie within a radius far below the largest one, and copies of a place are counted each."""
+    points = lambda rows: with_bbox(spark.createDataFrame(rows, "id int, x double, y double").select("id", make_point(F.col("x"), F.col("y")).alias("geom")))
+    spots = [(i, float(i * 37 % 101), float(i * 53 % 103)) for i in range(400)]
+    others = [(i, x + 0.1 + i * 0.001, y) for i, x, y in spots]
+    r = J.radius_of_pairs(points(spots), points(others), 5, 50.0)
+    apart = sorted(((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2) ** 0.5 for p in spots for q in others)
+    assert apart[4] <= r < 5
+    assert J.radius_of_pairs(points(spots), points(others), 400 * 400 + 1, 50.0) == 50.0
+    assert J.radius_of_pairs(points(spots[:0]), points(others), 5, 50.0) == 50.0
+
+
 @pytest.mark.parametrize("bound", [0, 32 << 20])
 def test_boxes_that_touch_or_are_equal(spark, monkeypatch, bound):
     monkeypatch.setattr(grid, "BROADCAST_BYTES", bound)
