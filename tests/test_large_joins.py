@@ -51,6 +51,25 @@ def test_rows_with_a_pair_are_not_broadcast(spark, monkeypatch):
     assert sum(not r["geom"]["parts"] for r in gone.collect()) == 4
 
 
+def test_finer_cells_find_the_same_pairs(spark, monkeypatch):
+    """Dense layers meet on finer cells, and busy cells are split by their hash."""
+    monkeypatch.setattr(grid, "BROADCAST_BYTES", 0)
+    a = boxes(spark, ROWS)
+    want = sorted((p[0], q[0]) for p in ROWS for q in ROWS if p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4])
+    monkeypatch.setattr(grid, "SALT_ROWS", 5)
+    for fine in (0, 1, 2):
+        monkeypatch.setattr(grid, "_fineness", lambda rows, floor, fine=fine: fine)
+        pairs, plan = grid.candidate_pairs(a, a)
+        assert plan.hot and plan.fine == fine and plan.left.levels == (0 - fine, 1 - fine)
+        assert sorted((r["a_id"], r["b_id"]) for r in pairs.select("a_id", "b_id").collect()) == want
+
+
+def test_cells_are_finer_where_rows_lie_dense():
+    side = lambda tag, n, level, w: {"tag": tag, "n": n, "level": level, "w": w, "h": w, "x0": 0.0, "y0": 0.0, "x1": 100.0, "y1": 100.0}
+    assert grid._fineness([side(0, 900, -300, 0.0), side(1, 600, 2, 10.0)], -18) == 0
+    assert grid._fineness([side(0, 900_000, -300, 0.0), side(1, 60_000, 2, 10.0)], -18) > 0
+
+
 def test_radius_of_pairs(spark):
     """The closest pairs lie within a radius far below the largest one, and copies of a place are counted each."""
     points = lambda rows: with_bbox(spark.createDataFrame(rows, "id int, x double, y double").select("id", make_point(F.col("x"), F.col("y")).alias("geom")))
