@@ -6,9 +6,10 @@ tile has to find has all of its corners among those (a circle that leaves the ti
 so the wider tile's triangles are right outside the final ground, and those inside it are dropped. What goes on grows with the borders of tiles, not
 with the points.
 
-Hulls: long border edges are eroded (Duckham et al. 2008), longest first inside a task. A task holds a stretch of the triangles along a space-filling
-curve and takes away only what it sees whole, that is, triangles behind whose edge lies a point with all of its triangles in the task and none of them at
-the border. Stretches shift from round to round until no triangle anywhere can go.
+Hulls: long border edges are eroded (Duckham et al. 2008), longest first inside a task. Only triangles with a long edge can go, so all others stay where they
+are; the border of what is left follows from the outer edges and the triangles taken away. A task holds a stretch of the long triangles along a
+space-filling curve and takes away only those whose far corner is not at the border and has all of its long triangles in the task. Stretches
+shift from round to round until no triangle anywhere can go.
 """
 
 from __future__ import annotations
@@ -28,9 +29,12 @@ from ..layer import GEOM, PUNTAL, make_polygon, set_srid, srid_of, vertex, with_
 from .aggregate import save_step
 
 POINTS = 4096         # of a tile; a larger group is cut into tiles
-TRIANGLES = 1 << 15   # of a task while borders are eroded
+TRIANGLES = 1 << 15   # long ones, of a task while borders are eroded
+FEW_GROUPS = 10_000   # up to here one row per group may be broadcast
 CORNERS = ["ax", "ay", "bx", "by", "cx", "cy"]
 FLAGS = ["h0", "h1", "h2"]   # whether the edge ab, bc, ca is at the border
+RIM = ["r0", "r1", "r2"]     # whether the corner a, b, c is at the border
+DEGREE = ["d0", "d1", "d2"]  # how many long triangles the corner a, b, c has
 
 
 # ---------------------------------------------------------------- triangles
@@ -57,25 +61,34 @@ def outside(t: np.ndarray, final_edges: set[tuple[int, int]]) -> np.ndarray:
     return ~inside
 
 
-def tile_triangles(p: np.ndarray, edges: np.ndarray, box: tuple[float, float, float, float] | None):
-    """(final triangles, points that go on, edges that go on, border edges of the whole) of a tile; without a box it is the last one and all is final."""
+def tile_triangles(p: np.ndarray, edges: np.ndarray, box: tuple[float, float, float, float] | None, whole: tuple[float, float, float, float]):
+    """(final triangles, points that go on, edges that go on, border edges of the whole) of a tile; without a box it is the last one and all is final.
+
+    Edges on the sides of ``whole``, the box of all points, have nothing behind them: they are border edges as soon as their triangle is final, and points
+    that have no other open edge stay behind, so the straight sides of a grid do not pile up in the last tile."""
     t = delaunay(p)
     if not len(t):
-        return np.empty((0, 3, 2)), (p if box else p[:0]), edges, np.empty((0, 4))
+        return np.empty((0, 3, 2)), (p if box else p[:0]), (edges if box else edges[:0]), (edges[:0] if box else edges)
     number = {v: i for i, v in enumerate(map(tuple, p.tolist()))}
     known = {(number[a, b], number[c, d]) for a, b, c, d in edges.tolist()}
     new = t[outside(t, known)] if known else t
     rim = {(a, b) for a, b in directed(t).tolist()}
     rim = [e for e in rim if (e[1], e[0]) not in rim]
     if box is None:
-        return p[new], p[:0], edges[:0], np.array([[*p[a], *p[b]] for a, b in rim]).reshape(-1, 4)
+        open_ = known | {(a, b) for a, b in directed(new).tolist()}   # other rims run over ground whose border edges are known
+        return p[new], p[:0], edges[:0], np.array([[*p[a], *p[b]] for a, b in rim if (a, b) in open_]).reshape(-1, 4)
     centre, radius = circles(p[new[:, 0]], p[new[:, 1]], p[new[:, 2]])
     reach = radius * (1 + 1e-6) + 1e-9 * max(box[2] - box[0], box[3] - box[1], abs(box[0]), abs(box[1]))
     final = (centre[:, 0] - reach > box[0]) & (centre[:, 1] - reach > box[1]) & (centre[:, 0] + reach < box[2]) & (centre[:, 1] + reach < box[3])
     ground = known | {(a, b) for a, b in directed(new[final]).tolist()}
     ground = [e for e in ground if (e[1], e[0]) not in ground]
-    on = np.unique(np.concatenate([new[~final].ravel(), np.array(rim, np.int64).reshape(-1)]))
-    return p[new[final]], p[on], np.array([[*p[a], *p[b]] for a, b in ground]).reshape(-1, 4), np.empty((0, 4))
+    place = p.tolist()
+    ends = {e for e in rim if any(place[e[0]][i % 2] == whole[i] == place[e[1]][i % 2] for i in range(4))}
+    done = ends.intersection(ground)
+    ground = [e for e in ground if e not in done]
+    on = np.unique(np.concatenate([new[~final].ravel(), np.array([e for e in rim if e not in ends] + ground, np.int64).reshape(-1)]))
+    of = lambda es: np.array([[*p[a], *p[b]] for a, b in es]).reshape(-1, 4)
+    return p[new[final]], p[on], of(ground), of(done)
 
 
 def _keyed(first: pa.Array, n: int) -> pa.Array:
@@ -105,6 +118,7 @@ def _points_of(points: DataFrame, by: list[str]) -> DataFrame:
 def _mesh(pts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """(_g, corners) of all triangles and (_g, x1, y1, x2, y2) of their outer edges; ``most`` is the size of the largest group."""
     e = pts.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")).first()
+    whole = (e["x0"], e["y0"], e["x1"], e["y1"])
     x0, y0, extent = e["x0"], e["y0"], max(e["x1"] - e["x0"], e["y1"] - e["y0"], 1e-300) * (1 + 1e-9)
     steps = min(15, max(1, math.ceil(math.log(most / POINTS, 16))) + 4)       # four steps finer than even density asks for
     finest, levels = 2 * steps, [2 * i for i in range(steps + 1)]               # level l has 2^l tiles a side
@@ -130,7 +144,7 @@ def _mesh(pts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
             num = np.column_stack([table.column(c).to_numpy() for c in names[4:]])
             tx, ty = table.column("tx")[0].as_py(), table.column("ty")[0].as_py()
             box = None if level == 0 else (x0 + tx * side, y0 + ty * side, x0 + (tx + 1) * side, y0 + (ty + 1) * side)
-            tri, on, ground, rim = tile_triangles(np.unique(num[kind == "p", :2], axis=0), num[kind == "e", :4], box)
+            tri, on, ground, rim = tile_triangles(np.unique(num[kind == "p", :2], axis=0), num[kind == "e", :4], box, whole)
             wide = lambda a: np.column_stack([a, np.full((len(a), 6 - a.shape[1]), np.nan)])
             rows = np.concatenate([tri.reshape(-1, 6), wide(on.reshape(-1, 2)), wide(ground), wide(rim)])
             kinds = ["t"] * len(tri) + ["p"] * len(on) + ["e"] * len(ground) + ["h"] * len(rim)
@@ -151,12 +165,23 @@ def _mesh(pts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
         carried = done.where("kind IN ('p', 'e')")
     tri = hull = None
     for done in made:
-        t = done.where("kind = 't'").select("_g", *[F.col(c).alias(n) for c, n in zip(names[4:], CORNERS)])
-        tri = t if tri is None else tri.unionByName(t)
-        hull = done.where("kind = 'h'").select("_g", "x1", "y1", "x2", "y2")   # only the last one has any
+        t, h = done.where("kind = 't'").select("_g", *[F.col(c).alias(n) for c, n in zip(names[4:], CORNERS)]), done.where("kind = 'h'").select("_g", "x1", "y1", "x2", "y2")
+        tri, hull = (t, h) if tri is None else (tri.unionByName(t), hull.unionByName(h))
     return tri, hull
 
 
+def _sides(tri: DataFrame, *cols: str) -> DataFrame:
+    """The three directed edges of each triangle, with their number ``i`` and the columns named."""
+    e = [F.struct(F.lit(i).alias("i"), *[F.col(c).alias(n) for c, n in zip((a + "x", a + "y", b + "x", b + "y"), ("x1", "y1", "x2", "y2"))]) for i, (a, b) in enumerate(("ab", "bc", "ca"))]
+    return tri.select("_g", *cols, F.explode(F.array(*e)).alias("e")).select("_g", *cols, "e.*")
+
+
+def _flagged(tri: DataFrame, hull: DataFrame) -> DataFrame:
+    """(_g, corners, further columns, flags): which edges are among those of ``hull``."""
+    outer = _sides(tri, *CORNERS).join(hull, ["_g", "x1", "y1", "x2", "y2"]).groupBy("_g", *CORNERS).agg(*[F.max(F.col("i") == i).alias(h) for i, h in enumerate(FLAGS)])
+    return tri.join(outer, ["_g", *CORNERS], "left").select(*tri.columns, *[F.coalesce(h, F.lit(False)).alias(h) for h in FLAGS])
+
+
 def _triangulated(pts: DataFrame) -> DataFrame:
     """(_g, corners, flags) for distinct points (_g, x, y); flags tell the outer edges."""
     most = pts.groupBy("_g").count().agg(F.max("count")).first()[0] or 0
@@ -174,10 +199,7 @@ def _triangulated(pts: DataFrame) -> DataFrame:
 
         return pts.groupBy("_g").applyInArrow(whole, schema)
     tri, hull = _mesh(pts, most)
-    edges = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), *[F.col(c).alias(n) for c, n in zip((a + "x", a + "y", b + "x", b + "y"), ("x1", "y1", "x2", "y2"))]) for i, (a, b) in enumerate(("ab", "bc", "ca"))]))
-    outer = tri.select("_g", *CORNERS, edges.alias("e")).select("_g", *CORNERS, "e.*").join(hull, ["_g", "x1", "y1", "x2", "y2"])
-    outer = outer.groupBy("_g", *CORNERS).agg(*[F.max(F.col("i") == i).alias(h) for i, h in enumerate(FLAGS)])
-    return tri.join(outer, ["_g", *CORNERS], "left").select("_g", *CORNERS, *[F.coalesce(h, F.lit(False)).alias(h) for h in FLAGS])
+    return _flagged(tri, hull)
 
 
 def delaunay_triangles(points: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -192,40 +214,37 @@ def delaunay_triangles(points: DataFrame, by: list[str] = ()) -> DataFrame:
 
 # ---------------------------------------------------------------- concave hulls
 
-def erode(tri: np.ndarray, flags: np.ndarray, limit: float, holes: bool) -> np.ndarray:
+def erode(tri: np.ndarray, flags: np.ndarray, limit: float, holes: bool, rim: np.ndarray | None = None, degree: np.ndarray | None = None) -> np.ndarray:
     """Which triangles (n, 3, 2) of one group stay; ``flags`` (n, 3), the border edges, are brought up to date for those.
 
-    An edge that is neither flagged nor met by another triangle has its other triangle in another task; its ends are left alone."""
+    Where not all triangles are there, ``rim`` (n, 3) tells the corners at the border, kept up to date as well, and ``degree`` (n, 3) how many triangles
+    that can go meet in a corner; corners that have some of them elsewhere are left alone."""
     vertices, t = np.unique(tri.reshape(-1, 2), axis=0, return_inverse=True)
     t = t.reshape(-1, 3)
     e = directed(t)
     length = np.hypot(*(vertices[e[:, 0]] - vertices[e[:, 1]]).T).reshape(-1, 3)
     owner = {(a, b): k for k, (a, b) in enumerate(e.tolist())}
-    rim, cut = np.zeros(len(vertices), int), np.zeros(len(vertices), bool)
-    for k, (a, b) in enumerate(e.tolist()):
-        if flags[k // 3, k % 3]:
-            rim[a] += 1
-            rim[b] += 1
-        elif (b, a) not in owner:
-            cut[a] = cut[b] = True
+    border, cut = np.zeros(len(vertices), bool), np.zeros(len(vertices), bool)
+    border[e[flags.ravel()].ravel()] = True
+    if rim is not None:
+        border[t[rim]] = True
+        most = np.zeros(len(vertices), np.int64)
+        np.maximum.at(most, t.ravel(), degree.ravel())
+        cut = np.bincount(t.ravel(), minlength=len(vertices)) < most
     alive = np.ones(len(t), bool)
     heap = [(-length[k, i], k, i) for k, i in zip(*np.nonzero(flags & (length > limit)))]
     heapq.heapify(heap)
 
     def take(k):
+        # a corner stays at the border once it is there
         alive[k] = False
         corners = t[k].tolist()
+        border[corners] = True
         for i in range(3):
-            a, b = corners[i], corners[(i + 1) % 3]
-            if flags[k, i]:
-                rim[a] -= 1
-                rim[b] -= 1
-            else:
-                other = owner[b, a]
+            other = None if flags[k, i] else owner.get((corners[(i + 1) % 3], corners[i]))
+            if other is not None:
                 j, side = divmod(other, 3)
                 flags[j, side] = True
-                rim[a] += 1
-                rim[b] += 1
                 if length[j, side] > limit:
                     heapq.heappush(heap, (-length[j, side], j, side))
 
@@ -233,7 +252,7 @@ def erode(tri: np.ndarray, flags: np.ndarray, limit: float, holes: bool) -> np.n
         while heap:
             _, k, i = heapq.heappop(heap)
             apex = t[k, (i + 2) % 3]
-            if alive[k] and rim[apex] == 0 and not cut[apex]:
+            if alive[k] and not border[apex] and not cut[apex]:
                 take(k)
 
     outer()
@@ -242,9 +261,11 @@ def erode(tri: np.ndarray, flags: np.ndarray, limit: float, holes: bool) -> np.n
         for k in np.argsort(-longest, kind="stable"):
             if longest[k] <= limit:
                 break
-            if alive[k] and not rim[t[k]].any() and not cut[t[k]].any():
+            if alive[k] and not border[t[k]].any() and not cut[t[k]].any():
                 take(k)
                 outer()
+    if rim is not None:
+        rim[:] = border[t]
     return alive
 
 
@@ -275,55 +296,71 @@ def _lengths() -> list[Column]:
     return [F.hypot(F.col(a + "x") - F.col(b + "x"), F.col(a + "y") - F.col(b + "y")) for a, b in ("ab", "bc", "ca")]
 
 
+def _long_triangles(tri: DataFrame, hull: DataFrame, lim: DataFrame) -> DataFrame:
+    """The triangles that may go, those with an edge longer than their group's limit, with their flags and what ``erode`` asks to know of their corners."""
+    n = _lengths()
+    tri = tri.join(lim, F.col("_g") == F.col("_lg")).drop("_lg").where((n[0] > F.col("lim")) | (n[1] > F.col("lim")) | (n[2] > F.col("lim")))
+    tri = save_step(_flagged(tri, hull), "long")
+    corners = F.explode(F.array(*[F.struct(F.col(c + "x").alias("x"), F.col(c + "y").alias("y")) for c in "abc"]))
+    degree = tri.select("_g", corners.alias("v")).groupBy("_g", "v.x", "v.y").agg(F.count(F.lit(1)).cast("int").alias("d"))
+    rim = hull.select("_g", F.explode(F.array(*[F.struct(F.col("x" + i).alias("x"), F.col("y" + i).alias("y")) for i in "12"])).alias("v")).select("_g", "v.x", "v.y").distinct().withColumn("r", F.lit(True))
+    facts = save_step(degree.join(rim, ["_g", "x", "y"], "left").withColumn("r", F.coalesce("r", F.lit(False))), "corners")
+    for i, c in enumerate("abc"):
+        tri = tri.join(facts.withColumnsRenamed({"x": c + "x", "y": c + "y", "d": DEGREE[i], "r": RIM[i]}), ["_g", c + "x", c + "y"])
+    return save_step(tri.select("_g", *CORNERS, *FLAGS, "lim", *RIM, *DEGREE), "long")
+
+
 def _can_go(tri: DataFrame, holes: bool) -> bool:
     """Whether a triangle anywhere can still be taken away."""
-    flagged = F.filter(F.array(*[F.when(F.col(h), F.array(F.struct(F.col(a + "x").alias("x"), F.col(a + "y").alias("y")), F.struct(F.col(b + "x").alias("x"), F.col(b + "y").alias("y")))) for h, (a, b) in zip(FLAGS, ("ab", "bc", "ca"))]), lambda e: e.isNotNull())
-    rim = tri.select("_g", F.explode(F.flatten(flagged)).alias("v")).select("_g", "v.x", "v.y").distinct()
     long = [n > F.col("lim") for n in _lengths()]
-    apex = F.filter(F.array(*[F.when(F.col(h) & far, F.struct(F.col(c + "x").alias("x"), F.col(c + "y").alias("y"))) for h, far, c in zip(FLAGS, long, "cab")]), lambda v: v.isNotNull())
-    ends = tri.select("_g", F.explode(apex).alias("v")).select("_g", "v.x", "v.y")
-    if not ends.join(rim, ["_g", "x", "y"], "left_anti").isEmpty():
-        return True
-    if not holes:
-        return False
-    free = tri.where(long[0] | long[1] | long[2])
-    for c in "abc":
-        free = free.join(rim.withColumnsRenamed({"x": c + "x", "y": c + "y"}), ["_g", c + "x", c + "y"], "left_anti")
-    return not free.isEmpty()
+    go = F.lit(False)
+    for h, far, apex in zip(FLAGS, long, (RIM[2], RIM[0], RIM[1])):
+        go = go | (F.col(h) & far & ~F.col(apex))
+    if holes:
+        go = go | ((long[0] | long[1] | long[2]) & ~F.col(RIM[0]) & ~F.col(RIM[1]) & ~F.col(RIM[2]))
+    return not tri.where(go).isEmpty()
 
 
 def _eroded(tri: DataFrame, holes: bool) -> DataFrame:
-    """Rounds over stretches of a Morton curve; where a round takes nothing although something can go, stretches grow."""
-    e = tri.agg(F.count(F.lit(1)).alias("n"), F.min("ax").alias("x0"), F.min("ay").alias("y0"), F.max("ax").alias("x1"), F.max("ay").alias("y1")).first()
+    """(_g, corners) of the long triangles taken away, in rounds over stretches of a Morton curve; where a round takes nothing although something can go,
+    stretches grow."""
+    middle = {v: (F.col("a" + v) + F.col("b" + v) + F.col("c" + v)) / 3 for v in "xy"}
+    e = tri.agg(F.count(F.lit(1)).alias("n"), *[f(middle[v]).alias(v + i) for v in "xy" for f, i in ((F.min, "0"), (F.max, "1"))]).first()
     if not e["n"]:
-        return tri
+        return tri.select("_g", *CORNERS)
     cell = max(e["x1"] - e["x0"], e["y1"] - e["y0"], 1e-300) / (1 << 20)
-    names, kind = tri.columns, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tri.schema.fields)
+    names, gone = tri.columns, []
+    kind = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in tri.schema.fields] + ["gone boolean"])
     left, tasks, turn = e["n"], math.ceil(e["n"] / TRIANGLES), 0
     for inner in (False, True) if holes else (False,):
         while True:
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                table = pa.Table.from_batches(list(batches)).combine_chunks()
+                batches = list(batches)
+                if not batches:
+                    return
+                table = pa.Table.from_batches(batches).combine_chunks()
                 groups: dict = {}
                 for i, g in enumerate(table.column("_g").to_pylist()):
                     groups.setdefault(tuple(g.values()), []).append(i)
-                xy = np.column_stack([table.column(c).to_numpy() for c in CORNERS]).reshape(-1, 3, 2)
-                flags = np.column_stack([table.column(c).to_numpy() for c in FLAGS])
-                lim = table.column("lim").to_numpy()
+                bits = lambda names: np.column_stack([table.column(c).to_numpy() for c in names])
+                xy, flags, rim, degree, lim = bits(CORNERS).reshape(-1, 3, 2), bits(FLAGS), bits(RIM), bits(DEGREE), table.column("lim").to_numpy()
                 for rows in groups.values():
-                    own = flags[rows]
-                    alive = erode(xy[rows], own, lim[rows[0]], inner)
-                    part = table.take(pa.array(np.array(rows)[alive]))
-                    for i, c in enumerate(FLAGS):
-                        part = part.set_column(part.column_names.index(c), c, pa.array(own[alive, i]))
-                    yield from part.to_batches()
+                    own, at = flags[rows], rim[rows]
+                    alive = erode(xy[rows], own, lim[rows[0]], inner, at, degree[rows])
+                    part = table.take(pa.array(rows))
+                    for cols, now in ((FLAGS, own), (RIM, at)):
+                        for i, c in enumerate(cols):
+                            part = part.set_column(part.column_names.index(c), c, pa.array(now[:, i]))
+                    yield from part.append_column("gone", pa.array(~alive)).to_batches()
 
             # the curve starts elsewhere in every round, so its stretches end elsewhere
             off = (turn * 0.6180339887498949) % 1
-            c = [F.floor((F.col("a" + v) - e[v + "0"]) / cell + off * (1 << 20)) for v in "xy"]
+            c = [F.floor((middle[v] - e[v + "0"]) / cell + off * (1 << 20)) for v in "xy"]
             where = N.morton(c[0], c[1], 22)
             spread = tri.withColumn("_z", where).repartitionByRange(tasks, "_g", "_z").select(*names) if tasks > 1 else tri.coalesce(1)
-            tri = save_step(spread.mapInArrow(run, kind), "eroded")
+            done = save_step(spread.mapInArrow(run, kind), "eroded")
+            gone.append(done.where("gone").select("_g", *CORNERS))
+            tri = done.where("NOT gone").drop("gone")
             turn += 1
             if tasks == 1 or not _can_go(tri, inner):
                 break
@@ -331,7 +368,10 @@ def _eroded(tri: DataFrame, holes: bool) -> DataFrame:
             if now == left:
                 tasks = -(-tasks // 2)
             left = now
-    return tri
+    out = gone[0]
+    for g in gone[1:]:
+        out = out.unionByName(g)
+    return out
 
 
 def polygon_from_points(df: DataFrame, ratio: float = 0.4, holes: bool = True, by: list[str] = ()) -> DataFrame:
@@ -348,7 +388,8 @@ def polygon_from_points(df: DataFrame, ratio: float = 0.4, holes: bool = True, b
         from .aggregate import convex_hull
         return convex_hull(df.select(*by, "geom"), by)
     pts = save_step(_points_of(df, by), "distinct-points")
-    most = pts.groupBy("_g").count().agg(F.max("count")).first()[0] or 0
+    sizes = pts.groupBy("_g").count().agg(F.max("count").alias("most"), F.count(F.lit(1)).alias("groups")).first()
+    most = sizes["most"] or 0
     schema = _with_group(pts, f"geom {GEOM}")
 
     def grouped(geometry_of):
@@ -366,13 +407,21 @@ def polygon_from_points(df: DataFrame, ratio: float = 0.4, holes: bool = True, b
     if most <= POINTS:
         out = pts.groupBy("_g").applyInArrow(grouped(small), schema)
     else:
-        tri = save_step(_triangulated(pts), "triangles")
+        per_group = F.broadcast if sizes["groups"] <= FEW_GROUPS else (lambda d: d)   # large groups meet their one row without a shuffle
+        tri, hull = _mesh(pts, most)
         n = _lengths()
         lim = tri.groupBy(F.col("_g").alias("_lg")).agg(F.min(F.least(*n)).alias("lo"), F.max(F.greatest(*n)).alias("hi")).select("_lg", (F.col("lo") + ratio * (F.col("hi") - F.col("lo"))).alias("lim"))
-        kept = _eroded(tri.join(lim, F.col("_g") == F.col("_lg")).drop("_lg"), holes)
-        edges = F.filter(F.array(*[F.when(F.col(h), F.struct(*[F.col(c).alias(m) for c, m in zip((a + "x", a + "y", b + "x", b + "y"), ("x1", "y1", "x2", "y2"))])) for h, (a, b) in zip(FLAGS, ("ab", "bc", "ca"))]), lambda v: v.isNotNull())
-        out = kept.select("_g", F.explode(edges).alias("e")).select("_g", "e.*").groupBy("_g").applyInArrow(grouped(large), schema)   # a group's border is its result
+        lim = save_step(lim, "limits")
+        gone = _eroded(_long_triangles(tri, hull, per_group(lim)), holes)
+        # what is left has the outer edges as its border, less those of the triangles that went and plus their other ones
+        ends = [F.struct(F.col("x" + i).alias("x"), F.col("y" + i).alias("y")) for i in "12"]
+        sides = hull.withColumn("net", F.lit(1)).unionByName(_sides(gone).drop("i").withColumn("net", F.lit(-1)))
+        sides = sides.select("_g", F.least(*ends).alias("p"), F.greatest(*ends).alias("q"), F.when(ends[0] < ends[1], F.col("net")).otherwise(-F.col("net")).alias("net"))
+        net = sides.groupBy("_g", "p", "q").agg(F.sum("net").alias("net")).where("net <> 0")
+        one, two = F.when(F.col("net") > 0, F.col("p")).otherwise(F.col("q")), F.when(F.col("net") > 0, F.col("q")).otherwise(F.col("p"))
+        edges = net.select("_g", one["x"].alias("x1"), one["y"].alias("y1"), two["x"].alias("x2"), two["y"].alias("y2"))
+        out = save_step(edges.groupBy("_g").applyInArrow(grouped(large), schema), "hulls")   # a group's border is its result
         from .aggregate import convex_hull
-        flat = pts.join(tri.select("_g").distinct(), "_g", "left_anti").select("_g", F.struct(F.lit("POINT").alias("gtype"), F.array(F.array(F.array(vertex("x", "y")))).alias("parts")).alias("geom"))
+        flat = pts.join(per_group(lim.select(F.col("_lg").alias("_g"))), "_g", "left_anti").select("_g", F.struct(F.lit("POINT").alias("gtype"), F.array(F.array(F.array(vertex("x", "y")))).alias("parts")).alias("geom"))
         out = out.unionByName(convex_hull(flat, ["_g"]).select("_g", "geom"))
     return set_srid(with_bbox(out.select(*[F.col("_g")[c].alias(c) for c in by], "geom")), srid_of(df))

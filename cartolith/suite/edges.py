@@ -216,20 +216,56 @@ def estimates_within_bounds(spark, sf):
             .unionByName(rows.select(F.lit("rows").alias("estimate"), (F.abs(F.col("n") - F.col("estimated")) <= 0.2 * F.col("n")).alias("holds"))))
 
 
+_BANDS = 1024   # strips by y in which points meet the sides of hulls
+
+
+def _farthest(points, hulls, by=()):
+    """Keys and ``far``, the largest distance of a key's points from its ``hull``, 0 for points inside.
+
+    A point meets only the sides in its own strip, which tell whether it is inside; the few points that are not are measured against the whole hull."""
+    by = list(by)
+    points = points.select(*by, F.col("bbox.xmin").alias("x"), F.col("bbox.ymin").alias("y"))
+    line = hulls.where(N.is_polygonal(F.col("hull"))).select(*by, F.explode(N.rings(F.col("hull"))).alias("r"))
+    pairs = F.transform(F.slice("r", 1, F.size("r") - 1), lambda v, i: F.struct(v.alias("p"), F.get(F.col("r"), i + 1).alias("q")))
+    line = line.where(F.size("r") > 1).select(*by, F.explode(pairs).alias("s"))
+    e = line.agg(F.min(F.least("s.p.y", "s.q.y")).alias("y0"), F.max(F.greatest("s.p.y", "s.q.y")).alias("y1")).first()
+    y0, step = e["y0"] or 0.0, _BANDS / max((e["y1"] or 0.0) - (e["y0"] or 0.0), 1e-300)
+    band = lambda y: F.floor((y - y0) * step)
+    ends = [band(F.col("s.p.y")), band(F.col("s.q.y"))]
+    bands = line.select(*by, F.explode(F.sequence(F.least(*ends), F.greatest(*ends))).alias("band"), "s").groupBy(*by, "band").agg(F.collect_list("s").alias("sides"))
+    met = points.withColumn("band", band(F.col("y"))).join(A.save_step(bands, "bands"), [*by, "band"], "left")
+
+    def crossed(inside, s):
+        p, q, x, y = s["p"], s["q"], F.col("x"), F.col("y")
+        cross = (q["x"] - p["x"]) * (y - p["y"]) - (x - p["x"]) * (q["y"] - p["y"])
+        return inside != (((p["y"] <= y) & (q["y"] > y) & (cross > 0)) | ((p["y"] > y) & (q["y"] <= y) & (cross < 0)))
+
+    inside = F.coalesce(F.aggregate("sides", F.lit(False), crossed), F.lit(False))
+    open_ = A.save_step(met.where(~inside).select(*by, "x", "y"), "not-inside")
+    open_ = open_.join(hulls, by) if by else open_.join(F.broadcast(hulls))   # one hull, held next to the points: the other way round it is copied for all points in one task
+    far = open_.groupBy(*by).agg(F.max(N.point_to_geometry(F.col("hull"), F.col("x"), F.col("y"))).alias("far"))
+    if not by:
+        return far.select(F.coalesce("far", F.lit(0.0)).alias("far"))
+    return hulls.select(*by).join(far, by, "left").select(*by, F.coalesce("far", F.lit(0.0)).alias("far"))
+
+
 @query("hulls_between_points_and_convex", "SELECT zone_id, true AS covers, true AS within_convex FROM zones", "zones")
 def hulls_between_points_and_convex(spark, sf):
     """A concave hull holds all its points and is no larger than the convex hull."""
     from ..operators.hulls import polygon_from_points
     d = J.spatial_join(fx.sites(spark, sf), fx.zones(spark, sf), "within").select(F.col("b_zone_id").alias("zone_id"), F.col("a_geom").alias("geom"), F.col("a_bbox").alias("bbox"))
+    d = A.save_step(d, "sites-of-zones")
     hull = polygon_from_points(set_srid(d.select("zone_id", "geom"), fx.SRID), 0.4, False, by=["zone_id"]).select("zone_id", F.col("geom").alias("hull"))
-    spots = d.join(hull, "zone_id").groupBy("zone_id").agg(F.min(N.point_to_geometry(F.col("hull"), F.col("bbox.xmin"), F.col("bbox.ymin")) <= 1e-6).alias("covers"))
+    hull = A.save_step(hull, "hulls-of-zones")   # read from files, their size is known and the joins below follow it
+    spots = _farthest(d, hull, ["zone_id"]).select("zone_id", (F.col("far") <= 1e-6).alias("covers"))
     convex = A.convex_hull(set_srid(d, fx.SRID), ["zone_id"]).select("zone_id", N.area(F.col("geom")).alias("most"))
     return hull.join(convex, "zone_id").join(spots, "zone_id").select("zone_id", "covers", (N.area(F.col("hull")) <= F.col("most") * (1 + 1e-9)).alias("within_convex"))
 
 
 def _hull_facts(spark, layer, hull):
     """Whether one hull covers all points of a layer, and its share of the convex hull."""
-    far = layer.join(hull.select(F.col("geom").alias("hull"))).agg(F.max(N.point_to_geometry(F.col("hull"), F.col("bbox.xmin"), F.col("bbox.ymin"))).alias("far"))   # one hull
+    hull = A.save_step(hull, "hull")
+    far = _farthest(fx.over_tasks(layer), hull.select(F.col("geom").alias("hull")))
     return far.join(hull.select(N.area(F.col("geom")).alias("area"))).join(A.convex_hull(layer).select(N.area(F.col("geom")).alias("most")))
 
 
