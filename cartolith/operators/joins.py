@@ -7,9 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..functions import exact as X, native as N
-from ..layer import LINEAR, PARTS, POLYGONAL, PUNTAL, SridError, attribute_columns, empty, ensure_bbox, geometry, set_srid, srid_of, with_bbox
+from ..layer import LINEAR, PARTS, POLYGONAL, PUNTAL, SridError, attribute_columns, bbox_of, empty, ensure_bbox, geometry, make_box, set_srid, srid_of, with_bbox
 from ..plans.grid import GridPlan, both_rects, boxes_only, candidate_pairs, rows_with_pair, spread, tidy
-from .aggregate import united
+from .aggregate import save_step, united
 from .transform import reproject
 
 PREDICATES = ("intersects", "contains", "containsproperly", "within", "covers", "coveredby", "overlaps", "crosses",
@@ -390,6 +390,33 @@ def clip(layer: DataFrame, mask: DataFrame, single: bool = False, rule: str = "r
     return force_single(out) if single else force_multi(out)
 
 
+FEW_PIECES = 8   # so many rectangles are looked at together, more are united in rounds or tiles
+
+
+def _covers(pieces: DataFrame, rects: bool) -> DataFrame:
+    """``h1``, ``h2`` and the union of the pieces under them; few rectangles that fill their common box are that box, which most rows have."""
+    keys = ["h1", "h2"]
+    if not rects:
+        return united(pieces, keys)
+    few = pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= FEW_PIECES).drop("n")
+    boxes = pieces.join(few.hint("merge"), keys).select(*keys, bbox_of(F.col("geom")).alias("b")).groupBy(*keys).agg(F.collect_list("b").alias("bs"))
+    bs = F.col("bs")
+    each = lambda k: F.transform(bs, lambda b: b[k])
+    lows, highs = [F.array_min(each(k)) for k in ("xmin", "ymin")], [F.array_max(each(k)) for k in ("xmax", "ymax")]
+    at = lambda lo, hi: F.array_sort(F.array_distinct(F.concat(each(lo), each(hi))))
+
+    def filled(xs, ys):
+        """Every cell between neighbouring sides lies in a piece."""
+        cell = lambda i, j: F.exists(bs, lambda b: (b["xmin"] <= xs[i]) & (b["xmax"] >= xs[i + 1]) & (b["ymin"] <= ys[j]) & (b["ymax"] >= ys[j + 1]))
+        return F.forall(F.sequence(F.lit(0), F.size(xs) - 2), lambda i: F.forall(F.sequence(F.lit(0), F.size(ys) - 2), lambda j: cell(i, j)))
+
+    boxes = boxes.withColumns({"xs": at("xmin", "xmax"), "ys": at("ymin", "ymax")})
+    done = boxes.where((F.size(bs) == 1) | filled(F.col("xs"), F.col("ys"))).select(*keys, make_box(*lows, *highs).alias("geom"))
+    done = save_step(done, "covers")
+    rest = save_step(pieces.join(done.select(*keys).hint("merge"), keys, "left_anti"), "pieces")
+    return done if rest.isEmpty() else done.unionByName(united(rest, keys).select(*keys, "geom"))
+
+
 def difference(a: DataFrame, b: DataFrame, id: str, single: bool = False, drop_empty: bool = False) -> DataFrame:
     """Each feature of ``a`` minus everything in ``b``.
 
@@ -415,7 +442,7 @@ def difference(a: DataFrame, b: DataFrame, id: str, single: bool = False, drop_e
         pairs, geom = _pair_intersection(pairs, plan)
         cut = (pairs.withColumn("_cut", geom).where(_parts_only(F.col("_cut")) & (N.dimension(F.col("_cut")) >= N.dimension(F.col("a_geom"))))
                .select(content_mark(a, "a_").alias("_m"), F.col("_cut").alias("geom")).select("_m.h1", "_m.h2", "geom"))
-        cover = united(cut, ["h1", "h2"]).select(F.struct("h1", "h2").alias("_m"), F.col("geom").alias("_cover"))
+        cover = _covers(save_step(cut, "pieces"), both_rects(plan) is True).select(F.struct("h1", "h2").alias("_m"), F.col("geom").alias("_cover"))
         out = spread(a, plan.left).join(cover, content_mark(a) == F.col("_m"), "left")
         g, c = F.col("geom"), F.col("_cover")
         gone = F.coalesce(X.is_rect(g, F.col("bbox")) & X.is_rect(c, F.col("bbox")), F.lit(False))   # a rectangle under itself
