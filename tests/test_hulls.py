@@ -84,3 +84,20 @@ def test_refusals(spark):
     with pytest.raises(ValueError):
         H.polygon_from_points(df.withColumn("geom", F.struct(F.lit("POLYGON").alias("gtype"), F.col("geom")["parts"].alias("parts"))), 0.5)
     assert H.polygon_from_points(df.where("false"), 0.5, by=["k"]).collect() == []
+
+
+def test_straight_sides_stay_behind():
+    """A tile in the middle of a long grid hands on what lies at its open ends only."""
+    p = np.array([(x, y) for x in range(5) for y in range(40)], float)
+    tri, on, ground, rim = H.tile_triangles(p, np.empty((0, 4)), (-1.0, -0.5, 41.0, 39.5), (0.0, -100.0, 4.0, 100.0))
+    assert len(tri) and len(on) < 40 and {v for v in on[:, 1] if 10 < v < 30} == set()
+    assert {(a, c) for a, _, c, _ in rim.tolist()} == {(0.0, 0.0), (4.0, 4.0)}
+
+
+def test_only_long_triangles_are_eroded(spark, monkeypatch):
+    notch = [("g", x, y) for x in range(30) for y in range(30) if not (x > 8 and 10 <= y < 20)]
+    monkeypatch.setattr(H, "POINTS", 64)
+    seen, eroded = [], H._eroded
+    monkeypatch.setattr(H, "_eroded", lambda tri, holes: seen.append(tri.count()) or eroded(tri, holes))
+    assert [r["a"] for r in H.polygon_from_points(layer(spark, notch), 0.05, False, ["k"]).select(N.area(F.col("geom")).alias("a")).collect()] == [29 * 29 - 21 * 11]
+    assert 0 < seen[0] < 100
