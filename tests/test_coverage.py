@@ -104,3 +104,14 @@ def test_empty_and_foreign_rows(spark):
     d = layer(spark, [("x", None)])
     assert C.simplify_coverage(d, "k", 1.0).count() == 0
     assert K.simplify_chain(np.array([[0., 0], [1, 0.01], [2, 0]]), 0.1).tolist() == [[0, 0], [2, 0]]
+
+
+def test_arcs_that_meet_at_ends_only(spark):
+    from cartolith.functions.native import from_wkt
+    from cartolith.layer import bbox_of
+    from cartolith.operators.coverage import _only_ends_meet
+    rows = [("LINESTRING (0 0, 1 0)", "LINESTRING (1 0, 1 1)", True), ("LINESTRING (0 0, 1 0)", "LINESTRING (1 -1, 1 1)", False), ("LINESTRING (0 0, 2 0)", "LINESTRING (1 0, 1 1)", False),
+            ("LINESTRING (0 0, 1 1)", "LINESTRING (0 1, 1 1)", False), ("LINESTRING (0 0, 1 0, 1 1, 0 0)", "LINESTRING (0 0, -1 -1)", False)]
+    d = spark.createDataFrame(rows, "a string, b string, want boolean").select("want", from_wkt(F.col("a")).alias("a_geom"), from_wkt(F.col("b")).alias("b_geom"))
+    d = d.withColumns({"a_bbox": bbox_of(F.col("a_geom")), "b_bbox": bbox_of(F.col("b_geom"))})
+    assert all(r["want"] == r["got"] for r in d.select("want", _only_ends_meet().alias("got")).collect())
