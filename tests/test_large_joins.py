@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cartolith.functions import exact as X
+from cartolith.functions import exact as X, native as N
 from cartolith.layer import make_box, make_line, make_point, set_srid, vertex, with_bbox
 from cartolith.operators import joins as J
 from cartolith.plans import grid
@@ -182,3 +182,19 @@ def test_neighbours_within_narrowed_radii(spark, monkeypatch):
     monkeypatch.setattr(J, "_narrowed", lambda *args: calls.append(1) or narrowed(*args))
     monkeypatch.setattr(J, "NARROWED_ROWS", 0)
     assert [rows(J.knn_join(a, n, k, "id", "id")) for n, k in cases] == want and len(calls) == 3
+
+
+def test_pieces_that_fill_their_box_need_no_union(spark, monkeypatch):
+    from cartolith.operators import joins as J
+    united = []
+    real = J.united
+    monkeypatch.setattr(J, "united", lambda df, keys, *a: united.append(df.count()) or real(df, keys, *a))
+    box = lambda rows: with_bbox(spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double").select("id", make_box(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias("geom")))
+    quarters = box([(i, 10.0 * (i % 2), 10.0 * (i // 2), 10.0 * (i % 2) + 10, 10.0 * (i // 2) + 10) for i in range(4)])
+    area = lambda a, b: {r["id"]: r["a"] for r in J.difference(a, b, "id").select("id", N.area(F.col("geom")).alias("a")).collect()}
+    assert area(box([(1, 5.0, 5.0, 15.0, 15.0), (2, 15.0, 15.0, 25.0, 18.0), (3, 30.0, 0.0, 31.0, 1.0)]), quarters) == {1: 0.0, 2: 15.0, 3: 1.0}
+    assert not united
+    # a hole in the middle of the box, and a corner that is missing
+    ring = box([(0, 0.0, 0.0, 3.0, 1.0), (1, 0.0, 2.0, 3.0, 3.0), (2, 0.0, 0.0, 1.0, 3.0), (3, 2.0, 0.0, 3.0, 3.0), (4, 10.0, 0.0, 12.0, 1.0), (5, 10.0, 0.0, 11.0, 2.0)])
+    assert area(box([(1, 0.0, 0.0, 3.0, 3.0), (2, 10.0, 0.0, 12.0, 2.0)]), ring) == {1: 1.0, 2: 1.0}
+    assert united == [6]
