@@ -59,15 +59,18 @@ def parcels(spark, sf_dir) -> DataFrame:
     return _boxes(t.drop("p_size"))
 
 
-def routes(spark, sf_dir) -> DataFrame:
-    """Two-vertex lines: from the site of an order to the depot of each of its items."""
+def routes(spark, sf_dir, spread: bool = False) -> DataFrame:
+    """Two-vertex lines: from the site of an order to the depot of each of its items; ``spread`` over the tasks as keys, before there are geometries to move."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    # end points follow from the keys, so no lookup of the two point layers is needed
     t = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"), F.col("o_custkey").alias("site_id"), F.col("l_suppkey").alias("depot_id"),
-        F.expr("((o_custkey * 7919L) % 10007L) / 100.07D").alias("x1"), F.expr("((o_custkey * 104729L) % 10009L) / 100.09D").alias("y1"),
-        F.expr("((l_suppkey * 7919L) % 10007L) / 100.07D").alias("x2"), F.expr("((l_suppkey * 15485863L) % 10009L) / 100.09D").alias("y2"))
+        F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"), F.col("o_custkey").alias("site_id"), F.col("l_suppkey").alias("depot_id"))
+    if spread:
+        t = over_tasks(t, "order_id", "line_no")
+    # end points follow from the keys, so no lookup of the two point layers is needed
+    t = t.select(
+        "*", F.expr("((site_id * 7919L) % 10007L) / 100.07D").alias("x1"), F.expr("((site_id * 104729L) % 10009L) / 100.09D").alias("y1"),
+        F.expr("((depot_id * 7919L) % 10007L) / 100.07D").alias("x2"), F.expr("((depot_id * 15485863L) % 10009L) / 100.09D").alias("y2"))
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     t = t.withColumn("geom", make_line(F.array(vertex(x1, y1), vertex(x2, y2))))
     return set_srid(t.withColumn("bbox", make_bbox(F.least(x1, x2), F.least(y1, y2), F.greatest(x1, x2), F.greatest(y1, y2))).drop("x1", "y1", "x2", "y2"), SRID)

@@ -6,6 +6,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 VERTEX_T = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 GEOM_T = pa.struct([("gtype", pa.string()), ("parts", pa.list_(pa.list_(pa.list_(VERTEX_T))))])
@@ -33,6 +34,45 @@ def decode(arr) -> list[Geom | None]:
     return out
 
 
+def flat(arr) -> tuple:
+    """Offsets of parts, rings and vertices, and the vertices of one Arrow batch with their coordinates (NULL as NaN)."""
+    parts = arr.flatten()[1]
+    v = parts.values.values.values
+    x, y = (c.to_numpy(zero_copy_only=False) for c in v.flatten())
+    return parts.offsets.to_numpy(), parts.values.offsets.to_numpy(), parts.values.values.offsets.to_numpy(), v, x, y
+
+
+def segments(arr) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a batch that are lines of two different vertices, their (x1, y1, x2, y2), and where one of these is NULL."""
+    none = np.empty(0, int), np.empty((0, 4)), np.empty(0, bool)
+    gtype, parts = arr.flatten()
+    if parts.values.null_count or parts.values.values.null_count:
+        return none
+    po, ro, vo, v, x, y = flat(arr)
+    first = vo[ro[po]]
+    line = np.asarray(pc.fill_null(pc.equal(gtype, "LINESTRING"), False))
+    rows = np.flatnonzero(line & (np.diff(first) == 2))
+    if not len(rows):
+        return none
+    i = first[rows]
+    gone, (no_x, no_y) = np.asarray(v.is_null()), [np.asarray(c.is_null()) for c in v.flatten()]
+    same = [((c[i] == c[i + 1]) | (np.isnan(c[i]) & np.isnan(c[i + 1]))) & (no[i] == no[i + 1]) for c, no in ((x, no_x), (y, no_y))]
+    keep = ~(same[0] & same[1]) & ~gone[i] & ~gone[i + 1]
+    rows, i = rows[keep], i[keep]
+    return rows, np.column_stack([x[i], y[i], x[i + 1], y[i + 1]]), no_x[i] | no_y[i] | no_x[i + 1] | no_y[i + 1]
+
+
+def one_ring_polygons(x: np.ndarray, y: np.ndarray, null: np.ndarray) -> pa.Array:
+    """Polygons of one ring each from the rows of two matrices; coordinates are NULL in the rows marked."""
+    k, m = x.shape
+    mask = np.repeat(null, m) if null.any() else None
+    v = pa.StructArray.from_arrays([pa.array(c.ravel(), mask=mask) for c in (x, y)], fields=list(VERTEX_T))
+    each = pa.array(np.arange(k + 1), pa.int32())
+    rings = pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * m, pa.int32()), v)
+    parts = pa.ListArray.from_arrays(each, pa.ListArray.from_arrays(each, rings))
+    return pa.StructArray.from_arrays([pa.array(["POLYGON"] * k, pa.string()), parts], fields=list(GEOM_T))
+
+
 def encode(geoms: list[Geom | None]) -> pa.Array:
     names, po, ro, vo, coords = [], [0], [0], [0], []
     for g in geoms:

@@ -11,14 +11,16 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ..layer import GEOM, PARTS, geometry, make_box
+from ..layer import GEOM, PARTS, POLYGONAL, geometry, make_box
 from . import kernel as K
-from .codec import decode, encode, from_wkb as _from_wkb, to_wkb as _to_wkb
-from .native import capsule_ring, circle_ring, is_rect, let, rect_buffer_ring
+from .codec import GEOM_T, decode, encode, flat, from_wkb as _from_wkb, one_ring_polygons, segments, to_wkb as _to_wkb
+from .native import circle_ring, is_rect, let, rect_buffer_ring
 
 
 STEP = 2000   # geometries handed to the kernel together
@@ -53,6 +55,43 @@ def _arrow(run_many, returns: str, second: str | None = None):
     return arrow_udf(run, GEOM if returns == "geom" else returns).asNondeterministic()
 
 
+def _buffers(a: pa.Array, d: pa.Array) -> pa.Array:
+    """Buffers of a batch: lines of two vertices by one array expression, the others by the kernel, none for NULL."""
+    n = len(a)
+    if a.null_count == n:
+        return pa.nulls(n, GEOM_T)
+    rows, ends, null = segments(a)
+    by = d.to_numpy(zero_copy_only=False)
+    grows = by[rows] > 0
+    rows, ends, null = rows[grows], ends[grows], null[grows]
+    out = one_ring_polygons(*K.capsules(ends, by[rows]), null)
+    if len(rows) == n:
+        return out
+    place = np.full(n, -1)
+    place[rows] = np.arange(len(rows))
+    rest = np.flatnonzero((place < 0) & ~np.asarray(a.is_null()))
+    if len(rest):
+        place[rest] = len(rows) + np.arange(len(rest))
+        out = pa.concat_arrays([out, encode(_steps(K.buffer_many, decode(a.take(pa.array(rest))), d.take(pa.array(rest)).to_pylist()))])
+    return out.take(pa.array(place, mask=place < 0))
+
+
+def _areas(a: pa.Array) -> pa.Array:
+    """``native.area`` of a batch: NULL where a polygon has a NULL in it, 0 for what is no polygon."""
+    gtype, parts = a.flatten()
+    po, ro, vo, _, x, y = flat(a)
+    gone = np.asarray(parts.is_null())
+    rings = parts.values
+    if rings.null_count or rings.values.null_count or np.isnan(x).any() or np.isnan(y).any():
+        xs, ys = rings.values.values.flatten()
+        bad = np.cumsum(np.concatenate([[0], np.asarray(xs.is_null()) | np.asarray(ys.is_null())]))
+        bad = np.cumsum(np.concatenate([[0], np.diff(bad[vo]) + np.asarray(rings.values.is_null())]))
+        bad = np.cumsum(np.concatenate([[0], np.diff(bad[ro]) + np.asarray(rings.is_null())]))
+        gone = gone | (np.diff(bad[po]) > 0)
+    polygon = np.asarray(pc.fill_null(pc.is_in(gtype, pa.array(POLYGONAL)), False))
+    return pa.array(np.where(polygon, K.areas(po, ro, vo, x, y), 0.0), mask=(polygon & gone) | np.asarray(a.is_null()))
+
+
 def _filled(fn):
     """Pair function that is NULL for empty geometries."""
     return lambda a, b: fn(a, b) if a[1] and b[1] else None
@@ -70,7 +109,8 @@ def _udf(name: str):
         "hausdorff": lambda: _arrow(_each(_filled(K.hausdorff)), "double", "geom"),
         "shortest_line": lambda: _arrow(_each(_filled(_shortest)), "geom", "geom"),
         "closest_point": lambda: _arrow(_each(_filled(_closest)), "geom", "geom"),
-        "buffer": lambda: _arrow(K.buffer_many, "geom", "number"),
+        "buffer": lambda: arrow_udf(_buffers, GEOM).asNondeterministic(),
+        "area": lambda: arrow_udf(_areas, "double").asNondeterministic(),
         "grow_and_shrink": lambda: _arrow(K.grow_and_shrink_many, "geom", "number"),
         "simplify": lambda: _arrow(_each(K.simplify), "geom", "number"),
         "simplify_preserve": lambda: _arrow(_each(lambda g, t: K.simplify(g, t, True)), "geom", "number"),
@@ -318,22 +358,25 @@ def closest_point(a: Column, b: Column) -> Column:
     return _udf("closest_point")(a, b)
 
 
+def area(geom: Column) -> Column:
+    """``native.area`` by array arithmetic on batches: the same numbers, for many rows of long rings."""
+    return _udf("area")(geom)
+
+
 # ---------------------------------------------------------------- shapes
 
 def buffer(geom: Column, d, box: Column | None = None) -> Column:
-    """Round buffer; points, single segments and rectangles are answered by column arithmetic."""
+    """Round buffer; points and rectangles are answered by column arithmetic, lines of two vertices by that of a batch."""
     d = d if isinstance(d, Column) else F.lit(float(d))
     d = d.cast("double")
     from .native import vertices
     point = F.coalesce((geom["gtype"] == "POINT") & (F.size(geom["parts"]) == 1) & (d > 0), F.lit(False))
     rect = F.coalesce(is_rect(geom, box) & (d > 0), F.lit(False)) if box is not None else F.lit(False)
     v = vertices(geom)
-    stretch = F.coalesce((geom["gtype"] == "LINESTRING") & (F.size(v) == 2) & (v[0] != v[1]) & (d > 0), F.lit(False))
     out = F.when(point, geometry("POLYGON", F.array(F.array(circle_ring(v[0]["x"], v[0]["y"], d)))))
-    out = out.when(stretch, geometry("POLYGON", F.array(F.array(capsule_ring(v[0], v[1], d)))))
     if box is not None:
         out = out.when(rect, geometry("POLYGON", F.array(F.array(rect_buffer_ring(box, d)))))
-    return out.otherwise(_udf("buffer")(_unless(point | rect | stretch, geom), d))
+    return out.otherwise(_udf("buffer")(_unless(point | rect, geom), d))
 
 
 def grow_and_shrink(geom: Column, d: float = 0.001) -> Column:

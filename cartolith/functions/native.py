@@ -432,22 +432,6 @@ def circle_ring(x: Column, y: Column, d: Column, quad_segs: int = 8) -> Column:
     return _closed(let(c, lambda c: F.transform(at, lambda t: vertex(c["x"] + d * F.cos(t), c["y"] + d * F.sin(t)))))
 
 
-def capsule_ring(p: Column, q: Column, d: Column, quad_segs: int = 8) -> Column:
-    """Counter-clockwise outline of all points within ``d`` of one segment."""
-    step = math.pi / 2 / quad_segs
-
-    def half(e, turn):
-        return F.transform(F.sequence(F.lit(0), F.lit(2 * quad_segs)), lambda i: vertex(
-            e["c"]["x"] + d * F.cos(e["base"] + turn + i * step), e["c"]["y"] + d * F.sin(e["base"] + turn + i * step)))
-
-    def ends(z):
-        base = F.atan2(z["q"]["y"] - z["p"]["y"], z["q"]["x"] - z["p"]["x"])
-        return F.concat(let(F.struct(z["q"].alias("c"), base.alias("base")), lambda e: half(e, -math.pi / 2)),
-                        let(F.struct(z["p"].alias("c"), base.alias("base")), lambda e: half(e, math.pi / 2)))
-
-    return _closed(let(F.struct(p.alias("p"), q.alias("q")), ends))
-
-
 def rect_buffer_ring(box: Column, d: Column, quad_segs: int = 8) -> Column:
     """Round-cornered buffer ring of an axis-aligned rectangle."""
     step = math.pi / 2 / quad_segs

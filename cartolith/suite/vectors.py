@@ -454,8 +454,8 @@ def buffer_boxes(spark, sf):
 @query("buffer_lines", f"SELECT order_id, line_no, round(2 * 1 * sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) + {_POLY32}, 5) AS area FROM routes", "routes")
 def buffer_lines(spark, sf):
     """Routes as capsules."""
-    r = fx.routes(spark, sf).select("order_id", "line_no", "geom", "bbox").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "order_id", "line_no")
-    return X8.buffer(r, 1.0, ["order_id", "line_no"]).select("order_id", "line_no", F.round(N.area(g()), 5).alias("area"))
+    r = fx.routes(spark, sf, spread=True).select("order_id", "line_no", "geom", "bbox")
+    return X8.buffer(r, 1.0, ["order_id", "line_no"]).select("order_id", "line_no", F.round(X.area(g()), 5).alias("area"))
 
 
 @query("repair_valid", "SELECT parcel_id, true AS is_valid, round((xmax - xmin) * (ymax - ymin), 6) AS area FROM parcels", "parcels")
