@@ -37,9 +37,10 @@ def decode(arr) -> list[Geom | None]:
 def flat(arr) -> tuple:
     """Offsets of parts, rings and vertices, and the vertices of one Arrow batch with their coordinates (NULL as NaN)."""
     parts = arr.flatten()[1]
-    v = parts.values.values.values
+    lists = parts, parts.values, parts.values.values
+    v = lists[2].values
     x, y = (c.to_numpy(zero_copy_only=False) for c in v.flatten())
-    return parts.offsets.to_numpy(), parts.values.offsets.to_numpy(), parts.values.values.offsets.to_numpy(), v, x, y
+    return *(a.offsets.to_numpy() if len(a) else np.zeros(1, int) for a in lists), v, x, y   # no list, perhaps no buffer of offsets
 
 
 def segments(arr) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
