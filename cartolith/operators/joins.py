@@ -253,7 +253,7 @@ def _narrowed(ac: DataFrame, a: DataFrame, pts: DataFrame, k: int, b_id: str) ->
         every = every & F.col(f"d{i}").isNotNull()
     far = F.greatest(*[F.col(f"d{i}") for i in range(k)], F.lit(0.0)) * (1 + 1e-9)
     bound = least.where(every).select(F.struct("h1", "h2").alias("_m"), far.alias("_far"))
-    out = ac.join(bound, content_mark(a) == F.col("_m"), "left")
+    out = ac.join(bound.hint("merge"), content_mark(a) == F.col("_m"), "left")
     return out.select(*a.columns, F.least("_r", F.coalesce("_far", "_r")).alias("_r"))
 
 
@@ -298,11 +298,12 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, a_id: str, b_id: str, cell0: fl
             .agg(F.sum("n").alias("n")).where(F.col("n") >= min(k, e["n"]))).select("level", "ux", "uy")
     asked = (homes.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels])))
              .withColumn("ux", F.expr(f"shiftright(cx, {finest} - level)")).withColumn("uy", F.expr(f"shiftright(cy, {finest} - level)")))
-    radius = asked.join(full, ["level", "ux", "uy"]).groupBy("cx", "cy").agg(F.max("level").alias("level"))
+    # cells, bounds and copies may be nearly as many as the rows, whatever the sizes of files and compressed shuffles say: no such side reaches the driver
+    radius = asked.join(full.hint("merge"), ["level", "ux", "uy"]).groupBy("cx", "cy").agg(F.max("level").alias("level"))
     cx, cy = cell(finest, one["x"], one["y"])
     ac = a.where(bb.isNotNull()).withColumn("_cx", cx).withColumn("_cy", cy)
     # one row per cell on the right, so the adaptive join can split a busy cell
-    ac = ac.join(radius.select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.col("level").alias("_level")), ["_cx", "_cy"], "left")
+    ac = ac.join(radius.select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.col("level").alias("_level")).hint("merge"), ["_cx", "_cy"], "left")
     reach = F.coalesce(extent / F.pow(F.lit(2.0), F.col("_level")), F.lit(extent)) * (math.sqrt(2) * (1 + 1e-9))
     ac = ac.select(*a.columns, reach.alias("_r"))
     if f["n"] >= NARROWED_ROWS:
@@ -314,7 +315,7 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, a_id: str, b_id: str, cell0: fl
     pairs = pairs.select(*swap, "dist")
     # rows that hold the same share a mark, so each neighbour shows up once for each of them; such rows are rare and one aggregate finds them
     more = a.groupBy(content_mark(a).alias("_same")).agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
-    pairs = pairs.withColumn("_mark", content_mark(a, "a_")).join(more, F.col("_mark") == F.col("_same"), "left")
+    pairs = pairs.withColumn("_mark", content_mark(a, "a_")).join(more.hint("merge"), F.col("_mark") == F.col("_same"), "left")
     w = Window.partitionBy("_mark").orderBy("dist", "b_" + b_id)
     nth = F.ceil(F.row_number().over(w) / F.coalesce(F.col("_copies"), F.lit(1))).cast("int")
     return pairs.withColumn("rank", nth).where(F.col("rank") <= k).drop("_mark", "_same", "_copies")

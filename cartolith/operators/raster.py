@@ -214,24 +214,31 @@ def values_at(r: DataFrame, points: DataFrame, band: int = 1, overlaps: bool | N
     c, w = g.to_pixel(F.col("bbox.xmin"), F.col("bbox.ymin"))
     p = p.withColumn("col", F.floor(c).cast("int")).withColumn("row", F.floor(w).cast("int"))
     px = _pixels(r, band, overlaps).select("col", "row", "value")
-    return p.join(px, ["col", "row"], "left")
+    return p.join(px.hint("merge"), ["col", "row"], "left")
 
 
 def _nearest(t: DataFrame, places: DataFrame, band: int) -> DataFrame:
-    """(col, row, value) of the nearest pixel with data for every distinct place; distances count in pixels, ties go to the upper, then the left pixel.
+    """(col, row, nearest) of every distinct place: the value of the nearest pixel with data (NULL in a raster without any); distances count in pixels, ties go
+    to the upper, then the left pixel.
 
-    From a pixel with data one step along an axis leads nearer to any other place, so the nearest one has a side neighbour without data: only the rims
-    of what holds data are searched, and strips along tile borders are all that the rims need."""
+    Most places have data near by and find it in their cell's window. For the others, from a pixel with data one step along an axis leads nearer to any other
+    place, so the nearest one has a side neighbour without data: only the rims of what holds data are searched, and strips along tile borders are all that the
+    rims need."""
     from .aggregate import save_step
     from .joins import knn_join
+    found = save_step(T.nearest(t, places.select("col", "row").distinct(), band), "nearest")
+    bare, done = found.where("NOT sure"), found.where("sure").select("col", "row", "nearest")
+    if bare.isEmpty():
+        return done
     key = F.col("row").cast("long") * (1 << 31) + F.col("col")
     spot = make_point(F.col("col").cast("double"), F.col("row").cast("double"))
     b = T.to_pixels(T.rim(t, band)).where(F.col("value").isNotNull() & ~F.isnan("value")).select(key.alias("pixel"), "value", spot.alias("geom"))
-    a = places.select("col", "row").distinct().select("col", "row", key.alias("place"), spot.alias("geom"))
+    a = bare.select("col", "row", key.alias("place"), spot.alias("geom"))
     # the search looks at both sides several times, and rims are costly to find
     a, b = save_step(with_bbox(a), "places"), save_step(with_bbox(b), "rims")
-    j = knn_join(a, b, 1, "place", "pixel")
-    return j.select(F.col("a_col").alias("col"), F.col("a_row").alias("row"), F.col("b_value").alias("nearest"))
+    j = knn_join(a, b, 1, "place", "pixel").select(F.col("a_col").alias("col"), F.col("a_row").alias("row"), F.col("b_value").alias("nearest"))
+    # places and neighbours may be many, whatever the size of their files says
+    return done.unionByName(bare.select("col", "row").join(j.hint("merge"), ["col", "row"], "left"))
 
 
 def nearest_values(r: DataFrame, points: DataFrame, band: int = 1, overlaps: bool | None = None) -> DataFrame:
@@ -240,15 +247,15 @@ def nearest_values(r: DataFrame, points: DataFrame, band: int = 1, overlaps: boo
     t = as_tiles(r, overlaps)
     own = values_at(t, points, band, False)
     bare = own.where(F.col("value").isNull() & F.col("col").isNotNull() & F.col("row").isNotNull())
-    return own.join(_nearest(t, bare, band), ["col", "row"], "left").withColumn("value", F.coalesce("value", "nearest")).drop("nearest")
+    return own.join(_nearest(t, bare, band).hint("merge"), ["col", "row"], "left").withColumn("value", F.coalesce("value", "nearest")).drop("nearest")
 
 
 def fill_nearest(r: DataFrame, band: int = 1, overlaps: bool | None = None) -> DataFrame:
     """(col, row, value) of every pixel of one band, gaps filled by the nearest pixel with data."""
     t = as_tiles(r, overlaps)
     px = T.to_pixels(t).where(F.col("band") == band).select("col", "row", F.nanvl("value", F.lit(None).cast("double")).alias("value"))
-    gaps = px.where("value IS NULL").select("col", "row").distinct()
-    return px.where("value IS NOT NULL").unionByName(gaps.join(_nearest(t, gaps, band), ["col", "row"], "left").select("col", "row", F.col("nearest").alias("value")))
+    gaps = px.where("value IS NULL").select("col", "row")
+    return px.where("value IS NOT NULL").unionByName(_nearest(t, gaps, band).withColumnRenamed("nearest", "value"))
 
 
 def pixels_of_value(r: DataFrame, values: list[float], band: int = 1, overlaps: bool | None = None) -> DataFrame:

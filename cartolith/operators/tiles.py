@@ -28,6 +28,7 @@ TILES = "rid long, tx int, ty int, width int, height int, bands array<array<doub
 NAMES = ["rid", "tx", "ty", "width", "height", "bands"]
 BANDS_T = pa.list_(pa.list_(pa.float64()))
 CELL = 1024        # pixels a side of the cells where border strips meet
+NEAR = (128, 32)   # pixels a side of the cells where places meet the data around them, and how far around
 
 Box = tuple[int, int, int, int]   # first column, first row, width, height
 
@@ -263,6 +264,65 @@ def neighbourhood(t: DataFrame, radius: int, fn: Callable[[np.ndarray], np.ndarr
     return _as(one.mapInArrow(inside, TILES).unionByName(seams), t)
 
 
+def nearest_inside(v: np.ndarray, c: np.ndarray, r: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest value with data of the places (c, r) of an array, and its squared distance (infinite without any), looked for in the rows up to ``reach``
+    above and below; ties go to the upper, then the left place."""
+    cols = np.arange(v.shape[1])
+    has = ~np.isnan(v)
+    before = np.maximum.accumulate(np.where(has, cols, -1), axis=1)                                             # nearest column with data to the left, or here
+    after = np.minimum.accumulate(np.where(has, cols, 1 << 30)[:, ::-1], axis=1)[:, ::-1]
+    left = np.where(before < 0, 1 << 30, cols - before)
+    near = np.where(left <= after - cols, before, after)
+    off = np.where(has.any(axis=1)[:, None], np.minimum(left, after - cols).astype(float), np.inf)
+    best, value = np.full(len(c), np.inf), np.full(len(c), np.nan)
+    for step in range(-reach, reach + 1):
+        at = np.clip(r + step, 0, len(v) - 1)
+        d = np.where((r + step >= 0) & (r + step < len(v)), off[at, c] ** 2 + step ** 2, np.inf)
+        less = np.flatnonzero(d < best)
+        best[less], value[less] = d[less], v[at[less], near[at[less], c[less]]]
+    return value, best
+
+
+def nearest(t: DataFrame, places: DataFrame, band: int = 1) -> DataFrame:
+    """(col, row, nearest, sure) of places (col, row): the nearest pixel with data that is up to the reach of ``NEAR`` away; ``sure`` is false where there is
+    none. Ties go to the upper, then the left pixel.
+
+    A cell's places and the blocks of the tiles around it meet in one task, so a band is sent about twice, as blocks, however wide its gaps are."""
+    cell, reach = NEAR
+    one = t.select("rid", "tx", "ty", "width", "height", F.array(F.get("bands", F.lit(band - 1))).alias("bands"))
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (rid, tx, ty, n, m), a in zip(corners(batch), blocks(batch)):
+                rows, ti, tj = [], [], []
+                for j in range((ty - reach) // cell, (ty + m - 1 + reach) // cell + 1):
+                    for i in range((tx - reach) // cell, (tx + n - 1 + reach) // cell + 1):
+                        p, q = max(tx, i * cell - reach), max(ty, j * cell - reach)
+                        u, v = min(tx + n, (i + 1) * cell + reach), min(ty + m, (j + 1) * cell + reach)
+                        piece = a[:1, q - ty:v - ty, p - tx:u - tx]
+                        if not np.isnan(piece).all():
+                            rows.append((rid, p, q, piece))
+                            ti.append(i), tj.append(j)
+                if rows:
+                    yield tile_batch(rows, {"ti": ti, "tj": tj})
+
+    def meet(data: pa.Table, asked: pa.Table) -> pa.Table:
+        col, row = (asked.column(k).to_numpy() for k in ("col", "row"))
+        value, far = np.full(len(col), np.nan), np.full(len(col), np.inf)
+        if len(col) and data.num_rows:
+            c0, r0 = asked.column("ti")[0].as_py() * cell - reach, asked.column("tj")[0].as_py() * cell - reach
+            window = np.full((cell + 2 * reach, cell + 2 * reach), np.nan)
+            for (_, c, r, n, m), a in sorted(zip(corners(data), blocks(data)), key=lambda x: x[0]):
+                np.copyto(window[r - r0:r - r0 + m, c - c0:c - c0 + n], a[0], where=~np.isnan(a[0]))
+            value, far = nearest_inside(window, col - c0, row - r0, reach)
+        sure = far < (reach + 1) ** 2   # what lies outside of the window is farther away
+        return pa.table({"col": pa.array(col, pa.int32()), "row": pa.array(row, pa.int32()), "nearest": pa.array(value, mask=~sure), "sure": pa.array(sure)})
+
+    asked = places.select("col", "row", *[F.floor(F.col(k) / cell).cast("int").alias(n) for k, n in (("col", "ti"), ("row", "tj"))])
+    data = one.mapInArrow(around, TILES + ", ti int, tj int")
+    return data.groupBy("ti", "tj").cogroup(asked.groupBy("ti", "tj")).applyInArrow(meet, "col int, row int, nearest double, sure boolean")
+
+
 def _shifts(v: np.ndarray, radius: int) -> Iterator[tuple[int, int, np.ndarray]]:
     h, w = v.shape[0] - 2 * radius, v.shape[1] - 2 * radius
     for dy in range(2 * radius + 1):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cartolith.functions import kernel as K
 from cartolith.layer import make_point, with_bbox
-from cartolith.operators import aggregate as A, raster as R, tiles as T
+from cartolith.operators import aggregate as A, joins as J, raster as R, tiles as T
 
 
 def slow_circle(xy):
@@ -86,3 +86,25 @@ def test_rims_and_rows_of_values(spark):
 def test_a_raster_without_data(spark):
     r = raster(spark, [None] * 12, 4, 2)
     assert {x["value"] for x in R.fill_nearest(r).collect()} == {None}
+
+
+@pytest.mark.parametrize("near", [(4, 2), (5, 30), (128, 32)])
+def test_fill_nearest_over_wide_gaps(spark, monkeypatch, near):
+    """Gaps wider than the windows, windows wider than the raster, and ties between rows and columns."""
+    monkeypatch.setattr(T, "NEAR", near)
+    w, h = 37, 11
+    values = [float(i) if (i % w < 3 or i % w > 34) and i % 4 else float("nan") if i % 5 == 0 else None for i in range(w * h)]
+    has = [(i % w, i // w) for i, v in enumerate(values) if v is not None and v == v]
+    want = {(c, q): values[(lambda b: b[1] * w + b[0])(min(has, key=lambda p: ((p[0] - c) ** 2 + (p[1] - q) ** 2, p[1], p[0])))] for c in range(w) for q in range(h)}
+    got = R.fill_nearest(raster(spark, values, w, 10)).collect()
+    assert len(got) == w * h and {(x["col"], x["row"]): x["value"] for x in got} == want
+
+
+def test_nearest_search_sends_nothing_to_the_driver_by_an_estimate(spark, monkeypatch, capsys):
+    """Files that look small hold many rows: only sides that were measured are broadcast, and here none is."""
+    monkeypatch.setattr("cartolith.plans.grid.BROADCAST_BYTES", -1)
+    r = raster(spark, [float(i) if i % 3 else None for i in range(600)], 30, 7)
+    p = with_bbox(spark.range(50).select("id", make_point(F.col("id") * 7.0 % 31, F.col("id") * 3.0 % 17).alias("geom")))
+    for df in (R.fill_nearest(r), R.nearest_values(r, p), J.knn_join(p, p, 2, "id", "id")):
+        df.explain()
+        assert "Broadcast" not in capsys.readouterr().out
