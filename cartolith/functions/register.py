@@ -15,7 +15,7 @@ from pyspark.sql.functions import arrow_udf
 
 from ..layer import GEOM, RING
 from . import kernel as K
-from .codec import decode, encode, from_wkb, to_wkb
+from .codec import GEOM_T, VERTEX_T, decode, encode, from_wkb, points_and_segments, to_wkb
 from .exact import PATTERNS, _all_vertices, _closest, _each, _filled, _shortest, _steps, _surface, pattern_regex
 
 _V = "flatten(flatten(g.parts))"
@@ -24,6 +24,9 @@ _RING_AREA = ("aggregate(r, named_struct('s', 0D, 'px', r[0].x, 'py', r[0].y), (
 _LINE = ("aggregate(r, named_struct('s', 0D, 'px', r[0].x, 'py', r[0].y), (a, v) -> named_struct('s', a.s + hypot(v.x - a.px, v.y - a.py), "
          "'px', v.x, 'py', v.y), a -> a.s)")
 
+_TWO = "size(g.parts) = 1 AND size(get(g.parts, 0)) = 1 AND size(get(get(g.parts, 0), 0)) = 2"   # one line of two vertices, which needs no loop
+_X1, _Y1, _X2, _Y2 = (f"get(get(get(g.parts, 0), 0), {i}).{k}" for i in (0, 1) for k in "xy")
+
 
 def _point(x, y):
     return f"named_struct('x', {x}, 'y', {y})"
@@ -93,7 +96,8 @@ INLINE = {
     "st_area": (f"g {GEOM}", "DOUBLE", "CASE WHEN g.gtype LIKE '%POLYGON' THEN aggregate(g.parts, 0D, (t, p) -> t + 2 * "
                 + _RING_AREA.replace("r[0]", "p[0][0]").replace("aggregate(r,", "aggregate(p[0],")
                 + " - aggregate(p, 0D, (u, r) -> u + " + _RING_AREA + ")) WHEN g IS NOT NULL THEN 0D END"),
-    "st_length": (f"g {GEOM}", "DOUBLE", "CASE WHEN g.gtype LIKE '%LINESTRING' THEN aggregate(flatten(g.parts), 0D, (t, r) -> t + " + _LINE + ") WHEN g IS NOT NULL THEN 0D END"),
+    "st_length": (f"g {GEOM}", "DOUBLE", f"CASE WHEN g.gtype LIKE '%LINESTRING' AND {_TWO} THEN hypot({_X2} - {_X1}, {_Y2} - {_Y1}) "
+                  "WHEN g.gtype LIKE '%LINESTRING' THEN aggregate(flatten(g.parts), 0D, (t, r) -> t + " + _LINE + ") WHEN g IS NOT NULL THEN 0D END"),
     "st_perimeter": (f"g {GEOM}", "DOUBLE", "CASE WHEN g.gtype LIKE '%POLYGON' THEN aggregate(flatten(g.parts), 0D, (t, r) -> t + " + _LINE + ") WHEN g IS NOT NULL THEN 0D END"),
     "st_makepoint": ("px DOUBLE, py DOUBLE", GEOM, f"named_struct('gtype', 'POINT', 'parts', array(array(array({_point('px', 'py')}))))"),
     "st_makeenvelope": ("x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE", GEOM,
@@ -245,6 +249,96 @@ def _between(g, lo, hi):
     return ("LINESTRING", [[np.vstack([_at(line, m, a), line[(m > a) & (m < b)], _at(line, m, b)])]])
 
 
+def _straight(g: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of two vertices in a batch: their rows, their coordinates (x1, y1, x2, y2), all finite, and their lengths above 0."""
+    rows, v, no = points_and_segments(g)["segments"]
+    n = np.hypot(v[:, 2] - v[:, 0], v[:, 3] - v[:, 1])
+    keep = np.isfinite(v).all(axis=1) & np.isfinite(n) & (n > 0) & ~no.any(axis=1)
+    return rows[keep], v[keep], n[keep]
+
+
+def _with_rest(g: pa.Array, rows: np.ndarray, made: pa.Array, slow, *args: pa.Array) -> pa.Array:
+    """Results ``made`` for the rows named, none for NULL geometries, those of ``slow`` for the others."""
+    todo = np.asarray(g.is_valid())
+    todo[rows] = False
+    rest = np.flatnonzero(todo)
+    if len(rows) == len(g):
+        return made
+    other = slow(*[a.take(pa.array(rest)) for a in (g, *args)]) if len(rest) else made[:0]
+    at = np.full(len(g), -1)
+    at[np.concatenate([rows, rest])] = np.arange(len(rows) + len(rest))
+    return pa.concat_arrays([made, other]).take(pa.array(at, mask=at < 0))
+
+
+def _place(v: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Places at the distance m along lines of two vertices, as ``_at``."""
+    there = (v[:, 2:] - v[:, :2]) / n[:, None] * m[:, None] + v[:, :2]
+    return np.where((m >= n)[:, None], v[:, 2:], there)
+
+
+def _as_lines(gtype: str, xy: np.ndarray) -> pa.Array:
+    """Geometries of as many vertices each as the second axis of ``xy`` has."""
+    k, m = xy.shape[:2]
+    v = pa.StructArray.from_arrays([pa.array(xy[:, :, i].ravel()) for i in (0, 1)], fields=list(VERTEX_T))
+    each = pa.array(np.arange(k + 1), pa.int32())
+    parts = pa.ListArray.from_arrays(each, pa.ListArray.from_arrays(each, pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * m, pa.int32()), v)))
+    return pa.StructArray.from_arrays([pa.array([gtype] * k, pa.string()), parts], fields=list(GEOM_T))
+
+
+def _numbers(a: pa.Array) -> np.ndarray:
+    return a.cast(pa.float64()).to_numpy(zero_copy_only=False)   # a literal such as 0.5 is a decimal
+
+
+def _interpolate_all(g: pa.Array, f: pa.Array) -> pa.Array:
+    """``_interpolated`` for a batch: lines of two vertices by array arithmetic."""
+    rows, v, n = _straight(g)
+    at = _numbers(f)[rows]
+    ok = (at >= 0) & (at <= 1)
+    xy = _place(v[ok], n[ok], at[ok] * n[ok])
+    return _with_rest(g, rows[ok], _as_lines("POINT", xy[:, None, :]), _numbered(_each(_interpolated)), f)
+
+
+def _locate_all(g: pa.Array, p: pa.Array) -> pa.Array:
+    """``_located`` for a batch."""
+    rows, v, n = _straight(g)
+    spots, q, no = points_and_segments(p)["points"]
+    q = q[np.isfinite(q).all(axis=1) & ~no.any(axis=1)], spots[np.isfinite(q).all(axis=1) & ~no.any(axis=1)]
+    both, i, j = np.intersect1d(rows, q[1], assume_unique=True, return_indices=True)
+    a, d, n = v[i, :2], v[i, 2:] - v[i, :2], n[i]
+    size = (d * d).sum(axis=1)
+    t = np.clip(((q[0][j] - a) * d).sum(axis=1) / np.where(size > 0, size, 1), 0, 1)
+    return _with_rest(g, both, pa.array(t * n / n, pa.float64()), _pairs(_each(_located), pa.float64()), p)
+
+
+def _substring_all(g: pa.Array, lo: pa.Array, hi: pa.Array) -> pa.Array:
+    """``_between`` for a batch."""
+    def slow(g: pa.Array, lo: pa.Array, hi: pa.Array) -> pa.Array:
+        return encode(_each(_between)(decode(g), lo.cast(pa.float64()).to_pylist(), hi.cast(pa.float64()).to_pylist()))
+
+    rows, v, n = _straight(g)
+    one, two = _numbers(lo)[rows], _numbers(hi)[rows]
+    ok = (one >= 0) & (one <= two) & (two <= 1) & (one * n < two * n)
+    rows, v, n, one, two = rows[ok], v[ok], n[ok], one[ok], two[ok]
+    return _with_rest(g, rows, _as_lines("LINESTRING", np.stack([_place(v, n, one * n), _place(v, n, two * n)], axis=1)), slow, lo, hi)
+
+
+def _ring(g):
+    return g[0] == "LINESTRING" and bool(g[1]) and bool((g[1][0][0][0] == g[1][0][0][-1]).all()) and _simple(g)
+
+
+def _simple_all(g: pa.Array) -> pa.Array:
+    """``_simple`` for a batch."""
+    rows, v, n = _straight(g)
+    rows = rows[n > 1e-6 * np.abs(v).max(axis=1)] if len(rows) else rows   # as in _simple
+    return _with_rest(g, rows, pa.array(np.ones(len(rows), bool)), _ones(_each(_simple), pa.bool_()))
+
+
+def _ring_all(g: pa.Array) -> pa.Array:
+    """``_ring`` for a batch."""
+    rows = _straight(g)[0]   # two vertices apart
+    return _with_rest(g, rows, pa.array(np.zeros(len(rows), bool)), _ones(_each(_ring), pa.bool_()))
+
+
 def register(spark: SparkSession) -> list[str]:
     """Make the functions known to SQL; returns their names."""
     names = []
@@ -289,15 +383,11 @@ def register(spark: SparkSession) -> list[str]:
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION st_dwithin(a {GEOM}, b {GEOM}, d DOUBLE) RETURNS BOOLEAN RETURN st_distance(a, b) <= d")
     names.append("st_dwithin")
     add("st_centroid", _ones(_each(_centroid), None), GEOM)
-    add("st_issimple", _ones(_each(_simple), pa.bool_()), "boolean")
-    add("st_isring", _ones(_each(lambda g: g[0] == "LINESTRING" and bool(g[1]) and bool((g[1][0][0][0] == g[1][0][0][-1]).all()) and _simple(g)), pa.bool_()), "boolean")
-    add("st_line_interpolate_point", _numbered(_each(_interpolated)), GEOM)
-    add("st_line_locate_point", _pairs(_each(_located), pa.float64()), "double")
-
-    def substring(g: pa.Array, lo: pa.Array, hi: pa.Array) -> pa.Array:
-        return encode(_each(_between)(decode(g), lo.cast(pa.float64()).to_pylist(), hi.cast(pa.float64()).to_pylist()))
-
-    add("st_line_substring", substring, GEOM)
+    add("st_issimple", _simple_all, "boolean")
+    add("st_isring", _ring_all, "boolean")
+    add("st_line_interpolate_point", _interpolate_all, GEOM)
+    add("st_line_locate_point", _locate_all, "double")
+    add("st_line_substring", _substring_all, GEOM)
     for old, new in ALIASES.items():
         add(old, _pairs(_predicate(new[3:]), pa.bool_()), "boolean")
     return names

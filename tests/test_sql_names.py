@@ -62,3 +62,51 @@ def test_centroids(spark, texts):
         c = one(spark, f"st_centroid(st_geomfromtext('{t}'))")["parts"][0][0][0]
         assert (c["x"], c["y"]) == pytest.approx(want), t
     assert one(spark, "st_centroid(st_geomfromtext('POLYGON EMPTY'))") is None
+
+
+def test_lines_of_two_vertices_are_worked_off_by_the_batch(spark, monkeypatch):
+    """Same results as line by line, and no geometry of such a line is unpacked."""
+    import numpy as np
+    import pyarrow as pa
+    from cartolith.functions import register as G
+    from cartolith.functions.codec import encode
+    rng = np.random.default_rng(5)
+    line = lambda *v: ("LINESTRING", [[np.array(v, float)]])
+    straight = [line(*rng.uniform(-9, 9, (2, 2))) for _ in range(50)] + [line((0, 0), (0, 5)), line((3, 1), (-2, 1))]
+    odd = [None, line((1, 1), (1, 1)), line((0, 0), (3, 4), (3, 14)), line((0, 0), (2, 2), (2, 0), (0, 2)), line((1e9, 1e9), (1e9 + 1, 1e9)), line((0, 0), (1, 0), (1, 1), (0, 0)),
+           ("POINT", [[np.array([[1.0, 2.0]])]]), ("LINESTRING", []), line((float("nan"), 0), (1, 1))]
+    point = lambda x, y: ("POINT", [[np.array([[x, y]], float)]])
+
+    def check(lines, least, most):
+        n = len(lines)
+        at = [None if i % 17 == 3 else (0.0, 1.0, 0.25, 1.5, 0.3)[i % 5] for i in range(n)] if n > 52 else [(0.0, 1.0, 0.25)[i % 3] for i in range(n)]
+        spots = [point(*rng.uniform(-9, 9, 2)) for _ in range(n)]
+        a, f, p, lo, hi = encode(lines), pa.array(at, pa.float64()), encode(spots), pa.array([least] * n), pa.array([most] * n)
+        return a, at, spots, (G._interpolate_all, (a, f)), (G._locate_all, (a, p)), (G._substring_all, (a, lo, hi)), (G._simple_all, (a,)), (G._ring_all, (a,))
+
+    def plain(lines, at, spots, least, most):
+        n = len(lines)
+        return [encode(G._each(G._interpolated)(lines, at)), pa.array(G._each(G._located)(lines, spots), pa.float64()), encode(G._each(G._between)(lines, [least] * n, [most] * n)),
+                pa.array(G._each(G._simple)(lines), pa.bool_()), pa.array(G._each(G._ring)(lines), pa.bool_())]
+
+    def same(x, y):
+        if isinstance(x, float) and isinstance(y, float):
+            return x == pytest.approx(y, abs=1e-12, nan_ok=True)
+        if isinstance(x, dict):
+            return x.keys() == y.keys() and all(same(x[k], y[k]) for k in x)
+        return len(x) == len(y) and all(map(same, x, y)) if isinstance(x, list) and isinstance(y, list) else x == y
+
+    usable = [g for g in odd if g is None or g[1]]   # an empty line has no place at all
+    for lines, least, most in ((straight + usable, 0.25, 0.75), (straight + usable, 0.5, 0.5), (straight, 0.0, 1.0)):
+        _, at, spots, *calls = check(lines, least, most)
+        for want, (fn, args) in zip(plain(lines, at, spots, least, most), calls):
+            assert same(fn(*args).to_pylist(), want.to_pylist()), fn
+    assert G._simple_all(encode(odd)).to_pylist()[7] is True
+    _, at, spots, *calls = check(straight, 0.25, 0.75)
+    want = plain(straight, at, spots, 0.25, 0.75)
+    monkeypatch.setattr(G, "decode", lambda *_: pytest.fail("unpacked"))
+    for w, (fn, args) in zip(want, calls):
+        assert same(fn(*args).to_pylist(), w.to_pylist()), fn
+    assert {"st_issimple", "st_line_substring"} <= set(register(spark))
+    assert one(spark, "st_length(st_geomfromtext('LINESTRING(0 0,3 4)'))") == 5 and one(spark, "st_length(st_geomfromtext('MULTILINESTRING((0 0,3 4),(1 1,1 2))'))") == 6
+    assert one(spark, "st_length(st_geomfromtext('LINESTRING EMPTY'))") == 0 and one(spark, "st_length(st_point(1, 2))") == 0
