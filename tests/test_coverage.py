@@ -115,3 +115,31 @@ def test_arcs_that_meet_at_ends_only(spark):
     d = spark.createDataFrame(rows, "a string, b string, want boolean").select("want", from_wkt(F.col("a")).alias("a_geom"), from_wkt(F.col("b")).alias("b_geom"))
     d = d.withColumns({"a_bbox": bbox_of(F.col("a_geom")), "b_bbox": bbox_of(F.col("b_geom"))})
     assert all(r["want"] == r["got"] for r in d.select("want", _only_ends_meet().alias("got")).collect())
+
+
+@pytest.mark.parametrize("sides,wider", [(20, 2), (60, 16), (10_000, 16)])
+def test_borders_traced_cell_by_cell(spark, monkeypatch, sides, wider):
+    """The same polygons as from one task per key: pieces over many cells, islands in holes, corners that touch, NULL keys."""
+    rng = np.random.default_rng(11)
+    rows = [(("a", "b", None)[int(rng.choice(3, p=[0.55, 0.3, 0.15]))], [square(x, y)]) for x in range(18) for y in range(18)]
+    rows += [("a", [square(30, 0, 20), square(31, 1, 18)[::-1]]), ("a", [square(33, 3, 14), square(35, 5, 10)[::-1]]), ("a", [square(38, 8, 3)]), ("none", None)]   # rings in rings
+    d = layer(spark, rows)
+
+    def parts():
+        got = A.dissolve(d, "k", coverage=True).collect()
+        ring = lambda r: min(tuple(t[i:] + t[:i]) for t in [[tuple(v) for v in r[:-1]]] for i in range(len(t)))
+        return {r["k"]: (r["geom"]["gtype"], sorted((ring(p[0]), sorted(map(ring, p[1:]))) for p in r["geom"]["parts"])) for r in got}
+
+    want = parts()
+    monkeypatch.setattr(C, "TRACED_SIDES", 0)
+    monkeypatch.setattr(C, "CELL_SIDES", sides)
+    monkeypatch.setattr(C, "WIDER", wider)
+    monkeypatch.setattr(C, "_assemble", lambda: pytest.fail("a whole border went into one task"))
+    got = parts()
+    assert got.keys() == want.keys() == {"a", "b", None, "none"}
+    for k in want:
+        assert got[k][0] == want[k][0] and [p[0] for p in got[k][1]] == [p[0] for p in want[k][1]], k
+    area = lambda w: sum(abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(r, r[1:] + r[:1]))) / 2 * s for shell, holes in w[1] for r, s in [(shell, 1), *[(h, -1) for h in holes]])
+    for k in want:
+        assert area(got[k]) == pytest.approx(area(want[k])) and sum(len(p[1]) for p in got[k][1]) == sum(len(p[1]) for p in want[k][1]), k
+    assert got["a"] == want["a"] and got["b"] == want["b"] and got[None] == want[None]
